@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, minhash_dedup, packing, permutation_index, sentencepiece_fst, token_counts, toxicity
+from . import language_id, license_scan, minhash_dedup, packing, permutation_index, quality_rules, sentencepiece_fst, token_counts, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.learn_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return permutation_index.nearest(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding")
@@ -54,6 +58,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
+    "op3_quality_rules": op3_quality_rules,
     "op4_permutation_index": op4_permutation_index,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
@@ -64,4 +69,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_scan.oracle_sql(),
+    "op3_quality_rules": quality_rules.oracle_sql(),
 }
