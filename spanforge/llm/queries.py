@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, minhash_dedup, packing, permutation_index, quality_rules, sentencepiece_fst, token_counts, toxicity
+from . import language_id, license_scan, minhash_dedup, packing, permutation_index, pii, quality_rules, sentencepiece_fst, token_counts, toxicity
 from .common import table
 
 
@@ -55,6 +55,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark, table(spark, sf_dir, "documents"))
 
 
+#: Stands in for a secret that a real run would take from its own store.
+SURROGATE_KEY = "spanforge"
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
@@ -65,6 +73,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_language_id": op9_language_id,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
