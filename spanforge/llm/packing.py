@@ -19,6 +19,7 @@ spans as many as it needs; an empty table gives no pieces.  Only doc_id and text
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -30,62 +31,76 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 WINDOW, END = 2048, 1
-#: Chunks between white space whose ids a worker remembers.
-MEMORY = 250_000
+#: Words whose ids a worker remembers.
+MEMORY = 400_000
 #: Lengths that are tried beside each length in combinations of three and four.
 PARTNERS = 24
 ROUNDS = 400
-#: A greedy window may stay short by that many tokens; beyond that, documents are cut.
-GAP = 8
+#: A greedy window may stay short by that many tokens, or more as long as padding in all
+#: stays under that share; beyond that, documents are cut.
+GAP, PADDING = 8, 0.002
+#: As many ids, 2 MB at most, are sent to every task to find their texts; more are joined by a shuffle.
+FEW = 100_000
 #: Rows of one length and salt, about.
 GROUP = 100_000
 
 
-class ChunkEncoder:
-    """Token ids of whole texts, remembered by chunks between white space.
+class WordEncoder:
+    """Token ids of whole texts, remembered word by word.
 
-    The tokenizer splits at white space before anything else, so a text's ids are its
-    chunks' ids in order.  Texts with rare control characters or with the name of a
-    special token in them are encoded in one go instead.
+    The tokenizer lower-cases a text and splits it into words, single digits and runs of
+    signs before anything else, so a text's ids are its words' ids in order.  A text with
+    other characters than ASCII and plain Latin letters, or with the name of a special
+    token, is encoded as a whole instead.
     """
 
-    ODD = frozenset("\x1c\x1d\x1e\x1f\x85")
+    ODD = re.compile("[^\\t-\\r\\x20-\\x7eÀ-ÖØ-öø-ſ]|<\\|")
+    WORD = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ſ]+|[0-9]|[^\\sa-z0-9ß-öø-ſ]+")
 
     def __init__(self, path: str):
-        os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}  # byte-level vocabularies write other bytes from 256 on
+        self.spelling = [chr(b) if b in plain else chr(256 + sum(x not in plain for x in range(b))) for b in range(256)]
         self.known: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, word: str) -> bytes:
+        """The ids of a word, straight from the merges: it needs no normalising and no splitting."""
+        spelt = word if word.isascii() else "".join([self.spelling[b] for b in word.encode()])
+        return np.array([t.id for t in self.merges(spelt)], "<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        if "<|" in text or not self.ODD.isdisjoint(text):
-            return self.whole(text)
-        chunks, known = text.split(), self.known
-        parts = [known.get(c) for c in chunks]
-        if None in parts:
-            new = list(dict.fromkeys(c for c, p in zip(chunks, parts, strict=True) if p is None))
-            got = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
+        if self.ODD.search(text):
+            return self.whole(text).tobytes()
+        words, known = self.WORD.findall(text.lower()), self.known
+        parts = list(map(known.get, words))
+        at = -1
+        while True:
+            try:
+                at = parts.index(None, at + 1)
+            except ValueError:
+                return b"".join(parts)
+            parts[at] = got = self.learn(words[at])
             if len(known) < MEMORY:
-                known.update(got)
-            parts = [got[c] if p is None else p for c, p in zip(chunks, parts, strict=True)]
-        return b"".join(parts)
+                known[words[at]] = got
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> WordEncoder:
     """One encoder a worker process; what it remembers serves later tasks too."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
@@ -223,6 +238,7 @@ def plan_windows(histogram: np.ndarray, window: int = WINDOW, gap: int = GAP) ->
             if times:
                 lay([(int(n), int(c)) for n, c in zip(lengths[::-1], copies[::-1], strict=True)], times)
     bad = np.zeros(window + 1, bool)
+    spare = PADDING * float((histogram * np.arange(window + 1)).sum())
     while True:
         there = np.flatnonzero((left > 0) & ~bad)
         if not len(there):
@@ -237,10 +253,13 @@ def plan_windows(histogram: np.ndarray, window: int = WINDOW, gap: int = GAP) ->
             parts.append((n, copies))
             space -= n * copies
             there = there[:fits]
+        times = int(min(left[n] // c for n, c in parts))
         if space > gap:
-            bad[top] = True
-            continue
-        lay(parts, int(min(left[n] // c for n, c in parts)))
+            if space * times > spare:
+                bad[top] = True
+                continue
+            spare -= space * times
+        lay(parts, times)
     at = 0
     for n in np.flatnonzero(left)[::-1]:
         runs.append((int(n), used[n], used[n] + left[n], first, at, 0))
@@ -276,6 +295,8 @@ def _fill_cut(cut: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     """The checksums of cut pieces, from the ids of their documents alone."""
     wanted = cut.select(F.col("doc_id").alias("wanted")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), "text")
+    if cut.count() <= FEW:
+        wanted = F.broadcast(wanted)
     texts = texts.join(wanted, texts["text_id"].eqNullSafe(wanted["wanted"]), "left_semi").dropDuplicates(["text_id", "text"])
     both = cut.join(texts, cut["doc_id"].eqNullSafe(texts["text_id"]))
 
