@@ -1,0 +1 @@
+"""Knowledge-graph and table analytics on Spark DataFrames."""
