@@ -1,15 +1,14 @@
-"""Helpers shared by the training-data operators: tables, scratch space, ids."""
+"""Helpers shared by the training-data operators: tables, splits, samples."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch
+
+__all__ = ["DOCUMENT_COLUMNS", "Scratch", "held_out", "table", "unit_hash"]
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -17,50 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one is set only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spanforge-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder, so that no lost executor can take them along.
-
-    Reading a saved table starts a new lineage.  `drop` removes tables that later
-    steps no longer read; the rest goes when the session ends.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/spanforge/{label}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.root)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._remove(f"{self.root}/{name}")
-
-    def _remove(self, path: str) -> None:
-        try:
-            sc = self.spark.sparkContext
-            where = sc._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session has ended; nothing else to do
-            pass
-
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of plans that nobody holds any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the third of the ids that models never learn from; null ids learn."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
