@@ -8,6 +8,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -19,6 +20,9 @@ def ratio(a: str | None, b: str | None) -> float:
     return 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
 
 
-@F.pandas_udf("double")
-def ratio_column(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def ratio_column(a: Column | str, b: Column | str) -> Column:
+    return F.pandas_udf(_ratios, "double")(a, b)

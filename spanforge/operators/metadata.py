@@ -42,7 +42,12 @@ def filing_vocabulary(documents: DataFrame, domains=None, min_count: int = 1, fa
     """
     rows = documents.filter(in_domains("domain", domains)) if domains else documents
     kinds = dict(rows.dtypes)
-    lists = [F.transform(F.col(f) if kinds[f].startswith("array") else F.array(F.col(f)), lambda v, f=f: F.struct(F.lit(f).alias("facet"), v.cast("string").alias("value"))) for f in facets if f in kinds]
+
+    def values(facet: str):
+        held = F.col(facet) if kinds[facet].startswith("array") else F.array(F.col(facet))
+        return F.transform(held, lambda v: F.struct(F.lit(facet).alias("facet"), v.cast("string").alias("value")))
+
+    lists = [values(f) for f in facets if f in kinds]
     each = rows.select(F.explode(F.concat(*[F.coalesce(x, F.array().cast("array<struct<facet:string,value:string>>")) for x in lists])).alias("x")).select("x.*")
     counted = each.filter("value IS NOT NULL AND value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
     return counted.filter(F.col("n") >= max(1, min_count)).orderBy("facet", F.desc("n"), "value")
@@ -162,6 +167,6 @@ def staged_inventory(staged: DataFrame, documents: DataFrame) -> DataFrame:
 
 def run_summary(questions: DataFrame) -> DataFrame:
     """(run_id, n, answered, failed, seconds, cost, turns) of benchmark runs."""
-    return questions.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if("status = 'ok'").alias("answered"), F.count_if("status = 'failed'").alias("failed"), F.sum("duration_s").alias("seconds"), F.sum("cost_usd").alias("cost"), F.sum("turns").alias("turns"))
+    return questions.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("answered"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum("duration_s").alias("seconds"), F.sum("cost_usd").alias("cost"), F.sum("turns").alias("turns"))
 
 

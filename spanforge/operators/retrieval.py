@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ def bm25(rows: DataFrame, query: str, k: int = 5, id_column: str = "id", text_co
     if not terms:
         return rows.sparkSession.createDataFrame([], f"id {dict(rows.dtypes)[id_column]}, score double")
     words = rows.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("words"))
-    counted = words.select("id", F.size("words").alias("length"), *[F.size(F.filter("words", lambda w, t=t: w == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = words.select("id", F.size("words").alias("length"), *[(F.size("words") - F.size(F.array_remove("words", t))).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     scored = counted.filter(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
     parts = []
@@ -76,8 +78,6 @@ def bm25(rows: DataFrame, query: str, k: int = 5, id_column: str = "id", text_co
 
 
 def tokens_of(query: str) -> list[str]:
-    import re
-
     return [w for w in re.split(r"[\W_]+", search_text(query).lower()) if w]
 
 
@@ -138,8 +138,6 @@ def resolve_entities(entities: DataFrame, phrase: str, embed: Callable[[str], li
 
 def backfill_embeddings(rows: DataFrame, embed: Callable[[str], list[float]], text_column: str = "text", vector_column: str = "embedding") -> DataFrame:
     """rows with null vectors filled from their text; one that fails stays null."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def filled(texts: pd.Series) -> pd.Series:
         out = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,23 +20,18 @@ def lift_header(documents: DataFrame, ingested: str, labels: dict[str, tuple[str
     A label's table row comes first, then a line `Label: value`, then frontmatter, then the date
     column; without any a document holds from its ingestion, and is marked so.
     """
-    front = frontmatter_map(F.col("text"))
+    front = F.when(F.col("text").startswith("---"), frontmatter_map(F.col("text")))
 
     def found(kind: str) -> Column:
         names = labels.get(kind, ())
         return F.coalesce(*[header_value(F.col("text"), n) for n in names], *[front[n.lower().replace(" ", "_")] for n in names], F.lit(None).cast("string"))
 
-    given = [iso_date(found("valid_from"))]
+    raw = documents.withColumns({"_from": found("valid_from"), "_to": found("valid_to"), "version_label": found("version")})
+    given = [iso_date(F.col("_from"))]
     if date_column and date_column in documents.columns:
         given.append(iso_date(F.col(date_column).cast("string")))
-    start = F.coalesce(*given)
-    return documents.withColumns({
-        "valid_from": F.coalesce(start, F.lit(ingested)),
-        "valid_to": iso_date(found("valid_to")),
-        "version_label": found("version"),
-        "version_number": leading_number(found("version")),
-        "valid_from_inferred": start.isNull(),
-    })
+    dated = raw.withColumns({"_start": F.coalesce(*given), "valid_to": iso_date(F.col("_to")), "version_number": leading_number(F.col("version_label"))})
+    return dated.withColumns({"valid_from": F.coalesce("_start", F.lit(ingested)), "valid_from_inferred": F.col("_start").isNull()}).drop("_from", "_to", "_start")
 
 
 def inherit(parent: dict, child: dict) -> dict:
@@ -110,8 +106,6 @@ def parse_notice(text: str | None) -> dict | None:
 
 def notices(documents: DataFrame) -> DataFrame:
     """(id, kind, target, effective) of the documents that say what they supersede."""
-    import pandas as pd
-
     @F.pandas_udf("struct<kind:string,target:string,effective:string>")
     def parsed(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_notice(t) or {"kind": None, "target": None, "effective": None} for t in texts], columns=["kind", "target", "effective"])

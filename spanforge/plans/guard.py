@@ -83,10 +83,30 @@ def to_spark(sql: str) -> str:
 
     text = _outside_quotes(sql.strip().rstrip(";"), change)
     text = re.sub(r"(?i)\bstring_split\s*\(\s*([\w.]+)\s*,\s*'((?:[^']|'')*)'\s*\)", lambda m: f"split({m[1]}, '{re.escape(m[2]) if m[2] else ''}')".replace("\\", "\\\\"), text)
-    q = re.search(r"(?is)^select\s+(.*?)\s+(from\s.*?)\s+qualify\s+(.*?)(\s+order\s+by\s.*|\s+limit\s.*)?$", text)
-    if q:
-        text = f"SELECT * EXCEPT (_qualified) FROM (SELECT {q[1]}, ({q[3]}) AS _qualified {q[2]}) WHERE _qualified{q[4] or ''}"
-    return text
+    at = _outermost(text, "qualify")
+    start = _outermost(text, "from")
+    if at is None or start is None or not re.match(r"(?i)select\b", text):
+        return text
+    ends = [x for x in (_outermost(text, "order by", at), _outermost(text, "limit", at)) if x is not None]
+    end = min(ends, default=len(text))
+    chosen, source, test = text[len("select") : start], text[start:at], text[at + len("qualify") : end]
+    return f"SELECT * EXCEPT (_qualified) FROM (SELECT {chosen.strip()}, ({test.strip()}) AS _qualified {source.strip()}) WHERE _qualified {text[end:]}".strip()
+
+
+def _outermost(sql: str, word: str, start: int = 0) -> int | None:
+    """Where a word stands outside of brackets and quotes; None if it doesn't."""
+    depth, quote = 0, ""
+    pattern = re.compile(rf"(?i)\b{word.replace(' ', chr(92) + 's+')}\b")
+    for i, c in enumerate(sql):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif depth == 0 and i >= start and pattern.match(sql, i) and (i == 0 or not (sql[i - 1].isalnum() or sql[i - 1] == "_")):
+            return i
+    return None
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, how: str = "left") -> DataFrame:

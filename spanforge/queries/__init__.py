@@ -1,0 +1,3 @@
+"""All registered queries of the library; importing a module registers its own."""
+
+from . import graph, history, retrieval, tables  # noqa: F401
