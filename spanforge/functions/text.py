@@ -105,7 +105,7 @@ def html_text(c: Column) -> Column:
     for name, sign in ENTITIES:
         t = F.replace(t, F.lit(name), F.lit(sign))
     t = F.regexp_replace(t, r"[ \t\x0B\f\r]+", " ")
-    return F.trim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")
 
 
 def repair_json(raw: str) -> object | None:
