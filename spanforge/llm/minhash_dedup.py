@@ -327,3 +327,19 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         rest = [c for c in docs.columns if c != "doc_id"]
         kept = kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*").select(*docs.columns)
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def oracle_sql(size: int, percent: int = 80) -> str:
+    """DuckDB SQL for near_duplicates over documents with ids: every pair that shares a shingle, then all that is reached."""
+    shingle = " || ' ' || ".join(f"ws[i + {j}]" if j else "ws[i]" for j in range(size))
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {size} THEN list_transform(range(1, len(ws) - {size - 2}), lambda i: {shingle})
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= {percent} * (nx.n + ny.n - c)),
+r AS (SELECT x AS doc_id, x AS reached FROM link UNION SELECT r.doc_id, y FROM r JOIN link ON x = r.reached),
+k AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(k.component_id, d.doc_id) AS component_id,
+  coalesce(k.component_id, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""

@@ -79,4 +79,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_scan.oracle_sql(),
     "op3_quality_rules": quality_rules.oracle_sql(),
+    "op8_minhash_dedup": minhash_dedup.oracle_sql(2),
 }
