@@ -157,9 +157,10 @@ def learn_languages(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE,
     sample = known.filter(unit_hash(F.col("doc_id"), "language") < share[F.col("lang")]).select("text", "lang")
     grams = sample.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    kept = grams.withColumn("rank", rank).filter(F.col("rank") <= grams_per_language).select("lang", "gram").toPandas()
-    by = {k: part["gram"].to_numpy() for k, part in kept.groupby("lang")}
-    return LanguageFilter.build({k: by.get(k, np.zeros(0, np.int64)) for k in sizes})
+    kept = grams.withColumn("rank", rank).filter(F.col("rank") <= grams_per_language).select("lang", "gram").toArrow()
+    lang, gram = np.array(kept["lang"].to_pylist(), dtype=object), kept["gram"].to_numpy()
+    by = {k: gram[lang == k] for k in sizes}
+    return LanguageFilter.build(by)
 
 
 def predict_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:

@@ -26,8 +26,6 @@ Only doc_id and text are read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +89,11 @@ def kind(e: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """body over a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class Surrogates:
     """Expressions that replace entities; all of them depend on the key and the entity alone."""
 
@@ -101,89 +104,103 @@ class Surrogates:
         """64 hexadecimal digits."""
         return F.sha2(F.concat_ws("\x1f", F.lit(self.key), *parts), 256)
 
-    def number(self, digest: Column, start: int) -> Column:
-        return F.conv(F.substring(digest, start, 12), 16, 10).cast("long")
+    def number(self, digest: Column, start, size: int = 12) -> Column:
+        return F.conv(F.substring(digest, start, size), 16, 10).cast("long")
 
     def attempt(self, e: Column) -> Column:
         named = F.lit("0")
         if self.attempts:
             pairs = F.create_map(*[F.lit(x) for k, n in sorted(self.attempts.items()) for x in (k, str(n))])
-            named = F.coalesce(F.get(F.array(pairs), F.lit(0))[F.lower(e)], named)
+            named = F.coalesce(pairs[F.lower(e)], named)
         return named
 
     def permuted(self, digits: Column, tweak: str) -> Column:
-        """A keyed permutation of the digit strings of one length, at least 2 and at most 36."""
-        n = F.length(digits)
-        a = F.floor(n / 2).cast("int")
-        left, right, size = F.substring(digits, F.lit(1), a), F.substring(digits, a + 1, n - a), (a, n - a)
-        for r in range(ROUNDS):
-            mine, other, s = (left, right, size[0]) if r % 2 == 0 else (right, left, size[1])
-            add = self.number(self.digest(F.lit(tweak), F.lit(str(r)), n.cast("string"), other), 1)
-            new = F.lpad(F.pmod(mine.cast("decimal(20,0)") + add, F.pow(F.lit(10.0), s).cast("decimal(20,0)")).cast("string"), s, F.lit("0"))
-            left, right = (new, right) if r % 2 == 0 else (left, new)
-        return F.concat(left, right)
+        """A keyed permutation of the digit strings of one length, 2 or more."""
+
+        def step(state: Column, r: Column) -> Column:
+            # halves a and b; each round adds a keyed number of the one to the other, then they change places
+            a, b = state["a"], state["b"]
+            size = F.length(a)
+            add = self.number(self.digest(F.lit(tweak), r.cast("string"), F.length(digits).cast("string"), b), 1)
+            new = F.pmod(a.cast("decimal(20,0)") + add, F.pow(F.lit(10.0), size).cast("decimal(20,0)")).cast("string")
+            return F.struct(b.alias("a"), F.lpad(new, size, F.lit("0")).alias("b"))
+
+        half = F.floor(F.length(digits) / 2).cast("int")
+        first = F.struct(F.substring(digits, F.lit(1), half).alias("a"), F.substring(digits, half + 1, F.length(digits)).alias("b"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, step, lambda s: F.concat(s["a"], s["b"]))
 
     def refilled(self, e: Column, tweak: str) -> Column:
         """The entity with its digits permuted and everything else as it was."""
-        digits = F.regexp_replace(e, "[^0-9]", "")
-        made = self.permuted(digits, tweak)
         place = lambda i: F.length(F.regexp_replace(F.substring(e, F.lit(1), i + 1), "[^0-9]", ""))
-        return F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(made, place(i), F.lit(1))).otherwise(c)), "")
+        refill = lambda made: F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(made, place(i), F.lit(1))).otherwise(c)), "")
+        return let(F.regexp_replace(e, "[^0-9]", ""), lambda digits: let(self.permuted(digits, tweak), refill))
 
     def ip(self, e: Column) -> Column:
-        octet = lambda i: F.get(F.split(e, r"\."), F.lit(i)).cast("int")
-        left, right = octet(0) * 256 + octet(1), octet(2) * 256 + octet(3)
-        for r in range(ROUNDS):
-            other = right if r % 2 == 0 else left
-            mixed = self.number(self.digest(F.lit("ip"), F.lit(str(r)), other.cast("string")), 1).bitwiseAND(0xFFFF).cast("int")
-            left, right = (left.bitwiseXOR(mixed), right) if r % 2 == 0 else (left, right.bitwiseXOR(mixed))
-        return F.concat_ws(".", *[x.cast("string") for h in (left, right) for x in (F.shiftright(h, 8), h.bitwiseAND(255))])
+        def step(state: Column, r: Column) -> Column:
+            mixed = self.number(self.digest(F.lit("ip"), r.cast("string"), state["b"].cast("string")), 1).bitwiseAND(0xFFFF).cast("int")
+            return F.struct(state["b"].alias("a"), state["a"].bitwiseXOR(mixed).alias("b"))
+
+        def made(o: Column) -> Column:
+            first = F.struct((o[0] * 256 + o[1]).alias("a"), (o[2] * 256 + o[3]).alias("b"))
+            octets = lambda h: (F.shiftright(h, 8), h.bitwiseAND(255))
+            return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, step, lambda s: F.concat_ws(".", *[x.cast("string") for h in (s["a"], s["b"]) for x in octets(h)]))
+
+        return let(F.transform(F.split(e, r"\."), lambda x: x.cast("int")), made)
 
     def secret(self, e: Column) -> Column:
-        n = F.length(e)
-        many = F.transform(F.sequence(F.lit(1), F.ceil(n / 64).cast("int")), lambda i: self.digest(F.lit("secret"), F.lower(e), i.cast("string"), self.attempt(e)))
-        made = F.substring(F.array_join(many, ""), F.lit(1), n)
+        many = F.transform(F.sequence(F.lit(1), F.ceil(F.length(e) / 64).cast("int")), lambda i: self.digest(F.lit("secret"), F.lower(e), i.cast("string"), self.attempt(e)))
+        made = F.substring(F.array_join(many, ""), F.lit(1), F.length(e))
         return F.when(e == F.upper(e), F.upper(made)).otherwise(made)
 
     def iban(self, e: Column) -> Column:
-        d = self.digest(F.lit("iban"), e, self.attempt(e))
-        made = F.array_join(F.transform(F.split(F.substring(e, F.lit(3), F.length(e)), ""), lambda c, i: F.when(c.rlike("[0-9]"), F.pmod(F.conv(F.substring(d, 1 + i, F.lit(2)), 16, 10).cast("int"), F.lit(10)).cast("string")).otherwise(F.char(65 + F.pmod(F.conv(F.substring(d, 1 + i, F.lit(2)), 16, 10).cast("int"), F.lit(26))))), "")
-        return F.concat(F.substring(e, F.lit(1), F.lit(2)), made)
+        def made(d: Column) -> Column:
+            sign = lambda c, i: let(self.number(d, 1 + i, 2), lambda n: F.when(c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string")).otherwise(F.char(65 + F.pmod(n, F.lit(26)))))
+            return F.concat(F.substring(e, F.lit(1), F.lit(2)), F.array_join(F.transform(F.split(F.substring(e, F.lit(3), F.length(e)), ""), sign), ""))
+
+        return let(self.digest(F.lit("iban"), e, self.attempt(e)), made)
 
     def email(self, e: Column) -> Column:
-        d = self.digest(F.lit("email"), F.lower(e), self.attempt(e))
-        letters = F.concat(*[F.char(97 + F.pmod(F.conv(F.substring(d, 1 + 3 * i, 3), 16, 10).cast("int"), F.lit(26))) for i in range(min(self.width, 18))])
-        host = F.pmod(self.number(d, 53), F.lit(1000)).cast("string")
-        made = F.concat(letters, F.lit("@host"), host, F.lit(".example.org"))
-        return F.when((e == F.upper(e)) & e.rlike("[A-Z]"), F.upper(made)).otherwise(made)
+        def made(d: Column) -> Column:
+            letters = F.transform(F.sequence(F.lit(0), F.lit(min(self.width, 18) - 1)), lambda i: F.char(97 + F.pmod(self.number(d, 1 + 3 * i, 3), F.lit(26))))
+            address = F.concat(F.array_join(letters, ""), F.lit("@host"), F.pmod(self.number(d, 55, 6), F.lit(1000)).cast("string"), F.lit(".example.org"))
+            return F.when((e == F.upper(e)) & e.rlike("[A-Z]"), F.upper(address)).otherwise(address)
+
+        return let(self.digest(F.lit("email"), F.lower(e), self.attempt(e)), made)
 
     def person(self, e: Column) -> Column:
         title = F.regexp_extract(e, rf"^(?:{_TITLES})\.?", 0)
-        name = F.substring(e, F.length(title) + 2, F.length(e))
-        bare = F.regexp_replace(title, r"\.", "")
-        gender = F.when(bare.isin(*ADDRESS["m"]), "m").when(bare.isin(*ADDRESS["f"]), "f").otherwise("n")
-        script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-        d = self.digest(F.lit("person"), F.lower(name), self.attempt(e))
-        pick = lambda options, at: F.get(F.array(*map(F.lit, options)), F.pmod(F.conv(F.substring(d, at, 3), 16, 10).cast("int"), F.lit(len(options))))
-        given = reduce(lambda c, k: c.when((script == k[0]) & (gender == k[1]), pick(GIVEN[k], 1)), GIVEN, F.when(F.lit(False), ""))
-        family = reduce(lambda c, k: c.when(script == k, F.concat(*[pick(SYLLABLES[k], 4 + 3 * i) for i in range(min(self.width, 18) // 2)])), SYLLABLES, F.when(F.lit(False), ""))
-        family = F.concat(F.upper(F.substring(family, 1, 1)), F.substring(family, F.lit(2), F.length(family)))
-        return F.concat_ws(" ", title, F.when(name.contains(" "), F.concat_ws(" ", given, family)).otherwise(family))
+        names = F.create_map(*[x for k, v in GIVEN.items() for x in (F.lit("-".join(k)), F.array(*map(F.lit, v)))])
+        syllables = F.create_map(*[x for k, v in SYLLABLES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+
+        def made(x: Column) -> Column:
+            d, script, name = x["d"], x["script"], x["name"]
+            pick = lambda options, at: F.get(options, F.pmod(self.number(d, at, 3), F.size(options)).cast("int"))
+            family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(min(self.width, 18) // 2 - 1)), lambda i: pick(syllables[script], 4 + 3 * i)), ""))
+            given = pick(names[F.concat_ws("-", script, x["gender"])], 1)
+            return F.concat_ws(" ", x["title"], F.when(name.contains(" "), F.concat_ws(" ", given, family)).otherwise(family))
+
+        def told(x: Column) -> Column:
+            bare, name = F.regexp_replace(x["title"], r"\.", ""), x["name"]
+            gender = F.when(bare.isin(*ADDRESS["m"]), "m").when(bare.isin(*ADDRESS["f"]), "f").otherwise("n")
+            script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+            return let(F.struct(x["title"].alias("title"), name.alias("name"), gender.alias("gender"), script.alias("script"), self.digest(F.lit("person"), F.lower(name), self.attempt(e)).alias("d")), made)
+
+        return let(title, lambda t: let(F.struct(t.alias("title"), F.substring(e, F.length(t) + 2, F.length(e)).alias("name")), told))
 
     def phone(self, e: Column) -> Column:
         code = F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-        return F.concat(code, self.refilled(F.substring(e, F.length(code) + 1, F.length(e)), "phone"))
+        return let(code, lambda c: F.concat(c, let(F.substring(e, F.length(c) + 1, F.length(e)), lambda rest: self.refilled(rest, "phone"))))
 
     def replace(self, e: Column) -> Column:
-        k = kind(e)
-        return (
-            F.when(k == "email", self.email(e))
+        return let(
+            kind(e),
+            lambda k: F.when(k == "email", self.email(e))
             .when(k == "ip", self.ip(e))
             .when(k == "secret", self.secret(e))
             .when(k == "iban", self.iban(e))
             .when(k == "phone", self.phone(e))
             .when(k == "person", self.person(e))
-            .otherwise(self.refilled(e, "card"))
+            .otherwise(self.refilled(e, "card")),
         )
 
 

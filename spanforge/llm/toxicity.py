@@ -33,7 +33,7 @@ WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (5, 6, 7)
 DIM_BITS = 18
 #: Bounds of the sample that is learned from: confirmed toxic texts, and unlabelled ones.
-POSITIVES, UNLABELLED = 2500, 7500
+POSITIVES, UNLABELLED = 2000, 6000
 FOLDS, STEPS, RATE, DECAY, DEFAULT_PRIOR = 3, 200, 0.1, 1e-4, 0.1
 #: Least likelihood ratio, and least number of toxic texts, of a feature that gets a weight.
 LEAST_RATIO, LEAST_TEXTS = 14.0, 3
@@ -90,23 +90,29 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def telling(p: _Rows, u: _Rows, dim: int) -> np.ndarray:
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], dim: int) -> np.ndarray:
     """The features that clearly more of the positives have, by the G statistic of the two rates."""
-    texts = lambda r: np.bincount(np.unique(r.of * dim + r.index) % dim, minlength=dim).astype(float)
-    a, b = texts(p), texts(u)
-    both = (a + b) / (p.n + u.n)
+
+    def texts(rows: list[np.ndarray]) -> np.ndarray:
+        n = np.zeros(dim)
+        for r in rows:
+            n[np.unique(r)] += 1
+        return n
+
+    a, b, na, nb = texts(positive), texts(unlabelled), len(positive), len(unlabelled)
+    both = (a + b) / (na + nb)
 
     def part(k: np.ndarray, n: int) -> np.ndarray:
         return k * np.log(np.maximum(k, 1e-12) / np.maximum(n * both, 1e-12)) + (n - k) * np.log(np.maximum(n - k, 1e-12) / np.maximum(n * (1 - both), 1e-12))
 
-    ratio = 2 * (part(a, p.n) + part(b, u.n))
-    return np.flatnonzero((ratio >= LEAST_RATIO) & (a >= LEAST_TEXTS) & (a / p.n > 2 * b / u.n))
+    ratio = 2 * (part(a, na) + part(b, nb))
+    return np.flatnonzero((ratio >= LEAST_RATIO) & (a >= LEAST_TEXTS) & (a / na > 2 * b / nb))
 
 
 def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """A linear classifier of least non-negative PU risk, by full-batch Adam on the logistic loss."""
     dim = 1 << DIM_BITS
-    kept = telling(_Rows(positive), _Rows(unlabelled), dim)
+    kept = telling(positive, unlabelled, dim)
     to = np.full(dim, -1, np.int64)
     to[kept] = np.arange(len(kept))
     narrow = lambda x: [(lambda r: r[r >= 0])(to[r]) for r in x]
@@ -156,7 +162,8 @@ def fit(sample: list[tuple[bool, np.ndarray]], prior: float) -> ToxicityModel:
         rest = lambda x: [r for i, r in enumerate(x) if i % FOLDS != k]  # noqa: B023, E731
         w, b = train_nnpu(rest(pos), rest(unl), prior)
         models.append((w, b))
-        zp[k::FOLDS], zu[k::FOLDS] = _Rows(pos[k::FOLDS]).margins(w, b), _Rows(unl[k::FOLDS]).margins(w, b)
+        margin = lambda x: np.array([w[r].sum() + b for r in x])  # noqa: B023, E731
+        zp[k::FOLDS], zu[k::FOLDS] = margin(pos[k::FOLDS]), margin(unl[k::FOLDS])
     cut = _cut(zp, zu, prior)
     spread = max(1e-6, float(np.median(zp[zp >= cut]) - cut) if (zp >= cut).any() else 1.0)
     return ToxicityModel(np.mean([w for w, _ in models], 0).astype(np.float32), float(np.mean([b for _, b in models])), cut, 2.0 / spread)
