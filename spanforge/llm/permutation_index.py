@@ -44,7 +44,7 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 def choose_pivots(rows: DataFrame, pivots: int) -> np.ndarray:
     """At most `pivots` distinct vectors, the first ones by a hash of their values."""
     picked = rows.groupBy(F.xxhash64("vector").alias("h")).agg(F.min_by("vector", "id").alias("vector")).orderBy("h").limit(pivots).collect()
-    return np.array([r["vector"] for r in picked], np.float64).reshape(len(picked), -1)
+    return np.array([r["vector"] for r in picked], np.float64) if picked else np.zeros((0, 0))
 
 
 def places(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -73,6 +73,8 @@ HEX32 = r"[0-9a-fA-F]{32}"
 ROUNDS = 4
 #: Entities that a plan may name to give them another attempt.
 MOST_NAMED = 500
+#: Rounds of new attempts before all surrogates get longer.
+MOST_ROUNDS = 3
 
 
 def kind(e: Column) -> Column:
@@ -219,20 +221,22 @@ def settle(docs: DataFrame, key: str, width: int = 10) -> Surrogates:
     plain = F.when(kind(F.col("e")) == "person", F.col("e")).otherwise(F.lower("e"))
     distinct = found.groupBy(F.col("e")).agg(F.lit(1).alias("one")).select("e", plain.alias("entity"))
     attempts: dict[str, int] = {}
+    rounds = 0
     while True:
+        rounds += 1
         made = Surrogates(key, width, attempts)
-        named = distinct.select(F.lower(F.regexp_replace("entity", rf"^(?:{_TITLES})\.? ", "")).alias("entity"), F.lower("e").alias("e"), F.lower(F.regexp_replace(made.replace(F.col("e")), rf"^(?:{_TITLES})\.? ", "")).alias("surrogate")).distinct()
+        named = distinct.select(F.lower(F.regexp_replace("entity", rf"^(?:{_TITLES})\.? ", "")).alias("entity"), F.lower("e").alias("low"), F.lower(F.regexp_replace(made.replace(F.col("e")), rf"^(?:{_TITLES})\.? ", "")).alias("surrogate")).distinct()
         clash = named.groupBy("surrogate").agg(F.min("entity").alias("first"), F.max("entity").alias("last")).filter("first < last")
-        again = named.join(clash, "surrogate").filter("entity <> first").select("e").distinct().limit(MOST_NAMED + 1).collect()
+        again = named.join(clash, "surrogate").filter("entity <> first").select("low").distinct().limit(MOST_NAMED + 1).collect()
         if not again:
             return made
-        if len(again) + len(attempts) > MOST_NAMED:
-            width, attempts = width + 4, {}
+        if len(again) + len(attempts) > MOST_NAMED or rounds > MOST_ROUNDS:
+            width, attempts, rounds = width + 4, {}, 0
             if width > 18:
                 raise ValueError("surrogates of the greatest length still collide")
             continue
         for r in again:
-            attempts[r["e"]] = attempts.get(r["e"], 0) + 1
+            attempts[r["low"]] = attempts.get(r["low"], 0) + 1
 
 
 def _replaced(text: Column, found: Column, made: Surrogates) -> Column:

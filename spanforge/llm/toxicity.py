@@ -38,6 +38,8 @@ FOLDS, STEPS, RATE, DECAY, DEFAULT_PRIOR = 3, 200, 0.1, 1e-4, 0.1
 #: Least likelihood ratio, and least number of toxic texts, of a feature that gets a weight.
 LEAST_RATIO, LEAST_TEXTS = 14.0, 3
 THRESHOLD = 0.7
+#: Least precision, as the class prior tells it, of a cut.
+LEAST_PRECISION = 0.5
 #: Words whose weight a worker remembers.
 MEMORY = 300_000
 
@@ -137,18 +139,24 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
 
 
 def _cut(p: np.ndarray, u: np.ndarray, prior: float) -> float:
-    """The margin of the best F1 as positives and unlabelled texts tell it."""
-    best, at = -1.0, float(np.median(p))
+    """The margin of the best F1 as positives and unlabelled texts tell it.
+
+    Where nothing flags more toxic texts than others, the cut lies above all margins, so
+    that clean texts stay.
+    """
+    best, at = -1.0, None
     up, uu = np.sort(p), np.sort(u)
     for c in np.unique(np.concatenate([p, u])):
         recall = 1 - np.searchsorted(up, c) / len(up)
         flagged = 1 - np.searchsorted(uu, c) / len(uu)
         precision = min(1.0, prior * recall / max(flagged, 1e-9))
         f1 = 2 * precision * recall / max(precision + recall, 1e-9)
-        if f1 > best:
+        if precision >= LEAST_PRECISION and recall > 0 and f1 > best:
             best, at = f1, float(c)
-    below = uu[uu < at]
-    return (at + float(below[-1])) / 2 if len(below) else at
+    below = uu[uu < at] if at is not None else []
+    if not len(below):
+        return float(max(up[-1], uu[-1])) + 1.0
+    return (at + float(below[-1])) / 2
 
 
 def fit(sample: list[tuple[bool, np.ndarray]], prior: float) -> ToxicityModel:

@@ -1,0 +1,255 @@
+"""Operators on texts against plain readings: licences, quality, languages, toxicity, surrogates."""
+
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from spanforge.llm import language_id, license_scan, pii, quality_rules, queries, toxicity
+from tests.conftest import DATA
+
+EDGES = [
+    (1, None),
+    (2, ""),
+    (3, " \t\n\x0b "),
+    (4, "word"),
+    (5, "word word word word word"),
+    (5, "word word word word word"),
+    (None, "no id here CC BY"),
+    (7, "All rights reserved. all  RIGHTS\nreserved; É ALL RIGHTS RESERVED"),
+    (8, "x y z " * 30000),
+    (9, "1234 5678 !!! ### 漢字 \U0001f600"),
+]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    """Odd rows, with columns whose names clash with what operators make."""
+    return spark.createDataFrame(EDGES, "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "score": F.lit("x"), "n_words": F.lit(1), "w": F.lit(2), "found": F.lit(3), "key": F.lit(4), "held_out": F.lit(5)})
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet(f"{DATA}/labels.parquet")
+
+
+def nothing(df):
+    return df.limit(0)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_against_sql(name, spark, same):
+    same(queries.QUERIES[name](spark, DATA), queries.ORACLE_SQL[name])
+
+
+# licences
+
+
+def test_licence_edges(edges):
+    got = {r["doc_id"]: r for r in license_scan.license_digest(license_scan.license_scan(edges)).collect()}
+    assert got[1]["n_words"] == got[2]["n_words"] == 0 and got[1]["first_word"] is None and got[1]["labels"] == ""
+    assert (got[None]["n_base"], got[None]["base_labels"]) == (1, "cc-by")
+    assert (got[7]["n_base"], got[7]["first_word"], got[7]["last_word"], got[7]["score"]) == (3, 0, 7, 1.0)
+    assert got[8]["n_words"] == 90000
+    assert license_scan.license_scan(nothing(edges)).collect() == []
+
+
+def test_filters_lose_no_block():
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(14)]
+    templates = [(f"t{i}", " ".join(rng.sample(vocabulary, rng.randint(1, 9)))) for i in range(25)]
+    frequency = {w.encode(): rng.randint(0, 5) for w in vocabulary}
+    for threshold in (0.5, 0.8, 1.0):
+        index = license_scan.TemplateIndex(templates, frequency, threshold)
+        for _ in range(400):
+            block = {w.encode() for w in rng.sample([*vocabulary, "z1", "z2"], rng.randint(0, 12))}
+            want = [(i, len(t.words & block) / len(t.words)) for i, t in enumerate(index.templates) if len(t.words & block) >= threshold * len(t.words) - 1e-9]
+            assert index.match(block) == want
+
+
+# quality
+
+
+def plain_quality(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_edges(edges):
+    got = [tuple(r) for r in quality_rules.verdicts(quality_rules.ledger(edges)).collect()]
+    assert sorted(((r[0], *r[1:6]) for r in got), key=str) == sorted(((i, *plain_quality(t)) for i, t in EDGES), key=str)
+    assert nothing(quality_rules.ledger(edges)).collect() == []
+
+
+def test_ablation_is_what_leaving_a_rule_out_gives(docs):
+    entries = quality_rules.ledger(docs).collect()
+    m = quality_rules.POLICIES["2024.1"]
+    for r in quality_rules.ablation(quality_rules.ledger(docs)).collect():
+        bit = quality_rules.mask(r["rule"])
+        assert r["failed"] == sum(e["failed"] & bit != 0 for e in entries)
+        assert r["kept_without"] == sum(e["failed"] & (m & ~bit) == 0 for e in entries)
+
+
+def test_quality_runs_no_python(docs):
+    plan = quality_rules.verdicts(quality_rules.ledger(docs))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# languages
+
+
+def test_languages_of_held_out_texts(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.identify(spark, d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out")
+    assert got.filter("lang = lang_pred").count() >= 0.98 * got.count()
+    assert got.filter("score < 0 OR score > 1").isEmpty()
+
+
+def test_language_edges(spark, docs, edges):
+    model = language_id.learn_languages(docs)
+    got = {r["doc_id"]: r for r in language_id.predict_languages(edges, model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and got[9]["lang_pred"] != "und"
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got.values())
+    assert {r["lang_pred"] for r in language_id.identify(spark, edges).collect()} == {"und"}
+    assert language_id.identify(spark, nothing(docs)).collect() == []
+    assert language_id.keep_identified(edges, model).columns == edges.columns
+
+
+def test_bloom_filters_have_what_was_put_in():
+    import numpy as np
+
+    grams = {"a": np.arange(1000), "b": np.arange(500, 1500)}
+    f = language_id.LanguageFilter.build(grams, 14)
+    for i, name in enumerate(f.languages):
+        mask = f.slots[language_id._slots(grams[name].astype(np.uint32), 14)[0]]
+        for at in language_id._slots(grams[name].astype(np.uint32), 14)[1:]:
+            mask = mask & f.slots[at]
+        assert ((mask >> i) & 1).all()
+    assert (f.chance() < 0.05).all()
+
+
+# toxicity
+
+
+def test_toxicity_of_held_out_texts(spark):
+    d, lab = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = toxicity.score_toxicity(d, toxicity.learn_toxicity(d, lab)).join(lab, "doc_id").filter("held_out")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.85 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) <= 0.02 * n[0, 0]
+    assert got.filter("(score >= 0.7) <> (predicted = 1)").isEmpty()
+
+
+def test_toxicity_edges(spark, docs, labels, edges):
+    model = toxicity.learn_toxicity(docs, labels)
+    assert len(toxicity.score_toxicity(edges, model).collect()) == len(EDGES)
+    none = toxicity.learn_toxicity(docs, labels.withColumn("toxic", F.lit(None).cast("int")))
+    assert {r["score"] for r in toxicity.score_toxicity(edges, none).collect()} == {0.0}
+    assert toxicity.drop_toxic(edges, none).count() == len(EDGES)
+    assert toxicity.score_toxicity(nothing(docs), toxicity.learn_toxicity(nothing(docs), labels)).collect() == []
+
+
+def test_held_out_labels_are_not_learned_from(spark, docs, labels):
+    flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (sorted(map(tuple, toxicity.score_toxicity(docs, toxicity.learn_toxicity(docs, x)).collect())) for x in (labels, flipped))
+    assert a == b
+
+
+def test_the_risk_never_goes_below_nothing():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    pos = [np.array([1, 2, *rng.integers(10, 60, 5)], np.int32) for _ in range(60)]
+    unl = [np.array(rng.integers(10, 60, 6), np.int32) for _ in range(180)] + [np.array([1, 2], np.int32) for _ in range(20)]
+    w, b = toxicity.train_nnpu(pos, unl, 0.1)
+    assert np.isfinite(w).all() and w[1] > 0 and w[2] > 0 and not w[10:60].any()
+
+
+# surrogates
+
+
+def feistel(digits, key, tweak):
+    import hashlib
+
+    a, b = digits[: len(digits) // 2], digits[len(digits) // 2 :]
+    for r in range(1, 5):
+        d = hashlib.sha256("\x1f".join([key, tweak, str(r), str(len(digits)), b]).encode()).hexdigest()
+        a, b = b, str((int(a) + int(d[:12], 16)) % 10 ** len(a)).zfill(len(a))
+    return a + b
+
+
+def test_digits_are_permuted(spark):
+    d = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    got = {r["d"]: r["p"] for r in d.select("d", pii.Surrogates("k").permuted(F.col("d"), "t").alias("p")).collect()}
+    assert sorted(got.values()) == sorted(got) and got == {x: feistel(x, "k", "t") for x in got}
+
+
+def test_surrogates_keep_type_format_and_identity(spark):
+    texts = [
+        (1, "Mail of.55@mail9.example.com, OF.55@MAIL9.EXAMPLE.COM; call +1 (017) 555-7713."),
+        (2, "again of.55@mail9.example.com from 152.143.123.131### or 7536784127813050 4845168114407329"),
+        (3, 'Mr. John Smith and Mrs. Jane Smith; Mr. John Smith. госпожа Анна Петрова. token = "24BE64439E3E49CF46B2D7C90F3602A3D0B907FF"'),
+        (4, "no data: 4.0, 2.0. 2024-01-15, Version 3. x@y"),
+        (5, None),
+        (6, ""),
+    ]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.digest(pii.replace_entities(d, "k")).collect()}
+    new = {i: r["text"] for i, r in got.items()}
+    assert new[4] == texts[3][1] and new[5] is None and new[6] == ""
+    mails = re.findall(r"[a-z]+@host\d+\.example\.org", new[1] + " " + new[2])
+    assert len(set(mails)) == 1 and len(mails) == 2 and mails[0].upper() in new[1]
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}\.", new[1]) and "555-7713" not in new[1]
+    assert re.fullmatch(r"again \S+ from \d+\.\d+\.\d+\.\d+### or \d{16} \d{16}", new[2])
+    men = re.findall(r"Mr\. (\w+ \w+)", new[3])
+    assert len(set(men)) == 1 and men[0].split()[0] in pii.GIVEN["latin", "m"]
+    assert re.search(r"Mrs\. (\w+)", new[3])[1] in pii.GIVEN["latin", "f"]
+    assert re.search(r"госпожа (\w+) (\w+)", new[3])[1] in pii.GIVEN["cyrillic", "f"]
+    assert re.search(r'"[0-9A-F]{40}"', new[3]) and "24BE64" not in new[3]
+    assert got[3]["n_person"] == 4 and got[3]["n_secret"] == 1 and got[1]["n_email"] == 2
+
+
+def test_texts_are_rebuilt_around_their_entities(docs):
+    got = {r["doc_id"]: r for r in pii.replace_entities(docs, "k").collect()}
+    changed = 0
+    for r in docs.collect():
+        old, new = r["text"], got[r["doc_id"]]["text"]
+        n = len(got[r["doc_id"]]["found"])
+        assert (old == new) == (n == 0)
+        changed += n > 0
+        for p in (r"[\w.+-]+@[\w.-]+\.\w+", r"\(\d{3}\) \d{3}-\d{4}", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)", r"(?<!\d)\d{16}(?!\d)", r"[0-9a-fA-F]{40}"):
+            assert not set(re.findall(p, old)) & set(re.findall(p, new))
+    assert changed > 3
+
+
+def test_collisions_are_told_apart(spark):
+    d = spark.createDataFrame([(i, f"Mr. {chr(65 + i % 26)}{'abcdefgh'[i // 26]}x and a{i}@b.example.com") for i in range(180)], "doc_id long, text string")
+    made = pii.settle(d, "k", width=2)
+    assert made.attempts or made.width > 2
+    for r in (d, d.repartition(3)):
+        e = r.select(F.explode(pii.entities(F.col("text"))).alias("e")).select("e", made.replace(F.col("e")).alias("s"))
+        pairs = set(map(tuple, e.collect()))
+        assert len(pairs) == len({s for _, s in pairs}) == len({x for x, _ in pairs})
+
+
+def test_surrogates_run_no_python(docs):
+    plan = pii.digest(pii.replace_entities(docs, "k"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_surrogate_edges(edges):
+    got = pii.digest(pii.replace_entities(edges.select("doc_id", "text"), "k")).collect()
+    assert sorted((r["text"] or "" for r in got)) == sorted(t or "" for _, t in EDGES)
+    assert pii.replace_entities(nothing(edges), "k").collect() == []
