@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,3 +124,13 @@ def repair_json(raw: str) -> object | None:
             except ValueError:
                 pass
     return None
+
+
+def _repaired(raw: pd.Series) -> pd.Series:
+    found = [repair_json(x) for x in raw]
+    return pd.Series([None if x is None else json.dumps(x, sort_keys=True) for x in found], dtype="object")
+
+
+def repaired_json(raw: Column | str) -> Column:
+    """repair_json over a column, as JSON text; null if nothing parses."""
+    return F.pandas_udf(_repaired, "string")(raw)

@@ -91,3 +91,20 @@ def as_of_view(df: DataFrame, day: str | dt.date) -> DataFrame:
     """The rows that held on a day: [_valid_from, _valid_to)."""
     at = F.lit(str(day)).cast("date")
     return df.filter((F.col("_valid_from") <= at) & (F.col("_valid_to").isNull() | (F.col("_valid_to") > at)))
+
+
+MODES = ("replace", "temporal")
+
+
+def load(current: DataFrame | None, batch: DataFrame, mode: str, version: int, day: str | dt.date, key: list[str] | None = None, effective: str | None = None) -> tuple[DataFrame, int]:
+    """A table after a batch, by its refresh mode, and its next version.
+
+    replace takes the batch as it is, whatever its columns; temporal seeds a history or refreshes it.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    if mode == "replace":
+        return batch, version + 1
+    if current is None:
+        return seed(batch, key or [], day, effective), version + 1
+    return refresh(current, batch, key or [], day, effective).table, version + 1

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import html_text, sanitize_identifier
@@ -17,6 +18,11 @@ def is_structured(path: str) -> bool:
     return os.path.splitext(path)[1].lower() in STRUCTURED
 
 
+def structured(path: Column) -> Column:
+    """is_structured as an expression."""
+    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(*STRUCTURED)
+
+
 def discover(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     """(path, length, structured[, content]): a file, or all files below a folder, by path.
 
@@ -26,8 +32,7 @@ def discover(spark: SparkSession, path: str, content: bool = False) -> DataFrame
     root = path.rstrip("/")
     below = F.regexp_replace("path", "^.*?" + re.escape(root), "")
     kept = rows.filter(~below.rlike(r"(^|/)\.[^/]"))
-    structured = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*STRUCTURED)
-    return kept.select("path", "length", structured.alias("structured"), *(["content"] if content else [])).orderBy("path")
+    return kept.select("path", "length", structured(F.col("path")).alias("structured"), *(["content"] if content else [])).orderBy("path")
 
 
 def hashed(files: DataFrame) -> DataFrame:
@@ -69,8 +74,6 @@ def read_csv(spark: SparkSession, path: str, header_row: int = 0) -> DataFrame:
         lines = spark.read.text(path, wholetext=False).rdd.map(lambda r: r[0]).zipWithIndex().filter(lambda x: x[1] >= header_row).map(lambda x: x[0])
         first = [(lines.first(),)]
         df = reader.option("header", True).csv(lines)
-    import csv
-
     check_header(next(csv.reader([first[0][0]])) if first else [])
     return normalise_types(df)
 

@@ -88,6 +88,11 @@ def pull_bundles(spark: SparkSession, incoming: DataFrame, existing: DataFrame)
     return incoming
 
 
+def closed_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges whose ends are both among the ids."""
+    return edges.join(ids.select(F.col("id").alias("src_id")), "src_id", "left_semi").join(ids.select(F.col("id").alias("dst_id")), "dst_id", "left_semi")
+
+
 def export_graph(root: str, nodes: dict[str, DataFrame], edges: DataFrame) -> None:
     """Nodes by base label, and edges whose ends are both among them."""
     ids = None
@@ -97,8 +102,7 @@ def export_graph(root: str, nodes: dict[str, DataFrame], edges: DataFrame) -> No
             part = nodes[label].select("id")
             ids = part if ids is None else ids.union(part)
     if ids is not None:
-        kept = edges.join(ids.select(F.col("id").alias("src_id")), "src_id", "left_semi").join(ids.select(F.col("id").alias("dst_id")), "dst_id", "left_semi")
-        kept.write.mode("overwrite").parquet(f"{root}/edges")
+        closed_edges(edges, ids).write.mode("overwrite").parquet(f"{root}/edges")
 
 
 def import_graph(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], DataFrame]:
