@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.catalog import table
 from ..plans.scratch import Scratch
 
 __all__ = ["DOCUMENT_COLUMNS", "Scratch", "held_out", "table", "unit_hash"]
@@ -12,10 +13,6 @@ __all__ = ["DOCUMENT_COLUMNS", "Scratch", "held_out", "table", "unit_hash"]
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the third of the ids that models never learn from; null ids learn."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

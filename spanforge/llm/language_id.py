@@ -1,6 +1,6 @@
 """Language identification with language-bitmask n-gram filters.
 
-One Bloom filter serves all languages: its slots hold a bitmask with a bit for
+One Bloom filter serves 64 languages: its slots hold a bitmask with a bit for
 each language (a bit-sliced filter), so that the AND of an n-gram's slots tells at
 once every language that has it.  A document adds up, per language, how many of its
 n-grams have the bit (the popcount), takes off the share that the filter's fill
@@ -30,7 +30,10 @@ ROWS_PER_LANGUAGE = 2000
 #: n-grams kept a language, the most frequent first.
 GRAMS_PER_LANGUAGE = 30_000
 SLOT_BITS = 21
-MAX_LANGUAGES = 64
+#: Languages a bitmask; more languages take more filters of the same size.
+MASK = 64
+#: Bound of what is sent to every task: 16 filters of 16 MB.
+MAX_LANGUAGES = 16 * MASK
 MULTIPLIERS = (2654435761, 2246822519, 3266489917)
 PIECE = 1 << 21
 
@@ -69,47 +72,60 @@ def _pieces(ends: np.ndarray) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class LanguageFilter:
-    """The bit-sliced Bloom filter: `slots` has a bitmask a slot, bit i for `languages[i]`."""
+    """Bit-sliced Bloom filters: bit i of a slot of slots[g] stands for languages[g * MASK + i]."""
 
     languages: tuple[str, ...]
-    slots: np.ndarray
+    slots: tuple[np.ndarray, ...]
 
     @staticmethod
     def build(grams: dict[str, np.ndarray], bits: int = SLOT_BITS) -> LanguageFilter:
         languages = tuple(sorted(grams))
         if len(languages) > MAX_LANGUAGES:
-            raise ValueError(f"{len(languages)} languages; a bitmask holds {MAX_LANGUAGES}")
-        kind = next(k for n, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(languages) <= n)
-        slots = np.zeros(1 << bits, dtype=kind)
-        for i, language in enumerate(languages):
-            for at in _slots(grams[language].astype(np.uint32), bits):
-                np.bitwise_or.at(slots, np.unique(at), kind(1 << i))
-        return LanguageFilter(languages, slots)
+            raise ValueError(f"{len(languages)} languages; the filters hold {MAX_LANGUAGES}")
+        filters = []
+        for first in range(0, len(languages), MASK):
+            group = languages[first : first + MASK]
+            kind = next(k for n, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(group) <= n)
+            slots = np.zeros(1 << bits, dtype=kind)
+            for i, language in enumerate(group):
+                for at in _slots(grams[language].astype(np.uint32), bits):
+                    np.bitwise_or.at(slots, np.unique(at), kind(1 << i))
+            filters.append(slots)
+        return LanguageFilter(languages, tuple(filters))
+
+    def bit(self, masks: list[np.ndarray], language: int) -> np.ndarray:
+        """Of each mask, the bit of a language."""
+        mask = masks[language // MASK]
+        return (mask >> mask.dtype.type(language % MASK)) & mask.dtype.type(1)
 
     def chance(self) -> np.ndarray:
         """By language: how probably the filter says yes to an n-gram that it hasn't got."""
-        fill = [float(((self.slots >> i) & 1).mean()) for i in range(len(self.languages))]
+        fill = [float(self.bit(list(self.slots), i).mean()) for i in range(len(self.languages))]
         return np.array(fill) ** len(MULTIPLIERS)
 
+    def masks(self, codes: np.ndarray) -> list[np.ndarray]:
+        """By filter: the bitmask of the languages that have each n-gram."""
+        a, b, c = _slots(codes, int(np.log2(len(self.slots[0]))))
+        return [s[a] & s[b] & s[c] for s in self.slots]
+
     def counts(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By document: its n-grams, and by language those that the filter has."""
-        bits = int(np.log2(len(self.slots)))
         n, hits = np.zeros(len(ends) - 1, np.int64), np.zeros((len(ends) - 1, len(self.languages)), np.int64)
         for first, last in _pieces(ends):
             lo, hi = int(ends[first]), int(ends[last])
             if hi - lo < GRAM:
                 continue
             codes = _codes(data[lo:hi])
-            a, b, c = _slots(codes, bits)
-            mask = self.slots[a] & self.slots[b] & self.slots[c]
+            masks = self.masks(codes)
             blank = (codes & 0xFFFF) == 0x2020
-            mask[blank] = 0
+            for mask in masks:
+                mask[blank] = 0
             starts = np.minimum(ends[first:last] - lo, len(codes))
             stops = np.clip(ends[first + 1 : last + 1] - lo - (GRAM - 1), starts, len(codes))
             total = lambda x: (lambda s: s[stops] - s[starts])(np.concatenate(([0], np.cumsum(x, dtype=np.int64))))
             n[first:last] = total(~blank)
             for i in range(len(self.languages)):
-                hits[first:last, i] = total((mask >> i) & 1)
+                hits[first:last, i] = total(self.bit(masks, i))
         return n, hits
 
     def decide(self, texts: pa.Array) -> tuple[list[str], list[float]]:
@@ -150,7 +166,7 @@ def learn_languages(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE,
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
     if not sizes:
-        return LanguageFilter((), np.zeros(1, np.uint8))
+        return LanguageFilter((), ())
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows_per_language / n))])
@@ -165,7 +181,7 @@ def learn_languages(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE,
 
 def predict_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 16 MB: slots and masks are fixed in size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the filters' size is fixed
 
     def predict(batches):
         for batch in batches:

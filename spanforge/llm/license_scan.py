@@ -95,7 +95,7 @@ class TemplateIndex:
                     continue
                 seen.add(k)
                 t = self.templates[k]
-                if len(ordered) < t.needed or 1 + min(len(t.ordered) - i, len(ordered) - j) - 1 < t.needed:
+                if len(ordered) < t.needed or min(len(t.ordered) - i, len(ordered) - j) < t.needed:
                     continue
                 overlap = len(t.words & block)
                 if overlap >= t.needed:

@@ -131,14 +131,15 @@ def test_language_edges(spark, docs, edges):
 def test_bloom_filters_have_what_was_put_in():
     import numpy as np
 
-    grams = {"a": np.arange(1000), "b": np.arange(500, 1500)}
-    f = language_id.LanguageFilter.build(grams, 14)
+    grams = {f"l{i:03}": np.arange(500 * i, 500 * i + 1000).astype(np.uint32) for i in range(70)}
+    f = language_id.LanguageFilter.build(grams, 18)
+    assert len(f.slots) == 2
     for i, name in enumerate(f.languages):
-        mask = f.slots[language_id._slots(grams[name].astype(np.uint32), 14)[0]]
-        for at in language_id._slots(grams[name].astype(np.uint32), 14)[1:]:
-            mask = mask & f.slots[at]
-        assert ((mask >> i) & 1).all()
-    assert (f.chance() < 0.05).all()
+        assert f.bit(f.masks(grams[name]), i).all()
+    assert (f.chance() < 0.001).all()
+    few = language_id.LanguageFilter.build({"a": np.arange(1000), "b": np.arange(500, 1500)}, 12)
+    other = np.arange(10_000, 40_000).astype(np.uint32)
+    assert abs(few.bit(few.masks(other), 0).mean() - few.chance()[0]) < 0.05
 
 
 # toxicity
