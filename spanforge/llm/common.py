@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import table
 from ..plans.scratch import Scratch
 
-__all__ = ["DOCUMENT_COLUMNS", "Scratch", "held_out", "table", "unit_hash"]
+__all__ = ["DOCUMENT_COLUMNS", "Scratch", "held_out", "table", "text_batches", "unit_hash"]
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,3 +21,15 @@ def held_out(doc_id: Column) -> Column:
 def unit_hash(column: Column, seed: str) -> Column:
     """A fixed number in [0, 1) for a value: the basis of repeatable samples."""
     return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+BATCH_KEY, TEXTS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Sends at most TEXTS_A_BATCH rows at a time to Python, in this session, unless somebody chose less.
+
+    Texts and sets are wide: batches of Spark's usual 10,000 take hundreds of MB beside the heap.
+    """
+    if int(spark.conf.get(BATCH_KEY)) > TEXTS_A_BATCH:
+        spark.conf.set(BATCH_KEY, str(TEXTS_A_BATCH))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, unit_hash
+from .common import held_out, text_batches, unit_hash
 
 GRAM = 4
 #: Learned rows a language, about: the bound of the sample that the filters are fitted on.
@@ -163,6 +163,7 @@ def learn_languages(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE,
 
     What reaches the driver is bounded: a row a language, then its kept n-grams.
     """
+    text_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
     if not sizes:
@@ -188,6 +189,7 @@ def predict_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
             lang, score = shared.value.decide(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text"))
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
@@ -195,6 +197,7 @@ def predict_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 def keep_identified(docs: DataFrame, model: LanguageFilter, least: float = 0.0) -> DataFrame:
     """The rows of docs whose language is known with more than `least`; columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def keep(batches):

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 THRESHOLD = 0.8
 #: Bound of what is sent to every task: words of all templates together.
@@ -133,6 +135,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
     vocabulary = frozenset(w for _, text in templates for w in words(text))
     if sum(len(words(text)) for _, text in templates) > MOST_TEMPLATE_WORDS:
         raise ValueError(f"templates of over {MOST_TEMPLATE_WORDS} words; scan with parts of the list")
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def count(batches):

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, text_batches
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 CHUNKS, CHUNK_SYMBOLS, ERRORS = 12, 6, 1
@@ -41,7 +41,6 @@ SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 #: Candidates whose signatures differ in more symbols aren't held against each other: five
 #: standard deviations beyond what similarity 0.8 gives.
 SPREAD = 5.0
-MEMORY = 400_000
 BLOCK = 2048
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,25 +61,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _HALF)
 
 
-_KNOWN: dict[bytes, int] = {}
-
-
 def shingle_set(text: str | bytes | None, size: int) -> np.ndarray:
     """The distinct shingles as sorted 64-bit hashes (two of them fall together once in 10^13 texts of thousands of words)."""
     raw = text.encode() if isinstance(text, str) else text or b""
     found = WORD.findall(raw.lower())  # of bytes, so only A-Z change
     if not found:
         return np.zeros(0, np.uint64)
-    known = _KNOWN
-    hashes = [known.get(w) for w in found]
-    if None in hashes:
-        digest = xxhash.xxh64_intdigest
-        for i, h in enumerate(hashes):
-            if h is None:
-                hashes[i] = h = digest(found[i])
-                if len(known) < MEMORY:
-                    known[found[i]] = h
-    h = np.array(hashes, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
     size = min(size, len(h))
     acc = np.full(len(h) - size + 1, size, np.uint64)
     for j in range(size):
@@ -147,9 +134,9 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size) for t in batch.column(1)]
-            right = [xxhash.xxh3_128_digest(x.tobytes()) == a for x, a in zip(sets, batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "shingles"]).filter(pa.array(right, pa.bool_()))
+            packed = [shingle_set(t.as_py(), size).tobytes() for t in batch.column(1)]
+            right = [xxhash.xxh3_128_digest(x) == a for x, a in zip(packed, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "shingles"]).filter(pa.array(right, pa.bool_()))
 
     return texts.mapInArrow(run, "id long, shingles binary")
 
@@ -163,7 +150,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     ok.append(False)
                     continue
@@ -236,10 +223,10 @@ def _cross_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets
             return []
         ids, parts = np.array([r[1] for r in base]), np.array([r[2] for r in base])
         sigs = np.frombuffer(b"".join(r[3] for r in base), "<u2").reshape(-1, SYMBOLS)
-        lengths = np.array([len(r[4]) // 8 for r in base])
+        lengths = np.array([len(r[4].as_buffer()) // 8 for r in base])
         out = []
         for _, rep, part, sig, shingles in seek:
-            x = np.frombuffer(shingles, np.uint64)
+            x = np.frombuffer(shingles.as_buffer(), np.uint64)
             n = len(x)
             differ = (sigs != np.frombuffer(sig, "<u2")).sum(1)
             try_ = np.flatnonzero((differ <= most) & (parts != part) & (100 * np.minimum(lengths, n) >= percent * np.maximum(lengths, n)))
@@ -247,7 +234,7 @@ def _cross_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets
             for i in try_[np.argsort(differ[try_], kind="stable")]:
                 if int(parts[i]) in linked:
                     continue
-                y = np.frombuffer(base[i][4], np.uint64)
+                y = np.frombuffer(base[i][4].as_buffer(), np.uint64)
                 at = np.searchsorted(x, y)
                 shared = int((x[np.minimum(at, n - 1)] == y).sum())
                 if 100 * shared >= percent * (n + len(y) - shared):
@@ -259,11 +246,11 @@ def _cross_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets
         group, of = [], None
         for batch in batches:
             found = []
-            for h, b, s, *row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            for h, b, s, *row, shingles in zip(*(batch.column(i).to_pylist() for i in range(7)), batch.column(7), strict=True):
                 if (h, b, s) != of:
                     found += compare(group)
                     group, of = [], (h, b, s)
-                group.append(tuple(row))
+                group.append((*row, shingles))  # sets stay in the batch until they are needed
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
         found = compare(group)
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
@@ -273,6 +260,7 @@ def _cross_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets
 
 def near_duplicates(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs; size: words a shingle."""
+    text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "dedup")
     most = most_differing(percent / 100)
     rows = scratch.save(signatures(docs, size), "rows")

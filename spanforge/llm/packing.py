@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, text_batches
 
 WINDOW, END = 2048, 1
 #: Words whose ids a worker remembers.
@@ -126,6 +126,7 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                     total.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, start, length, crc, total)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 RULES = ("start", "majority", "split")
 
 
@@ -107,5 +109,6 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "majori
             columns = [np.concatenate([o[i] for o in out]) if out else [] for i in range(5)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
 
+    text_batches(docs.sparkSession)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, section long, start long, end long, n_tokens double, n_crossing long")
     return found if rule == "split" else found.withColumn("n_tokens", F.col("n_tokens").cast("long"))

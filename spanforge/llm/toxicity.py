@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, unit_hash
+from .common import held_out, text_batches, unit_hash
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (5, 6, 7)
@@ -41,7 +41,7 @@ THRESHOLD = 0.7
 #: Least precision, as the class prior tells it, of a cut.
 LEAST_PRECISION = 0.5
 #: Words whose weight a worker remembers.
-MEMORY = 300_000
+MEMORY = 100_000
 
 
 def features(word: str) -> list[int]:
@@ -190,6 +190,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE
     class prior is the share of toxic ones among those labels.  The sample, and so
     what reaches the driver, is bounded by the two parameters.
     """
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -239,6 +240,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             score = [scorer(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array([int(s >= THRESHOLD) for s in score], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -246,6 +248,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold; columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def keep(batches):
