@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 MARK = "▁"
 #: ASCII signs, ASCII letters and digits, or other characters next to either, behind any spaces.
 _SIGN = r"\x00-\x09\x0b-\x1f\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f"
@@ -37,7 +39,8 @@ _OTHER = r"\u0180-\U0010ffff\x80-\xbf\xd7\xf7"
 CHUNK = re.compile(rf" *+[^ \n{_SIGN}{_OTHER}]++(?![{_OTHER}])| *+[{_SIGN}]++(?![{_OTHER}])| *[^ \n]*[{_OTHER}][^ \n]*| +|\n")
 BORDER = re.compile(rf"\n|[^ ] |[^ {_SIGN}{_OTHER}][{_SIGN}]|[{_SIGN}][^ {_SIGN}{_OTHER}]")
 MEMORY = 300_000
-UNKNOWN = -1
+#: States of a prefix of a chunk besides a piece's number.
+UNKNOWN, START, UNSEEN = -1, -2, -3
 INFINITY = float("inf")
 
 
@@ -68,11 +71,16 @@ class PieceTransducer:
                 self.text_of.append(plain.encode())
         self.chunks = CHUNK if not any(map(BORDER.search, self.pieces)) else re.compile(r"(?s).+")
         self.names = {i: p for p, i in self.pieces.items()}
-        self.longest = max(map(len, self.pieces))
         self.derived: dict[str, tuple] = {}
-        self.whole: dict[str, bool] = {}
-        self.weights: dict[tuple[str, str], float] = {}
+        self.weights: dict[int, float] = {}
         self.known: dict[str, bytes] = {}
+        # the trie of all pieces that the model would make out of their own characters
+        self.nodes: dict[str, int] = {}
+        for piece, i in self.pieces.items():
+            for n in range(1, len(piece)):
+                self.nodes.setdefault(piece[:n], UNKNOWN)
+            if self.derivation(piece)[1][-1] == piece:
+                self.nodes[piece] = i
 
     def derivation(self, piece: str) -> tuple[list[float], list[str], list[str]]:
         """The scores of the merges that make the piece, and its left and right ends before and after each."""
@@ -92,75 +100,66 @@ class PieceTransducer:
                 scores.append(best)
                 left.append(parts[0])
                 right.append(parts[-1])
-            self.whole[piece] = len(parts) == 1
             got = self.derived[piece] = (scores, left, right)
         return got
 
-    def reachable(self, piece: str) -> bool:
-        """Whether the model would make this piece out of its own characters."""
-        if piece not in self.whole:
-            self.derivation(piece)
-        return self.whole[piece]
-
     def weight(self, a: str, b: str) -> float:
         """The weight of the arc from piece a to piece b: infinite if a merge would cross."""
-        got = self.weights.get((a, b))
-        if got is not None:
-            return got
         scores_a, _, right = self.derivation(a)
         scores_b, left, _ = self.derivation(b)
         i = j = 0
-        got = 0.0
         while True:
             cross = self.score.get(right[i] + left[j], -INFINITY)
             next_a = scores_a[i] if i < len(scores_a) else -INFINITY
             next_b = scores_b[j] if j < len(scores_b) else -INFINITY
             if cross > next_a and cross >= next_b:
-                got = INFINITY
-                break
+                return INFINITY
             if next_a == next_b == -INFINITY:
-                break
+                return 0.0
             if next_a >= next_b:
                 i += 1
             else:
                 j += 1
-        if len(self.weights) < 4 * MEMORY:
-            self.weights[a, b] = got
-        return got
 
-    def shortest_path(self, chunk: str) -> list[str]:
-        """The pieces of the path of least weight; a character without a piece stands for itself."""
-        pieces, weights, longest = self.pieces, self.weights, self.longest
-        last = [""] * (len(chunk) + 1)
-        for end in range(1, len(chunk) + 1):
-            for start in range(max(0, end - longest), end):
-                p = chunk[start:end]
-                if p in pieces and self.reachable(p):
-                    before = last[start]
-                    if not before:
-                        w = 0.0
-                    else:
-                        w = weights.get((before, p))
+    def shortest_path(self, chunk: str) -> list[tuple[int, int]]:
+        """The arcs of the path of least weight, as (piece, where it starts); a character without a piece is UNKNOWN."""
+        nodes, weights, n = self.nodes, self.weights, len(chunk)
+        last, back = [UNSEEN] * (n + 1), [0] * (n + 1)
+        last[0] = START
+        for start in range(n):
+            a = last[start]
+            if a == UNSEEN:
+                a, back[start] = UNKNOWN, start - 1
+                last[start] = a
+            for end in range(start + 1, n + 1):
+                i = nodes.get(chunk[start:end])
+                if i is None:
+                    break
+                if i >= 0 and last[end] == UNSEEN:
+                    if a >= 0:
+                        w = weights.get(a << 20 | i)
                         if w is None:
-                            w = self.weight(before, p)
+                            w = self.weight(self.names[a], self.names[i])
+                            if len(weights) < 4 * MEMORY:
+                                weights[a << 20 | i] = w
+                    else:
+                        w = 0.0 if a == START else self.weight(chunk[back[start] : start], self.names[i])
                     if w == 0.0:
-                        last[end] = p
-                        break
-            else:
-                last[end] = chunk[end - 1]
-        path, at = [], len(chunk)
+                        last[end], back[end] = i, start
+        if last[n] == UNSEEN:
+            last[n], back[n] = UNKNOWN, n - 1
+        path, at = [], n
         while at:
-            path.append(last[at])
-            at -= len(last[at])
+            path.append((last[at], back[at]))
+            at = back[at]
         return path[::-1]
 
     def transduce(self, chunk: str) -> bytes:
         """The ids of a chunk, as little-endian unsigned 32-bit numbers."""
         ids: list[int] = []
-        for p in self.shortest_path(chunk):
-            i = self.pieces.get(p)
-            if i is None:
-                ids += self.bytes_of[list(p.encode())].tolist()
+        for i, start in self.shortest_path(chunk):
+            if i == UNKNOWN:
+                ids += self.bytes_of[list(chunk[start].encode())].tolist()
             else:
                 ids.append(i)
         return np.array(ids, "<u4").tobytes()
@@ -203,6 +202,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             ids = [np.frombuffer(fst.encode(t.as_py()), "<u4").astype(np.int32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -234,4 +234,5 @@ def encoding_digest(docs: DataFrame, path: str) -> DataFrame:
                 same.append(fst.decode(ids.tolist()) == text)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, n_byte, crc)), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
