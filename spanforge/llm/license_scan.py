@@ -1,7 +1,11 @@
 """License scans by an exact set-similarity join of text blocks with templates.
 
-A block (a line of a document) and a template are sets of words.  The join finds every
-pair in which the block holds at least `threshold` of the template's words.  Words are
+Blocks are the lines of a document and, as notices are wrapped anywhere, overlapping
+runs of words across line breaks: a template of n words has runs of twice s words, one
+at every s words, s being the power of two from n up, so each s words lie whole in one.
+A block and a template are sets of words.  The join finds every pair in which the block
+holds at least `threshold` of the template's words; a run counts if no block with as
+much of the same template lies in its place.  Words are
 ordered by their global frequency, rarest first; a block can only reach the needed
 overlap `a` of a template of n words if it has one of the template's n - a + 1 rarest
 words (prefix filter), if it has a words of the vocabulary at all (length filter), and
@@ -9,6 +13,11 @@ if what is left behind the first common word on both sides makes up for the rest
 (positional filter).  Pairs that pass are counted in full.  The templates are a short
 list with a checked bound, so they go to every task and no text moves.
 
+A match's places are the least stretches of words that hold what the threshold needs.
+A match is overlaid if every one of its places overlaps one of a match with more of its
+own template: so version 3 of a licence displaces version 2, and two notices in one block
+both stay.
+
 Beside the join, a fixed list of phrases is looked up as consecutive words.
 
 Defined cases: a null text is an empty one; a text without words has no places, null
@@ -20,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -105,6 +115,83 @@ class TemplateIndex:
         return sorted(out)
 
 
+def run_step(text: str) -> int:
+    """Words from one run to the next: a power of two that holds the template."""
+    return 1 << max(0, len(words(text)) - 1).bit_length()
+
+
+class Scanner:
+    """Finds the templates in the lines of a text, and in runs of words across its lines."""
+
+    def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
+        listed = [(label, text) for label, text in templates if words(text)]
+        self.index = TemplateIndex(listed, frequency, threshold)
+        by = defaultdict(list)
+        for i, (_, text) in enumerate(listed):
+            by[run_step(text)].append((i, text))
+        self.runs = {step: TemplateIndex(some, frequency, threshold) for step, some in by.items()}  # labels are places in the whole list
+        self.step = {i: step for step, some in by.items() for i, _ in some}
+
+    def spans(self, text: bytes, found: list[bytes], present: set[bytes]) -> list[dict]:
+        if self.index.prefix.isdisjoint(present):
+            return []
+        possible = [i for i, _ in self.index.match(present)]
+        if not possible:
+            return []
+        matches, starts, at = [], [], 0  # (template, share, block, start, n_words, places)
+        for k, line in enumerate(text.split(b"\n")):
+            block = words(line)
+            starts.append(at)
+            if not self.index.prefix.isdisjoint(block):
+                matches += [(i, share, k, at, len(block), self.places(found, at, at + len(block), i)) for i, share in self.index.match(set(block))]
+            at += len(block)
+        if len(starts) > 1:
+            matches += self.across(found, starts, {self.step[i] for i in possible}, matches)
+        return [
+            {"label": self.index.templates[i].label, "block": k, "start": a, "n_words": n, "containment": share, "overlaid": not free(places, [m[5] for m in matches if m[1] > share])}
+            for i, share, k, a, n, places in sorted(matches, key=lambda m: (m[3], m[0], m[4]))
+        ]
+
+    def across(self, found: list[bytes], starts: list[int], steps: set[int], lines: list[tuple]) -> list[tuple]:
+        """Matches of runs that cross lines and hold more of a template than the lines there, best first."""
+        runs = []
+        for step in sorted(steps):
+            index = self.runs[step]
+            for r in sorted({max(0, p // step - j) for p, w in enumerate(found) if w in index.prefix for j in (0, 1)}):
+                a, b = r * step, min((r + 2) * step, len(found))
+                k = bisect_right(starts, a) - 1
+                if k == bisect_right(starts, b - 1) - 1:
+                    continue
+                runs += [(index.templates[i].label, share, k, a, b - a) for i, share in index.match(set(found[a:b]))]
+        out: list[tuple] = []
+        for i, share, k, a, n in sorted(runs, key=lambda m: (-m[1], m[3], m[0])):
+            places = self.places(found, a, a + n, i)
+            if free(places, [m[5] for m in (*lines, *out) if m[0] == i and m[1] >= share]):
+                out.append((i, share, k, a, n, places))
+        return out
+
+    def places(self, found: list[bytes], a: int, b: int, i: int) -> list[tuple[int, int]]:
+        """The least stretches of words a to b that hold as many of a template's words as needed."""
+        t = self.index.templates[i]
+        hits = [(p, w) for p, w in enumerate(found[a:b], a) if w in t.words]
+        out, held, first = [], Counter(), 0
+        for p, w in hits:
+            held[w] += 1
+            while len(held) == t.needed:
+                q, v = hits[first]
+                first += 1
+                held[v] -= 1
+                if not held[v]:
+                    del held[v]
+                    out.append((q, p + 1))
+        return out
+
+
+def free(places: list[tuple[int, int]], others: list[list[tuple[int, int]]]) -> bool:
+    """Whether one of the places overlaps none of the others."""
+    return any(all(b <= c or d <= a for other in others for c, d in other) for a, b in places)
+
+
 def phrase_places(found: list[bytes], present: set[bytes], phrases) -> list[tuple[str, int]]:
     out = []
     for phrase, label in phrases:
@@ -122,15 +209,16 @@ def phrase_places(found: list[bytes], present: set[bytes], phrases) -> list[tupl
 
 
 _PLACES = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))
-_SPANS = pa.list_(pa.struct([("label", pa.string()), ("block", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64())]))
+_SPANS = pa.list_(pa.struct([("label", pa.string()), ("block", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64()), ("overlaid", pa.bool_())]))
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, places, spans) for every row of docs.
 
     places: every start of a phrase, with its label.  spans: every block that contains
-    a template, with the template's label, the block's number in the text, its first
-    word, its number of words and the share of the template that it contains.
+    a template, with the template's label, the number of the block's first line in the
+    text, its first word, its number of words, the share of the template that it contains
+    and whether better matches overlay it.
     """
     vocabulary = frozenset(w for _, text in templates for w in words(text))
     if sum(len(words(text)) for _, text in templates) > MOST_TEMPLATE_WORDS:
@@ -146,7 +234,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
     totals = rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # at most the templates' words
-    index = TemplateIndex(templates, {bytes(r["word"]): r["n"] for r in totals}, threshold)
+    scanner = Scanner(templates, {bytes(r["word"]): r["n"] for r in totals}, threshold)
 
     def scan(batches):
         for batch in batches:
@@ -157,17 +245,10 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
                 present = set(found)
                 n_words.append(len(found))
                 places.append([{"label": label, "start": at} for label, at in phrase_places(found, present, phrases)])
-                mine, at = [], 0
-                if not index.prefix.isdisjoint(present):
-                    for k, line in enumerate(text.split(b"\n")):
-                        block = words(line)
-                        if not index.prefix.isdisjoint(block):
-                            mine += [{"label": index.templates[i].label, "block": k, "start": at, "n_words": len(block), "containment": share} for i, share in index.match(set(block))]
-                        at += len(block)
-                spans.append(mine)
+                spans.append(scanner.spans(text, found, present))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(places, _PLACES), pa.array(spans, _SPANS)], ["doc_id", "n_words", "places", "spans"])
 
-    return rows.mapInArrow(scan, "doc_id long, n_words long, places array<struct<label:string,start:long>>, spans array<struct<label:string,block:long,start:long,n_words:long,containment:double>>")
+    return rows.mapInArrow(scan, "doc_id long, n_words long, places array<struct<label:string,start:long>>, spans array<struct<label:string,block:long,start:long,n_words:long,containment:double,overlaid:boolean>>")
 
 
 def license_digest(found: DataFrame) -> DataFrame:

@@ -76,6 +76,32 @@ def test_filters_lose_no_block():
             assert index.match(block) == want
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:",
+    "gpl-3.0": "# This file is licensed under the GNU\r\n# General Public License, version\r\n# 3 or later",
+}
+
+
+def licences(spark, texts):
+    found = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return [(r["labels"], r["spans"]) for r in license_scan.license_digest(found).join(found.select("doc_id", "spans"), "doc_id").orderBy("doc_id").collect()]
+
+
+def test_wrapped_notices_are_found(spark):
+    texts = [lead + t + "\n\nmore words" for lead in ("", "w " * 37, "Copyright me\n\n") for t in WRAPPED.values()]
+    for t, want, (labels, spans) in zip(texts, [*WRAPPED] * 3, licences(spark, texts), strict=True):
+        assert want in labels.split(","), t
+        assert any(x["label"] == want and x["containment"] == 1.0 and not x["overlaid"] for x in spans)
+    assert [x for x, _ in licences(spark, [WRAPPED["mit"], WRAPPED["bsd"]])] == ["mit", "bsd"]
+
+
+def test_every_stretch_as_long_as_a_template_lies_in_a_run():
+    for _, text in license_scan.TEMPLATES:
+        step, n = license_scan.run_step(text), len(license_scan.words(text))
+        assert all(any(r * step <= a and a + n <= (r + 2) * step for r in (a // step, a // step - 1)) for a in range(200))
+
+
 # quality
 
 
