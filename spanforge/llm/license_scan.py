@@ -254,10 +254,10 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
 def license_digest(found: DataFrame) -> DataFrame:
     """A row a document: base places and labels, all labels, and the best share contained.
 
-    Of a block that contains several templates, those contained best give it its labels.
+    All matches give labels but those that better ones overlay.
     """
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    best = F.filter("spans", lambda x: ~F.exists("spans", lambda y: (y["block"] == x["block"]) & (y["containment"] > x["containment"])))
+    best = F.filter("spans", lambda x: ~x["overlaid"])
     base, own = F.col("places.label"), F.transform(best, lambda x: x["label"])
     n = F.size("places").cast("long")
     return found.select(

@@ -96,6 +96,14 @@ def test_wrapped_notices_are_found(spark):
     assert [x for x, _ in licences(spark, [WRAPPED["mit"], WRAPPED["bsd"]])] == ["mit", "bsd"]
 
 
+def test_notices_of_a_line_all_give_labels(spark):
+    lesser, binary = "Licensed under the GNU Lesser General Public License", "redistribution and use in source and binary forms with or without modification"
+    texts = [f"{lesser}; {binary} ...", f"{binary} is what you may do; {lesser}", "Licensed under the GNU General Public License, version 3", f"are permitted {lesser} and then {'x ' * 200} {binary}"]
+    got = licences(spark, texts)
+    assert [x for x, _ in got] == ["bsd,gpl,lgpl", "bsd,gpl,lgpl", "gpl,gpl-3.0", "bsd,gpl,lgpl"]
+    assert {x["label"] for x in got[2][1] if x["overlaid"]} == {"agpl-3.0", "gpl-2.0", "lgpl"}
+
+
 def test_every_stretch_as_long_as_a_template_lies_in_a_run():
     for _, text in license_scan.TEMPLATES:
         step, n = license_scan.run_step(text), len(license_scan.words(text))
