@@ -284,8 +284,10 @@ def c1(spark, sf):
   r AS (SELECT a AS node, a AS reach FROM both_ways UNION SELECT r.node, e.b FROM r JOIN both_ways e ON e.a = r.reach)
 SELECT node, min(reach) AS component FROM r GROUP BY 1""")
 def c1_components(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_orderkey % 40 = 0").select("l_orderkey", F.col("l_partkey").alias("p"))
-    pairs = li.select("l_orderkey", F.col("p").alias("a")).join(li.select("l_orderkey", F.col("p").alias("b")), "l_orderkey").filter("a < b").select("a", "b").distinct()
+    """Parts that a chain of orders connects: each order links its parts to its smallest one."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("b"))
+    least = li.groupBy("l_orderkey").agg(F.min("b").alias("a"))
+    pairs = li.join(least, "l_orderkey").filter("a < b").select("a", "b").distinct()
     return refine.components(pairs)
 
 

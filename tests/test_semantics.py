@@ -454,3 +454,32 @@ def test_late_rows_are_left_out_of_stream_windows(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("late").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("late").first()["n"] == 1
+
+
+# registered queries over whole tables
+
+
+def test_components_are_those_of_all_orders(spark):
+    orders = {}
+    for r in spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        orders.setdefault(r["l_orderkey"], set()).add(r["l_partkey"])
+    label = {}
+
+    def find(i):
+        while label.setdefault(i, i) != i:
+            i = label[i]
+        return i
+
+    for parts in orders.values():
+        if len(parts) > 1:
+            for p in parts:
+                a, b = find(min(parts)), find(p)
+                label[max(a, b)] = min(a, b)
+    assert rows(QUERIES["c1_components"](spark, DATA), "node", "component") == sorted((i, find(i)) for i in label)
+
+
+def test_components_of_few_orders(spark, tmp_path):
+    lines = [(1, 5), (1, 9), (2, 9), (2, 7), (3, 4), (3, 3), (3, 4), (41, 8), (41, 8), (40, 3), (40, 2), (40, 6), (81, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = rows(QUERIES["c1_components"](spark, str(tmp_path)), "node", "component")
+    assert got == [(2, 2), (3, 2), (4, 2), (5, 5), (6, 2), (7, 5), (9, 5)]
