@@ -137,7 +137,7 @@ SELECT m.chunk_id, t.chunk_id AS neighbour_id, CAST(t.place - m.place AS INTEGER
   WHERE m.seq % 5 = 0""")
 def g12(spark, sf):
     chunks = B.chunks(B.documents(spark, sf))
-    return G.chunk_windows(chunks, chunks.filter("seq % 5 = 0").select("chunk_id"), 2)
+    return G.chunk_windows(chunks, chunks.select("chunk_id"), 2)
 
 
 @query("g13_entity_context", with_(E, D, BOTH, X, C) + f""", link AS (SELECT DISTINCT chunk_id, 'part:' || ((length(text) * 7 + doc_id) % (SELECT max(p_partkey) + 1 FROM part)) AS entity_id FROM chunk),

@@ -204,7 +204,7 @@ def d9(spark, sf):
 
 
 def _written_edges(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_linenumber <= 2")
+    li = table(spark, sf, "lineitem")
     i = li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst_id"), F.lit("SUPPLIES").alias("rel_type"), F.concat(F.lit("d"), (F.col("l_orderkey") % 20).cast("string")).alias("doc_id"), F.col("l_orderkey").cast("string").alias("chunk_id"), (F.col("l_linenumber") == 1).alias("bidirectional"))
     i = i.unionByName(i.limit(5).withColumn("rel_type", F.lit("SUPERSEDES")))
     none = spark.createDataFrame([], "src_id string, dst_id string, rel_type string, doc_ids array<string>, chunk_ids array<string>")
