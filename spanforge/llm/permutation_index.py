@@ -56,6 +56,14 @@ def places(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, place
 
 
+def least(ids: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest ids, each once at its least distance."""
+    first = np.lexsort((ids, distance))
+    _, keep = np.unique(ids[first], return_index=True)
+    keep = first[np.sort(keep)[:k]]
+    return ids[keep], distance[keep]
+
+
 class InvertedFiles:
     """The posted rows of one block of vectors, by pivot."""
 
@@ -82,10 +90,7 @@ class InvertedFiles:
             limit = np.partition(apart, depth - 1)[depth - 1]
             found = found[apart <= limit]  # ties at the limit all stay
         distance = np.sqrt(((self.x[found] - q) ** 2).sum(1))
-        first = np.lexsort((self.ids[found], distance))
-        ids, keep = np.unique(self.ids[found][first], return_index=True)
-        keep = first[np.sort(keep)][:k]
-        return self.ids[found][keep], distance[keep]
+        return least(self.ids[found], distance, k)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_column: str, vector_column: str, k: int = 10, pivots: int = PIVOTS, block: int = QUERY_BLOCK) -> DataFrame:
@@ -125,8 +130,7 @@ def _search_block(rows: DataFrame, shared, k: int) -> DataFrame:
             for i, own in enumerate(query_ids):
                 a, d = files.search(own, queries[i], order[i], place[i], k)
                 a, d = np.concatenate([best[i][0], a]), np.concatenate([best[i][1], d])
-                first = np.lexsort((a, d))[: 2 * k]  # ids that repeat within a task leave room for k others
-                best[i] = (a[first], d[first])
+                best[i] = least(a, d, k)
         n = [len(a) for a, _ in best]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n), pa.int64()), pa.array(np.concatenate([a for a, _ in best]), pa.int64()), pa.array(np.concatenate([d for _, d in best]), pa.float64())], ["query_id", "vec_id", "score"])
 

@@ -271,6 +271,19 @@ def test_vector_edges(spark):
     assert permutation_index.nearest(d.limit(0), d.limit(0), "vec_id", "embedding").collect() == []
 
 
+def test_ids_that_repeat_in_many_batches_count_once(spark):
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.001 * (i + 1)]) for i in range(30)] + [(i, [1.0, 0.1 * i]) for i in range(2, 15) for _ in range(3)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+        got = permutation_index.nearest(d, d.filter("vec_id = 0"), "vec_id", "embedding").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(i, i) for i in range(1, 11)]
+    assert min(r["score"] for r in got) == pytest.approx(0.001)
+
+
 def test_blocks_of_queries_change_nothing(spark):
     e = spark.read.parquet(f"{DATA}/embeddings.parquet")
     a, b = (sorted(map(tuple, permutation_index.nearest(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", block=n).collect())) for n in (4096, 3))
