@@ -11,7 +11,7 @@ from ..plans import bindings as B
 from ..plans.bindings import with_
 from ..plans.catalog import query, table
 from ..plans.guard import asof_join, run_sql
-from ..sources.store import view_name
+from ..sources.store import view_name_column
 from .retrieval import REGISTRY, _registry
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -130,8 +130,7 @@ def b1(spark, sf):
 
 @query("a9_view_names", "SELECT DISTINCT lang || '_' || source || '__' || 'documents' AS view_name FROM documents")
 def a9(spark, sf):
-    d = B.documents(spark, sf).select("domain").distinct()
-    return spark.createDataFrame([(view_name(r[0], "documents"),) for r in d.limit(1000).collect()], "view_name string")
+    return B.documents(spark, sf).select(view_name_column(F.col("domain"), "documents").alias("view_name")).distinct()
 
 
 @query("f1_fusion_bridges", f"WITH {REGISTRY} SELECT domain, name AS \"table\", col AS \"column\" FROM tbl JOIN role USING (table_id) WHERE domain IN ('r1', 'r2') OR starts_with(domain, 'r1.') OR starts_with(domain, 'r2.')")

@@ -9,7 +9,7 @@ import time
 import zipfile
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUNDLE = ("document", "chunks", "entities", "properties", "relationships")
@@ -21,6 +21,11 @@ def view_name(domain: str, table: str) -> str:
     return f"{domain.replace('.', '_').replace('-', '_')}__{table}"
 
 
+def view_name_column(domain: Column, table: str) -> Column:
+    """view_name of a column of domains."""
+    return F.concat(F.translate(domain, ".-", "__"), F.lit(f"__{table}"))
+
+
 def register_views(spark: SparkSession, tables: dict[tuple[str, str], DataFrame]) -> list[str]:
     """Views `domain__table`, and the bare name of a table that only one domain has."""
     made = []

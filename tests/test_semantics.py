@@ -510,3 +510,10 @@ def test_edges_and_windows_by_brute_force(spark):
     assert rows(QUERIES["d9_edge_union"](spark, DATA), "src_id", "dst_id", "doc_ids") == listed(want)
     assert rows(QUERIES["d10_retract"](spark, DATA), "src_id", "dst_id", "doc_ids") == listed({k: v - {"d7"} for k, v in want.items()})
     assert QUERIES["q_unpivot"](spark, DATA).count() == 2 * len(lines) and QUERIES["q_lateral_alias"](spark, DATA).count() == len(lines)
+
+
+def test_every_domain_has_a_view_name(spark, tmp_path):
+    docs = [(i, "x", f"l-{i % 3}", f"src{i}") for i in range(2500)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted({(store.view_name(f"{lang}.{source}", "documents"),) for _, _, lang, source in docs})
+    assert len(want) == 2500 and rows(QUERIES["a9_view_names"](spark, str(tmp_path))) == want
