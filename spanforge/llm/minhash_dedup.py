@@ -304,17 +304,23 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near-duplicates; columns as they were.
+    """docs with one row of each group of near-duplicates; columns as they were.
 
-    Of rows that repeat a doc_id, the one that sorts first stays.
+    Where doc_ids repeat, rows are told apart by their texts: of rows that repeat an id and
+    its text the one that sorts first counts, and each other row is a document by itself.
     """
-    found = Scratch(docs.sparkSession, "kept").save(near_duplicates(docs, size, percent), "kept")
-    ids = found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
-    if not found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        rest = [c for c in docs.columns if c != "doc_id"]
-        kept = kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*").select(*docs.columns)
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    scratch = Scratch(docs.sparkSession, "kept")
+    named, rest = docs.filter(F.col("doc_id").isNotNull()), [c for c in docs.columns if c not in ("doc_id", "text")]
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        rows, key = docs, "doc_id"
+    else:
+        key = "_row"
+        first = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")) if rest else named.distinct()
+        rows = scratch.save(first.orderBy("doc_id", "text").withColumn(key, F.monotonically_increasing_id()), "rows")
+        rows = rows.select(key, "doc_id", "text", *(["_rest.*"] if rest else []))
+    found = scratch.save(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), size, percent), "kept")
+    ids = found.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key))
+    return rows.join(ids, key, "left_semi").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def oracle_sql(size: int, percent: int = 80) -> str:

@@ -217,6 +217,18 @@ def test_dedup_edges(spark, edges):
     assert len(ids) == len(set(ids)) and 5 in ids and 21 not in ids and None in ids and kept.columns == d.columns
 
 
+def test_rows_that_share_an_id_stay_if_their_texts_differ(spark):
+    family = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abc"}
+    near = {k: t + f" {k}60" for k, t in family.items()}
+    rows = [(1, family["a"]), (1, family["b"]), (2, near["a"]), (3, near["b"]), (4, family["c"]), (4, family["c"]), (4, near["c"]), (5, ""), (5, ""), (6, ""), (None, family["a"])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    for docs, rest in ((d, ("en",)), (d.drop("lang"), ())):
+        got = minhash_dedup.keep_one(docs, 5)
+        assert got.columns == docs.columns
+        want = [(1, family["a"]), (1, family["b"]), (4, family["c"]), (5, ""), (6, ""), (None, family["a"])]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(((*r, *rest) for r in want), key=str)
+
+
 def test_pairs_within_the_distance_share_a_key(spark):
     rng = np.random.default_rng(0)
     allowed = minhash_dedup.CHUNKS * (minhash_dedup.ERRORS + 1) - 1
