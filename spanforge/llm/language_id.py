@@ -129,16 +129,21 @@ class LanguageFilter:
         return n, hits
 
     def decide(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        """By text: its language, `und` without letters, and that language's share."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: pa.Array) -> tuple[list[str], list[float], list[int]]:
+        """What decide says, and by text how many n-grams it has."""
         data, ends = _lowered(texts)
         letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_pylist()
         if not self.languages:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), [0] * len(texts)
         n, hits = self.counts(data, ends)
         f = self.chance()
         real = np.maximum(0.0, (hits - n[:, None] * f) / (1 - f))
         best, total = real.argmax(1), real.sum(1)
         share = np.divide(real.max(1), total, out=np.zeros(len(real)), where=total > 0)
-        return [self.languages[k] if ok else "und" for k, ok in zip(best, letters, strict=True)], [float(s) if ok else 0.0 for s, ok in zip(share, letters, strict=True)]
+        return [self.languages[k] if ok else "und" for k, ok in zip(best, letters, strict=True)], [float(s) if ok else 0.0 for s, ok in zip(share, letters, strict=True)], n.tolist()
 
 
 def _gram_counts(batches):
@@ -195,15 +200,18 @@ def predict_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageFilter, least: float = 0.0) -> DataFrame:
-    """The rows of docs whose language is known with more than `least`; columns as they were."""
+    """The rows of docs whose language is known with more than `least`; columns as they were.
+
+    Texts with letters that are too short for an n-gram stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def keep(batches):
         for batch in batches:
-            lang, score = shared.value.decide(batch.column(at))
-            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+            judged = shared.value.judge(batch.column(at))
+            yield batch.filter(pa.array([x != "und" and (s > least or not n) for x, s, n in zip(*judged, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

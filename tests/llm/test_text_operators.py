@@ -288,3 +288,11 @@ def test_surrogate_edges(edges):
     got = pii.digest(pii.replace_entities(edges.select("doc_id", "text"), "k")).collect()
     assert sorted((r["text"] or "" for r in got)) == sorted(t or "" for _, t in EDGES)
     assert pii.replace_entities(nothing(edges), "k").collect() == []
+
+
+def test_texts_of_no_known_language_go(spark):
+    learned = [(i, "the cat sat on the mat and the dog ran", "en") for i in range(30)] + [(i, "der Hund und die Katze liefen nach Hause", "de") for i in range(30, 60)]
+    model = language_id.learn_languages(spark.createDataFrame(learned, "doc_id long, text string, lang string"))
+    texts = [(1, "the dog sat on the cat"), (2, "漢字漢字漢字"), (3, "ok"), (4, "  a"), (5, "123"), (6, None), (7, "qzxj qzxj"), (8, "die Katze"), (9, "")]
+    kept = language_id.keep_identified(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3, 4, 8]
