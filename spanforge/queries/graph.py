@@ -133,8 +133,7 @@ def g11(spark, sf):
 
 
 @query("g12_chunk_window", with_(X, C) + """, placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq, chunk_id) AS place FROM chunk)
-SELECT m.chunk_id, t.chunk_id AS neighbour_id, CAST(t.place - m.place AS INTEGER) AS "offset" FROM placed m JOIN placed t ON m.doc_id = t.doc_id AND t.place - m.place BETWEEN -2 AND 2 AND t.place <> m.place
-  WHERE m.seq % 5 = 0""")
+SELECT m.chunk_id, t.chunk_id AS neighbour_id, CAST(t.place - m.place AS INTEGER) AS "offset" FROM placed m JOIN placed t ON m.doc_id = t.doc_id AND t.place - m.place BETWEEN -2 AND 2 AND t.place <> m.place""")
 def g12(spark, sf):
     chunks = B.chunks(B.documents(spark, sf))
     return G.chunk_windows(chunks, chunks.select("chunk_id"), 2)
