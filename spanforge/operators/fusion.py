@@ -173,7 +173,7 @@ def ask_tables(spark: SparkSession, question: str, model: Callable[[str], str],
     if not sql:
         raise ValueError("the model gave no query")
     session = isolated(spark, views)
-    check_read_only(session, sql)
+    check_read_only(session, sql, views=views)
     return {"domains": names, "sql": sql, "rows": None if dry_run else session.sql(sql), "hints": hints or {}}
 
 
@@ -187,7 +187,7 @@ def ask_graph(spark: SparkSession, question: str, model: Callable[[str], str], v
         raise ValueError("the query must refer to :domains")
     session = isolated(spark, views)
     args = {"domains": F.array(*map(F.lit, names)), **({"as_of": as_of} if ":as_of" in sql else {})}
-    check_read_only(session, sql, args)
+    check_read_only(session, sql, args, views)
     return {"domains": names, "query": sql, "rows": None if dry_run else session.sql(sql, args=args)}
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,24 +23,92 @@ def looks_read_only(sql: str) -> bool:
     return not re.search(rf"(?i)\b({'|'.join(VERBS)})\b", text)
 
 
-def check_read_only(spark: SparkSession, sql: str, args: dict | None = None) -> None:
-    """The guard by plan: raises unless the statement, as Spark parses it, only reads."""
-    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    names = [parsed.getClass().getName()]
-    stack = [parsed]
+#: Nodes that a query may be made of, as Spark's parser names them.  All others are turned down:
+#: commands, writes, scripts, names put together at run time, time travel.
+NODES = frozenset(
+    """Project Filter Aggregate Join Sort GlobalLimit LocalLimit Limit Offset Distinct Union Except Intersect SubqueryAlias UnresolvedWith Generate LateralJoin
+    AsOfJoin Pivot Unpivot UnresolvedHint UnresolvedHaving UnresolvedInlineTable ResolvedInlineTable LocalRelation OneRowRelation UnresolvedRelation Sample
+    UnresolvedTableValuedFunction UnresolvedTVFAliases UnresolvedSubqueryColumnAliases WithWindowDefinition Window UsingJoin Tail UnionLoop UnionLoopRef""".split()
+)
+#: Functions that reach outside the rows, though they are built in: other code, files, the session.
+REFUSED = frozenset(
+    """reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length from_avro to_avro from_protobuf to_protobuf
+    current_user session_user user current_catalog current_database current_schema version spark_partition_id raise_error assert_true""".split()
+)
+#: Functions that may stand where a table does.
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack".split())
+
+
+def _parts(names) -> list[str]:
+    return [names.apply(i) for i in range(names.size())]
+
+
+def _nodes(spark: SparkSession, root):
+    """All nodes of a parsed statement: plans, expressions, subqueries and common tables, however nested."""
+    stack = [root]
+    is_product = spark.sparkContext._jvm.java.lang.Class.forName("scala.Product").isInstance
     while stack:
         node = stack.pop()
-        names.append(node.getClass().getName())
-        children = node.children()
-        stack += [children.apply(i) for i in range(children.size())]
-    bad = [n for n in names if re.search(r"Command|InsertInto|Insert\w*Statement|CreateTable|CreateView|Drop|Alter|Delete|Update|Merge|Replace|Truncate|SetCatalog|SetNamespace|Unset|Cache|Refresh|Load|Call", n.rsplit(".", 1)[-1])]
-    if bad:
-        raise PermissionError(f"only queries that read are allowed, not {bad[0].rsplit('.', 1)[-1]}")
+        if not isinstance(node, JavaObject):
+            continue
+        name = node.getClass().getName()
+        if name.startswith("scala.collection."):
+            inner = node.iterator()
+        elif name.startswith(("scala.Tuple", "scala.Some")):
+            inner = node.productIterator()
+        elif name.startswith("org.apache.spark.sql.") and not name.startswith(("org.apache.spark.sql.catalyst.trees.", "org.apache.spark.sql.types.")):
+            yield name.rsplit(".", 1)[-1], node
+            if not is_product(node):
+                continue
+            inner = node.productIterator()
+        else:
+            continue
+        while inner.hasNext():
+            stack.append(inner.next())
+
+
+def check_read_only(spark: SparkSession, sql: str, args: dict | None = None, views=None) -> None:
+    """The guard by plan: raises unless the statement, as Spark parses it, only reads what it may.
+
+    It may be made of NODES, name single-part relations among `views` (the session's own tables and
+    views if none are given) or its own common tables, and call built-in functions but for REFUSED ones.
+    """
+    jvm = spark.sparkContext._jvm
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    is_plan = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan").isInstance
+    builtin = getattr(getattr(jvm, "org.apache.spark.sql.catalyst.analysis.FunctionRegistry$"), "MODULE$").builtin()
+    known = {v.lower() for v in (views if views is not None else (t.name for t in spark.catalog.listTables()))}
+    common, relations = set(), []
+    for name, node in _nodes(spark, parsed):
+        if "UnresolvedIdentifier" in name or is_plan(node) and name not in NODES:
+            raise PermissionError(f"only queries that read are allowed, not {name}")
+        if name == "UnresolvedWith":
+            found = node.cteRelations()
+            common |= {found.apply(i)._1().lower() for i in range(found.size())}
+        elif name == "UnresolvedRelation":
+            relations.append(_parts(node.multipartIdentifier()))
+        elif name == "UnresolvedTableValuedFunction":
+            parts = _parts(node.name())
+            if len(parts) != 1 or parts[0].lower() not in TABLE_FUNCTIONS:
+                raise PermissionError(f"the table function {'.'.join(parts)} isn't allowed")
+        elif name in ("UnresolvedFunction", "UnresolvedGenerator"):
+            parts = _parts(node.nameParts()) if name == "UnresolvedFunction" else [node.name().funcName()]
+            identifier = jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(parts[-1].lower())
+            if len(parts) != 1 or parts[0].lower() in REFUSED or not builtin.functionExists(identifier):
+                raise PermissionError(f"the function {'.'.join(parts)} isn't allowed")
+    for parts in relations:
+        if len(parts) != 1 or parts[0].lower() not in known | common:
+            raise PermissionError(f"there is no view {'.'.join(parts)} here")
 
 
 def isolated(spark: SparkSession, views: dict[str, DataFrame]) -> SparkSession:
-    """A session that has the views and none of the caller's."""
+    """A session that has the views and none of the caller's, and reads no files by their paths.
+
+    It shares the caller's catalogue of persistent tables, as any session does: those
+    are out of reach only for statements that check_read_only has let by.
+    """
     session = spark.newSession()
+    session.conf.set("spark.sql.runSQLOnFiles", "false")
     for name, df in views.items():
         moved = session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df._jdf.logicalPlan())
         type(df)(moved, session).createOrReplaceTempView(name)
@@ -50,7 +119,7 @@ def run_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None =
     """A query that only reads over the given views, or over the session's own."""
     session = isolated(spark, views) if views is not None else spark
     text = to_spark(sql)
-    check_read_only(session, text)
+    check_read_only(session, text, views=views)
     return session.sql(text)
 
 

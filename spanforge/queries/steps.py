@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
+
 from ..functions.predicates import validate
 from ..operators import documents, fusion, jobs, refine, temporal
 from ..plans.catalog import query
+from ..plans.guard import isolated, run_sql
 from ..sources import files
 
 
@@ -111,18 +114,29 @@ def c11(spark, sf):
     return rows(spark, "seq int, step string, domains string", *((i + 1, *s) for i, s in enumerate(seen)))
 
 
-@query("h1_harmonise", "SELECT * FROM (VALUES ('PERSON', false), ('LOAN', true), ('BRANCH', true)) t(entity_type, added)")
+_RULE = "━" * 20
+PROMPTS = {
+    "entities_prompt": f"Extract.\n\n{_RULE}\nENTITY TYPES YOU MUST EXTRACT:\n{_RULE}\nUse ONLY these entity_classes.\n\nLOAN\n  Money lent\n  to somebody.\n  example type values: fixed loan | open loan\n\nBRANCH\n  A place.\n\n{_RULE}\nEXTRACTION RULES:\n{_RULE}\n1. Do not invent.\n",
+    "properties_prompt": f"Enrich.\n\nFor LOAN, consider:\n  - rate (e.g., 3%)\n  - term\n\nFor BRANCH, consider:\n  - opening hours\n\n{_RULE}\nKEY RULES FOR PROPERTIES:\n{_RULE}\n- Do not invent.\n",
+    "relationships_prompt": f"Identify.\n\n{_RULE}\nCOMMON rel_type VALUES:\n{_RULE}\n\nLOAN ↔ BRANCH:\n  given_by, paid_at,\n  kept_at\n\n{_RULE}\nEXTRACTION RULES:\n{_RULE}\n",
+}
+
+
+@query("h1_harmonise", "SELECT * FROM (VALUES ('BRANCH', true, true), ('LOAN', true, true), ('PERSON', false, true)) t(entity_type, added, in_prompt)")
 def h1(spark, sf):
-    child, added = jobs.harmonise({"entity_types": ["PERSON"], "entities_prompt": "PERSON: x"}, {"entity_types": ["PERSON", "LOAN", "BRANCH"], "entities_prompt": "PERSON: y\nLOAN: money\nBRANCH: place"})
-    return rows(spark, "entity_type string, added boolean", *((t, t in added and f"{t}:" in child["entities_prompt"]) for t in child["entity_types"]))
+    own = PROMPTS["entities_prompt"].replace("LOAN", "PERSON").replace("BRANCH\n  A place.\n\n", "")
+    child, added = jobs.harmonise({"entity_types": ["PERSON"], "entities_prompt": own}, {"entity_types": ["PERSON", "LOAN", "BRANCH"], **PROMPTS})
+    told = {e["class"] for e in jobs.parse_entities(child["entities_prompt"])}
+    return rows(spark, "entity_type string, added boolean, in_prompt boolean", *((t, t in added, t in told) for t in child["entity_types"]))
 
 
-@query("h2_schema_prompts", "SELECT * FROM (VALUES ('entity', 'LOAN'), ('property', 'LOAN.rate'), ('property', 'LOAN.term'), ('relationship', 'PERSON HAS LOAN')) t(kind, name)")
+@query("h2_schema_prompts", """SELECT * FROM (VALUES ('entity', 'LOAN', 'fixed loan|open loan'), ('entity', 'BRANCH', ''), ('property', 'LOAN.rate', 'e.g., 3%'), ('property', 'LOAN.term', ''),
+  ('property', 'BRANCH.opening hours', ''), ('relationship', 'LOAN BRANCH', 'given_by|paid_at|kept_at')) t(kind, name, value)""")
 def h2(spark, sf):
-    found = [("entity", e["name"]) for e in jobs.parse_entities("- **LOAN**: money lent. Types: fixed, open")]
-    found += [("property", f"{k}.{p}") for k, ps in jobs.parse_properties("LOAN: rate, `term`").items() for p in ps]
-    found += [("relationship", f"{r['source']} {r['type']} {r['target']}") for r in jobs.parse_relationships("- PERSON -[HAS]-> LOAN")]
-    return rows(spark, "kind string, name string", *found)
+    found = [("entity", e["class"], "|".join(e["types"])) for e in jobs.parse_entities(PROMPTS["entities_prompt"])]
+    found += [("property", f"{k}.{p['name']}", p["hint"]) for k, ps in jobs.parse_properties(PROMPTS["properties_prompt"]).items() for p in ps]
+    found += [("relationship", f"{r['a']} {r['b']}", "|".join(r["types"])) for r in jobs.parse_relationships(PROMPTS["relationships_prompt"])]
+    return rows(spark, "kind string, name string, value string", *found)
 
 
 @query("h3_job_queue", "SELECT * FROM (VALUES ('j1', 'done', 'ok,ok'), ('j2', 'failed', 'failed,ok')) t(id, status, files)")
@@ -136,7 +150,83 @@ def h3(spark, sf):
     return rows(spark, "id string, status string, files string", *((j["id"], j["status"], ",".join(f["status"] for f in j["files"])) for j in out))
 
 
-@query("h4_question_files", "SELECT * FROM (VALUES (1, 'Q1', 'Rates', 'What is the rate?', 'cites 3%'), (2, 'Q2', 'Fees', 'Any fee?', '')) t(seq, qid, title, question, eval_comment)")
+QUESTION_FILES = (
+    "# Set\n\n## Q7 — Rates\n**Question:** What is the rate?\n\n**Evaluation comment:** cites 3%\n\n## Fees\n**Question:** Any fee?\n",
+    "**Question:** One?\n**Evaluation comment:** yes\n**Question:** Two?",
+    "# Alpha\nbody one\n\n# Q12: Beta\nbody two",
+    "1. One?\n- Why?\nnot this\n",
+)
+
+
+@query("h4_question_files", """SELECT * FROM (VALUES (1, 1, 'Q07', 'Rates', 'What is the rate?', 'cites 3%'), (1, 2, 'Q02', 'Fees', 'Any fee?', NULL), (2, 1, 'Q01', NULL, 'One?', 'yes'), (2, 2, 'Q02', NULL, 'Two?', NULL),
+  (3, 1, 'Q01', 'Alpha', 'body one', NULL), (3, 2, 'Q12', 'Beta', 'body two', NULL), (4, 1, 'Q01', NULL, 'One?', NULL), (4, 2, 'Q02', NULL, 'Why?', NULL)) t(file, seq, qid, title, question, eval_comment)""")
 def h4(spark, sf):
-    got = jobs.parse_questions("# Set\n\n## Q1: Rates\nWhat is the rate?\n\n**Evaluator notes:** cites 3%\n\n## Q2 - Fees\nAny fee?\n")
-    return rows(spark, "seq int, qid string, title string, question string, eval_comment string", *((q["seq"], q["qid"], q["title"], q["question"], q["eval_comment"]) for q in got))
+    got = [(i, q) for i, text in enumerate(QUESTION_FILES, 1) for q in jobs.parse_questions(text)]
+    return rows(spark, "file int, seq int, qid string, title string, question string, eval_comment string", *((i, q["seq"], q["qid"], q["title"], q["question"], q["eval_comment"]) for i, q in got))
+
+
+#: Statements over the views v and parts, and whether the guard lets them by.
+STATEMENTS = (
+    ("SELECT count(*) AS n FROM v", True),
+    ("WITH w AS (SELECT id FROM v) SELECT * FROM w JOIN parts USING (id)", True),
+    ("SELECT (SELECT max(id) FROM v) AS m", True),
+    ("SELECT id FROM v WHERE EXISTS (SELECT 1 FROM parts x WHERE x.id = v.id)", True),
+    ("SELECT upper('drop table v') AS t", True),
+    ("SELECT id, row_number() OVER (ORDER BY id DESC) AS k FROM range(3)", True),
+    ("SELECT * FROM hidden", False),
+    ("SELECT * FROM other.v", False),
+    ("SELECT * FROM parquet.`/tmp/x`", False),
+    ("SELECT * FROM text.`/etc/hostname`", False),
+    ("SELECT (SELECT count(*) FROM text.`/etc/hostname`) AS n", False),
+    ("WITH w AS (SELECT * FROM csv.`/etc/passwd`) SELECT 1 AS one", False),
+    ("SELECT id FROM v WHERE id IN (SELECT value FROM text.`/etc/hostname`)", False),
+    ("SELECT * FROM IDENTIFIER('text.`/etc/hostname`')", False),
+    ("SELECT java_method('java.lang.System', 'getProperty', 'user.home') AS home", False),
+    ("SELECT id FROM v ORDER BY reflect('java.lang.Math', 'random')", False),
+    ("SELECT try_reflect('java.lang.System', 'gc') AS x FROM (SELECT id FROM v)", False),
+    ("SELECT IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.home') AS home", False),
+    ("SELECT input_file_name() AS f FROM v", False),
+    ("SELECT TRANSFORM (id) USING 'cat' AS (x) FROM v", False),
+    ("SELECT * FROM sql_keywords()", False),
+    ("SHOW TABLES", False),
+    ("DESCRIBE v", False),
+    ("EXPLAIN SELECT 1", False),
+    ("DROP TABLE v", False),
+    ("INSERT INTO v VALUES (1)", False),
+    ("CREATE VIEW w AS SELECT 1 AS one", False),
+    ("SET a = 1", False),
+    ("CACHE TABLE v", False),
+    ("TRUNCATE TABLE v", False),
+    ("EXECUTE IMMEDIATE 'SELECT 1'", False),
+)
+
+
+def _let_by(spark, sql):
+    try:
+        run_sql(spark, sql, {"v": spark.range(5), "parts": spark.range(2)})
+    except PermissionError:
+        return False
+    return True
+
+
+def _values(statements):
+    return ", ".join(f"('{sql.replace(chr(39), chr(39) * 2)}', {str(good).lower()})" for sql, good in statements)
+
+
+@query("b14_read_only", f"SELECT * FROM (VALUES {_values(STATEMENTS)}) t(statement, let_by)")
+def b14(spark, sf):
+    return rows(spark, "statement string, let_by boolean", *((sql, _let_by(spark, sql)) for sql, _ in STATEMENTS))
+
+
+@query("a11_isolated_views", "SELECT * FROM (VALUES ('given', 5), ('outside', NULL), ('outside, as a file', NULL)) t(\"view\", n)")
+def a11(spark, sf):
+    """What a query sees of the caller's session: the views handed in, under their names, and nothing else."""
+    spark.range(9).createOrReplaceTempView("outside")
+    found = []
+    for name, source in (("given", "given"), ("outside", "outside"), ("outside, as a file", f"parquet.`{sf}/region.parquet`")):
+        try:
+            found.append((name, isolated(spark, {"given": spark.range(5)}).sql(f"SELECT count(*) AS n FROM {source}").first()["n"]))
+        except AnalysisException:
+            found.append((name, None))
+    spark.catalog.dropTempView("outside")
+    return rows(spark, "view string, n int", *found)
