@@ -16,13 +16,15 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 
 
 def sanitize_identifier(name: str) -> str:
-    """A table or column name: word characters in lower case, never empty or led by a digit."""
-    made = re.sub(r"\W+", "_", name).strip("_").lower() or "table"
+    """A table or column name: one `_` for each sign but ASCII letters and digits, in lower case, never empty or led by a digit."""
+    made = re.sub("[^A-Za-z0-9_]", "_", name).strip("_").lower() or "table"
     return f"t_{made}" if made[0].isdigit() else made
 
 
 def identifier_column(c: Column) -> Column:
-    made = F.lower(F.regexp_replace(F.regexp_replace(c, r"\W+", "_"), "^_+|_+$", ""))
+    """sanitize_identifier over a column."""
+    signs = F.regexp_replace(c, "[\\x{10000}-\\x{10FFFF}]|[^A-Za-z0-9_]", "_")
+    made = F.lower(F.regexp_replace(signs, "^_++|_++$", ""))
     made = F.when(made == "", "table").otherwise(made)
     return F.when(made.rlike("^[0-9]"), F.concat(F.lit("t_"), made)).otherwise(made)
 
@@ -109,21 +111,100 @@ def html_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")
 
 
-def repair_json(raw: str) -> object | None:
-    """What a model meant as JSON: without thoughts, fences and text around it; None if nothing parses."""
+#: Words of JSON and of a language that models mix it up with.
+JSON_WORDS = {"true": True, "false": False, "null": None, "True": True, "False": False, "None": None}
+#: Quotes by the sign that opens them.
+QUOTES = {'"': '"', "'": "'", "\u201c": "\u201d", "\u2018": "\u2019"}
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
+_SKIP = re.compile(r"(?:[\s,:]|//[^\n]*|/\*.*?\*/)*", re.S)
+_BARE = re.compile(r"[^\s,:{}\[\]\"]+")
+
+
+def _quoted(text: str, at: int) -> tuple[str, int]:
+    """A text in quotes from `at` on, and where it ends; it may be cut off."""
+    close, out, i = QUOTES[text[at]], [], at + 1
+    while i < len(text) and text[i] != close:
+        if text[i] == "\\" and i + 1 < len(text):
+            code = re.compile(r"u([0-9a-fA-F]{4})").match(text, i + 1)
+            out.append(chr(int(code[1], 16)) if code else ESCAPES.get(text[i + 1], text[i + 1]))
+            i += 6 if code else 2
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out), i + 1
+
+
+def _tolerant(text: str):
+    """The first object or list of a text, read with whatever commas, colons, quotes and ends are missing.
+
+    One pass with a stack of open containers, so neither depth nor length matters.
+    """
+    start = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
+    if start < 0:
+        return None
+    root, stack, i = None, [], start  # of the stack: container, and the key that waits for its value
+
+    def put(value) -> None:
+        nonlocal root
+        if not stack:
+            root = value
+        elif isinstance(stack[-1][0], list):
+            stack[-1][0].append(value)
+        elif stack[-1][1] is None:
+            stack[-1][1] = value if isinstance(value, str) else json.dumps(value)
+        else:
+            stack[-1][0][stack[-1][1]] = value
+            stack[-1][1] = None
+
+    while i < len(text):
+        i = _SKIP.match(text, i).end()
+        if i >= len(text):
+            break
+        sign = text[i]
+        if sign in "{[":
+            new = {} if sign == "{" else []
+            put(new)
+            stack.append([new, None])
+            i += 1
+        elif sign in "}]":
+            while stack:
+                done = stack.pop()[0]
+                if isinstance(done, list) == (sign == "]"):
+                    break
+            i += 1
+            if not stack:
+                break
+        elif sign in QUOTES:
+            value, i = _quoted(text, i)
+            put(value)
+        else:
+            word = _BARE.match(text, i)[0]
+            i += len(word)
+            waits = isinstance(stack[-1][0], dict) and stack[-1][1] is None
+            try:
+                put(word if waits else JSON_WORDS[word] if word in JSON_WORDS else json.loads(word))
+            except ValueError:
+                put(word)
+    return root
+
+
+def repair_json(raw: str | None) -> object | None:
+    """What a model meant as JSON: without thoughts, fences and text around it; None if nothing is there.
+
+    Good JSON is read as such; else comments, single or no quotes, missing or spare commas and
+    texts that are cut off are put up with.
+    """
     text = re.sub(r"(?s)<think>.*?</think>", "", raw or "").strip()
-    fenced = re.search(r"(?s)```(?:json)?\s*(.*?)```", text)
+    fenced = re.search(r"(?s)```(?:json)?[^\S\n]*\n?(.*?)(?:```|\Z)", text)
     if fenced:
         text = fenced[1].strip()
-    spans = [(text.find(a), text.rfind(b)) for a, b in ("{}", "[]")]
-    tries = [text, *[text[i : j + 1] for i, j in sorted(s for s in spans if -1 < s[0] < s[1])]]
-    for t in tries:
-        for candidate in (t, re.sub(r",\s*([}\]])", r"\1", t)):
-            try:
-                return json.loads(candidate)
-            except ValueError:
-                pass
-    return None
+    starts = sorted((text.find(a), text.rfind(b)) for a, b in ("{}", "[]") if a in text)
+    for t in [text, *(text[i : j + 1] for i, j in starts[:1] if j > i)]:
+        try:
+            return json.loads(t)
+        except (ValueError, RecursionError):
+            pass
+    return _tolerant(text)
 
 
 def _repaired(raw: pd.Series) -> pd.Series:

@@ -6,6 +6,9 @@ fold of its rows in order; the fold isn't associative, so it runs over an ordere
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +32,43 @@ def fold_first(values: Column) -> Column:
     return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
-def fold(ledger: DataFrame, *key: str) -> DataFrame:
-    """(key, property, value) of a ledger (key, property, doc_id, ord, value): each property folded in order."""
+def merge_value(old, new):
+    """What a property is after a further value: lists and single values unite, texts are joined, the rest stays as it was."""
+    if old is None:
+        return new
+    if isinstance(old, list):
+        more = new if isinstance(new, list) else [new]
+        return [*old, *(x for i, x in enumerate(more) if x not in old and x not in more[:i])]
+    if isinstance(new, list):
+        return new if old in new else [old, *new]
+    if isinstance(old, str) and isinstance(new, str) and new and new not in old:
+        return f"{old}{JOINER}{new}"
+    return old
+
+
+def _fold_json(values: pd.Series) -> pd.Series:
+    out = []
+    for texts in values:
+        now = None
+        for text in texts:
+            new = json.loads(text) if text is not None else None
+            now = now if new in (None, "", []) and not isinstance(new, bool) else merge_value(now, new)
+        out.append(None if now is None else json.dumps(now, ensure_ascii=False))
+    return pd.Series(out, dtype="object")
+
+
+def fold_mixed(values: Column) -> Column:
+    """An ordered array of JSON texts folded with merge_value, as JSON text: for properties of mixed types; null for none."""
+    return F.pandas_udf(_fold_json, "string")(values)
+
+
+def fold(ledger: DataFrame, *key: str, mixed: bool = False) -> DataFrame:
+    """(key, property, value) of a ledger (key, property, doc_id, ord, value): each property folded in order.
+
+    Values are texts; or, if `mixed`, JSON texts of strings, numbers and lists.
+    """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "doc_id", "value"))), lambda x: x["value"])
-    return ledger.groupBy(*key, "property").agg(ordered.alias("values")).select(*key, "property", fold_strings(F.col("values")).alias("value")).filter("value IS NOT NULL")
+    return ledger.groupBy(*key, "property").agg(ordered.alias("values")).select(*key, "property", (fold_mixed if mixed else fold_strings)(F.col("values")).alias("value")).filter("value IS NOT NULL")
 
 
 def record(ledger: DataFrame, new: DataFrame, *key: str) -> DataFrame:

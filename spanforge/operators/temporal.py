@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,59 +72,64 @@ def normalize_time(documents: DataFrame, chunks: DataFrame, lifted: DataFrame) -
     return docs.select(*documents.columns), parts, changed
 
 
-_SECTION = re.compile(r"(?im)^#{1,6}\s+.*(?:supersed|replac|version history|document control).*$")
-_PROSE = re.compile(r"(?i)supersed(?:es|ed by|ing)?\b[^.\n]{0,120}?\bversion\s+v?(\d+(?:\.\d+)*)(\s*\([^)]*\))?")
-_DATE = re.compile(r"(?i)effective\s+(?:from\s+|date:?\s+)?(\d{4}-\d{2}-\d{2}|\d{1,2}\s+[a-z]+\s+\d{4}|[a-z]+\s+\d{1,2},\s+\d{4})")
-_ROW = re.compile(r"(?im)^\|\s*\**supersedes\**\s*\|\s*(.+?)\s*\|")
-
-
-def parse_notice(text: str | None) -> dict | None:
-    """What a document says it supersedes: {kind, target, effective}; None if it doesn't.
-
-    A metadata row names another document; prose in a section on versions names an older
-    version, whose own date in brackets isn't the date of the change.
-    """
-    body = text or ""
-    row = _ROW.search(body)
-    if row and not re.fullmatch(r"(?i)none|n/?a|-|–|—", row[1]):
-        name = re.search(r"\[\[([^\]|]+)", row[1])
-        return {"kind": "table", "target": (name[1] if name else row[1]).strip(), "effective": None}
-    for head in _SECTION.finditer(body):
-        rest = body[head.end() :]
-        cut = re.search(r"(?m)^#{1,6}\s", rest)
-        part = rest[: cut.start()] if cut else rest
-        said = _PROSE.search(part)
-        if said:
-            outside = part[: said.start(2)] + part[said.end(2) :] if said[2] else part
-            day = _DATE.search(outside)
-            return {"kind": "notice", "target": said[1], "effective": day[1] if day else None}
-    return None
+#: The section that tells what a document supersedes, up to the next heading or rule.
+NOTICE_SECTION = r"(?is)##\s*Supersession Notice[^\S\n]*\n(.*?)(?=\n##|\n---|\z)"
+#: A superseded version, and its own date in brackets, which isn't the date of the change.
+NOTICE_VERSION = r"(?i)(supersedes?[^\n]*?\bVersion\s+(\d+(?:\.\d+){0,9}))(\s*\([^)]*\))?"
+NOTICE_DATE = r"(?i)effective(?:\s+date)?[:\s]+(?:from\s+)?(\d{4}-\d{2}-\d{2}|\d{1,2}\s+[a-z]+\s+\d{4})"
 
 
 def notices(documents: DataFrame) -> DataFrame:
-    """(id, kind, target, effective) of the documents that say what they supersede."""
-    @F.pandas_udf("struct<kind:string,target:string,effective:string>")
-    def parsed(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_notice(t) or {"kind": None, "target": None, "effective": None} for t in texts], columns=["kind", "target", "effective"])
+    """(id, kind, target, effective) of what documents say that they supersede, one row a kind.
 
-    hint = F.lower("text").contains("supersed")
-    rows = documents.filter(hint).withColumn("n", parsed("text")).select("id", "n.*").filter("kind IS NOT NULL")
-    return rows.withColumn("effective", iso_date(F.col("effective")))
+    `notice`: a section called Supersession Notice names an older version.  `table`: a header row
+    or line `Supersedes` names another document; `none` names nothing.  A document may have both.
+    """
+    section = F.regexp_extract("text", NOTICE_SECTION, 1)
+    version = F.regexp_extract("section", NOTICE_VERSION, 2)
+    day = F.regexp_extract(F.regexp_replace("section", NOTICE_VERSION, "$1"), NOTICE_DATE, 1)
+    named = header_value(F.col("text"), "Supersedes")
+    link = F.regexp_extract(named, r"\[\[([^\]|#]+)", 1)
+    target = F.trim(F.when(link != "", link).otherwise(named))
+    hinted = documents.filter(F.lower("text").contains("supersed")).withColumn("section", section)
+    row = lambda kind, what, date: F.struct(F.lit(kind).alias("kind"), what.alias("target"), date.alias("effective"))
+    said = F.array(
+        row("notice", F.when(version != "", version), iso_date(day)),
+        row("table", F.when((target != "") & (F.lower(target) != "none"), target), iso_date(header_value(F.col("text"), "Effective Date"))),
+    )
+    return hinted.select("id", F.explode(said).alias("n")).select("id", "n.*").filter("target IS NOT NULL")
+
+
+def _the_other(groups: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
+    """asked (id, *key) with `older`: the group's only member besides id itself, if there is just one.
+
+    groups: (*key, n, least, most), one row a key, so nothing is multiplied.
+    """
+    own = (F.col("least") == F.col("id")) | (F.col("most") == F.col("id"))
+    other = F.when((F.col("n") == 1) & ~own, F.col("least")).when((F.col("n") == 2) & own, F.when(F.col("least") == F.col("id"), F.col("most")).otherwise(F.col("least")))
+    return asked.join(groups, key, "left").withColumn("older", other).drop("n", "least", "most")
 
 
 def resolve_versions(said: DataFrame, documents: DataFrame) -> DataFrame:
-    """(newer, older, effective, kind): the one other document of a version, or else the one of the same stem."""
-    docs = documents.select("id", "domain", title_stem(F.col("name")).alias("stem"), "version_number")
-    newer = said.filter("kind = 'notice'").join(docs.select("id", "domain", F.col("stem").alias("own_stem")), "id")
-    pairs = newer.join(docs.select(F.col("id").alias("older"), "domain", "stem", F.col("version_number").alias("target")), ["domain", "target"]).filter("id <> older")
-    w = Window.partitionBy("id")
-    akin = (F.col("stem") == F.col("own_stem")).cast("int")
-    counted = pairs.withColumns({"n": F.count("*").over(w), "n_akin": F.sum(akin).over(w), "akin": akin})
-    by_version = counted.filter("n = 1 OR (n_akin = 1 AND akin = 1)").select(F.col("id").alias("newer"), "older", "effective", F.lit("notice").alias("kind"))
-    named = said.filter("kind = 'table'").select("id", "effective", F.lower("target").alias("target"))
-    names = documents.select(F.col("id").alias("older"), F.lower(F.regexp_replace("name", r"\.[A-Za-z0-9]{1,5}$", "")).alias("target"))
-    by_name = named.join(names, "target").filter("id <> older").select(F.col("id").alias("newer"), "older", "effective", F.lit("table").alias("kind"))
-    return by_version.unionByName(by_name)
+    """(newer, older, effective, kind), one a newer document at most.
+
+    A notice's version is the one other document of that version in the domain, or else the one
+    of the same stem; where that tells nothing, the document named in the table counts.
+    Documents are summed up by version first; nobody meets all of a version.
+    """
+    docs = documents.select("id", "domain", title_stem(F.col("name")).alias("stem"), F.col("version_number").alias("target"))
+    counts = (F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
+    by_stem = docs.filter("target IS NOT NULL").groupBy("domain", "target", "stem").agg(*counts)
+    by_version = by_stem.groupBy("domain", "target").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    asked = said.filter("kind = 'notice'").join(docs.drop("target"), "id")
+    asked = _the_other(by_version, asked, ["domain", "target"]).withColumnRenamed("older", "only")
+    asked = _the_other(by_stem, asked, ["domain", "target", "stem"]).withColumn("older", F.coalesce("only", "older"))
+    noticed = asked.filter("older IS NOT NULL").select(F.col("id").alias("newer"), "older", "effective", F.lit("notice").alias("kind"))
+    named = said.filter("kind = 'table'").select("id", "effective", F.lower("target").alias("name"))
+    own = documents.select("id", "domain")
+    names = documents.groupBy("domain", F.lower(F.regexp_replace("name", r"\.[A-Za-z0-9]{1,5}$", "")).alias("name")).agg(F.max("id").alias("older"))
+    tabled = named.join(own, "id").join(names, ["domain", "name"]).filter("id <> older").select(F.col("id").alias("newer"), "older", "effective", F.lit("table").alias("kind"))
+    return noticed.unionByName(tabled.join(noticed.select("newer"), "newer", "left_anti"))
 
 
 def family_chain(documents: DataFrame) -> DataFrame:

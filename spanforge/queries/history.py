@@ -72,8 +72,12 @@ def _policies(spark, sf):
     rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     p = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.date_format("o_orderdate", "d MMMM yyyy").alias("said"), rank.alias("version"))
     head = F.concat(F.lit("# Policy\n\n| Field | Value |\n|---|---|\n| Effective Date | "), "said", F.lit(" |\n| Version | v"), F.col("version").cast("string"), F.lit(".0 (final) |\n"))
-    note = F.when(F.col("version") % 3 == 0, F.concat(F.lit("\n## Version history\nThis policy supersedes Version "), (F.col("version") - 1).cast("string"), F.lit(".0 (effective 1 January 2001). It is effective from "), "said", F.lit(".\n"))).otherwise(F.lit(""))
-    return p.select("id", "cust", "day", "version", F.concat(F.lit("policy"), F.col("cust").cast("string"), F.lit("_v"), F.col("version").cast("string"), F.lit(".md")).alias("name"), F.lit("rules").alias("domain"), F.concat(head, note).alias("text"))
+    older = F.concat(F.lit("policy"), F.col("cust").cast("string"), F.lit("_v"), (F.col("version") - 1).cast("string"))
+    named = F.when(F.col("version") % 2 == 0, F.concat(F.lit("| Supersedes | Version x, [["), older, F.lit("]] |\n"))).otherwise(F.lit("| Supersedes | None |\n"))
+    notice = F.concat(F.lit("\n## Supersession Notice\nThis policy supersedes Version "), (F.col("version") - 1).cast("string"), F.lit(".0 (Effective Date: 2001-01-01). Effective Date: "), "said", F.lit(".\n\n## Scope\nIt supersedes Version 0.9.\n"))
+    text = F.concat(head, named, F.when(F.col("version") % 3 == 0, notice).otherwise(F.lit("")))
+    name = F.concat(F.lit("policy"), F.col("cust").cast("string"), F.lit("_v"), F.col("version").cast("string"), F.lit(".md"))
+    return p.select("id", "cust", "day", "version", name.alias("name"), F.lit("rules").alias("domain"), text.alias("text"))
 
 
 POLICIES = """p AS (SELECT o_orderkey AS id, o_custkey AS cust, strftime(o_orderdate, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version FROM orders)"""
@@ -100,7 +104,8 @@ def t10(spark, sf):
     return temporal.normalize_time(docs, B.chunks(d), lifted)[2]
 
 
-@query("t11_notices", f"WITH {POLICIES} SELECT id, 'notice' AS kind, (version - 1) || '.0' AS target, day AS effective FROM p WHERE version % 3 = 0")
+@query("t11_notices", f"""WITH {POLICIES} SELECT id, 'notice' AS kind, (version - 1) || '.0' AS target, day AS effective FROM p WHERE version % 3 = 0
+UNION ALL SELECT id, 'table', 'policy' || cust || '_v' || (version - 1), day FROM p WHERE version % 2 = 0""")
 def t11(spark, sf):
     return temporal.notices(_policies(spark, sf))
 
@@ -119,9 +124,10 @@ def t14(spark, sf):
     return temporal.family_chain(p)
 
 
-@query("t15_detect_supersession", f"""WITH {POLICIES}, {CHAIN}, notice AS (SELECT a.id AS newer, b.id AS older, a.day AS effective FROM p a JOIN p b ON a.cust = b.cust AND b.version = a.version - 1 WHERE a.version % 3 = 0),
+@query("t15_detect_supersession", f"""WITH {POLICIES}, {CHAIN}, told AS (SELECT a.id AS newer, b.id AS older, a.day AS effective, CASE WHEN a.version % 3 = 0 THEN 'notice' ELSE 'table' END AS kind
+    FROM p a JOIN p b ON a.cust = b.cust AND b.version = a.version - 1 WHERE a.version % 3 = 0 OR a.version % 2 = 0),
   fam AS (SELECT id AS newer, older, day AS effective FROM chain WHERE older IS NOT NULL AND n = 1 AND older_n = 1)
-SELECT newer, older, effective, 'notice' AS kind FROM notice UNION ALL SELECT newer, older, effective, 'family' FROM fam WHERE NOT EXISTS (SELECT 1 FROM notice x WHERE x.newer = fam.newer AND x.older = fam.older)""")
+SELECT newer, older, effective, kind FROM told UNION ALL SELECT newer, older, effective, 'family' FROM fam WHERE NOT EXISTS (SELECT 1 FROM told x WHERE x.newer = fam.newer AND x.older = fam.older)""")
 def t15(spark, sf):
     p = temporal.lift_header(_policies(spark, sf), "2024-01-01", date_column=None)
     return temporal.detect_supersession(p)
@@ -176,6 +182,20 @@ def d6(spark, sf):
     return ledger.fold(_ledger(spark, sf), "user_id")
 
 
+@query("d6_mixed_values", """WITH seen AS (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS k FROM customer GROUP BY 1, 2)
+SELECT c_nationkey, 'number' AS property, CAST(min(c_custkey) AS VARCHAR) AS value FROM customer GROUP BY 1
+UNION ALL SELECT c_nationkey, 'segments', '[' || string_agg('"' || c_mktsegment || '"', ', ' ORDER BY k) || ']' FROM seen GROUP BY 1""")
+def d6_mixed(spark, sf):
+    """Numbers, of which the first stays; segments told in a list of one at first, then alone or in lists."""
+    c = table(spark, sf, "customer").select("c_nationkey", F.col("c_custkey").alias("ord"), F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("doc_id"), "c_mktsegment")
+    first = F.col("ord") == F.min("ord").over(Window.partitionBy("c_nationkey"))
+    quoted = F.concat(F.lit('"'), "c_mktsegment", F.lit('"'))
+    segment = F.when(first | (F.col("ord") % 3 == 0), F.concat(F.lit("["), quoted, F.lit("]"))).otherwise(quoted)
+    numbers = c.select("c_nationkey", F.lit("number").alias("property"), "doc_id", "ord", F.col("ord").cast("string").alias("value"))
+    segments = c.select("c_nationkey", F.lit("segments").alias("property"), "doc_id", "ord", segment.alias("value"))
+    return ledger.fold(numbers.unionByName(segments), "c_nationkey", mixed=True)
+
+
 def _ledger(spark, sf):
     e = table(spark, sf, "events")
     return e.select("user_id", F.lit("kind").alias("property"), F.concat(F.lit("d"), (F.col("event_id") % 50).cast("string")).alias("doc_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("value"))

@@ -133,7 +133,8 @@ def t5(spark, sf):
     return out.filter(F.lit(version == 2) & F.col("_is_current")).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query("t13_version_resolution", f"WITH {POLICIES} SELECT a.id AS newer, b.id AS older, a.day AS effective, 'notice' AS kind FROM p a JOIN p b ON a.cust = b.cust AND b.version = a.version - 1 WHERE a.version % 3 = 0")
+@query("t13_version_resolution", f"""WITH {POLICIES} SELECT a.id AS newer, b.id AS older, a.day AS effective, CASE WHEN a.version % 3 = 0 THEN 'notice' ELSE 'table' END AS kind
+FROM p a JOIN p b ON a.cust = b.cust AND b.version = a.version - 1 WHERE a.version % 3 = 0 OR a.version % 2 = 0""")
 def t13(spark, sf):
     p = temporal.lift_header(_policies(spark, sf), "2024-01-01", date_column=None)
     return temporal.resolve_versions(temporal.notices(p), p)
@@ -164,10 +165,19 @@ def d4(spark, sf):
     return chunking.local_ids(e, "chunk_id", "ref").select("id", "ref")
 
 
-@query("d5_json_repair", "SELECT item_id, item_id * 2 AS v FROM benchmark")
+#: By item modulo 6, what is written before and after twice the item's id.
+BROKEN = ('<think>no</think>Sure: ```json\n{"v": ', ",}\n```"), ("{'v': ", "}"), ("{v: ", ', w: "cut'), ('{"w": [1 2 3] "v": ', "}"), ('[1, {"v": ', ""), ('{"v": /* twice */ ', ' // id\n, "w": None}')
+
+
+@query("d5_json_repair", "SELECT item_id, item_id * 2 AS v, item_id % 6 = 4 AS in_list FROM benchmark")
 def d5(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("<think>no</think>Sure: ```json\n{\"v\": "), (F.col("item_id") * 2).cast("string"), F.lit(",}\n```")).alias("raw"))
-    return b.select("item_id", F.get_json_object(T.repaired_json("raw"), "$.v").cast("bigint").alias("v"))
+    twice = (F.col("item_id") * 2).cast("string")
+    raw = F.lit(None).cast("string")
+    for i, (before, after) in enumerate(BROKEN):
+        raw = F.when(F.col("item_id") % len(BROKEN) == i, F.concat(F.lit(before), twice, F.lit(after))).otherwise(raw)
+    b = table(spark, sf, "benchmark").select("item_id", T.repaired_json(raw).alias("json"))
+    found = F.coalesce(F.get_json_object("json", "$.v"), F.get_json_object("json", "$[1].v"))
+    return b.select("item_id", found.cast("bigint").alias("v"), F.get_json_object("json", "$[1].v").isNotNull().alias("in_list"))
 
 
 @query("d7_record", "SELECT user_id, count(DISTINCT event_id % 50) AS n FROM events GROUP BY 1")

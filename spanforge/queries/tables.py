@@ -113,9 +113,11 @@ def q_union_by_name(spark, sf):
     return c.unionByName(s, allowMissingColumns=True)
 
 
-@query("a7_identifiers", "SELECT DISTINCT p_name, CASE WHEN regexp_matches(x, '^[0-9]') THEN 't_' || x WHEN x = '' THEN 'table' ELSE x END AS ident FROM (SELECT p_name, lower(trim(regexp_replace(p_size || ' ' || p_name || '!', '\\W+', '_', 'g'), '_')) AS x FROM part)")
+@query("a7_identifiers", """SELECT DISTINCT p_name, p_size, CASE WHEN x = '' THEN 'table' WHEN regexp_matches(x, '^[0-9]') THEN 't_' || x ELSE x END AS ident
+FROM (SELECT p_name, p_size, lower(trim(regexp_replace(CASE WHEN p_size % 2 = 0 THEN p_size || ' -- ' ELSE ' Ä(' END || p_name || '! (é)', '[^A-Za-z0-9_]', '_', 'g'), '_')) AS x FROM part)""")
 def a7(spark, sf):
-    return table(spark, sf, "part").select("p_name", identifier_column(F.concat(F.col("p_size").cast("string"), F.lit(" "), "p_name", F.lit("!"))).alias("ident")).distinct()
+    raw = F.concat(F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit(" -- "))).otherwise(" Ä("), "p_name", F.lit("! (é)"))
+    return table(spark, sf, "part").select("p_name", "p_size", identifier_column(raw).alias("ident")).distinct()
 
 
 @query("a10_introspection", "SELECT 'customer' AS \"table\", unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS \"column\", unnest(['bigint', 'string', 'int', 'double', 'string']) AS type")

@@ -12,6 +12,7 @@ from spanforge.functions import text as T
 from spanforge.functions.similarity import ratio
 from spanforge.operators import chunking, documents, fusion, graph, jobs, ledger, metadata, metrics, refine, retrieval, scd2, temporal
 from spanforge.plans import guard
+from spanforge.queries import steps
 from spanforge.plans.catalog import ORACLE_SQL, QUERIES
 from spanforge.sources import files, store
 from spanforge.streaming import incremental
@@ -95,6 +96,12 @@ def test_title_stems(spark):
     assert {r[0] for r in d.select(T.title_stem(F.col("n"))).collect()} == {"policy"}
 
 
+@pytest.mark.parametrize(("name", "want"), [("my--file name (1)", "my__file_name__1"), ("Ärger x", "rger_x"), ("2024 rates", "t_2024_rates"), (" _ ", "table"), ("", "table"), ("a_b", "a_b")])
+def test_identifiers_map_each_sign(spark, name, want):
+    assert T.sanitize_identifier(name) == want
+    assert spark.range(1).select(T.identifier_column(F.lit(name)).alias("x")).first()["x"] == want
+
+
 def test_identifiers():
     assert [T.sanitize_identifier(x) for x in ("My File!", "2024 data", "--")] == ["my_file", "t_2024_data", "table"]
 
@@ -109,10 +116,36 @@ def test_pages_lose_markup(spark):
     assert spark.createDataFrame([(html,)], "h string").select(T.html_text(F.col("h"))).first()[0] == "One & two\nthree\nfour"
 
 
-def test_json_repair():
-    assert T.repair_json('<think>x</think>```json\n{"a": [1, 2,],}\n```') == {"a": [1, 2]}
-    assert T.repair_json("said: [1] ok") == [1]
-    assert T.repair_json("nothing") is None
+JSON = {
+    "<think>x</think>```json\n[1, 2,]\n```": [1, 2],
+    'Sure: {"a": {"b": [1, 2, 3,],},} done': {"a": {"b": [1, 2, 3]}},
+    "{'a': 'it\\'s', b: True, c_d: None}": {"a": "it's", "b": True, "c_d": None},
+    '{"a": 1 "b": [1 2 3] "c": "x"}': {"a": 1, "b": [1, 2, 3], "c": "x"},
+    '[{"a": "x"}, {"a": "y", "b": [1, 2': [{"a": "x"}, {"a": "y", "b": [1, 2]}],
+    '{"a": "cut of': {"a": "cut of"},
+    '{"a": -1.5e3, // note\n "b": /* no */ 2}': {"a": -1500.0, "b": 2},
+    "{\u201ca\u201d: \u201cx\u201d}": {"a": "x"},
+    '{"a": "line\nbreak", "b": "\\u00e9"}': {"a": "line\nbreak", "b": "é"},
+    "no json": None,
+    "": None,
+    None: None,
+}
+
+
+@pytest.mark.parametrize("raw", JSON)
+def test_json_repair(raw):
+    assert T.repair_json(raw) == JSON[raw]
+
+
+def test_json_repair_takes_deep_and_long_texts():
+    assert T.repair_json("[" * 100_000) is not None
+    assert len(T.repair_json("[" + "1 " * 50_000)) == 50_000
+
+
+def test_mixed_values_are_merged():
+    cases = [(None, 1, 1), ([1, 2], [2, 3], [1, 2, 3]), ([1], 1, [1]), ([1], "x", [1, "x"]), ("x", ["x", "y"], ["x", "y"]), ("z", ["x"], ["z", "x"]), ("ab", "b", "ab"), ("a", "b", "a | b"), ("a", "", "a"), (3, 4, 3), (True, "x", True), (2, [2, 3], [2, 3])]
+    for old, new, want in cases:
+        assert ledger.merge_value(old, new) == want
 
 
 def test_ratio_is_difflibs_and_ordered():
@@ -252,11 +285,30 @@ def test_commit_tells_what_failed():
         documents.commit({}, {"write": boom})
 
 
-def test_notices_use_the_new_date_only():
-    text = "# P\n\n## Version history\nThis supersedes Version 1.2 (effective 1 May 2020). Effective from 3 June 2024.\n"
-    assert temporal.parse_notice(text) == {"kind": "notice", "target": "1.2", "effective": "3 June 2024"}
-    assert temporal.parse_notice("| Supersedes | [[old policy]] |\n") == {"kind": "table", "target": "old policy", "effective": None}
-    assert temporal.parse_notice("This supersedes Version 3.") is None
+NOTICES = {
+    1: "# P\n\n## Supersession Notice\n\nThis document, effective 3 June 2024, supersedes **Complaints** Version 1.2 (Effective Date: 2020-05-01).\n\n---\nEffective Date: 1999-01-01\n",
+    2: "| Effective Date | 1 July 2024 |\n| Supersedes | [[old policy#a]] |\n",
+    3: "This supersedes Version 3. Effective 2024-01-01",
+    4: "| Supersedes | Version 2.0, [[policy_x]] |\n\n## Supersession Notice\nSupersedes Version 2.0 (Effective Date 2026-01-15). Effective Date: 2026-03-01\n## Next\n",
+    5: "| Supersedes | None |\n\n## Supersession Notice\nNothing.\n",
+    6: None,
+}
+
+
+def test_notices_and_rows_are_both_read(spark):
+    got = temporal.notices(spark.createDataFrame(list(NOTICES.items()), "id int, text string")).collect()
+    want = [(1, "notice", "1.2", "2024-06-03"), (2, "table", "old policy", "2024-07-01"), (4, "notice", "2.0", "2026-03-01"), (4, "table", "policy_x", None)]
+    assert sorted((r["id"], r["kind"], r["target"], r["effective"]) for r in got) == want
+
+
+def test_versions_name_one_document_or_none(spark):
+    docs = [(1, "d", "a_v1.md", "1.0"), (2, "d", "a_v2.md", "2.0"), (3, "d", "b_v1.md", "1.0"), (4, "d", "c.md", "4.0"), (5, "e", "z.md", "9.0"), (6, "d", "a_v3.md", "1.0"), (7, "d", "y.md", None)]
+    said = [(2, "notice", "1.0"), (3, "notice", "1.0"), (4, "notice", "2.0"), (5, "notice", "4.0"), (4, "table", "A_V1"), (7, "table", "c"), (1, "notice", "7.7"), (1, "table", "b_v1")]
+    d = spark.createDataFrame(docs, "id int, domain string, name string, version_number string")
+    s = spark.createDataFrame([(*x, None) for x in said], "id int, kind string, target string, effective string")
+    got = sorted((r["newer"], r["older"], r["kind"]) for r in temporal.resolve_versions(s, d).collect())
+    # version 1.0 has two documents of a's stem besides 2, and none of b's besides 3
+    assert got == [(1, 3, "table"), (4, 2, "notice"), (7, 4, "table")]
 
 
 def test_temporal_settings_are_inherited():
@@ -341,9 +393,21 @@ def test_normative_tables_keep_history():
 def test_guards(spark):
     assert guard.looks_read_only("select 1") and not guard.looks_read_only("drop table x") and not guard.looks_read_only("select 'set'")
     guard.check_read_only(spark, "select 'set' as load")
-    for bad in ("drop table x", "insert into t values (1)", "create view v as select 1", "set a=1", "cache table t", "truncate table t"):
+
+
+@pytest.mark.parametrize(("sql", "good"), steps.STATEMENTS)
+def test_statements_read_given_views_only(spark, sql, good):
+    views = {"v": spark.range(5), "parts": spark.range(2)}
+    if good:
+        assert guard.run_sql(spark, sql, views).collect() is not None
+    else:
         with pytest.raises(PermissionError):
-            guard.check_read_only(spark, bad)
+            guard.run_sql(spark, sql, views)
+
+
+def test_files_cannot_be_read_by_path_even_unguarded(spark):
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND|UNSUPPORTED|not found"):
+        guard.isolated(spark, {}).sql("select * from text.`/etc/hostname`").collect()
 
 
 def test_views_out_of_scope_are_unreachable(spark):
@@ -411,20 +475,42 @@ def test_jobs_fail_with_a_file_and_can_be_retried():
     assert [f["status"] for f in jobs.retry(job)["files"]] == ["ok", "pending"]
 
 
-def test_question_files():
-    got = jobs.parse_questions("## Q1: Rates\nWhat is the rate?\n\n**Evaluator notes:** cites 3%\n\n## Q2 - Fees\nAny fee?\n")
-    assert [(q["qid"], q["title"], q["question"], q["eval_comment"]) for q in got] == [("Q1", "Rates", "What is the rate?", "cites 3%"), ("Q2", "Fees", "Any fee?", "")]
-    assert [q["question"] for q in jobs.parse_questions("1. One?\n2. Two?\n")] == ["One?", "Two?"]
-    assert [q["question"] for q in jobs.parse_questions("intro\n- Why?\n")] == ["Why?"]
-    assert len(jobs.parse_questions("a b\n\nc d\n")) == 2
+QUESTIONS = {
+    "# Set\r\n\r\n## Q7 — Rates\r\n**Question:** What is\r\nthe rate?\r\n\r\n**Evaluation comment:** cites 3%\r\n\r\n## Notes\r\nnone\r\n## Fees\r\n**Question** Any fee?": [(1, "Q07", "Rates", "What is\nthe rate?", "cites 3%"), (2, "Q02", "Fees", "Any fee?", None)],
+    "intro\n**Question:** One?\n**Evaluation comment:** yes\n**question:** Two?": [(1, "Q01", None, "One?", "yes"), (2, "Q02", None, "Two?", None)],
+    "# Alpha\nbody one\n\n# Empty\n\n# Q12: Beta\nbody two": [(1, "Q01", "Alpha", "body one", None), (2, "Q12", "Beta", "body two", None)],
+    "1. One?\n- Why?\nnot this\n  * 2. Two?  \n": [(1, "Q01", None, "One?", None), (2, "Q02", None, "Why?", None), (3, "Q03", None, "Two?", None)],
+    "": [],
+    "nothing asked\n": [],
+}
+
+
+@pytest.mark.parametrize("text", QUESTIONS)
+def test_question_files(text):
+    got = jobs.parse_questions(text)
+    assert [(q["seq"], q["qid"], q["title"], q["question"], q["eval_comment"]) for q in got] == QUESTIONS[text]
+
+
+def test_schema_prompts():
+    entities = jobs.parse_entities(steps.PROMPTS["entities_prompt"])
+    assert entities == [{"class": "LOAN", "description": "Money lent to somebody.", "types": ["fixed loan", "open loan"]}, {"class": "BRANCH", "description": "A place.", "types": []}]
+    properties = jobs.parse_properties(steps.PROMPTS["properties_prompt"])
+    assert properties == {"LOAN": [{"name": "rate", "hint": "e.g., 3%"}, {"name": "term", "hint": ""}], "BRANCH": [{"name": "opening hours", "hint": ""}]}
+    assert jobs.parse_relationships(steps.PROMPTS["relationships_prompt"]) == [{"a": "LOAN", "b": "BRANCH", "types": ["given_by", "paid_at", "kept_at"]}]
+    assert jobs.parse_entities("LOAN: money") == [] == jobs.parse_relationships("A ↔ B:\n  x")
+    assert jobs.parse_properties("") == {}
 
 
 def test_schemas_are_harmonised_once():
-    parent = {"entity_types": ["PERSON", "LOAN"], "entities_prompt": "PERSON: somebody\nLOAN: money\n  more"}
-    child, added = jobs.harmonise({"entity_types": ["PERSON"], "entities_prompt": "PERSON: x"}, parent)
-    assert added == ["LOAN"] and child["entities_prompt"] == "PERSON: x\nLOAN: money\n  more"
-    assert jobs.harmonise(child, parent) == (child, [])
-    assert jobs.parse_relationships("PERSON -[HAS]-> LOAN\n") == [{"source": "PERSON", "type": "HAS", "target": "LOAN"}]
+    parent = {"entity_types": ["PERSON", "LOAN", "BRANCH"], **steps.PROMPTS}
+    rule = "━" * 9
+    child = {"entity_types": ["PERSON"], "entities_prompt": f"{rule}\nENTITY TYPES YOU MUST EXTRACT:\n{rule}\n\nPERSON\n  Somebody.\n\n{rule}\nEXTRACTION RULES:\n{rule}\n1. No.\n", "relationships_prompt": "no rules here"}
+    new, added = jobs.harmonise(child, parent)
+    assert added == ["BRANCH", "LOAN"] and new["entity_types"] == ["BRANCH", "LOAN", "PERSON"] and "properties_prompt" not in new
+    assert [e["class"] for e in jobs.parse_entities(new["entities_prompt"])] == ["PERSON", "BRANCH", "LOAN"]
+    assert new["entities_prompt"].count("EXTRACTION RULES:") == 1 and new["entities_prompt"].endswith(f"{rule}\n1. No.\n")
+    assert new["relationships_prompt"] == "no rules here\n\n\n\nLOAN ↔ BRANCH:\n  given_by, paid_at,\n  kept_at"
+    assert jobs.harmonise(new, parent) == (new, [])
 
 
 def test_profile_kinds(spark):
