@@ -30,10 +30,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_batches
+from .common import IdFilter, Scratch, text_batches
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 CHUNKS, CHUNK_SYMBOLS, ERRORS = 12, 6, 1
@@ -128,17 +128,28 @@ def _near(pairs: DataFrame, sigs: DataFrame, most: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, shingles) of the documents asked for, as packed 64-bit hashes."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).join(ids, "id").select("id", "text", "asked")
+def _sets(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """(id, shingles) of the documents asked for (id, set_id), as packed 64-bit hashes.
+
+    Texts aren't shuffled: a Bloom filter picks those that may be asked for where they are read,
+    and only their sets move, to the exact join.
+    """
+    picked = IdFilter(asked, "id")
+    shared = picked.words
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
 
     def run(batches):
         for batch in batches:
-            packed = [shingle_set(t.as_py(), size).tobytes() for t in batch.column(1)]
-            right = [xxhash.xxh3_128_digest(x) == a for x, a in zip(packed, batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "shingles"]).filter(pa.array(right, pa.bool_()))
+            if not len(batch):
+                continue
+            places = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            at = np.flatnonzero(IdFilter.hits(shared.value, places))
+            packed = [shingle_set(batch.column(2)[int(i)].as_py(), size).tobytes() for i in at]
+            columns = [batch.column(0).take(pa.array(at)), pa.array(map(xxhash.xxh3_128_digest, packed), pa.binary()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "set_id", "shingles"])
 
-    return texts.mapInArrow(run, "id long, shingles binary")
+    found = named.select("id", picked.probes(F.col("id")), "text").mapInArrow(run, "id long, set_id binary, shingles binary")
+    return found.join(asked, ["id", "set_id"]).groupBy("id", "set_id").agg(F.first("shingles").alias("shingles")).select("id", "shingles")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,7 +200,37 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 #: Rows of either side that meet in one group of `_cross_links`, about.
-SIDE = 1000
+SIDE = 500
+
+
+def _mixed_groups(rows: DataFrame, group: str) -> DataFrame:
+    """(group, rep, component, home) of the groups that have more than one component; home: the one that most rows are in."""
+    counts = rows.groupBy(group, "component").agg(F.count("*").alias("n"))
+    homes = counts.groupBy(group).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("home"), F.count("*").alias("parts")).filter("parts > 1").select(group, "home")
+    return rows.join(homes, group).select(group, "rep", "component", "home")
+
+
+def _rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(group, rep, component): members of large homes, dealt out by the shingles of their prefixes.
+
+    A set's shingles are put in order of how many of its home's members have them, rare ones
+    first.  Two sets that are alike enough share one of the first n - ceil(n * percent / 100) + 1,
+    so no link is lost; what a home's members all have in common brings nobody together.
+    """
+
+    def unpacked(batches):
+        for batch in batches:
+            for home, rep, component, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                shingles = np.frombuffer(packed.as_buffer(), np.int64)
+                same = [pa.array(np.full(len(shingles), v, np.int64)) for v in (home, rep, component, len(shingles))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(shingles)], ["home", "rep", "component", "n", "shingle"])
+
+    rows = members.join(sets.select(F.col("id").alias("rep"), "shingles"), "rep").select("home", "rep", "component", "shingles")
+    rows = rows.mapInArrow(unpacked, "home long, rep long, component long, n long, shingle long")
+    common = rows.groupBy("home", "shingle").agg(F.count("*").alias("shared_by"))
+    place = F.row_number().over(Window.partitionBy("home", "rep").orderBy("shared_by", "shingle"))
+    prefix = rows.join(common, ["home", "shingle"]).withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    return prefix.filter("shared_by > 1").select(F.xxhash64("home", "shingle").alias("group"), "rep", "component")
 
 
 def _cross_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, most: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -200,12 +241,24 @@ def _cross_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets
     components one is a stray, and the other one of the same home's members or strays; so
     strays are held against all of those, in blocks of bounded size.  Once a stray
     has a link to a component, that component's other documents needn't be looked at.
+
+    With SIDE strays at most, no more than twice the members' sets move.  Homes with more
+    strays are first dealt out by their members' rarest shingles, which splits documents that
+    have much in common but aren't linked.
     """
     named = labels.select(F.col("id").alias("rep"), "component")
-    rows = buckets.join(named, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    counts = scratch.save(rows.groupBy("key", "component").agg(F.count("*").alias("n")), "counts")
-    homes = counts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("home"), F.count("*").alias("parts")).filter("parts > 1").select("key", "home")
-    members = scratch.save(rows.join(homes, "key").select("home", "rep", "component", (F.col("component") != F.col("home")).alias("stray")).distinct(), "members")
+    rows = scratch.save(buckets.join(named, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "named")
+    members = scratch.save(_mixed_groups(rows, "key").select("home", "rep", "component").distinct(), "members")
+    strays = members.groupBy("home").agg(F.count_if(F.col("component") != F.col("home")).alias("strays"))
+    sized = scratch.save(members.join(strays, "home"), "sized")
+    scratch.drop("named", "members")
+    parts = sized.filter(F.col("strays") <= SIDE).select(F.col("home").alias("group"), "rep", "component", "home")
+    large = sized.filter(F.col("strays") > SIDE)
+    if not large.isEmpty():
+        rare = scratch.save(_rare_shingles(large.select("home", "rep", "component"), sets, percent), "rare")
+        parts = parts.unionByName(_mixed_groups(rare, "group").distinct())
+    members = scratch.save(parts.withColumn("stray", F.col("component") != F.col("home")).drop("home").withColumnRenamed("group", "home"), "parts")
+    scratch.drop("sized", "rare")
     sizes = members.groupBy("home").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("blocks"), F.ceil(F.count_if("stray") / SIDE).cast("int").alias("stray_blocks"))
     placed = members.join(sizes, "home")
     block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(n)).cast("int")
@@ -269,20 +322,18 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
     keyed = classes.select("rep", F.explode(bucket_keys(F.col("sig"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("key", "leader")
     shared = scratch.save(shared, "shared")
-    scratch.release()
     buckets = scratch.save(keyed.join(shared, "key"), "buckets")
-    scratch.release()
+    scratch.drop("shared")
 
     # full sets of all that share a key with another
-    ids = buckets.groupBy(F.col("rep").alias("id")).agg(F.lit(1).alias("one")).join(classes.select(F.col("rep").alias("id"), F.col("set_id").alias("asked")), "id").select("id", "asked")
-    sets = scratch.save(_sets(docs, ids, size), "sets")
-    scratch.release()
+    asked = buckets.select(F.col("rep").alias("id")).distinct().join(classes.select(F.col("rep").alias("id"), "set_id"), "id")
+    sets = scratch.save(_sets(docs, scratch.save(asked, "asked"), size), "sets")
+    scratch.drop("asked")
 
     # everyone against the leader that it shares most keys with
     votes = buckets.filter("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n"))
     best = votes.groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("b")).select(F.col("rep").alias("a"), "b")
-    stars = scratch.save(_linked(_near(best, classes, most), sets, percent), "stars")
-    scratch.release()
+    stars = _linked(_near(best, classes, most), sets, percent)
 
     # rows that repeat a doc_id with another text
     repeated = own.groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo < hi").select("doc_id", "lo")
@@ -292,7 +343,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
 
     labels = components(links, scratch, "first")
     more = scratch.save(_cross_links(buckets, labels, classes, sets, most, percent, scratch), "more")
-    scratch.release()
+    scratch.drop("buckets", "sets", "parts")
     if not more.isEmpty():
         labels = components(links.unionByName(more), scratch, "last")
 
@@ -318,9 +369,11 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         first = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")) if rest else named.distinct()
         rows = scratch.save(first.orderBy("doc_id", "text").withColumn(key, F.monotonically_increasing_id()), "rows")
         rows = rows.select(key, "doc_id", "text", *(["_rest.*"] if rest else []))
-    found = scratch.save(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), size, percent), "kept")
-    ids = found.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key))
-    return rows.join(ids, key, "left_semi").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    gone = scratch.save(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), size, percent).filter("NOT kept").select(F.col("doc_id").alias(key)), "gone")
+    # whatever the filter lets by is certainly kept, and isn't moved
+    maybe = IdFilter(gone, key).maybe(F.col(key))
+    left = rows.filter(~maybe).unionByName(rows.filter(maybe).join(gone, key, "left_anti"))
+    return left.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull())) if key == "_row" else left
 
 
 def oracle_sql(size: int, percent: int = 80) -> str:

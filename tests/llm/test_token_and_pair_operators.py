@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanforge.llm import minhash_dedup, packing, permutation_index, queries, sentencepiece_fst, token_counts
+from spanforge.llm.common import IdFilter
 from tests.conftest import DATA
 from tests.llm.test_text_operators import EDGES
 
@@ -203,6 +204,28 @@ def test_classes_are_those_of_all_pairs(spark, size):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_classes_where_many_share_much_without_links(spark, monkeypatch):
+    """A text that all share brings unlinked documents into the same buckets: their rare shingles tell who is compared."""
+    rng = random.Random(9)
+    common, texts = [f"c{i}" for i in range(120)], []
+    for _ in range(25):
+        own = [f"w{rng.randint(0, 9999)}" for _ in range(40)]
+        texts += [" ".join(common + own), " ".join(common + own[:-3]), " ".join(common[:100] + own)][: rng.randint(1, 3)]
+    texts = list(enumerate(texts, 100))
+    monkeypatch.setattr(minhash_dedup, "SIDE", 4)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_classes(texts, 2)
+
+
+def test_id_filter_says_yes_to_what_was_put_in(spark):
+    ids = spark.range(0, 3000, 3)
+    asked = spark.range(0, 30000).withColumn("yes", IdFilter(ids, "id").maybe(F.col("id")))
+    yes = {r["id"] for r in asked.filter("yes").collect()}
+    assert yes >= set(range(0, 3000, 3)) and len(yes) < 1400
+    none = spark.createDataFrame([(None,)], "id long")
+    assert none.filter(IdFilter(ids.limit(0), "id").maybe(F.col("id"))).isEmpty()
+
+
 def test_dedup_edges(spark, edges):
     more = [(20, "a B"), (21, "A b"), (22, "a"), (23, "A"), (24, "a b c")]
     d = edges.select("doc_id", "text", "key", "sig").unionByName(spark.createDataFrame(more, "doc_id long, text string").withColumns({"key": F.lit(1), "sig": F.lit(1)}))
