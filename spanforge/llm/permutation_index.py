@@ -1,34 +1,44 @@
 """Approximate nearest neighbours with a permutation index.
 
-Pivots are a bounded sample of distinct vectors.  A vector is represented by all
-pivots in the order of their distance to it, and posted in the inverted files of its
-POSTED nearest pivots.  Every task builds the inverted files of the rows that it reads;
-a query collects what is posted under its own nearest pivots, ranks that by the
-footrule distance of the permutations (the sum over pivots of how far their places lie
-apart), and the best share of it is reranked by exact distance.  So every row is
-indexed, nothing but each task's nearest few moves, and queries come in blocks whose
-size is a parameter.
+Pivots are a bounded sample of distinct vectors.  A vector is represented by its nearest
+pivots in the order of their distance, a prefix of its permutation, and posted in the
+inverted files of its POSTED nearest ones.  The index is a table (pivot, slot, id, prefix, vector)
+that is built once over all rows; a pivot's file is cut into slots of about SLOT rows by a
+hash of the row, so a file that holds a third of all rows is many slots.
+
+A query goes to the files of its LOOKED nearest pivots, and to no others.  There the
+footrule distance of the two permutations (the sum over pivots of how far their places lie
+apart, where a pivot beyond a prefix has the place after it) ranks the candidates: those
+within the query's own limit are reranked by exact distance, and each slot passes on its
+nearest k.  The limit is the footrule distance that a share RERANKED of all vectors keeps,
+read off a bounded sample, so it depends on the query and not on how rows are dealt out.
+A candidate that shares several files with a query is looked at in the first only.
+
+Queries that find fewer than k candidates are held against all rows, in blocks.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, and neither do rows without an id.  Ties go to the smaller
 id; rows that repeat an id count once, at their least distance; a query's own id is
-no candidate.  With fewer candidates than asked for, all are returned; an empty table
-gives an empty result.  Only the id and vector columns are read.
+no candidate; of rows that repeat a query's id the one of the least vector asks.  With fewer candidates than asked for, all are returned; an empty
+table gives an empty result.  Only the id and vector columns are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pivots; nearest pivots under which a vector is posted, and under which a query looks.
-PIVOTS, POSTED, LOOKED = 128, 24, 24
-#: Share of the candidates that is reranked, and how many at least.
-RERANKED, AT_LEAST = 0.2, 256
-#: Queries that are sent to every task at a time.
-QUERY_BLOCK = 4096
+from .common import Scratch
+
+#: Pivots, and places of a permutation that are kept; nearest pivots under which a vector is posted, and a query looks.
+PIVOTS, PREFIX, POSTED, LOOKED = 512, 128, 3, 96
+#: Share of all vectors that a query's limit lets by, and vectors that it is read off.
+RERANKED, SAMPLE = 0.04, 4096
+#: Rows of a slot, about.
+SLOT = 4096
+FOUND = "query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -41,19 +51,46 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.filter(F.size(v) == (size["n"] if size else 0))
 
 
-def choose_pivots(rows: DataFrame, pivots: int) -> np.ndarray:
-    """At most `pivots` distinct vectors, the first ones by a hash of their values."""
-    picked = rows.groupBy(F.xxhash64("vector").alias("h")).agg(F.min_by("vector", "id").alias("vector")).orderBy("h").limit(pivots).collect()
+def sample(rows: DataFrame, n: int) -> np.ndarray:
+    """At most n distinct vectors, the first ones by a hash of their values."""
+    hashed = rows.select(F.xxhash64("vector").alias("h"), "vector")
+    picked = hashed.join(hashed.select("h").distinct().orderBy("h").limit(n), "h").groupBy("h").agg(F.min("vector").alias("vector")).orderBy("h").collect()
     return np.array([r["vector"] for r in picked], np.float64) if picked else np.zeros((0, 0))
 
 
-def places(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By row: the pivots from near to far, and each pivot's place in that order."""
+def prefixes(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
+    """By row, the nearest pivots from near to far; ties go to the first."""
     far = (pivots**2).sum(1) - 2 * x @ pivots.T
-    order = np.argsort(far, axis=1, kind="stable").astype(np.int16)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order.astype(np.int64), np.broadcast_to(np.arange(len(pivots), dtype=np.int16), order.shape).copy(), 1)
-    return order, place
+    return np.argsort(far, axis=1, kind="stable")[:, :length].astype(np.uint16)
+
+
+class Permutations:
+    """What every task needs: the pivots, and the sample that limits are read off."""
+
+    def __init__(self, pivots: np.ndarray, drawn: np.ndarray, share: float):
+        self.pivots, self.length = pivots, min(PREFIX, len(pivots))
+        self.looked, self.posted = min(LOOKED, len(pivots)), min(POSTED, len(pivots))
+        self.drawn = prefixes(drawn, pivots, self.length)
+        # RERANKED of the sample and 64 more, so that small tables lose nothing
+        self.rank = min(len(drawn) - 1, int(np.ceil(share * len(drawn))) + 64)
+
+    def places(self, prefix: np.ndarray) -> np.ndarray:
+        """Each pivot's place in a prefix, or the place after it."""
+        out = np.full(len(self.pivots), self.length, np.int16)
+        out[prefix] = np.arange(self.length, dtype=np.int16)
+        return out
+
+    def footrule(self, places: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The distance of one permutation, given by its places, to others, given by their prefixes."""
+        at = places[others]
+        total = self.length * (self.length + 1) // 2
+        # pivots that only the first has count for how far they stand before the end
+        return (np.abs(at - np.arange(self.length, dtype=np.int16)) + at).sum(1, dtype=np.int32) + (total - self.length * self.length)
+
+    def limit(self, places: np.ndarray) -> int:
+        """The footrule distance that candidates of a query may have at most."""
+        apart = self.footrule(places, self.drawn)
+        return int(np.partition(apart, self.rank)[self.rank])
 
 
 def least(ids: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,74 +101,143 @@ def least(ids: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np
     return ids[keep], distance[keep]
 
 
-class InvertedFiles:
-    """The posted rows of one block of vectors, by pivot."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray):
-        self.ids, self.x = ids, x
-        order, self.place = places(x, pivots)
-        near = order[:, :POSTED]
-        by = np.argsort(near.ravel(), kind="stable")
-        self.rows = (by // near.shape[1]).astype(np.int32)
-        self.starts = np.searchsorted(near.ravel()[by], np.arange(len(pivots) + 1))
-
-    def search(self, own: int, q: np.ndarray, order: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and distances of the k nearest found."""
-        posted = np.zeros(len(self.ids), bool)
-        for p in order[:LOOKED]:
-            posted[self.rows[self.starts[p] : self.starts[p + 1]]] = True
-        posted[self.ids == own] = False
-        found = np.flatnonzero(posted)
-        if len(found) < min(AT_LEAST, len(self.ids)):
-            found = np.flatnonzero(self.ids != own)
-        depth = max(AT_LEAST, int(np.ceil(RERANKED * len(found))))
-        if len(found) > depth:
-            apart = np.abs(self.place[found] - place).sum(1, dtype=np.int32)
-            limit = np.partition(apart, depth - 1)[depth - 1]
-            found = found[apart <= limit]  # ties at the limit all stay
-        distance = np.sqrt(((self.x[found] - q) ** 2).sum(1))
-        return least(self.ids[found], distance, k)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, id_column: str, vector_column: str, k: int = 10, pivots: int = PIVOTS, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest found, nearest first.
+def _vectors(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _arrow(query_ids, found) -> pa.RecordBatch:
+    n = [len(a) for a, _ in found]
+    ids = np.concatenate([a for a, _ in found]) if found else []
+    scores = np.concatenate([d for _, d in found]) if found else []
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(query_ids, np.int64), n), pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
 
-    queries: rows of the same columns.  score is the Euclidean distance in double precision.
-    """
-    spark = vectors.sparkSession
-    rows, asked = usable(vectors, id_column, vector_column), usable(queries, id_column, vector_column)
-    chosen = choose_pivots(rows, pivots)
-    n = asked.count()
-    blocks = max(1, -(-n // block))
-    out = None
-    for b in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).dropDuplicates(["id"]).orderBy("id").collect()  # about `block` rows
-        if part:
-            found = _search_block(rows, spark.sparkContext.broadcast((chosen, np.array([r["id"] for r in part]), np.array([r["vector"] for r in part]))), k)
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    best = out.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
+def _lists(rows: DataFrame, shared, n: str) -> DataFrame:
+    """(pivot, id, prefix, limit, vector): a row for each of a vector's first `n` pivots, posted or looked; limit is a query's."""
 
-def _search_block(rows: DataFrame, shared, k: int) -> DataFrame:
     def run(batches):
-        pivots, query_ids, queries = shared.value
-        order, place = places(queries, pivots)
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
+        model = shared.value
         for batch in batches:
             if not len(batch):
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            files = InvertedFiles(ids, x, pivots)
-            for i, own in enumerate(query_ids):
-                a, d = files.search(own, queries[i], order[i], place[i], k)
-                a, d = np.concatenate([best[i][0], a]), np.concatenate([best[i][1], d])
-                best[i] = least(a, d, k)
-        n = [len(a) for a, _ in best]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n), pa.int64()), pa.array(np.concatenate([a for a, _ in best]), pa.int64()), pa.array(np.concatenate([d for _, d in best]), pa.float64())], ["query_id", "vec_id", "score"])
-
-    return rows.mapInArrow(run, "query_id long, vec_id long, score double")
+            prefix = prefixes(_vectors(batch.column(1)), model.pivots, model.length)
+            many = getattr(model, n)
+            at = np.repeat(np.arange(len(batch)), many)
+            packed = pa.array([p.tobytes() for p in prefix], pa.binary())
+            limits = [model.limit(model.places(p)) if n == "looked" else None for p in prefix]
+            columns = [batch.column(0), packed, pa.array(limits, pa.int32()), batch.column(1)]
+            pivot = pa.array(prefix[:, :many].ravel().astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pivot, *(c.take(pa.array(at)) for c in columns)], ["pivot", "id", "prefix", "limit", "vector"])
+
+    return rows.select("id", "vector").mapInArrow(run, "pivot int, id long, prefix binary, limit int, vector array<double>")
+
+
+def build_index(rows: DataFrame, shared, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The inverted files (pivot, slot, id, prefix, vector), and (pivot, slots) of each."""
+    posted = scratch.save(_lists(rows, shared, "posted"), "posted")
+    sizes = scratch.save(posted.groupBy("pivot").agg(F.ceil(F.count("*") / SLOT).cast("int").alias("slots")), "sizes")
+    slot = F.pmod(F.xxhash64("id", "vector"), F.col("slots")).cast("int")
+    return posted.join(F.broadcast(sizes), "pivot").withColumn("slot", slot).drop("slots"), sizes  # at most PIVOTS rows
+
+
+def _search(index: DataFrame, asked: DataFrame, shared, k: int) -> DataFrame:
+    """(query_id, vec_id, score): of every slot, the k nearest within each query's limit."""
+    sides = index.withColumn("seeks", F.lit(False)).unionByName(asked.withColumn("seeks", F.lit(True)))
+    sides = sides.select("pivot", "slot", "seeks", "id", "prefix", "limit", "vector").repartition("pivot", "slot").sortWithinPartitions("pivot", "slot", "seeks")
+
+    def held(model, pivot, rows):
+        """A slot's ids, prefixes and vectors, and its rows' nearer posted pivots; those that aren't are a pivot that no query has."""
+        ids, others, x = (np.array(c) for c in zip(*rows, strict=True))
+        posted = others[:, : model.posted]
+        return ids, others, x, np.where(np.cumsum(posted == pivot, 1) == 0, posted, len(model.pivots))
+
+    def one(model, files, q, prefix, limit, vector):
+        ids, others, x, nearer = files
+        places = model.places(prefix)
+        near = (model.footrule(places, others) <= limit) & (ids != q)
+        # looked at elsewhere, if a nearer posted pivot of the candidate is among the query's too
+        near &= ~(np.append(places, model.length)[nearer] < model.looked).any(1)
+        at = np.flatnonzero(near)
+        return least(ids[at], np.sqrt(((x[at] - vector) ** 2).sum(1)), k)
+
+    def run(batches):
+        model = shared.value
+        of, rows, files = None, [], None
+        for batch in batches:
+            pivot, slot, seeks, ids, limits = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))
+            prefix = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(len(batch), -1)
+            x = _vectors(batch.column(6))
+            asking, found = [], []
+            for i in range(len(batch)):
+                if (pivot[i], slot[i]) != of:
+                    of, rows, files = (pivot[i], slot[i]), [], None
+                if not seeks[i]:
+                    rows.append((ids[i], prefix[i].copy(), x[i].copy()))  # a slot's rows, SLOT about
+                elif rows:
+                    files = files or held(model, pivot[i], rows)
+                    asking.append(ids[i])
+                    found.append(one(model, files, ids[i], prefix[i], limits[i], x[i]))
+            yield _arrow(asking, found)
+
+    return sides.mapInArrow(run, FOUND)
+
+
+def _search_all(rows: DataFrame, asked: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of all rows to each of few queries, in blocks of queries against blocks of rows."""
+    n_rows, n_asked = (max(1, -(-df.count() // block)) for df in (rows, asked))
+    deal = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    base = rows.select("id", "vector", deal(n_rows).alias("b")).withColumn("a", every(n_asked)).withColumn("seeks", F.lit(False))
+    seek = asked.select("id", "vector", deal(n_asked).alias("a")).withColumn("b", every(n_rows)).withColumn("seeks", F.lit(True))
+    sides = base.unionByName(seek).select("a", "b", "seeks", "id", "vector").repartition("a", "b").sortWithinPartitions("a", "b", "seeks")
+
+    def run(batches):
+        of, rows_ = None, []
+        for batch in batches:
+            asking, found = [], []
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            for a, b, seeks, i, x in zip(*columns, _vectors(batch.column(4)), strict=True):
+                if (a, b) != of:
+                    of, rows_ = (a, b), []
+                if not seeks:
+                    rows_.append((i, x.copy()))
+                elif rows_:
+                    ids, base_ = (np.array(c) for c in zip(*rows_, strict=True))
+                    asking.append(i)
+                    found.append(least(ids[ids != i], np.sqrt(((base_[ids != i] - x) ** 2).sum(1)), k))
+            yield _arrow(asking, found)
+
+    return sides.mapInArrow(run, FOUND)
+
+
+def _nearest_of(found: DataFrame, k: int) -> DataFrame:
+    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    rank: Column = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, id_column: str, vector_column: str, k: int = 10, pivots: int = PIVOTS, share: float = RERANKED) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k nearest found, nearest first.
+
+    queries: rows of the same columns.  score is the Euclidean distance in double precision.
+    """
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "vectors")
+    rows, asked = usable(vectors, id_column, vector_column), usable(queries, id_column, vector_column)
+    asked = asked.groupBy("id").agg(F.min("vector").alias("vector"))
+    drawn = sample(rows, max(pivots, SAMPLE))
+    if not len(drawn):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shared = spark.sparkContext.broadcast(Permutations(drawn[:pivots], drawn, share))
+    index, sizes = build_index(rows, shared, scratch)
+    looking = _lists(asked.select("id", "vector"), shared, "looked").join(F.broadcast(sizes), "pivot")
+    looking = looking.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")
+    found = scratch.save(_nearest_of(_search(index, looking, shared, k), k), "found")
+    scratch.drop("posted", "sizes")
+    enough = min(k, rows.select("id").distinct().limit(k + 1).count() - 1)
+    counts = asked.join(found.groupBy(F.col("query_id").alias("id")).count(), "id", "left")
+    short = scratch.save(counts.filter(F.coalesce("count", F.lit(0)) < enough).select("id", "vector"), "short")
+    if short.isEmpty():
+        return found
+    rest = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti")
+    return rest.unionByName(_nearest_of(_search_all(rows, short, k), k))

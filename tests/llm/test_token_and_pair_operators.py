@@ -319,10 +319,47 @@ def test_ids_that_repeat_in_many_batches_count_once(spark):
     assert min(r["score"] for r in got) == pytest.approx(0.001)
 
 
-def test_blocks_of_queries_change_nothing(spark):
-    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    a, b = (sorted(map(tuple, permutation_index.nearest(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", block=n).collect())) for n in (4096, 3))
-    assert a == b and len(a) == 250
+def found_by(d, queries_of, **how):
+    return sorted(map(tuple, permutation_index.nearest(d, d.filter(queries_of), "vec_id", "embedding", **how).collect()))
+
+
+def test_answers_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    few = found_by(e.repartition(4), "vec_id % 100 = 0")
+    assert few == found_by(e.repartition(200, "vec_id"), "vec_id % 100 = 0") and len(few) == 50
+    monkeypatch.setattr(permutation_index, "SLOT", 7)
+    assert few == found_by(e, "vec_id % 100 = 0")
+
+
+def test_random_vectors_are_found_without_looking_everywhere(spark):
+    x = np.random.default_rng(5).standard_normal((8000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = {}, brute_nearest(rows)
+    for q, _, i, score in found_by(d, "vec_id % 100 = 0"):
+        got.setdefault(q, set()).add(i)
+        assert score == pytest.approx(float(np.sqrt(((x[q] - x[i]) ** 2).sum())), abs=1e-12)
+    assert sum(len({i for i, _ in want[q]} & got[q]) for q in want) >= 0.9 * 10 * len(want)
+    drawn = permutation_index.sample(permutation_index.usable(d, "vec_id", "embedding"), permutation_index.SAMPLE)
+    model = permutation_index.Permutations(drawn[: permutation_index.PIVOTS], drawn, permutation_index.RERANKED)
+    prefix = permutation_index.prefixes(x, model.pivots, model.length)
+    reranked = touched = 0
+    for q in want:
+        places = model.places(prefix[q])
+        met = (places[prefix[:, : model.posted]] < model.looked).any(1)
+        assert model.footrule(places, prefix[:50]).tolist() == [int(np.abs(places.astype(int) - model.places(p)).sum()) for p in prefix[:50]]
+        touched += met.mean() / len(want)
+        reranked += (met & (model.footrule(places, prefix) <= model.limit(places))).mean() / len(want)
+    assert touched < 0.85 and reranked < 0.12
+
+
+def test_far_queries_are_held_against_all_rows(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((600, 8)), 1000 + rng.standard_normal((3, 8))])
+    d = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = found_by(d, "vec_id IN (601, 602, 5)", share=0.0)
+    assert {q: n for q, n in zip(*np.unique([g[0] for g in got], return_counts=True), strict=True)} == {5: 10, 601: 10, 602: 10}
+    assert [g[2] for g in got if g[0] == 601][:2] in ([602, 603], [603, 602])
 
 
 # the pipeline
