@@ -68,28 +68,32 @@ SYLLABLES = {
 }
 _TITLES = "|".join(sorted((t for ts in ADDRESS.values() for t in ts), key=len, reverse=True))
 _NAME = r"\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)?"
-#: Words that a name without a form of address comes after, and that a bare phone number does.
-_INTRODUCED = r"(?<=[Nn]ame is |[Nn]ame: |[Ss]igned by |[Cc]ontact: )"
-_CALLED = r"(?<=(?:[Tt]el|[Pp]hone|[Cc]all|[Mm]obile|[Ff]ax|[Cc]ell)[.:]{0,2} {0,2})"
+#: Words that a name without a form of address comes after, and that a bare phone number does; they are part of the find.
+_INTRODUCED = r"[Nn]ame is|[Nn]ame:|[Ss]igned by|[Cc]ontact:"
+_CALLED = r"(?:[Tt]elephone|[Tt]el|[Pp]hone|[Cc]all|[Mm]obile|[Ff]ax|[Cc]ell)[.:]{0,2} {0,2}"
 _H = "[0-9a-fA-F]{1,4}"
 
-#: Patterns by type, in the order in which they are tried.  Quantifiers of groups are possessive or bounded.
+#: Patterns by type, in the order in which they are tried, none of them inside a word.
+#: Quantifiers of groups are possessive or bounded.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "token": r"(?<![0-9A-Za-z_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|xox[abprs]-[0-9A-Za-z-]{20,255}|sk-[0-9A-Za-z_-]{20,255}|AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z_-])",
-    "ip6": rf"(?<![0-9A-Za-z:.])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{2,6}}(?::{_H}){{1,5}}|{_H}:(?::{_H}){{2,6}}|(?:fe80|2[0-9a-fA-F]{{3}})::{_H})(?![0-9A-Za-z:])",
-    "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9A-Za-z])(?!\.[0-9])",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [0-9A-Z]?[0-9]{1,2})?)(?![0-9A-Za-z])",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])"
-    rf"|{_CALLED}(?<![0-9A-Za-z])[0-9]{{7,12}}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|{_INTRODUCED}{_NAME} {_NAME}",
+    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "token": r"(?<![_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|xox[abprs]-[0-9A-Za-z-]{20,255}|sk-[0-9A-Za-z_-]{20,255}|AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z_-])",
+    "ip6": rf"(?<![:.])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{2,6}}(?::{_H}){{1,5}}|{_H}:(?::{_H}){{2,6}}|(?:fe80|2[0-9a-fA-F]{{3}})::{_H})(?![0-9A-Za-z:])",
+    "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9A-Za-z])(?!\.[0-9])",
+    "secret": r"[0-9a-fA-F]{32,}+(?![0-9A-Za-z])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [0-9A-Z]?[0-9]{1,2})?)(?![0-9A-Za-z])",
+    "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+    rf"|{_CALLED}[0-9]{{7,12}})(?![0-9A-Za-z])",
+    "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "person": rf"(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_INTRODUCED}) {_NAME} {_NAME})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every entity has in it; other texts aren't searched.
-HINT = rf"[0-9@]|::|[a-fA-F]{{32}}|AKIA|ASIA|AIza|sk-|xox|gh[pousr]_|(?:{_TITLES})\.? \p{{Lu}}|{_INTRODUCED}\p{{Lu}}"
+#: At the start of an entity: no sign of a word before it, and one that some pattern begins with.
+START = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}._%+(-])"
+ANY = f"{START}(?:" + "|".join(PATTERNS.values()) + ")"
+#: Every entity has a digit, an @, one of these words, or nothing but letters of hexadecimal digits; other texts aren't searched.
+HINTS = ("::", "AKIA", "ASIA", "AIza", "sk-", "xox", "gh", "ame is ", "ame: ", "igned by ", "ontact: ", *(t for ts in ADDRESS.values() for t in ts))
+BARE_SECRET = r"(?<![0-9A-Za-z])[a-fA-F]{32}"
 ROUNDS = 4
 #: Letters of an e-mail's local part, syllables of a surname, and of what follows a given name; a further attempt adds one.
 LENGTHS = {"email": 12, "family": 5, "given": 3}
@@ -121,7 +125,7 @@ def kind(e: Column) -> Column:
         .when(e.rlike(r"^[0-9a-fA-F]{32,}+$"), "secret")
         .when(e.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$"), F.when(mod97(moved) == 1, "iban"))
         .when(e.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(e.rlike(r"^[+(]|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$|^[0-9]{7,12}$"), "phone")
+        .when(e.rlike(rf"^[+(]|^[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}$|^{_CALLED}[0-9]"), "phone")
         .when(e.rlike(r"^[0-9]"), F.when(F.call_function("luhn_check", digits) & digits.rlike("^[2-6]"), "card"))
         .otherwise("person")
     )
@@ -303,7 +307,7 @@ class Surrogates:
 
 def told(e: Column) -> Column:
     """(title, words, gender, script) of a name, its form of address null if it has none."""
-    title = F.regexp_extract(e, rf"^(?:{_TITLES})\.?(?= )", 0)
+    title = F.regexp_extract(e, rf"^(?:(?:{_TITLES})\.?|{_INTRODUCED})(?= )", 0)
 
     def parts(t: Column) -> Column:
         bare = F.regexp_replace(t, r"\.", "")
@@ -317,7 +321,11 @@ def told(e: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """What the pattern finds in a text, from left to right."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)).otherwise(F.array().cast("array<string>"))
+    hinted = text.rlike("[0-9@]")
+    for word in HINTS:
+        hinted = hinted | text.contains(word)
+    found = F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)
+    return F.when(hinted | text.rlike(BARE_SECRET), found).otherwise(F.array().cast("array<string>"))
 
 
 def entities(text: Column) -> Column:
