@@ -9,7 +9,8 @@ A token that touches more than one is allocated by a stated rule:
   majority  to the section that most of its bytes are in, the first one among equals
   split     to all of them, in proportion to their bytes
 
-By default a text's sections are its lines, each with the line break that ends it.
+By default a text's sections are its lines, each with the line break that ends it.  Fields are
+columns put together into one document, each with the separator behind it.
 
 Defined cases: a null or empty text is one empty section without tokens; repeated rows
 are counted row by row; extra columns aren't read.
@@ -41,22 +42,29 @@ def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str) -> tu
     n = len(section_ends)
     if not len(token_ends):
         return np.zeros(n), np.zeros(n, np.int64)
-    starts = np.concatenate(([0], token_ends[:-1]))
+    starts, section_starts = (np.concatenate(([0], ends[:-1])) for ends in (token_ends, section_ends))
     first = np.searchsorted(section_ends, starts, side="right")
     last = np.searchsorted(section_ends, token_ends - 1, side="right")
     counts = np.bincount(first[first == last], minlength=n).astype(float)
-    crossing = np.zeros(n, np.int64)
-    for i in np.flatnonzero(first != last):
-        touched = np.arange(first[i], last[i] + 1)
-        lo = np.maximum(starts[i], np.concatenate(([0], section_ends))[touched])
-        size = np.minimum(token_ends[i], section_ends[touched]) - lo
-        crossing[touched[size > 0]] += 1
-        if rule == "start":
-            counts[first[i]] += 1
-        elif rule == "majority":
-            counts[touched[int(size.argmax())]] += 1
-        else:
-            counts[touched] += size / size.sum()
+    cross = np.flatnonzero(first != last)
+    if not len(cross):
+        return counts, np.zeros(n, np.int64)
+    # a row for each crossing token and section that it reaches over, as many as tokens and sections together at most
+    reach = last[cross] - first[cross] + 1
+    group = np.repeat(np.arange(len(cross)), reach)
+    begins = np.cumsum(reach) - reach
+    section = first[cross][group] + np.arange(len(group)) - begins[group]
+    token = cross[group]
+    size = np.minimum(token_ends[token], section_ends[section]) - np.maximum(starts[token], section_starts[section])
+    crossing = np.bincount(section[size > 0], minlength=n)
+    if rule == "start":
+        counts += np.bincount(first[cross], minlength=n)
+    elif rule == "majority":
+        largest = np.flatnonzero(size == np.maximum.reduceat(size, begins)[group])
+        chosen = largest[np.unique(group[largest], return_index=True)[1]]  # the first one among equals
+        counts += np.bincount(section[chosen], minlength=n)
+    else:
+        counts += np.bincount(section, weights=size / np.add.reduceat(size, begins)[group], minlength=n)
     return counts, crossing
 
 
@@ -81,12 +89,8 @@ class ByteEncoder:
 _ENCODERS: dict[str, ByteEncoder] = {}
 
 
-def section_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "majority", spans: Callable[[bytes], np.ndarray] = line_spans) -> DataFrame:
-    """(doc_id, section, start, end, n_tokens, n_crossing) for every section of every row of docs.
-
-    start and end count characters; n_tokens is whole but under the rule split.  path and
-    pattern: the vocabulary's ranks, and how it splits a text.
-    """
+def _counts(rows: DataFrame, path: str, pattern: str, rule: str, spans: Callable) -> DataFrame:
+    """Counts of rows (doc_id, text, ...); spans(raw, batch, i): the ends of the sections of row i."""
     if rule not in RULES:
         raise ValueError(f"rule {rule!r} is none of {', '.join(RULES)}")
     schema = pa.schema([("doc_id", pa.int64()), ("section", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.float64()), ("n_crossing", pa.int64())])
@@ -95,10 +99,10 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "majori
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, ByteEncoder(path, pattern))
         for batch in batches:
             ids, out = [], []
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for k, (doc_id, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 text = t.as_py() or ""
                 raw = text.encode()
-                ends = spans(raw)
+                ends = spans(raw, batch, k)
                 counts, crossing = attribute(encoder.ends(text) if raw else np.zeros(0, np.int64), ends, rule)
                 if len(raw) == len(text):
                     at = ends
@@ -109,6 +113,30 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "majori
             columns = [np.concatenate([o[i] for o in out]) if out else [] for i in range(5)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
 
-    text_batches(docs.sparkSession)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, section long, start long, end long, n_tokens double, n_crossing long")
+    text_batches(rows.sparkSession)
+    found = rows.mapInArrow(run, "doc_id long, section long, start long, end long, n_tokens double, n_crossing long")
     return found if rule == "split" else found.withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
+def section_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "majority", spans: Callable[[bytes], np.ndarray] = line_spans) -> DataFrame:
+    """(doc_id, section, start, end, n_tokens, n_crossing) for every section of every row of docs.
+
+    start and end count characters; n_tokens is whole but under the rule split.  path and
+    pattern: the vocabulary's ranks, and how it splits a text.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _counts(rows, path, pattern, rule, lambda raw, batch, k: spans(raw))
+
+
+def field_tokens(docs: DataFrame, id_column: str, fields: list[str], path: str, pattern: str, rule: str = "majority", separator: str = "\n") -> DataFrame:
+    """(doc_id, field, start, end, n_tokens, n_crossing) for every field of every row of docs.
+
+    The fields make one document, in order; a field but the last has the separator behind it, and a
+    null one is empty.
+    """
+    texts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    whole = [F.concat(t, F.lit(separator)) for t in texts[:-1]] + texts[-1:]
+    sizes = F.array(*[F.octet_length(t).cast("long") for t in whole])
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.concat(*whole).alias("text"), sizes.alias("sizes"))
+    found = _counts(rows, path, pattern, rule, lambda raw, batch, k: np.cumsum(batch.column(2)[k].as_py()))
+    return found.withColumn("section", F.get(F.array(*map(F.lit, fields)), F.col("section").cast("int"))).withColumnRenamed("section", "field")

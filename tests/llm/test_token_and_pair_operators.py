@@ -73,6 +73,71 @@ def test_every_token_is_allocated_once(docs, edges):
     assert {r["doc_id"]: r["n_tokens"] for r in token_counts.section_tokens(edges, BYTES, P.PATTERN).filter("doc_id < 3").collect()} == {1: 0, 2: 0}
 
 
+def plain_attribution(tokens, sections, rule):
+    """Byte by byte: which section each byte of a token is in."""
+    counts, crossing, begin = [0.0] * len(sections), [0] * len(sections), 0
+    for end in tokens:
+        inside = [next(k for k, s in enumerate(sections) if b < s) for b in range(begin, end)]
+        share = {k: inside.count(k) for k in sorted(set(inside))}
+        begin = end
+        if len(share) > 1:
+            for k in share:
+                crossing[k] += 1
+        if rule == "split":
+            for k, n in share.items():
+                counts[k] += n / len(inside)
+        else:
+            counts[inside[0] if rule == "start" else max(share, key=lambda k: (share[k], -k))] += 1
+    return counts, crossing
+
+
+def test_attribution_is_that_of_single_bytes():
+    rng = random.Random(8)
+    for _ in range(300):
+        n = rng.randint(1, 60)
+        ends = lambda: np.array(sorted(set(rng.choices(range(1, n + 1), k=rng.randint(1, 20)))) + [n])
+        tokens, sections = np.unique(ends()), np.unique(ends())
+        if rng.random() < 0.3:
+            sections = np.sort(np.append(sections, rng.choice(sections)))  # an empty section
+        for rule in token_counts.RULES:
+            got, want = token_counts.attribute(tokens, sections, rule), plain_attribution(tokens, sections, rule)
+            assert got[0].tolist() == pytest.approx(want[0]) and got[1].tolist() == want[1]
+
+
+def test_many_sections_cost_no_more_than_their_number():
+    lines = np.arange(1, 1_000_001)
+    counts, crossing = token_counts.attribute(np.arange(2, 1_000_001, 2), lines, "split")
+    assert counts.sum() == pytest.approx(500_000) and crossing.sum() == 1_000_000
+
+
+def test_sections_of_documents_by_brute_force(docs):
+    encoder = token_counts.ByteEncoder(BYTES, P.PATTERN)
+    texts = {r["doc_id"]: r["text"] for r in docs.limit(25).collect() if len(r["text"] or "") < 3000}
+    got = {}
+    for r in token_counts.section_tokens(docs, BYTES, P.PATTERN).collect():
+        got.setdefault(r["doc_id"], []).append((r["section"], r["n_tokens"], r["n_crossing"]))
+    for i, text in texts.items():
+        sections = np.cumsum([len(x.encode()) for x in text.splitlines(True)] or [0]) if "\r" not in text else None
+        if sections is not None and not set("\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029") & set(text):
+            counts, crossing = plain_attribution(encoder.ends(text), sections, "majority")
+            assert sorted(got[i]) == list(zip(range(len(sections)), counts, crossing, strict=True))
+
+
+def test_fields_share_one_encoding(spark):
+    rows = [(1, "user", "héllo wörld", None), (2, None, "", "tail words here"), (3, "", None, "")]
+    d = spark.createDataFrame(rows, "id long, role string, body string, note string").withColumn("field", F.lit("x"))
+    encoder = token_counts.ByteEncoder(BYTES, P.PATTERN)
+    for rule in token_counts.RULES:
+        got = {}
+        for r in token_counts.field_tokens(d, "id", ["role", "body", "note"], BYTES, P.PATTERN, rule).collect():
+            got.setdefault(r["doc_id"], {})[r["field"]] = (r["start"], r["end"], r["n_tokens"])
+        for i, *fields in rows:
+            parts = [f"{x or ''}\n" for x in fields[:-1]] + [fields[-1] or ""]
+            text = "".join(parts)
+            assert list(got[i]) == ["role", "body", "note"] and [text[a:b] for a, b, _ in got[i].values()] == parts
+            assert sum(n for *_, n in got[i].values()) == pytest.approx(len(encoder.ends(text)))
+
+
 def test_crossing_tokens_follow_the_rule():
     tokens, sections = np.array([2, 7, 9]), np.array([4, 9])
     want = {"start": ([2, 1], [1, 1]), "majority": ([1, 2], [1, 1]), "split": ([1.4, 1.6], [1, 1])}
