@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, text_batches, unit_hash
@@ -27,13 +27,9 @@ from .common import held_out, text_batches, unit_hash
 GRAM = 4
 #: Learned rows a language, about: the bound of the sample that the filters are fitted on.
 ROWS_PER_LANGUAGE = 2000
-#: n-grams kept a language, the most frequent first.
-GRAMS_PER_LANGUAGE = 30_000
 SLOT_BITS = 21
 #: Languages a bitmask; more languages take more filters of the same size.
 MASK = 64
-#: Bound of what is sent to every task: 16 filters of 16 MB.
-MAX_LANGUAGES = 16 * MASK
 MULTIPLIERS = (2654435761, 2246822519, 3266489917)
 PIECE = 1 << 21
 
@@ -70,6 +66,11 @@ def _pieces(ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _kind(languages: int) -> type:
+    """The smallest number that has a bit for each."""
+    return next(k for n, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if languages <= n)
+
+
 @dataclass(frozen=True)
 class LanguageFilter:
     """Bit-sliced Bloom filters: bit i of a slot of slots[g] stands for languages[g * MASK + i]."""
@@ -80,12 +81,10 @@ class LanguageFilter:
     @staticmethod
     def build(grams: dict[str, np.ndarray], bits: int = SLOT_BITS) -> LanguageFilter:
         languages = tuple(sorted(grams))
-        if len(languages) > MAX_LANGUAGES:
-            raise ValueError(f"{len(languages)} languages; the filters hold {MAX_LANGUAGES}")
         filters = []
         for first in range(0, len(languages), MASK):
             group = languages[first : first + MASK]
-            kind = next(k for n, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(group) <= n)
+            kind = _kind(len(group))
             slots = np.zeros(1 << bits, dtype=kind)
             for i, language in enumerate(group):
                 for at in _slots(grams[language].astype(np.uint32), bits):
@@ -146,43 +145,54 @@ class LanguageFilter:
         return [self.languages[k] if ok else "und" for k, ok in zip(best, letters, strict=True)], [float(s) if ok else 0.0 for s, ok in zip(share, letters, strict=True)], n.tolist()
 
 
-def _gram_counts(batches):
-    """(lang, gram, n) of the learned rows, summed a batch."""
-    for batch in batches:
-        langs = np.array(batch.column(1).to_pylist(), dtype=object)
-        for language in sorted(set(langs)):
-            data, ends = _lowered(batch.column(0).filter(pa.array(langs == language)))
-            found = []
-            for first, last in _pieces(ends):
-                lo, hi = int(ends[first]), int(ends[last])
-                if hi - lo >= GRAM:
-                    codes = _codes(data[lo:hi])
-                    found.append(codes[(codes & 0xFFFF) != 0x2020])
-            if found:
-                grams, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([language] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
-
+def _filled(languages: dict[str, int], bits: int):
+    """Batches of (text, lang) as the slots that their n-grams set: (filter, slot, mask), once a batch."""
 
-def learn_languages(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, grams_per_language: int = GRAMS_PER_LANGUAGE) -> LanguageFilter:
-    """Fit the filter on about `rows_per_language` learnable rows of each language.
-
-    What reaches the driver is bounded: a row a language, then its kept n-grams.
+    def run(batches):
+        for batch in batches:
+            langs = np.array(batch.column(1).to_pylist(), dtype=object)
+            for language in sorted(set(langs)):
+                data, ends = _lowered(batch.column(0).filter(pa.array(langs == language)))
+                found = []
+                for first, last in _pieces(ends):
+                    lo, hi = int(ends[first]), int(ends[last])
+                    if hi - lo >= GRAM:
+                        codes = _codes(data[lo:hi])
+                        within = np.ones(len(codes), bool)  # not from one text into the next
+                        for end in ends[first + 1 : last] - lo:
+                            within[max(0, end - GRAM + 1) : end] = False
+                        found.append(np.unique(codes[within & ((codes & 0xFFFF) != 0x2020)]))
+                if found:
+                    slots = np.unique(np.concatenate(_slots(np.concatenate(found), bits)))
+                    k = languages[language]
+                    mask = np.array([1 << (k % MASK)], np.uint64).view(np.int64)[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), k // MASK), pa.int32()), pa.array(slots.astype(np.int64)), pa.array(np.full(len(slots), mask), pa.int64())], ["filter", "slot", "mask"])
+
+    return run
+
+
+def learn_languages(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, bits: int = SLOT_BITS) -> LanguageFilter:
+    """Fit the filters on about `rows_per_language` learnable rows of each language, with all their n-grams.
+
+    What reaches the driver is a row a language, and the filters' slots: two million at most for 64 languages.
     """
     text_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return LanguageFilter((), ())
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = tuple(sorted(sizes))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows_per_language / n))])
     sample = known.filter(unit_hash(F.col("doc_id"), "language") < share[F.col("lang")]).select("text", "lang")
-    grams = sample.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    kept = grams.withColumn("rank", rank).filter(F.col("rank") <= grams_per_language).select("lang", "gram").toArrow()
-    lang, gram = np.array(kept["lang"].to_pylist(), dtype=object), kept["gram"].to_numpy()
-    by = {k: gram[lang == k] for k in sizes}
-    return LanguageFilter.build(by)
+    set_ = sample.mapInArrow(_filled({k: i for i, k in enumerate(languages)}, bits), "filter int, slot long, mask long")
+    whole = set_.groupBy("filter", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    number, slot, mask = (whole.column(i).to_numpy() for i in range(3))
+    filters = []
+    for k, first in enumerate(range(0, len(languages), MASK)):
+        slots = np.zeros(1 << bits, dtype=_kind(len(languages[first : first + MASK])))
+        slots[slot[number == k]] = mask[number == k].view(np.uint64).astype(slots.dtype)
+        filters.append(slots)
+    return LanguageFilter(languages, tuple(filters))
 
 
 def predict_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:

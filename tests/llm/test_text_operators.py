@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,9 +163,36 @@ def test_language_edges(spark, docs, edges):
     assert language_id.keep_identified(edges, model).columns == edges.columns
 
 
-def test_bloom_filters_have_what_was_put_in():
-    import numpy as np
+def plain_grams(text):
+    raw = bytes(c if c > 127 or 97 <= c <= 122 else 32 for c in (text or "").lower().encode())
+    return [raw[i : i + 4] for i in range(len(raw) - 3) if raw[i : i + 2] != b"  "]
 
+
+def test_languages_are_those_of_sets_of_ngrams(spark, docs):
+    """Brute force: plain sets of all n-grams of each language in place of the filters."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    learned = {}
+    for i, text, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            learned.setdefault(lang, set()).update(plain_grams(text))
+    model = language_id.learn_languages(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict_languages(docs, model).collect()}
+    same = 0
+    for i, text, _ in rows:
+        grams = plain_grams(text)
+        hits = {k: sum(g in s for g in grams) for k, s in sorted(learned.items())}
+        want = max(hits, key=hits.get) if re.search(r"[^\W\d_]", text or "") else "und"
+        same += got[i][0] == want
+        if want != "und" and len(grams) > 200:
+            assert got[i][0] == want and got[i][1] == pytest.approx(hits[want] / sum(hits.values()), abs=0.02)
+    assert same >= 0.99 * len(rows)
+    filled = model.slots[0]
+    for k, lang in enumerate(model.languages):
+        codes = np.array([int.from_bytes(g, "little") for g in learned[lang]], np.uint32)
+        assert model.bit(model.masks(codes), k).all() and (filled >> k & 1).any()
+
+
+def test_bloom_filters_have_what_was_put_in():
     grams = {f"l{i:03}": np.arange(500 * i, 500 * i + 1000).astype(np.uint32) for i in range(70)}
     f = language_id.LanguageFilter.build(grams, 18)
     assert len(f.slots) == 2
