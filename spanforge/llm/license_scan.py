@@ -10,13 +10,14 @@ ordered by their global frequency, rarest first; a block can only reach the need
 overlap `a` of a template of n words if it has one of the template's n - a + 1 rarest
 words (prefix filter), if it has a words of the vocabulary at all (length filter), and
 if what is left behind the first common word on both sides makes up for the rest
-(positional filter).  Pairs that pass are counted in full.  The templates are a short
-list with a checked bound, so they go to every task and no text moves.
+(positional filter).  Pairs that pass are counted in full.  A template may have words
+without which a block isn't its notice, whatever it has else: names and versions.  The templates
+are a list that the caller hands in, so they go to every task and no text moves.
 
 A match's places are the least stretches of words that hold what the threshold needs.
 A match is overlaid if every one of its places overlaps one of a match with more of its
-own template: so version 3 of a licence displaces version 2, and two notices in one block
-both stay.
+own template, or with as much of a template that has all its words and others: so CC BY-NC
+displaces CC BY, and two notices in one block both stay.
 
 Beside the join, a fixed list of phrases is looked up as consecutive words.
 
@@ -41,28 +42,74 @@ from .common import text_batches
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 THRESHOLD = 0.8
-#: Bound of what is sent to every task: words of all templates together.
-MOST_TEMPLATE_WORDS = 100_000
 
 #: Phrases of consecutive words, and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Notices, and the labels of blocks that contain them.
+#: Notices and licence texts, the labels of blocks that contain them, and words that such a block has in any case.
 TEMPLATES = (
-    ("mit", "released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("gpl-3.0", "licensed under the GNU General Public License, version 3"),
-    ("gpl-2.0", "licensed under the GNU General Public License, version 2"),
-    ("lgpl", "licensed under the GNU Lesser General Public License"),
-    ("agpl-3.0", "licensed under the GNU Affero General Public License, version 3"),
-    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-4.0", "Licensed under CC BY 4.0"),
-    ("cc0-1.0", "dedicated to the public domain under CC0 1.0 Universal"),
-    ("reserved", "All rights reserved"),
+    ("mit", "released under the MIT License", "mit"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission granted"),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
+        Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+        permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all
+        copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+        WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        "permission granted sublicense",
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+        permission notice appear in all copies.""",
+        "permission fee granted",
+    ),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache 2"),
+    (
+        "apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        "apache 2",
+    ),
+    ("gpl-3.0", "licensed under the GNU General Public License, version 3", "gnu 3"),
+    ("gpl-2.0", "licensed under the GNU General Public License, version 2", "gnu 2"),
+    (
+        "gpl-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either
+        version 3 of the License, or (at your option) any later version.""",
+        "gnu 3",
+    ),
+    (
+        "gpl-2.0",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either
+        version 2 of the License, or (at your option) any later version.""",
+        "gnu 2",
+    ),
+    ("lgpl", "licensed under the GNU Lesser General Public License", "gnu lesser"),
+    ("agpl-3.0", "licensed under the GNU Affero General Public License, version 3", "gnu affero 3"),
+    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", "mozilla 2"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution source binary"),
+    (
+        "bsd-2-clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code
+        must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+        "redistribution retain reproduce",
+    ),
+    (
+        "bsd-3-clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code
+        must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+        "redistribution retain reproduce neither endorse",
+    ),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered"),
+    *((f"cc-by{part}-4.0", f"Licensed under CC BY{part.upper()} 4.0", f"cc by 4{part.replace('-', ' ')}") for part in ("", "-nc", "-sa", "-nd", "-nc-sa", "-nc-nd")),
+    ("cc0-1.0", "dedicated to the public domain under CC0 1.0 Universal", "cc0"),
 )
 
 
@@ -77,6 +124,7 @@ class Template:
     ordered: tuple[bytes, ...]
     words: frozenset[bytes] = field(repr=False)
     needed: int
+    always: frozenset[bytes] = frozenset()
 
 
 class TemplateIndex:
@@ -84,16 +132,16 @@ class TemplateIndex:
 
     def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
         self.rank, self.templates, self.postings = {}, [], defaultdict(list)
-        sets = [(label, frozenset(words(text))) for label, text in templates]
-        vocabulary = sorted({w for _, s in sets for w in s}, key=lambda w: (frequency.get(w, 0), w))
+        sets = [(label, frozenset(words(text)), frozenset(words(" ".join(always)))) for label, text, *always in templates]
+        vocabulary = sorted({w for _, s, _ in sets for w in s}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(vocabulary)}
-        for label, s in sets:
+        for label, s, always in sets:
             if s:
                 needed = max(1, math.ceil(threshold * len(s) - 1e-9))
                 ordered = tuple(sorted(s, key=self.rank.__getitem__))
                 for i in range(len(s) - needed + 1):
                     self.postings[ordered[i]].append((len(self.templates), i))
-                self.templates.append(Template(label, ordered, s, needed))
+                self.templates.append(Template(label, ordered, s, needed, always))
         self.prefix = frozenset(self.postings)
 
     def match(self, block: set[bytes]) -> list[tuple[int, float]]:
@@ -110,7 +158,7 @@ class TemplateIndex:
                 if len(ordered) < t.needed or min(len(t.ordered) - i, len(ordered) - j) < t.needed:
                     continue
                 overlap = len(t.words & block)
-                if overlap >= t.needed:
+                if overlap >= t.needed and t.always <= block:
                     out.append((k, overlap / len(t.words)))
         return sorted(out)
 
@@ -124,13 +172,13 @@ class Scanner:
     """Finds the templates in the lines of a text, and in runs of words across its lines."""
 
     def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
-        listed = [(label, text) for label, text in templates if words(text)]
+        listed = [t for t in templates if words(t[1])]
         self.index = TemplateIndex(listed, frequency, threshold)
         by = defaultdict(list)
-        for i, (_, text) in enumerate(listed):
-            by[run_step(text)].append((i, text))
+        for i, (_, *rest) in enumerate(listed):
+            by[run_step(rest[0])].append((i, *rest))
         self.runs = {step: TemplateIndex(some, frequency, threshold) for step, some in by.items()}  # labels are places in the whole list
-        self.step = {i: step for step, some in by.items() for i, _ in some}
+        self.step = {i: step for step, some in by.items() for i, *_ in some}
 
     def spans(self, text: bytes, found: list[bytes], present: set[bytes]) -> list[dict]:
         if self.index.prefix.isdisjoint(present):
@@ -148,10 +196,14 @@ class Scanner:
         if len(starts) > 1:
             matches += self.across(found, starts, {self.step[i] for i in possible}, matches)
         return [
-            {"label": self.index.templates[i].label, "block": k, "start": a, "n_words": n, "containment": share, "overlaid": not free(places, [m[5] for m in matches if m[1] > share])}
+            {"label": self.index.templates[i].label, "block": k, "start": a, "n_words": n, "containment": share, "overlaid": not free(places, [m[5] for m in matches if self.outdoes(m, i, share)])}
             for i, share, k, a, n, places in sorted(matches, key=lambda m: (m[3], m[0], m[4]))
         ]
 
+    def outdoes(self, other: tuple, i: int, share: float) -> bool:
+        """Whether another match has more of its template, or as much of one that has all words of template i and others."""
+        return other[1] > share or other[1] == share and self.index.templates[other[0]].words > self.index.templates[i].words
+
     def across(self, found: list[bytes], starts: list[int], steps: set[int], lines: list[tuple]) -> list[tuple]:
         """Matches of runs that cross lines and hold more of a template than the lines there, best first."""
         runs = []
@@ -220,9 +272,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
     text, its first word, its number of words, the share of the template that it contains
     and whether better matches overlay it.
     """
-    vocabulary = frozenset(w for _, text in templates for w in words(text))
-    if sum(len(words(text)) for _, text in templates) > MOST_TEMPLATE_WORDS:
-        raise ValueError(f"templates of over {MOST_TEMPLATE_WORDS} words; scan with parts of the list")
+    vocabulary = frozenset(w for t in templates for w in words(t[1]))
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
@@ -277,8 +327,8 @@ def oracle_sql(templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOL
     cls = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     listed = lambda ws: "[" + ", ".join("'" + w.decode() + "'" for w in ws) + "]"
-    sets = [(label, sorted(set(words(text)))) for label, text in templates]
-    values = ", ".join(f"('{label}', {listed(s)}, {max(1, math.ceil(threshold * len(s) - 1e-9))})" for label, s in sets)
+    sets = [(label, sorted(set(words(text))), words(" ".join(always))) for label, text, *always in templates]
+    values = ", ".join(f"({i}, '{label}', {listed(s)}, {max(1, math.ceil(threshold * len(s) - 1e-9))}, CAST({listed(always)} AS VARCHAR[]))" for i, (label, s, always) in enumerate(sets))
     bases = ", ".join(f"('{label}', {listed(words(p))})" for p, label in phrases)
     return f"""
 WITH d AS (SELECT doc_id, {lower.format("coalesce(text, '')")} AS t FROM documents),
@@ -287,15 +337,16 @@ base(label, p) AS (VALUES {bases}),
 place AS (SELECT doc_id, label, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1 : i + len(p)] = p)) AS pos
   FROM w, base WHERE list_has_all(ws, p)),
 b AS (SELECT doc_id, label, pos FROM place),
-tpl(label, s, needed) AS (VALUES {values}),
+tpl(i, label, s, needed, always) AS (VALUES {values}),
 block AS (SELECT doc_id, row_number() OVER () AS k, list_distinct(regexp_extract_all(line, '{cls}')) AS bs
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-span AS (SELECT doc_id, k, label, len(list_intersect(bs, s)) / CAST(len(s) AS DOUBLE) AS share
-  FROM block, tpl WHERE len(bs) >= needed AND len(list_intersect(bs, s)) >= needed),
+span AS (SELECT doc_id, k, i, label, s, len(list_intersect(bs, s)) / CAST(len(s) AS DOUBLE) AS share
+  FROM block, tpl WHERE len(bs) >= needed AND list_has_all(bs, always) AND len(list_intersect(bs, s)) >= needed),
+top AS (SELECT doc_id, k, label FROM span x WHERE NOT EXISTS (SELECT 1 FROM span y WHERE y.k = x.k AND (y.share > x.share OR y.share = x.share AND len(y.s) > len(x.s) AND list_has_all(y.s, x.s)))),
 bg AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM b GROUP BY 1),
 sg AS (SELECT doc_id, max(share) AS share FROM span GROUP BY 1),
 ag AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM (SELECT doc_id, label FROM b
-  UNION ALL SELECT doc_id, label FROM (SELECT *, max(share) OVER (PARTITION BY k) AS most FROM span) WHERE share = most) GROUP BY 1)
+  UNION ALL SELECT doc_id, label FROM top) GROUP BY 1)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(bg.n, 0) AS BIGINT) AS n_base,
   CAST(bg.lo AS BIGINT) AS first_word, CAST(bg.hi AS BIGINT) AS last_word, coalesce(bg.ls, '') AS base_labels,
   coalesce(ag.ls, '') AS labels, CASE WHEN bg.n > 0 THEN 1.0 ELSE coalesce(sg.share, 0.0) END::DOUBLE AS score

@@ -102,11 +102,39 @@ def test_notices_of_a_line_all_give_labels(spark):
     texts = [f"{lesser}; {binary} ...", f"{binary} is what you may do; {lesser}", "Licensed under the GNU General Public License, version 3", f"are permitted {lesser} and then {'x ' * 200} {binary}"]
     got = licences(spark, texts)
     assert [x for x, _ in got] == ["bsd,gpl,lgpl", "bsd,gpl,lgpl", "gpl,gpl-3.0", "bsd,gpl,lgpl"]
-    assert {x["label"] for x in got[2][1] if x["overlaid"]} == {"agpl-3.0", "gpl-2.0", "lgpl"}
+    assert {x["label"] for x in got[2][1] if x["overlaid"]} == set()
+
+
+NAMED = {
+    "Licensed under the GNU General Public License": "gpl",
+    "released under the GNU General Public License": "gpl",
+    "Licensed under the GNU General Public License, version 1": "gpl",
+    "Licensed under the GNU General Public License, version 2": "gpl,gpl-2.0",
+    "Licensed under CC BY 3.0": "cc-by",
+    "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa-4.0",
+    "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
+    "Licensed under CC BY 4.0 and CC BY-SA 4.0": "cc-by,cc-by-sa-4.0",
+    "all the rights that were not reserved": "",
+    "released under the Apache License": "",
+    "licensed under the GNU Affero General Public License, version 3": "agpl-3.0,gpl",
+}
+
+
+def test_names_and_versions_tell_licences_apart(spark):
+    assert dict(zip(NAMED, [x for x, _ in licences(spark, [*NAMED])], strict=True)) == NAMED
+
+
+def test_whole_licence_texts_are_found_however_wrapped(spark):
+    import textwrap
+
+    whole = [(label, text) for label, text, *_ in license_scan.TEMPLATES if len(text) > 150]
+    texts = [lead + "\n".join(f"{sign}{x}" for x in textwrap.wrap(text, width)) + "\n\nint main() {}" for _, text in whole for lead, sign, width in (("", "", 70), ("Copyright (c) somebody\n\n", "# ", 55), ("", " * ", 200))]
+    for (labels, _), (want, _) in zip(licences(spark, texts), [w for w in whole for _ in range(3)], strict=True):
+        assert want in labels.split(","), (want, labels)
 
 
 def test_every_stretch_as_long_as_a_template_lies_in_a_run():
-    for _, text in license_scan.TEMPLATES:
+    for _, text, *_ in license_scan.TEMPLATES:
         step, n = license_scan.run_step(text), len(license_scan.words(text))
         assert all(any(r * step <= a and a + n <= (r + 2) * step for r in (a // step, a // step - 1)) for a in range(200))
 
