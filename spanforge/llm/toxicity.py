@@ -111,8 +111,12 @@ def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], dim: int)
     return np.flatnonzero((ratio >= LEAST_RATIO) & (a >= LEAST_TEXTS) & (a / na > 2 * b / nb))
 
 
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """A linear classifier of least non-negative PU risk, by full-batch Adam on the logistic loss."""
+def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, risk: str = "nnpu") -> tuple[np.ndarray, float]:
+    """A linear classifier of least non-negative PU risk, by full-batch Adam on the logistic loss.
+
+    For comparison: risk "pu" leaves out the correction below zero, "pn" takes all unlabelled
+    texts as negative.
+    """
     dim = 1 << DIM_BITS
     kept = telling(positive, unlabelled, dim)
     to = np.full(dim, -1, np.int64)
@@ -125,7 +129,12 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
         sp, su = _sigmoid(p.margins(w, b)), _sigmoid(u.margins(w, b))
         negative = np.mean(-np.log(1 - su + 1e-12)) - prior * np.mean(-np.log(1 - sp + 1e-12))
         down_p, up_p, down_u = (sp - 1) / p.n, sp / p.n, su / u.n
-        gp, gu = (prior * down_p - prior * up_p, down_u) if negative >= 0 else (prior * up_p, -down_u)
+        if risk == "pn":
+            gp, gu = prior * down_p, (1 - prior) * down_u
+        elif negative >= 0 or risk == "pu":
+            gp, gu = prior * down_p - prior * up_p, down_u
+        else:  # climbs the part that has gone below zero
+            gp, gu = prior * up_p, -down_u
         g = p.back(gp, k) + u.back(gu, k) + DECAY * w
         gb = gp.sum() + gu.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g

@@ -268,6 +268,51 @@ def test_the_risk_never_goes_below_nothing():
     assert np.isfinite(w).all() and w[1] > 0 and w[2] > 0 and not w[10:60].any()
 
 
+def positives_among_others(seed, n_pos, n_unl, prior):
+    """Toxic texts have many of the features 1 to 39, others seldom one; the rest of their features tell nothing."""
+    rng = np.random.default_rng(seed)
+    bad = lambda: np.unique(np.concatenate([rng.integers(1, 40, 6), rng.integers(100, 400, 8)])).astype(np.int32)
+    good = lambda: np.unique(np.concatenate([rng.integers(1, 40, int(rng.random() < 0.3)), rng.integers(100, 400, 13)])).astype(np.int32)
+    truth = rng.random(n_unl) < prior
+    return [bad() for _ in range(n_pos)], [bad() if t else good() for t in truth], truth
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_what_the_corrected_risk_adds(seed):
+    """The same features and data under three risks: only the corrected one stays above zero, and a naive one flags fewer."""
+    prior = 0.2
+    pos, unl, _ = positives_among_others(seed, 40, 300, prior)
+    _, others, truth = positives_among_others(seed + 50, 1, 3000, prior)
+    error, recall, below = {}, {}, {}
+    for risk in ("nnpu", "pu", "pn"):
+        w, b = toxicity.train_nnpu(pos, unl, prior, 400, risk)
+        margins = lambda rows: np.array([w[r].sum() + b for r in rows])  # noqa: B023, E731
+        loss = lambda rows: np.logaddexp(0, margins(rows)).mean()  # noqa: E731  of taking rows as negative
+        below[risk] = loss(unl) - prior * loss(pos)
+        flagged = margins(others) > 0
+        error[risk], recall[risk] = (flagged != truth).mean(), flagged[truth].mean()
+    assert below["nnpu"] > -0.02 and below["pu"] < -0.5
+    assert recall["nnpu"] > 1.3 * recall["pn"] and error["nnpu"] < error["pn"]
+
+
+def test_scores_are_those_of_a_plain_sum(spark, docs, labels):
+    """Brute force: each text's words one by one, without batches or memory."""
+    model = toxicity.learn_toxicity(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
+    top = (1 << toxicity.DIM_BITS) - 1
+    for r in docs.collect():
+        z = float(model.bias)
+        for word in {w for w in re.split(r"[\W\d_]+", (r["text"] or "").lower()) if w}:
+            z += float(model.weights[zlib.crc32(word.encode()) & top])
+            for n in (5, 6, 7):
+                if len(word) > n:
+                    z += float(model.weights[zlib.crc32(word[:n].encode(), 77) & top])
+        x = model.slope * (z - model.cut) + np.log(0.7 / 0.3)
+        want = 0.0 if model.empty else 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+        assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-4)
+        assert got[r["doc_id"]]["predicted"] == (got[r["doc_id"]]["score"] >= 0.7)
+
+
 # surrogates
 
 
