@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -39,10 +40,65 @@ def odd_texts(n, alphabet, seed):
 def test_transducer_says_what_the_library_says(docs):
     fst = sentencepiece_fst.compiled(PIECES)
     texts = [r["text"] for r in docs.limit(60).collect()] + odd_texts(4000, "abcdeéñ漢字 \n▁.,'12ABĆ’“", 5) + [t or "" for _, t in EDGES[:6]]
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for t in texts:
         ids = np.frombuffer(fst.encode(t), "<u4").tolist()
-        assert ids == fst.model.encode(t), t
-        assert fst.decode(ids) == fst.model.decode(ids)
+        assert ids == model.encode(t), t
+        assert fst.decode(ids) == model.decode(ids)
+
+
+def serialised(fields):
+    """A message of (number, value) pairs: integers, floats or bytes."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + np.float32(value).tobytes()
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+def hand_made_model(path, kind, falls_back, rule, prefix=1, drops=1):
+    """A model file with a small vocabulary written by hand; its character map is one of the library's own."""
+    rng = random.Random(3)
+    spec = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+    charsmap = sentencepiece_fst.message(sentencepiece_fst.message(spec)[3][-1]).get(2, [b""])[-1]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] if falls_back else []
+    syllables = ["a", "b", "c", "é", "▁", "x", "ab", "abc", "bc", "▁a", "▁ab", "ca", "cab", "aa", "aaa", "▁the", "th", "he", "t", "h", "e", "▁t", "▁▁", "漢", "1", ".", "b.", "1.", "ﬁ", "f", "i", "fi"]
+    pieces += [(p, -float(rng.choice([1.5, 2.25, 3.0, 4.5, 6.0, 7.5])) if kind == 1 else -float(i), 1) for i, p in enumerate(sorted(syllables, key=lambda x: (-len(x), x)))]
+    raw = [(1, serialised([(1, p.encode()), (2, score), (3, t)])) for p, score, t in pieces]
+    raw += [(2, serialised([(3, kind), (35, int(falls_back)), (40, 0)])), (3, serialised([(1, rule.encode()), (2, charsmap), (3, prefix), (4, drops), (5, 1)]))]
+    path.write_bytes(serialised(raw))
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("falls_back", [True, False])
+@pytest.mark.parametrize("shape", [("identity", 1, 0), ("identity", 0, 1), ("nmt_nfkc", 1, 1), ("nfkc_cf", 1, 1)])
+def test_transducer_says_what_the_library_says_of_other_models(tmp_path, kind, falls_back, shape):
+    path = hand_made_model(tmp_path / "m.model", kind, falls_back, *shape)
+    fst, model = sentencepiece_fst.PieceTransducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = odd_texts(1500, "aabbcch e the  \u00a0ﬁ①ÀéE\u0301漢ﾊﾟ▁.1\t\n", 11) + ["", " ", "  ", "▁", " a  b ", "ab" * 300, "ﬁ" * 20, "x y", "\u200b", "the the"]
+    for t in texts:
+        ids = np.frombuffer(fst.encode(t), "<u4").tolist()
+        assert ids == model.encode(t), (t, ids, model.encode(t), fst.normalise(t))
+        assert fst.decode(ids) == model.decode(ids), (t, ids)
+
+
+def test_models_of_other_kinds_are_refused(tmp_path):
+    for kind in (3, 4):
+        with pytest.raises(ValueError, match="type"):
+            sentencepiece_fst.PieceTransducer(hand_made_model(tmp_path / "m.model", kind, False, "identity"))
 
 
 def test_encoding_round_trips(spark, docs, edges):
