@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from ..functions.predicates import validate
 from ..operators import documents, fusion, jobs, refine, temporal
-from ..plans.catalog import query
+from ..plans.catalog import query, table
 from ..plans.guard import isolated, run_sql
-from ..sources import files
+from ..plans.scratch import Scratch
+from ..sources import files, store
+from ..sources.shared import SharedFiles
 
 
 def rows(spark, schema, *values):
@@ -230,3 +235,154 @@ def a11(spark, sf):
             found.append((name, None))
     spark.catalog.dropTempView("outside")
     return rows(spark, "view string, n int", *found)
+
+
+def _root(spark, label):
+    return Scratch(spark, label).root
+
+
+@query("a1_discovery", "SELECT * FROM (VALUES ('a.csv', 4, true), ('b/notes.md', 3, false), ('b/rates.XLSX', 2, true)) t(path, length, structured)")
+def a1(spark, sf):
+    root, store_ = _root(spark, "a1"), SharedFiles(spark)
+    for name, text in {"b/notes.md": "hey", "a.csv": "x\n1\n", ".git/x.csv": "x", "b/.y.csv": "x", "b/rates.XLSX": "PK"}.items():
+        store_.write_text(f"{root}/{name}", text)
+    found = files.discover(spark, root)
+    return found.select(F.regexp_replace("path", f"^.*{root.rsplit('/', 1)[-1]}/", "").alias("path"), F.col("length").cast("int").alias("length"), "structured")
+
+
+@query("a3_csv_table", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment, c_custkey % 2 = 0 AS even, CAST(DATE '2024-01-01' + CAST(c_custkey % 300 AS INTEGER) AS DATE) AS day FROM customer")
+def a3(spark, sf):
+    """The customers written as CSV files, loaded as a typed table, and read again."""
+    root = _root(spark, "a3")
+    c = table(spark, sf, "customer").withColumns({"even": F.when(F.col("c_custkey") % 2 == 0, "Yes").otherwise("no"), "day": F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("c_custkey") % 300).cast("int"))})
+    c.write.option("header", True).csv(f"{root}/customers.csv")
+    files.load_table(spark, f"{root}/customers.csv", f"{root}/table")
+    return spark.read.parquet(f"{root}/table")
+
+
+@query("a4_sheet", "SELECT * FROM (VALUES (1, 'north', 0.5::DOUBLE, DATE '2024-02-29', true), (2, NULL, 2.0, DATE '1999-12-31', false)) t(id, place, rate, day, open)".replace("(1, 'n", "(1::BIGINT, 'n"))
+def a4(spark, sf):
+    root = _root(spark, "a4")
+    SharedFiles(spark).write_bytes(f"{root}/rates.xlsx", small_workbook())
+    assert files.sheets(spark, f"{root}/rates.xlsx") == ["Rates", "Other"]
+    return files.read_sheet(spark, f"{root}/rates.xlsx", "Rates", header_row=1)
+
+
+def small_workbook() -> bytes:
+    """A workbook of three sheets, one of them hidden and one empty, whose first row is a title."""
+    main, links = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cells = [
+        '<row r="1"><c r="A1" t="inlineStr"><is><t>Title</t></is></c></row>',
+        '<row r="2"><c r="A2" t="s"><v>0</v></c><c r="B2" t="s"><v>1</v></c><c r="C2" t="s"><v>2</v></c><c r="D2" t="s"><v>3</v></c><c r="E2" t="s"><v>4</v></c></row>',
+        '<row r="3"><c r="A3"><v>1</v></c><c r="B3" t="s"><v>5</v></c><c r="C3"><f>1/2</f><v>0.5</v></c><c r="D3" s="1"><v>45351</v></c><c r="E3" t="b"><v>1</v></c></row>',
+        '<row r="5"><c r="A5"><v>2</v></c><c r="C5"><v>2</v></c><c r="D5" s="1"><v>36525</v></c><c r="E5" t="b"><v>0</v></c></row>',
+    ]
+    sheet = lambda rows: f'<worksheet xmlns="{main}"><sheetData>{"".join(rows)}</sheetData></worksheet>'
+    strings = "".join(f"<si><t>{x}</t></si>" for x in ("id", "place", "rate", "day", "open", "north"))
+    listed = (("Rates", "visible"), ("Secret", "hidden"), ("Empty", "visible"), ("Other", "visible"))
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{links}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" state="{v}" r:id="r{i}"/>' for i, (n, v) in enumerate(listed, 1)) + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, 5)) + "</Relationships>",
+        "xl/sharedStrings.xml": f'<sst xmlns="{main}">{strings}</sst>',
+        "xl/styles.xml": f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": sheet(cells),
+        "xl/worksheets/sheet2.xml": sheet(cells),
+        "xl/worksheets/sheet3.xml": sheet([]),
+        "xl/worksheets/sheet4.xml": sheet(cells[:1]),
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+@query("a8_staging", "SELECT 'staged' AS \"table\", count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'target', count(*), max(o_totalprice) FROM orders WHERE o_orderstatus = 'O'")
+def a8(spark, sf):
+    """A batch staged from a file beside its target, which stays as it was."""
+    scratch, o = Scratch(spark, "a8"), table(spark, sf, "orders")
+    o.filter("o_orderstatus = 'O'").write.parquet(f"{scratch.root}/target")
+    o.filter("o_orderstatus = 'F'").write.option("header", True).csv(f"{scratch.root}/batch.csv")
+    staged = files.stage(spark, f"{scratch.root}/batch.csv", scratch)
+    total = lambda df, name: df.agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most")).select(F.lit(name).alias("table"), "n", "most")
+    return total(staged, "staged").unionByName(total(spark.read.parquet(f"{scratch.root}/target"), "target"))
+
+
+def _bundle(spark, sf):
+    d = table(spark, sf, "documents").filter("text IS NOT NULL")
+    document = d.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("name"), F.col("lang").alias("domain"))
+    chunks = d.select(F.concat(F.lit("c"), "doc_id").alias("id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return {"document": document, "chunks": chunks}
+
+
+BUNDLE_SQL = "SELECT CAST(doc_id AS VARCHAR) AS id, 'doc' || doc_id AS name, lang AS domain, NULL::VARCHAR AS logical_id, NULL::INTEGER AS version, length(text) AS n FROM documents WHERE text IS NOT NULL"
+
+
+def _read_bundle(spark, root):
+    got = store.read_bundle(spark, root)
+    return got["document"].join(got["chunks"].select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n")), "id").select("id", "name", "domain", "logical_id", "version", "n")
+
+
+@query("a16_bundle", BUNDLE_SQL)
+def a16(spark, sf):
+    """All documents as a bundle of JSON files, read again; fields that it lacks are null."""
+    root = _root(spark, "a16")
+    store.write_bundle(root, **_bundle(spark, sf))
+    return _read_bundle(spark, root)
+
+
+@query("a22_portable_document", BUNDLE_SQL)
+def a22(spark, sf):
+    """The same through one portable file, which also has things that aren't taken over."""
+    root = _root(spark, "a22")
+    store.write_bundle(f"{root}/staged", **_bundle(spark, sf))
+    SharedFiles(spark).write_text(f"{root}/staged/other.txt", "x")
+    store.export_document(spark, f"{root}/staged", f"{root}/one.zip")
+    names = store.import_document(spark, f"{root}/one.zip", f"{root}/back")
+    assert "other.txt" not in names and names
+    return _read_bundle(spark, f"{root}/back")
+
+
+@query("a17_pull", "SELECT * FROM (VALUES (1, 'a,b', 2), (2, 'clash: a', 3), (3, 'd', 4)) t(seq, pulled, n)")
+def a17(spark, sf):
+    """Folders of documents pulled from three sources; one name that is there stops a whole pull."""
+    root, store_, told = _root(spark, "a17"), SharedFiles(spark), []
+    for seq, names in enumerate(("ab", "ac", "d"), 1):
+        for n in names:
+            store_.write_text(f"{root}/source{seq}/{n}/document.json", "{}")
+        if seq == 2:
+            store_.write_text(f"{root}/target/own/document.json", "{}")
+        try:
+            pulled = ",".join(store.pull(spark, f"{root}/source{seq}", f"{root}/target"))
+        except FileExistsError as e:
+            pulled = f"clash: {e}"
+        told.append((seq, pulled, len(store_.folders(f"{root}/target"))))
+    return rows(spark, "seq int, pulled string, n int", *told)
+
+
+@query("a19_structured_snapshot", "SELECT 7 AS id, 'r1' AS domain, 'nation' AS \"table\", 'lookup' AS grain, count(*) AS n FROM nation UNION ALL SELECT 9, 'r2', 'supplier', 'instance', count(*) FROM supplier")
+def a19(spark, sf):
+    """Tables and their registry out and in again; a field that the snapshot lacks gets its default, ids stay."""
+    root = _root(spark, "a19")
+    tables = {("r1", "nation"): table(spark, sf, "nation"), ("r2", "supplier"): table(spark, sf, "supplier")}
+    store.export_tables(spark, root, tables, [{"id": 7, "domain": "r1", "name": "nation"}, {"id": 9, "domain": "r2", "name": "supplier", "grain": "instance"}])
+    back, registry = store.import_tables(spark, root, {"grain": "lookup"})
+    return rows(spark, "id int, domain string, table string, grain string, n long", *((r["id"], r["domain"], r["name"], r["grain"], back[r["domain"], r["name"]].count()) for r in registry))
+
+
+@query("a20_snapshot", """SELECT 'nodes' AS part, count(*) AS n FROM part UNION ALL SELECT 'edges', count(DISTINCT (l_suppkey, l_partkey)) FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) AND l_suppkey IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'missing components', 1""")
+def a20(spark, sf):
+    """A graph and a table in one archive, put back elsewhere."""
+    root = _root(spark, "a20")
+    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    edges = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src_id"), F.col("l_partkey").alias("dst_id")).distinct()
+    store.export_graph(f"{root}/live/graph", {"Entity": nodes}, edges)
+    store.export_tables(spark, f"{root}/live/structured", {("r1", "nation"): table(spark, sf, "nation")}, [{"domain": "r1", "name": "nation"}])
+    store.create_snapshot(spark, f"{root}/live", f"{root}/all.zip")
+    told = store.analyze_snapshot(spark, f"{root}/all.zip", store.COMPONENTS)
+    store.restore_snapshot(spark, f"{root}/all.zip", f"{root}/again")
+    found, links = store.import_graph(spark, f"{root}/again/graph")
+    tables, _ = store.import_tables(spark, f"{root}/again/structured", {})
+    counts = (("nodes", found["Entity"].count()), ("edges", links.count()), ("nation", tables["r1", "nation"].count()), ("missing components", len(told["missing"])))
+    return rows(spark, "part string, n long", *counts)

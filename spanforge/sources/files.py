@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import datetime as dt
 import os
 import re
 
@@ -10,8 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import html_text, sanitize_identifier
+from ..plans.scratch import Scratch
+from .shared import SharedFiles
+from .workbook import Workbook
 
 STRUCTURED = (".csv", ".xlsx", ".xlsm")
+_SHEET_TYPES = {bool: "boolean", dt.date: "date", dt.datetime: "timestamp_ntz", str: "string"}
 
 
 def is_structured(path: str) -> bool:
@@ -78,31 +83,47 @@ def read_csv(spark: SparkSession, path: str, header_row: int = 0) -> DataFrame:
     return normalise_types(df)
 
 
-def sheets(path: str) -> dict[str, object]:
-    """Visible sheets of a workbook that have cells; needs a spreadsheet library."""
-    import openpyxl
+def workbook(spark: SparkSession, path: str) -> Workbook:
+    return Workbook(SharedFiles(spark).read_bytes(path))
 
-    book = openpyxl.load_workbook(path, read_only=False, data_only=True)
-    return {s.title: s for s in book.worksheets if s.sheet_state == "visible" and s.max_row and any(c.value is not None for row in s.iter_rows() for c in row)}
+
+def sheets(spark: SparkSession, path: str) -> list[str]:
+    """The visible sheets of a workbook that have cells."""
+    book = workbook(spark, path)
+    return [n for n in book.sheets if any(v is not None for row in book.rows(n) for v in row)]
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str | None = None, header_row: int = 0) -> DataFrame:
-    """One sheet of a workbook as a typed table."""
+    """One sheet of a workbook, the first with cells if none is named, as a typed table; rows without any value are left out."""
     import pandas as pd
 
-    found = sheets(path)
-    ws = found[sheet] if sheet else next(iter(found.values()))
-    rows = [[c.value for c in r] for r in ws.iter_rows()][header_row:]
+    book = workbook(spark, path)
+    rows = book.rows(sheet or sheets(spark, path)[0])[header_row:]
     check_header(rows[0])
-    return normalise_types(spark.createDataFrame(pd.DataFrame(rows[1:], columns=[str(c) for c in rows[0]])))
+    kept = [r for r in rows[1:] if any(v is not None for v in r)]
+    columns = {}
+    for i, name in enumerate(rows[0]):
+        values = [r[i] for r in kept]
+        kinds = {type(v) for v in values if v is not None}
+        if kinds == {int}:
+            columns[str(name)] = pd.array(values, "Int64")
+        elif kinds <= {int, float} and kinds:
+            columns[str(name)] = pd.array(values, "Float64")
+        else:
+            same = len(kinds) == 1
+            columns[str(name)] = pd.Series([v if v is None or same else str(v) for v in values], dtype="object")
+    types = {c: ("bigint" if str(v.dtype) == "Int64" else "double" if str(v.dtype) == "Float64" else _SHEET_TYPES.get(next((type(x) for x in v if x is not None), str), "string")) for c, v in columns.items()}
+    plain = [[None if pd.isna(v) else v for v in row] for row in zip(*columns.values(), strict=True)]
+    return normalise_types(spark.createDataFrame([[float(v) if t == "double" and v is not None else int(v) if t == "bigint" and v is not None else v for v, t in zip(r, types.values(), strict=True)] for r in plain], ", ".join(f"`{c}` {t}" for c, t in types.items())))
 
 
 def source_tables(path: str, names: list[str] | None = None, table: str | None = None) -> dict[str, str | None]:
-    """Table names a file makes, with the sheet of each; more than one sheet makes `stem__sheet`."""
+    """Table names a file makes, with the sheet of each of `names`; more than one sheet makes `stem__sheet`."""
     stem = sanitize_identifier(table or os.path.splitext(os.path.basename(path))[0])
     if path.lower().endswith(".csv"):
         return {stem: None}
-    names = names if names is not None else list(sheets(path))
+    if names is None:
+        raise ValueError("a workbook needs the names of its sheets")
     return {stem: names[0]} if len(names) == 1 else {f"{stem}__{sanitize_identifier(n)}": n for n in names}
 
 
@@ -113,6 +134,12 @@ def load_table(spark: SparkSession, source: str, target: str, sheet: str | None
     return spark.read.parquet(target).count()
 
 
+def stage(spark: SparkSession, source: str, scratch: Scratch, sheet: str | None = None, header_row: int = 0) -> DataFrame:
+    """A file as a typed table beside the tables that are there, none of which is touched."""
+    df = read_csv(spark, source, header_row) if source.lower().endswith(".csv") else read_sheet(spark, source, sheet, header_row)
+    return scratch.save(df, "staged")
+
+
 def unchanged(files: DataFrame, registry: DataFrame) -> DataFrame:
     """Files all of whose tables were loaded from the same content: (path)."""
     known = registry.groupBy("path").agg(F.min("sha256").alias("lo"), F.max("sha256").alias("hi"))

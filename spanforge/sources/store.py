@@ -3,27 +3,28 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import time
-import zipfile
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import identifier_column, sanitize_identifier
+from .shared import SharedFiles
+
 BUNDLE = ("document", "chunks", "entities", "properties", "relationships")
 OPTIONAL = {"document": "logical_id string, version int"}
 BASE_LABELS = ("Document", "DocChunk", "Entity", "UserChat", "EntityVersion", "Conflict", "RefineRun")
 
 
 def view_name(domain: str, table: str) -> str:
-    return f"{domain.replace('.', '_').replace('-', '_')}__{table}"
+    """The name of a domain's table among all views."""
+    return f"{sanitize_identifier(domain)}__{table}"
 
 
 def view_name_column(domain: Column, table: str) -> Column:
     """view_name of a column of domains."""
-    return F.concat(F.translate(domain, ".-", "__"), F.lit(f"__{table}"))
+    return F.concat(identifier_column(domain), F.lit(f"__{table}"))
 
 
 def register_views(spark: SparkSession, tables: dict[tuple[str, str], DataFrame]) -> list[str]:
@@ -93,6 +94,20 @@ def pull_bundles(spark: SparkSession, incoming: DataFrame, existing: DataFrame)
     return incoming
 
 
+def pull(spark: SparkSession, source: str, target: str) -> list[str]:
+    """Copies the documents' folders of a source to a target; the names.
+
+    If any of them is there already, nothing is copied.
+    """
+    store = SharedFiles(spark)
+    names, taken = store.folders(source), set(store.folders(target))
+    if clash := [n for n in names if n in taken]:
+        raise FileExistsError(", ".join(clash))
+    for name in names:
+        store.copy(f"{source}/{name}", f"{target}/{name}")
+    return names
+
+
 def closed_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges whose ends are both among the ids."""
     return edges.join(ids.select(F.col("id").alias("src_id")), "src_id", "left_semi").join(ids.select(F.col("id").alias("dst_id")), "dst_id", "left_semi")
@@ -111,81 +126,70 @@ def export_graph(root: str, nodes: dict[str, DataFrame], edges: DataFrame) -> No
 
 
 def import_graph(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    sc = spark.sparkContext
-    where = sc._jvm.org.apache.hadoop.fs.Path(f"{root}/nodes")
-    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
-    labels = [s.getPath().getName() for s in fs.listStatus(where)]
+    labels = SharedFiles(spark).folders(f"{root}/nodes")
     return {n: spark.read.parquet(f"{root}/nodes/{n}") for n in labels}, spark.read.parquet(f"{root}/edges")
 
 
-def export_tables(root: str, tables: dict[tuple[str, str], DataFrame], registry: list[dict]) -> None:
+def export_tables(spark: SparkSession, root: str, tables: dict[tuple[str, str], DataFrame], registry: list[dict]) -> None:
     """Tables by domain, and the registry's rows as they are."""
     for (domain, name), df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/tables/{domain}/{name}")
-    os.makedirs(root, exist_ok=True)
-    with open(f"{root}/registry.json", "w") as f:
-        json.dump(registry, f)
+    SharedFiles(spark).write_text(f"{root}/registry.json", json.dumps(registry))
 
 
 def import_tables(spark: SparkSession, root: str, defaults: dict) -> tuple[dict[tuple[str, str], DataFrame], list[dict]]:
-    """What export_tables wrote; registry fields that an older snapshot lacks get their defaults."""
-    with open(f"{root}/registry.json") as f:
-        rows = [{**defaults, **r} for r in json.load(f)]
+    """What export_tables wrote; ids stay, and registry fields that an older snapshot lacks get their defaults."""
+    rows = [{**defaults, **r} for r in json.loads(SharedFiles(spark).read_text(f"{root}/registry.json"))]
     return {(r["domain"], r["name"]): spark.read.parquet(f"{root}/tables/{r['domain']}/{r['name']}") for r in rows}, rows
 
 
 COMPONENTS = ("graph", "structured", "documents")
 
 
-def create_snapshot(root: str, target: str, include: tuple[str, ...] = COMPONENTS) -> dict:
+def create_snapshot(spark: SparkSession, root: str, target: str, include: tuple[str, ...] = COMPONENTS) -> dict:
     """One archive of the components' folders below root, with a manifest; the manifest."""
-    manifest = {"version": 1, "components": {}}
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for c in include:
-            base = f"{root}/{c}"
-            files = sorted(os.path.join(d, n) for d, _, ns in os.walk(base) for n in ns if not n.endswith(".crc"))
-            for f in files:
-                z.write(f, os.path.relpath(f, root))
-            if os.path.isdir(base):
-                manifest["components"][c] = {"files": len(files), "bytes": sum(map(os.path.getsize, files))}
-        z.writestr("manifest.json", json.dumps(manifest))
+    store, manifest, entries = SharedFiles(spark), {"version": 1, "components": {}}, []
+    for c in include:
+        files = store.files(f"{root}/{c}")
+        entries += [(f"{c}/{name}", f"{root}/{c}/{name}") for name, _ in files]
+        if store.exists(f"{root}/{c}"):
+            manifest["components"][c] = {"files": len(files), "bytes": sum(n for _, n in files)}
+    store.pack(target, entries, {"manifest.json": json.dumps(manifest)})
     return manifest
 
 
-def analyze_snapshot(path: str, include: tuple[str, ...] | None = None) -> dict:
+def analyze_snapshot(spark: SparkSession, path: str, include: tuple[str, ...] | None = None) -> dict:
     """What an archive has of the components asked for."""
-    with zipfile.ZipFile(path) as z:
-        manifest = json.loads(z.read("manifest.json"))
+    text = SharedFiles(spark).packed_text(path, "manifest.json")
+    if text is None:
+        raise ValueError("the file is no snapshot")
+    manifest = json.loads(text)
     found = manifest["components"]
     return {"version": manifest["version"], "components": {k: v for k, v in found.items() if include is None or k in include}, "missing": [k for k in include or () if k not in found]}
 
 
-def restore_snapshot(path: str, root: str, include: tuple[str, ...] | None = None) -> list[str]:
+def restore_snapshot(spark: SparkSession, path: str, root: str, include: tuple[str, ...] | None = None) -> list[str]:
     """Puts components back in place of what is there; the components."""
-    done = []
-    with zipfile.ZipFile(path) as z:
-        for c in analyze_snapshot(path, include)["components"]:
-            shutil.rmtree(f"{root}/{c}", ignore_errors=True)
-            for n in z.namelist():
-                if n.startswith(f"{c}/") and ".." not in n:
-                    z.extract(n, root)
-            done.append(c)
+    store = SharedFiles(spark)
+    done = list(analyze_snapshot(spark, path, include)["components"])
+    for c in done:
+        store.delete(f"{root}/{c}")
+    store.unpack(path, root, lambda name: name.split("/")[0] in done)
     return done
 
 
-def export_document(root: str, target: str) -> list[str]:
+def export_document(spark: SparkSession, root: str, target: str) -> list[str]:
     """One staged document's bundle as a portable file; the names in it."""
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        names = sorted(os.path.relpath(os.path.join(d, n), root) for d, _, ns in os.walk(root) for n in ns if not n.endswith(".crc"))
-        for n in names:
-            z.write(f"{root}/{n}", n)
+    store = SharedFiles(spark)
+    names = [n for n, _ in store.files(root)]
+    store.pack(target, [(n, f"{root}/{n}") for n in names])
     return names
 
 
-def import_document(path: str, root: str) -> list[str]:
-    with zipfile.ZipFile(path) as z:
-        names = [n for n in z.namelist() if n.split("/")[0].removesuffix(".json") in BUNDLE and ".." not in n]
-        if not any(n.startswith("document.json") for n in names):
-            raise ValueError("the file is no document bundle")
-        z.extractall(root, names)
-    return names
+def import_document(spark: SparkSession, path: str, root: str) -> list[str]:
+    """Unpacks a document's bundle, and nothing else that may be in the file; the names."""
+    store = SharedFiles(spark)
+    part = lambda name: name.split("/")[0].removesuffix(".json") in BUNDLE
+    if not any(n.split("/")[0] == "document.json" for n in store.packed(path)):
+        raise ValueError("the file is no document bundle")
+    return store.unpack(path, root, part)

@@ -452,13 +452,13 @@ def test_views_and_bundles_and_snapshots(spark, tmp_path):
     store.write_bundle(f"{tmp_path}/g/doc", document=spark.createDataFrame([("1", "n")], "id string, name string"))
     got = store.read_bundle(spark, f"{tmp_path}/g/doc")
     assert got["document"].first()["logical_id"] is None and list(got) == ["document"]
-    store.export_document(f"{tmp_path}/g/doc", f"{tmp_path}/d.zip")
-    assert store.import_document(f"{tmp_path}/d.zip", f"{tmp_path}/back")
+    store.export_document(spark, f"{tmp_path}/g/doc", f"{tmp_path}/d.zip")
+    assert store.import_document(spark, f"{tmp_path}/d.zip", f"{tmp_path}/back")
     nodes = {"Entity": spark.createDataFrame([("a",), ("b",)], "id string")}
     store.export_graph(f"{tmp_path}/root/graph", nodes, spark.createDataFrame([("a", "b"), ("a", "z")], "src_id string, dst_id string"))
-    assert store.create_snapshot(f"{tmp_path}/root", f"{tmp_path}/s.zip")["components"]["graph"]["files"] > 0
-    assert store.analyze_snapshot(f"{tmp_path}/s.zip", ("graph", "structured"))["missing"] == ["structured"]
-    store.restore_snapshot(f"{tmp_path}/s.zip", f"{tmp_path}/again")
+    assert store.create_snapshot(spark, f"{tmp_path}/root", f"{tmp_path}/s.zip")["components"]["graph"]["files"] > 0
+    assert store.analyze_snapshot(spark, f"{tmp_path}/s.zip", ("graph", "structured"))["missing"] == ["structured"]
+    store.restore_snapshot(spark, f"{tmp_path}/s.zip", f"{tmp_path}/again")
     assert store.import_graph(spark, f"{tmp_path}/again/graph")[1].count() == 1
     with pytest.raises(FileExistsError):
         store.pull_bundles(spark, spark.createDataFrame([("x",)], "name string"), spark.createDataFrame([("x",)], "name string"))
