@@ -7,6 +7,8 @@ order is total.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,51 +213,86 @@ def rank_candidates(scored: DataFrame, name: str, entity_class: str | None, doma
     return rows.orderBy(F.desc("exact"), F.desc("same"), F.desc("score"), F.length("name"), "id").limit(top).select("id", "name", "entity_class", "domain", "score")
 
 
+def _live_hops(entities: DataFrame, edges: DataFrame, *columns: str) -> DataFrame:
+    """(a, b, *columns): both orientations of the edges between entities that are there."""
+    live = entities.select("id")
+    hops = both_ways(edges).join(live.withColumnRenamed("id", "a"), "a", "left_semi").join(live.withColumnRenamed("id", "b"), "b", "left_semi")
+    return hops.select("a", "b", *columns).distinct()
+
+
+def _step(nodes: DataFrame, hops: DataFrame) -> DataFrame:
+    """The neighbours of nodes, each once."""
+    return nodes.select(F.col("id").alias("a")).join(hops, "a").select(F.col("b").alias("id")).distinct()
+
+
 def shortest_path(entities: DataFrame, edges: DataFrame, start: str, goal: str, max_hops: int = 5) -> DataFrame:
     """(path, length): one shortest undirected path, as [node, type, node, ...]; the first by its text among equals.
 
-    Both ends are searched towards each other.  A round keeps the best path of every new
-    node only, so a frontier never holds more rows than there are nodes.
+    Both ends are searched towards each other, the smaller frontier first; a round writes
+    the ids of its new nodes and nothing else.  Where the searches meet, the nodes that lie on
+    shortest paths are picked level by level, and only over those are paths put together.
     """
-    live = entities.select("id")
-    hops = both_ways(edges).join(live.withColumnRenamed("id", "a"), "a", "left_semi").join(live.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b", "rel_type").distinct()
     spark = entities.sparkSession
     scratch = Scratch(spark, "path")
-    frontier = live.filter(F.col("id") == start).select("id", F.array("id").alias("path"))
-    seen = frontier.select("id")
-    for length in range(max_hops + 1):
-        hit = frontier.filter(F.col("id") == goal)
-        if not hit.isEmpty():
-            return hit.select("path", F.lit(length).alias("length"))
-        if length == max_hops:
-            break
-        step = frontier.join(hops, frontier["id"] == hops["a"]).select(F.col("b").alias("id"), F.concat("path", F.array("rel_type", "b")).alias("path"))
-        frontier = step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
-        frontier = scratch.save(frontier, f"hop-{length}")
-        seen = seen.union(frontier.select("id"))
-    return spark.createDataFrame([], "path array<string>, length int")
+    found = spark.createDataFrame([], "path array<string>, length int")
+    ends = {"from": start, "to": goal}
+    levels = {side: [scratch.save(entities.filter(F.col("id") == end).select("id").limit(1), side)] for side, end in ends.items()}
+    if any(level[0].isEmpty() for level in levels.values()):
+        return found
+    if start == goal:
+        return levels["from"][0].select(F.array("id").alias("path"), F.lit(0).alias("length"))
+    hops = scratch.save(_live_hops(entities, edges, "rel_type"), "hops")
+    sizes, met = {"from": 1, "to": 1}, None
+    while met is None:
+        if sum(len(level) - 1 for level in levels.values()) == max_hops:
+            return found
+        side = min(sizes, key=sizes.get)
+        other = "to" if side == "from" else "from"
+        seen = reduce(DataFrame.union, levels[side])
+        new = scratch.save(_step(levels[side][-1], hops).join(seen, "id", "left_anti"), f"{side}-{len(levels[side])}")
+        levels[side].append(new)
+        sizes[side] = new.count()
+        if not sizes[side]:
+            return found
+        both = new.join(levels[other][-1], "id", "left_semi")
+        if not both.isEmpty():
+            met = scratch.save(both, "met")
+    # the nodes of shortest paths, by how far they are from the start
+    on = [met]
+    for level in reversed(levels["from"][:-1]):
+        on.insert(0, scratch.save(level.join(_step(on[0], hops), "id", "left_semi"), f"on-{len(on)}"))
+    for level in reversed(levels["to"][:-1]):
+        on.append(scratch.save(level.join(_step(on[-1], hops), "id", "left_semi"), f"on-{len(on)}"))
+    paths = on[0].select("id", F.array("id").alias("path"))
+    for nodes in on[1:]:
+        step = paths.join(hops, paths["id"] == hops["a"]).select(F.col("b").alias("id"), F.concat("path", F.array("rel_type", "b")).alias("path"))
+        paths = step.join(nodes, "id", "left_semi").groupBy("id").agg(F.min("path").alias("path"))
+    return paths.select("path", F.lit(len(on) - 1).alias("length"))
 
 
 def all_paths(entities: DataFrame, edges: DataFrame, start: str, goal: str, max_hops: int = 5, limit: int = 3) -> DataFrame:
     """(path, length): undirected paths that use no edge twice, shortest first.
 
     Extended hop by hop until `limit` are found.  Only nodes that can still reach the goal in
-    the hops left are followed.
+    the hops left are followed.  Every round is written and read once.
     """
+    scratch = Scratch(entities.sparkSession, "paths")
     live = entities.select("id")
     keyed = edges.select("src_id", "dst_id", "rel_type").withColumn("edge", F.concat_ws("|", "src_id", "rel_type", "dst_id"))
-    hops = both_ways(keyed).join(live.withColumnRenamed("id", "a"), "a", "left_semi").join(live.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b", "rel_type", "edge").distinct()
-    near = [live.filter(F.col("id") == goal)]
-    for _ in range(max_hops - 1):
-        near.append(near[-1].join(hops, near[-1]["id"] == hops["a"]).select(F.col("b").alias("id")).union(near[-1]).distinct())
+    hops = scratch.save(_live_hops(entities, keyed, "rel_type", "edge"), "hops")
+    near = [scratch.save(live.filter(F.col("id") == goal), "near-0")]
+    for k in range(1, max_hops):
+        near.append(scratch.save(_step(near[-1], hops).union(near[-1]).distinct(), f"near-{k}"))
     paths = live.filter(F.col("id") == start).select("id", F.array("id").alias("path"), F.array().cast("array<string>").alias("used"))
-    found = None
+    found, n = None, 0
     for length in range(1, max_hops + 1):
         step = paths.join(hops, paths["id"] == hops["a"]).filter(~F.array_contains("used", F.col("edge")))
-        paths = step.select(F.col("b").alias("id"), F.concat("path", F.array("rel_type", "b")).alias("path"), F.concat("used", F.array("edge")).alias("used"))
-        paths = paths.join(near[max_hops - length], "id", "left_semi") if length < max_hops else paths.filter(F.col("id") == goal)
+        step = step.select(F.col("b").alias("id"), F.concat("path", F.array("rel_type", "b")).alias("path"), F.concat("used", F.array("edge")).alias("used"))
+        step = step.join(near[max_hops - length], "id", "left_semi") if length < max_hops else step.filter(F.col("id") == goal)
+        paths = scratch.save(step, f"paths-{length}")
         hit = paths.filter(F.col("id") == goal).select("path", F.lit(length).alias("length"))
         found = hit if found is None else found.unionByName(hit)
-        if not found.limit(limit).count() < limit:
+        n += hit.limit(limit).count()
+        if n >= limit:
             break
     return found.orderBy("length", "path").limit(limit)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,6 @@ from ..functions.predicates import in_domains
 from ..functions.similarity import ratio_column
 from ..functions.text import repair_json
 from ..plans.scratch import Scratch
-from .retrieval import cosine, index_score
 
 MERGE_THRESHOLD, CONFLICT_THRESHOLD = 0.7, 0.75
 #: Fixed values.
@@ -21,18 +22,30 @@ VERDICTS, SEVERITIES = ("conflicting", "superseded", "complementary", "unrelated
 def similar_names(entities: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:
     """(a, b, entity_class, ratio): pairs of names of one class, in order, that are alike enough.
 
-    Only names that can reach the threshold meet: a ratio of r needs lengths within
-    r / (2 - r) of each other, and shared characters to match.
+    An exact set-similarity join: a ratio of r needs matching characters for r / 2 of both lengths,
+    and no more can match than the names have in common, counted with repeats.  So a name of n
+    characters shares one of its n - ceil(n * r / (2 - r)) + 1 rarest (character, which time it stands there) with
+    any name like it; only names that do so meet, once, and of those only pairs with enough in
+    common are compared.
     """
-    names = entities.select(F.coalesce("entity_class", F.lit("")).alias("entity_class"), "name").distinct()
-    names = names.withColumn("n", F.length("name"))
+    names = entities.select(F.coalesce("entity_class", F.lit("")).alias("entity_class"), "name").filter("name IS NOT NULL").distinct()
+    signs = F.filter(F.split(F.lower("name"), ""), lambda c: c != "")
+    nth = lambda c, i: F.concat(c, F.lit(":"), F.size(F.filter(F.slice(F.col("signs"), 1, i + 1), lambda x: x == c)).cast("string"))
+    names = names.withColumn("signs", signs).withColumn("marks", F.transform("signs", nth)).withColumn("n", F.size("marks")).drop("signs")
+    marked = names.select("entity_class", F.explode("marks").alias("mark"))
+    common = marked.groupBy("entity_class", "mark").agg(F.count("*").alias("shared_by"))
+    rarest = F.row_number().over(Window.partitionBy("entity_class", "name").orderBy("shared_by", "mark"))
     least = threshold / (2 - threshold)
-    a = names.select("entity_class", F.col("name").alias("a"), F.col("n").alias("na"))
-    b = names.select("entity_class", F.col("name").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, (a["entity_class"] == b["entity_class"]) & (F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)).select(a["entity_class"], "a", "b")
-    letters = lambda c: F.split(F.lower(c), "")
-    shared = F.size(F.array_intersect(letters("a"), letters("b")))
-    pairs = pairs.filter(shared > 0).withColumn("ratio", ratio_column("a", "b"))
+    posted = names.withColumn("mark", F.explode("marks")).join(common, ["entity_class", "mark"]).withColumn("place", rarest)
+    posted = posted.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("entity_class", "mark", "name", "n", "place")
+    a = posted.select("entity_class", "mark", F.col("name").alias("a"), F.col("n").alias("na"))
+    b = posted.select("entity_class", "mark", F.col("name").alias("b"), F.col("n").alias("nb"))
+    met = a.join(b, ["entity_class", "mark"]).filter((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9))
+    met = met.select("entity_class", "a", "b").distinct()
+    of = lambda side: names.select("entity_class", F.col("name").alias(side), F.col("marks").alias(f"marks_{side}"))
+    both = met.join(of("a"), ["entity_class", "a"]).join(of("b"), ["entity_class", "b"])
+    enough = 2 * F.size(F.array_intersect("marks_a", "marks_b")) >= threshold * (F.size("marks_a") + F.size("marks_b")) - 1e-9
+    pairs = both.filter(enough).select("entity_class", "a", "b").withColumn("ratio", ratio_column("a", "b"))
     return pairs.filter(F.col("ratio") >= threshold).select("a", "b", "entity_class", "ratio")
 
 
@@ -97,18 +110,70 @@ def not_refined(domains: list[str], runs: DataFrame) -> DataFrame:
     return asked.join(runs.select("domain").distinct(), "domain", "left_anti").orderBy("domain")
 
 
+#: Entities of either side that are held against each other at a time, about.
+BLOCK = 1024
+
+
+def _near_in_blocks(rows: DataFrame, threshold: float, top_k: int, apart: bool) -> DataFrame:
+    """(id_a, id_b, name_a, name_b, similarity): of each entity the `top_k` nearest of its class in every block.
+
+    A class is dealt out into blocks by a hash of the id; a block meets a block in one
+    product of two matrices of unit vectors, and passes on only what may be among the nearest.
+    """
+    sizes = rows.groupBy("entity_class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = rows.join(sizes, "entity_class").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    kept = ("entity_class", "i", "j", "seeks", "id", "name", "domain", "embedding")
+    base = placed.withColumns({"j": F.col("own"), "seeks": F.lit(False)}).withColumn("i", every).select(*kept)
+    seek = placed.withColumns({"i": F.col("own"), "seeks": F.lit(True)}).withColumn("j", every).select(*kept)
+    sides = base.unionByName(seek).repartition("entity_class", "i", "j").sortWithinPartitions("entity_class", "i", "j")
+
+    def met(group):
+        parts = [[r for r in group if r[0] == side] for side in (False, True)]
+        if not all(parts):
+            return []
+        unit = [(lambda x: x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None])(np.array([r[4] for r in p], np.float64)) for p in parts]
+        ids, names, domains = ([r[k] for r in parts[0]] for k in (1, 2, 3))
+        order = np.argsort(np.array(ids, dtype=object), kind="stable")
+        score = (1 + unit[1] @ unit[0][order].T) / 2
+        out = []
+        for (_, own, name, domain, _), line in zip(parts[1], score, strict=True):
+            found = 0
+            for k in np.argsort(-line, kind="stable"):
+                at = order[k]
+                if line[k] < threshold or found == top_k:
+                    break
+                if ids[at] != own and not (apart and domains[at] == domain):
+                    found += 1
+                    out.append((own, ids[at], name, names[at], float(line[k])))
+        return out
+
+    def run(batches):
+        of, group = None, []
+        for batch in batches:
+            found = []
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            for *key, seeks, own, name, domain, vector in zip(*columns, strict=True):
+                if key != of:
+                    found += met(group)
+                    of, group = key, []
+                group.append((seeks, own, name, domain, vector))
+            yield pa.RecordBatch.from_pylist([dict(zip(out.names, f, strict=True)) for f in found], schema=out)
+        yield pa.RecordBatch.from_pylist([dict(zip(out.names, f, strict=True)) for f in met(group)], schema=out)
+
+    kind = dict(rows.dtypes)["id"]
+    out = pa.schema([("id_a", pa.string() if kind == "string" else pa.int64()), ("id_b", pa.string() if kind == "string" else pa.int64()), ("name_a", pa.string()), ("name_b", pa.string()), ("similarity", pa.float64())])
+    return sides.mapInArrow(run, f"id_a {kind}, id_b {kind}, name_a string, name_b string, similarity double")
+
+
 def conflict_candidates(entities: DataFrame, domains: list[str], threshold: float = CONFLICT_THRESHOLD, top_k: int = 10, max_pairs: int = 200) -> DataFrame:
     """(id_a, id_b, similarity, name_ratio): pairs of one class that may contradict each other.
 
     Of each entity its `top_k` nearest by vector in other domains (in its own if there is only
     one) at the threshold or above; a pair once; the most similar first.
     """
-    rows = entities.filter(in_domains("domain", domains) & F.col("embedding").isNotNull()).select("id", "name", "entity_class", "domain", "embedding")
-    a = rows.select(*[F.col(c).alias(f"{c}_a") for c in rows.columns])
-    b = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
-    apart = F.col("domain_a") != F.col("domain_b") if len(domains) > 1 else F.lit(True)
-    met = a.join(b, (F.col("entity_class_a") == F.col("entity_class_b")) & (F.col("id_a") != F.col("id_b")) & apart)
-    met = met.withColumn("similarity", index_score(cosine(F.col("embedding_a"), F.col("embedding_b")))).filter(F.col("similarity") >= threshold)
+    rows = entities.filter(in_domains("domain", domains) & F.col("embedding").isNotNull()).select("id", "name", F.coalesce("entity_class", F.lit("")).alias("entity_class"), "domain", F.col("embedding").cast("array<double>").alias("embedding"))
+    met = _near_in_blocks(rows, threshold, top_k, len(domains) > 1)
     near = met.withColumn("rank", F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("similarity"), "id_b"))).filter(F.col("rank") <= top_k)
     first = F.col("id_a") < F.col("id_b")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))

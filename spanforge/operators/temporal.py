@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import frontmatter_map, header_value, iso_date, leading_number, title_stem
+from ..plans.scratch import Scratch
 
 #: Labels that documents use for a date or version.
 LABELS = {"valid_from": ("Effective Date", "Effective", "Valid From"), "valid_to": ("Expiry Date", "Valid To", "Expires"), "version": ("Version",), "supersedes": ("Supersedes", "Replaces")}
@@ -142,8 +143,14 @@ def family_chain(documents: DataFrame) -> DataFrame:
 
 
 def detect_supersession(documents: DataFrame, families: bool = True) -> DataFrame:
-    """(newer, older, effective, kind), one a pair: a notice goes before a table row, that before a family."""
-    found = resolve_versions(notices(documents), documents)
+    """(newer, older, effective, kind), one a pair: a notice goes before a table row, that before a family.
+
+    Texts are read once: what they say, and what else is needed of the documents, is written first.
+    """
+    scratch = Scratch(documents.sparkSession, "supersession")
+    said = scratch.save(notices(documents), "said")
+    documents = scratch.save(documents.select("id", "domain", "name", "version_number", "valid_from"), "documents")
+    found = resolve_versions(said, documents)
     if families:
         found = found.unionByName(family_chain(documents))
     order = F.when(F.col("kind") == "notice", 0).when(F.col("kind") == "table", 1).otherwise(2)

@@ -325,6 +325,35 @@ def test_names_cluster_within_a_class_only(spark):
     assert rows(refine.similar_names(d, 0.7), "a", "b") == want
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.85, 1.0])
+def test_no_pair_of_similar_names_is_lost(spark, threshold):
+    """Brute force: difflib over all pairs of a class."""
+    import random
+
+    rng = random.Random(4)
+    names = {("A" if i % 2 else "B", "".join(rng.choice("aabcdeE  é") for _ in range(rng.randint(0, 9)))) for i in range(160)}
+    names |= {("A", "cold widget"), ("A", "cold widgets"), ("A", "Cold Widget"), (None, "x"), (None, "xx")}
+    d = spark.createDataFrame(sorted(names, key=str), "entity_class string, name string")
+    got = {(r["entity_class"], r["a"], r["b"]): r["ratio"] for r in refine.similar_names(d, threshold).collect()}
+    want = {}
+    for kind, a in names:
+        for other, b in names:
+            if kind == other and a < b and a and b and ratio(a, b) >= threshold:
+                want[kind or "", a, b] = ratio(a, b)
+    assert got == want
+
+
+def test_conflict_blocks_change_nothing(spark, monkeypatch):
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    ents = e.select("vec_id", F.col("vec_id").alias("id"), F.lit("same").alias("name"), F.col("label").cast("string").alias("entity_class"), F.concat(F.lit("d"), (F.col("vec_id") % 3).cast("string")).alias("domain"), "embedding")
+    one = refine.conflict_candidates(ents, ["d0", "d1", "d2"], 0.6, max_pairs=500).collect()
+    monkeypatch.setattr(refine, "BLOCK", 7)
+    many = refine.conflict_candidates(ents, ["d0", "d1", "d2"], 0.6, max_pairs=500).collect()
+    assert [r[:2] for r in one] == [r[:2] for r in many] and len(one) > 50
+    assert [r["similarity"] for r in one] == pytest.approx([r["similarity"] for r in many])
+    assert refine.conflict_candidates(ents.limit(0), ["d0"], 0.6).collect() == []
+
+
 def test_conflict_ids_know_no_order(spark):
     d = spark.createDataFrame([("x", "y")], "a string, b string")
     i = lambda p, q, aspect: d.select(refine.conflict_id(F.col(p), F.col(q), F.lit(aspect))).first()[0]
