@@ -18,6 +18,7 @@ spans as many as it needs; an empty table gives no pieces.  Only doc_id and text
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_batches
@@ -39,8 +40,9 @@ ROUNDS = 400
 #: A greedy window may stay short by that many tokens, or more as long as padding in all
 #: stays under that share; beyond that, documents are cut.
 GAP, PADDING = 8, 0.002
-#: As many ids, 2 MB at most, are sent to every task to find their texts; more are joined by a shuffle.
-FEW = 100_000
+#: The normaliser and the splitter for which texts may be encoded word by word.
+NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Rows of one length and salt, about.
 GROUP = 100_000
 
@@ -48,10 +50,10 @@ GROUP = 100_000
 class WordEncoder:
     """Token ids of whole texts, remembered word by word.
 
-    The tokenizer lower-cases a text and splits it into words, single digits and runs of
-    signs before anything else, so a text's ids are its words' ids in order.  A text with
-    other characters than ASCII and plain Latin letters, or with the name of a special
-    token, is encoded as a whole instead.
+    A tokenizer that lower-cases a text and splits it into words, single digits and runs of
+    signs before anything else gives the words' ids in order.  A text with other characters than
+    ASCII and plain Latin letters, or with the name of a special token, is encoded as a whole
+    instead, and so is every text if the tokenizer's file says anything else.
     """
 
     ODD = re.compile("[^\\t-\\r\\x20-\\x7eÀ-ÖØ-öø-ſ]|<\\|")
@@ -63,6 +65,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
+        said = json.loads(self.tokenizer.to_str())
+        steps = (said["pre_tokenizer"] or {}).get("pretokenizers", [])
+        split = steps[0].get("pattern") == {"Regex": SPLITTER} and steps[0]["invert"] and steps[0]["behavior"] == "Removed" if steps and steps[0]["type"] == "Split" else False
+        bytes_ = len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1].get("use_regex")
+        self.by_word = bool(split and bytes_ and (said["normalizer"] or {}).get("normalizers") == NORMALISERS)
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}  # byte-level vocabularies write other bytes from 256 on
         self.spelling = [chr(b) if b in plain else chr(256 + sum(x not in plain for x in range(b))) for b in range(256)]
         self.known: dict[str, bytes] = {}
@@ -79,7 +86,7 @@ class WordEncoder:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        if self.ODD.search(text):
+        if not self.by_word or self.ODD.search(text):
             return self.whole(text).tobytes()
         words, known = self.WORD.findall(text.lower()), self.known
         parts = list(map(known.get, words))
@@ -108,13 +115,13 @@ _END = np.array([END], "<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): every document's whole windows and its rest."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, text_hash): every document's whole windows and its rest."""
 
     def run(batches):
         encode = encoder(path)
         for batch in batches:
-            ids, start, length, crc, total = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, start, length, crc, total, hashes = [], [], [], [], [], []
+            for doc_id, text, hash_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = encode(text.as_py()) + _END
                 n = len(raw) // 4
                 for at in range(0, n, window):
@@ -124,10 +131,17 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
                     total.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, start, length, crc, total)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    hashes.append(hash_)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, start, length, crc, total, hashes)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "text_hash"])
 
     text_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, text_hash long")
+
+
+def text_hash() -> Column:
+    """Tells the texts of rows without an id, or of one id, apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 @dataclass(frozen=True)
@@ -285,21 +299,25 @@ def assign(pieces: DataFrame, plan: Plan) -> DataFrame:
             whole = taken[rows] == p["length"][rows]
             crc = pa.array(p["ids_crc32"][rows], pa.int64(), mask=~whole)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), *(pa.array(x, pa.int64()) for x in (start, length)), crc, *(pa.array(x, pa.int64()) for x in (p["doc_tokens"][rows], sequence[rows] + more, np.where(more, 0, offset[rows]), p["start"][rows], p["length"][rows], p["ids_crc32"][rows]))],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "of_start", "of_length", "of_crc32"],
+                [batch.column(0).take(pa.array(rows)), *(pa.array(x, pa.int64()) for x in (start, length)), crc, *(pa.array(x, pa.int64()) for x in (p["doc_tokens"][rows], sequence[rows] + more, np.where(more, 0, offset[rows]), p["text_hash"][rows], p["start"][rows], p["length"][rows], p["ids_crc32"][rows]))],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "text_hash", "of_start", "of_length", "of_crc32"],
             )
 
-    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, of_start long, of_length long, of_crc32 long")
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "text_hash", "rank").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, text_hash long, of_start long, of_length long, of_crc32 long")
+
+
+def _with_texts(pieces: DataFrame, docs: DataFrame) -> DataFrame:
+    """pieces with their texts, met by id and text hash: rows that share an id, or have none, don't meet each other's."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), text_hash().alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
+    wanted = pieces.select(F.col("doc_id").alias("text_id"), F.col("text_hash").alias("hash")).distinct()
+    same = lambda a, b: a["text_id"].eqNullSafe(b["text_id"]) & (a["hash"] == b["hash"])
+    texts = texts.join(wanted, same(texts, wanted), "left_semi").dropDuplicates(["text_id", "text"])
+    return pieces.join(texts, pieces["doc_id"].eqNullSafe(texts["text_id"]) & (pieces["text_hash"] == texts["hash"]))
 
 
 def _fill_cut(cut: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     """The checksums of cut pieces, from the ids of their documents alone."""
-    wanted = cut.select(F.col("doc_id").alias("wanted")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), "text")
-    if cut.count() <= FEW:
-        wanted = F.broadcast(wanted)
-    texts = texts.join(wanted, texts["text_id"].eqNullSafe(wanted["wanted"]), "left_semi").dropDuplicates(["text_id", "text"])
-    both = cut.join(texts, cut["doc_id"].eqNullSafe(texts["text_id"]))
+    both = _with_texts(cut, docs)
 
     def run(batches):
         encode = encoder(path)
@@ -312,19 +330,19 @@ def _fill_cut(cut: DataFrame, docs: DataFrame, path: str) -> DataFrame:
                 keep.append(right)
                 crc.append(zlib.crc32(raw[4 * start : 4 * (start + length)]))
             out = batch.select(["doc_id", "start", "length"]).to_pydict()
-            rest = batch.select(["doc_tokens", "sequence_id", "offset"]).to_pydict()
+            rest = batch.select(["doc_tokens", "sequence_id", "offset", "text_hash"]).to_pydict()
             yield pa.RecordBatch.from_pydict({**out, "ids_crc32": crc, **rest}, schema=_PIECE).filter(pa.array(keep, pa.bool_()))
 
-    found = both.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    found = both.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, text_hash long")
     return found.dropDuplicates(["sequence_id", "offset"])  # repeated ids with texts that begin alike
 
 
-_PIECE = pa.schema([(k, pa.int64()) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
-COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+_PIECE = pa.schema([(k, pa.int64()) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "text_hash")])
+COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "text_hash")
 
 
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, gap: int = GAP) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every piece's place."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, text_hash): every piece's place."""
     scratch = Scratch(docs.sparkSession, "packing")
     pieces = scratch.save(token_pieces(docs, path, window), "pieces")
     salts = max(64, pieces.count() // GROUP)
@@ -336,7 +354,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, gap: int =
     plan = plan_windows(histogram, window, gap)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("length", "salt", before.alias("before"))
-    inner = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1
+    inner = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens", "text_hash")) - 1
     ranked = pieces.withColumn("inner", inner).join(starts, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("inner"))
     placed = scratch.save(assign(ranked, plan), "placed")
     whole = placed.filter(F.col("ids_crc32").isNotNull()).select(*COLUMNS)
@@ -347,8 +365,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, gap: int =
 
 def sequence_ids(docs: DataFrame, placed: DataFrame, path: str) -> DataFrame:
     """(sequence_id, offset, doc_id, ids): the ids of every piece, in its place."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), "text").dropDuplicates(["text_id"])
-    both = placed.join(texts, placed["doc_id"].eqNullSafe(texts["text_id"]))
+    both = _with_texts(placed, docs)
 
     def run(batches):
         encode = encoder(path)

@@ -275,6 +275,33 @@ def test_plans_place_every_piece_once():
             assert used.max() == 1 and used.sum() == length.sum()
 
 
+def test_rows_that_share_an_id_get_their_own_ids(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(1, 900)))
+    rows = [(None, text()) for _ in range(40)] + [(7, text()) for _ in range(40)] + [(7, "same words"), (7, "same words"), (None, None), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = packing.pack_documents(d, WORD_BPE, window=256)
+    encode = packing.WordEncoder(WORD_BPE)
+    want = sorted(len(encode(t) + packing._END) // 4 for _, t in rows)
+    whole = placed.groupBy("doc_id", "text_hash", "doc_tokens").agg(F.sum("length").alias("n")).collect()
+    assert sum(r["n"] for r in whole) == sum(want)
+    found = packing.sequence_ids(d, placed, WORD_BPE).join(placed.select("sequence_id", "offset", "ids_crc32", "length"), ["sequence_id", "offset"]).collect()
+    assert len(found) == placed.count()
+    assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in found)
+
+
+def test_other_tokenizers_are_asked_as_a_whole(tmp_path):
+    import json
+
+    plain = packing.WordEncoder(WORD_BPE)
+    assert plain.by_word
+    said = json.loads(plain.tokenizer.to_str())
+    said["normalizer"]["normalizers"] = said["normalizer"]["normalizers"][:2]  # keeps capitals
+    (tmp_path / "t.json").write_text(json.dumps(said))
+    other = packing.WordEncoder(str(tmp_path / "t.json"))
+    assert not other.by_word and other("Some WORDS") == other.whole("Some WORDS").tobytes() != plain("Some WORDS")
+
+
 def test_sequences_hold_the_ids(docs):
     placed = packing.pack_documents(docs.limit(20), WORD_BPE)
     for r in packing.sequence_ids(docs, placed, WORD_BPE).join(placed.select("sequence_id", "offset", "ids_crc32"), ["sequence_id", "offset"]).collect():
