@@ -87,7 +87,11 @@ def frontmatter_map(text: Column) -> Column:
     """Its scalar entries as a map; empty if there are none or a line is malformed."""
     lines = F.filter(F.split(F.coalesce(frontmatter(text), F.lit("")), r"\r?\n"), lambda x: F.trim(x) != "")
     good = F.forall(lines, lambda x: x.rlike(r"^[A-Za-z_][\w -]*:(\s.*)?$"))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]+):", 1)), F.trim(F.regexp_replace(F.regexp_replace(x, r"^[^:]+:\s*", ""), "^['\"]|['\"]$", ""))))
+    pairs = F.transform(
+        lines, lambda x: F.struct(
+            F.trim(F.regexp_extract(x, r"^([^:]+):", 1)), F.trim(F.regexp_replace(F.regexp_replace(x, r"^[^:]+:\s*", ""), "^['\"]|['\"]$", ""))
+        )
+    )
     unique = F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, 1000), lambda y: y["col1"] == x["col1"])))
     return F.when(good, unique).otherwise(F.create_map().cast("map<string,string>"))
 

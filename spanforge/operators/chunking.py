@@ -79,7 +79,16 @@ def chunk_markdown(text: str | None, size: int = CHUNK_SIZE) -> list[dict]:
                 lead = len(raw) - len(raw.lstrip("\n"))
                 a, raw = a + lead, raw.strip("\n")
                 shown = table_header(body, a, start) + raw
-                out.append({"seq": len(out), "text": shown, "header_path": path, "char_start": a, "char_end": a + len(raw), "block_hash": hashlib.sha1(shown.encode()).hexdigest()})
+                out.append(
+                    {
+                        "seq": len(out),
+                        "text": shown,
+                        "header_path": path,
+                        "char_start": a,
+                        "char_end": a + len(raw),
+                        "block_hash": hashlib.sha1(shown.encode()).hexdigest(),
+                    }
+                )
     return out
 
 
@@ -90,7 +99,9 @@ def chunk_documents(documents: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [{"doc_id": i, **c} for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for c in chunk_markdown(t.as_py(), size)]
+            rows = [
+                {"doc_id": i, **c} for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for c in chunk_markdown(t.as_py(), size)
+            ]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names)
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, CHUNK_SCHEMA)
@@ -111,7 +122,13 @@ def local_ids(items: DataFrame, chunk_id: str = "chunk_id", *references: str) ->
     return out
 
 
-def extract(chunks: DataFrame, extractor, steps: tuple[str, ...] = ("entities", "properties", "relationships"), done: DataFrame | None = None, attempts: int = 2) -> DataFrame:
+def extract(
+    chunks: DataFrame,
+    extractor,
+    steps: tuple[str, ...] = ("entities", "properties", "relationships"),
+    done: DataFrame | None = None,
+    attempts: int = 2,
+) -> DataFrame:
     """(chunk_id, step, status, payload): what an injected extractor(step, text) returns, as JSON text.
 
     Steps that `done` has as ok aren't run again; one that fails is tried once more, then is failed.
@@ -134,6 +151,9 @@ def extract(chunks: DataFrame, extractor, steps: tuple[str, ...] = ("entities",
                         break
                 status.append("failed" if got is None else "ok")
                 payload.append(None if got is None else json.dumps(got, sort_keys=True))
-            yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), batch.column("step"), pa.array(status, pa.string()), pa.array(payload, pa.string())], ["chunk_id", "step", "status", "payload"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("chunk_id"), batch.column("step"), pa.array(status, pa.string()), pa.array(payload, pa.string())],
+                ["chunk_id", "step", "status", "payload"],
+            )
 
     return todo.mapInArrow(run, "chunk_id string, step string, status string, payload string")

@@ -29,14 +29,18 @@ def unique_names(incoming: DataFrame, known: DataFrame, stamp: str) -> DataFrame
     taken = known.select("domain", "name", F.col("logical_id").alias("other")).distinct()
     rows = incoming.join(taken, ["domain", "name"], "left")
     clash = F.col("other").isNotNull() & (F.col("other") != F.col("logical_id"))
-    return rows.groupBy(*incoming.columns).agg(F.max(clash).alias("clash")).withColumn("name", F.when(F.col("clash"), F.concat_ws("_", "name", F.lit(stamp))).otherwise(F.col("name"))).select(*incoming.columns)
+    return rows.groupBy(*incoming.columns).agg(F.max(clash).alias("clash")).withColumn(
+        "name", F.when(F.col("clash"), F.concat_ws("_", "name", F.lit(stamp))).otherwise(F.col("name"))
+    ).select(*incoming.columns)
 
 
 def resolve_identity(incoming: DataFrame, known: DataFrame) -> DataFrame:
     """incoming (id, logical_id, domain, ..) with the known id and the next version where there is one."""
     last = known.groupBy("logical_id", "domain").agg(F.max_by("id", "version").alias("known_id"), F.max("version").alias("known_version"))
     rows = incoming.join(last, ["logical_id", "domain"], "left")
-    return rows.withColumns({"id": F.coalesce("known_id", "id"), "version": F.coalesce(F.col("known_version") + 1, F.lit(1))}).drop("known_id", "known_version")
+    return rows.withColumns(
+        {"id": F.coalesce("known_id", "id"), "version": F.coalesce(F.col("known_version") + 1, F.lit(1))}
+    ).drop("known_id", "known_version")
 
 
 def classify_deltas(incoming: DataFrame, known: DataFrame) -> DataFrame:
@@ -47,13 +51,17 @@ def classify_deltas(incoming: DataFrame, known: DataFrame) -> DataFrame:
     k = known.select("logical_id", F.col("domain").alias("known_domain"), F.col("blocks").alias("known_blocks"))
     rows = incoming.join(k, "logical_id", "left")
     same = (F.size("blocks") > 0) & (F.col("blocks") == F.col("known_blocks"))
-    tier = F.when(F.col("known_domain").isNotNull() & (F.col("known_domain") != F.col("domain")), "domain_changed").when(F.col("known_domain").isNull(), "initial").when(same, "metadata_only").otherwise("content")
+    tier = F.when(
+        F.col("known_domain").isNotNull() & (F.col("known_domain") != F.col("domain")), "domain_changed"
+    ).when(F.col("known_domain").isNull(), "initial").when(same, "metadata_only").otherwise("content")
     return rows.select("logical_id", tier.alias("tier"))
 
 
 def block_lists(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, blocks): each document's block hashes in order."""
-    return chunks.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "block_hash"))), lambda x: x["block_hash"]).alias("blocks"))
+    return chunks.groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "block_hash"))), lambda x: x["block_hash"]).alias("blocks")
+    )
 
 
 def apply_metadata(documents: DataFrame, chunks: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +86,12 @@ def tombstone(documents: DataFrame, chunks: DataFrame, name: str, at: str) -> tu
     """Documents and chunks after a soft delete; nothing is lost."""
     hit = named(documents, name)
     ids = documents.filter(hit).select(F.col("id").alias("doc_id"), F.lit(True).alias("hit"))
-    docs = documents.withColumns({"status": F.when(hit, "deleted").otherwise(F.col("status")), "deleted_at": F.when(hit, F.lit(at)).otherwise(F.col("deleted_at") if "deleted_at" in documents.columns else F.lit(None))})
+    docs = documents.withColumns(
+        {
+            "status": F.when(hit, "deleted").otherwise(F.col("status")),
+            "deleted_at": F.when(hit, F.lit(at)).otherwise(F.col("deleted_at") if "deleted_at" in documents.columns else F.lit(None)),
+        }
+    )
     parts = chunks.join(ids, "doc_id", "left").withColumn("deleted", F.coalesce("hit", "deleted")).select(*chunks.columns)
     return docs, parts
 
@@ -91,7 +104,9 @@ def purge(documents: DataFrame, name: str) -> DataFrame:
 def reassert(entities: DataFrame, newer: DataFrame) -> DataFrame:
     """entities (id, props) with the properties that a superseding document gives itself."""
     own = newer.select("id", F.col("props").alias("own"))
-    merged = F.when(F.col("own").isNull(), F.col("props")).otherwise(F.map_concat(F.map_filter("props", lambda k, _: ~F.array_contains(F.map_keys("own"), k)), "own"))
+    merged = F.when(F.col("own").isNull(), F.col("props")).otherwise(
+        F.map_concat(F.map_filter("props", lambda k, _: ~F.array_contains(F.map_keys("own"), k)), "own")
+    )
     return entities.join(own, "id", "left").withColumn("props", merged).select(*entities.columns)
 
 
@@ -137,7 +152,9 @@ def confirm_draft(drafts: DataFrame, entities: DataFrame, chats: DataFrame, ment
     made = done.filter("action = 'create'").select(F.col("entity_id").alias("id"), "name", "entity_class", "domain", "props").dropDuplicates(["id"])
     linked = done.filter("action = 'link'").groupBy(F.col("entity_id").alias("id")).agg(F.max_by("props", "chat_id").alias("props"))
     ents = reassert(entities, linked).unionByName(made.join(entities.select("id"), "id", "left_anti").select(*entities.columns))
-    said = chats.unionByName(done.select(F.col("chat_id").alias("id"), "raw_text", "domain").distinct().join(chats.select("id"), "id", "left_anti").select(*chats.columns))
+    said = chats.unionByName(
+        done.select(F.col("chat_id").alias("id"), "raw_text", "domain").distinct().join(chats.select("id"), "id", "left_anti").select(*chats.columns)
+    )
     links = mentions.unionByName(done.select("chat_id", "entity_id")).distinct()
     return ents, said, links
 
@@ -147,7 +164,9 @@ def export_chats(chats: DataFrame, mentions: DataFrame, entities: DataFrame, by_
     named_ = mentions.join(entities.select(F.col("id").alias("entity_id"), "name"), "entity_id")
     if by_entity:
         rows = named_.join(chats.select(F.col("id").alias("chat_id"), "raw_text", "created_at"), "chat_id")
-        return rows.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "chat_id", "raw_text"))), lambda x: x["raw_text"]).alias("texts")).orderBy("name")
+        return rows.groupBy("name").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("created_at", "chat_id", "raw_text"))), lambda x: x["raw_text"]).alias("texts")
+        ).orderBy("name")
     lists = named_.groupBy(F.col("chat_id").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("mentions"))
     return chats.join(lists, "id", "left").orderBy("session_id", "created_at", "id")
 

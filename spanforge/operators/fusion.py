@@ -26,8 +26,12 @@ def fusion_hints(tables: DataFrame, mappings: DataFrame, roles: DataFrame, domai
     The latter are normative tables that are mapped to a class.
     """
     here = tables.filter(domains_touch("domain", domains))
-    bridges = here.join(roles.filter("role = 'bridge'").select("table_id", "column"), "table_id").select("domain", F.col("name").alias("table"), "column").orderBy("domain", "table", "column")
-    held = here.filter("grain = 'normative'").join(mappings.select("table_id").distinct(), "table_id", "left_semi").select("domain", F.col("name").alias("table")).orderBy("domain", "table")
+    bridges = here.join(
+        roles.filter("role = 'bridge'").select("table_id", "column"), "table_id"
+    ).select("domain", F.col("name").alias("table"), "column").orderBy("domain", "table", "column")
+    held = here.filter("grain = 'normative'").join(
+        mappings.select("table_id").distinct(), "table_id", "left_semi"
+    ).select("domain", F.col("name").alias("table")).orderBy("domain", "table")
     return bridges, held
 
 
@@ -40,14 +44,22 @@ def resolve_key(phrase: str, names: DataFrame, values: DataFrame, top_k: int = 5
     if top_k < 1:
         raise ValueError("top_k is at least 1")
     leg = lambda df, s: df.filter("value IS NOT NULL").select("value").distinct().select("value", F.lit(s).alias("source"))
-    both = leg(names, "graph").unionByName(leg(values, "column")).withColumn("score", ratio_column(F.lit(phrase), "value")).filter(F.col("score") >= threshold)
-    one = both.groupBy(F.lower("value").alias("low")).agg(F.max("score").alias("score"), F.collect_set("source").alias("sources"), F.max_by("value", F.struct(F.col("source") == "graph", "score", "value")).alias("value"))
+    both = leg(names, "graph").unionByName(leg(values, "column")).withColumn(
+        "score", ratio_column(F.lit(phrase), "value")
+    ).filter(F.col("score") >= threshold)
+    one = both.groupBy(F.lower("value").alias("low")).agg(
+        F.max("score").alias("score"),
+        F.collect_set("source").alias("sources"),
+        F.max_by("value", F.struct(F.col("source") == "graph", "score", "value")).alias("value"),
+    )
     source = F.when(F.size("sources") == 2, "both").otherwise(F.get("sources", F.lit(0)))
     order = F.when(source == "column", 1).otherwise(0)
     return one.select("value", source.alias("source"), "score", order.alias("o")).orderBy(F.desc("score"), "o", "value").limit(top_k).drop("o")
 
 
-def classify_columns(answer: str, columns: list[str], classes: list[str], confirmed: set[tuple[str, str]] = frozenset(), floor: float = CONFIDENCE_FLOOR) -> dict:
+def classify_columns(
+    answer: str, columns: list[str], classes: list[str], confirmed: set[tuple[str, str]] = frozenset(), floor: float = CONFIDENCE_FLOOR
+) -> dict:
     """A model's answer about a table as {grain, mappings, bridges}.
 
     Columns and classes that aren't there are dropped, and so is what it is too unsure of;
@@ -56,13 +68,26 @@ def classify_columns(answer: str, columns: list[str], classes: list[str], confir
     got = repair_json(answer)
     got = got if isinstance(got, dict) else {}
     sure = lambda x: isinstance(x, dict) and float(x.get("confidence") or 0) >= floor
-    mappings = [{"column": m["column"], "entity_class": m["entity_class"], "confidence": float(m["confidence"])} for m in got.get("mappings") or [] if sure(m) and m.get("column") in columns and m.get("entity_class") in classes and (m["column"], m["entity_class"]) not in confirmed]
+    mappings = [
+        {
+            "column": m["column"], "entity_class": m["entity_class"], "confidence": float(m["confidence"])
+        } for m in got.get("mappings") or [] if sure(m) and m.get("column") in columns and m.get("entity_class") in classes and (
+            m["column"], m["entity_class"]
+        ) not in confirmed
+    ]
     bridges = [b["column"] for b in got.get("bridges") or [] if sure(b) and b.get("column") in columns]
     grain = got.get("grain")
     return {"grain": grain if grain in GRAINS else None, "mappings": mappings, "bridges": list(dict.fromkeys(bridges))}
 
 
-def classify_table(prompt: str, model: Callable[[str], str], columns: list[str], classes: list[str], confirmed: set[tuple[str, str]] = frozenset(), known_columns: set[str] | None = None) -> tuple[dict, str]:
+def classify_table(
+    prompt: str,
+    model: Callable[[str], str],
+    columns: list[str],
+    classes: list[str],
+    confirmed: set[tuple[str, str]] = frozenset(),
+    known_columns: set[str] | None = None,
+) -> tuple[dict, str]:
     """(classification, status): ok or failed.  With known_columns only new columns are asked about."""
     asked = [c for c in columns if known_columns is None or c not in known_columns]
     if not asked:
@@ -110,11 +135,25 @@ def catalogue(tables: DataFrame, columns: DataFrame, mappings: DataFrame, domain
     """Nodes (key, kind, name, row_count) and edges (src, dst, rel_type, confirmed) of a domain family's tables."""
     here = tables.filter((F.col("domain") == domain) | F.col("domain").startswith(f"{domain}."))
     key = F.concat_ws("/", "domain", "name")
-    cols = columns.join(here.select("table_id", key.alias("table_key")), "table_id").select(F.concat_ws("/", "table_key", "column").alias("key"), F.col("column").alias("name"), "table_key")
+    cols = columns.join(here.select("table_id", key.alias("table_key")), "table_id").select(
+        F.concat_ws("/", "table_key", "column").alias("key"), F.col("column").alias("name"), "table_key"
+    )
     maps = mappings.join(here.select("table_id", key.alias("table_key")), "table_id")
     none = F.lit(None).cast("long")
-    nodes = here.select(key.alias("key"), F.lit("Table").alias("kind"), "name", "row_count").unionByName(cols.select("key", F.lit("TableColumn").alias("kind"), "name", none.alias("row_count"))).unionByName(maps.select(F.col("entity_class").alias("key"), F.lit("EntityClass").alias("kind"), F.col("entity_class").alias("name"), none.alias("row_count")).distinct())
-    edges = cols.select(F.col("table_key").alias("src"), F.col("key").alias("dst"), F.lit("HAS_COLUMN").alias("rel_type"), F.lit(True).alias("confirmed")).unionByName(maps.select(F.concat_ws("/", "table_key", "column").alias("src"), F.col("entity_class").alias("dst"), F.lit("MAPS_TO").alias("rel_type"), "confirmed"))
+    nodes = here.select(key.alias("key"), F.lit("Table").alias("kind"), "name", "row_count").unionByName(
+        cols.select("key", F.lit("TableColumn").alias("kind"), "name", none.alias("row_count"))
+    ).unionByName(
+        maps.select(
+            F.col("entity_class").alias("key"), F.lit("EntityClass").alias("kind"), F.col("entity_class").alias("name"), none.alias("row_count")
+        ).distinct()
+    )
+    edges = cols.select(
+        F.col("table_key").alias("src"), F.col("key").alias("dst"), F.lit("HAS_COLUMN").alias("rel_type"), F.lit(True).alias("confirmed")
+    ).unionByName(
+        maps.select(
+            F.concat_ws("/", "table_key", "column").alias("src"), F.col("entity_class").alias("dst"), F.lit("MAPS_TO").alias("rel_type"), "confirmed"
+        )
+    )
     return nodes, edges
 
 
@@ -124,8 +163,16 @@ def review_queue(tables: DataFrame, mappings: DataFrame, roles: DataFrame) -> Da
     m = mappings.filter(is_open).groupBy("table_id").agg(F.count("*").alias("open_mappings"))
     r = roles.filter(is_open).groupBy("table_id").agg(F.count("*").alias("open_roles"))
     zero = F.lit(0).cast("long")
-    rows = tables.join(m, "table_id", "left").join(r, "table_id", "left").withColumns({"open_mappings": F.coalesce("open_mappings", zero), "open_roles": F.coalesce("open_roles", zero), "grain_open": F.col("grain").isNotNull() & ~F.coalesce("grain_confirmed", F.lit(False))})
-    return rows.filter("open_mappings > 0 OR open_roles > 0 OR grain_open").select("domain", F.col("name").alias("table"), "open_mappings", "open_roles", "grain_open").orderBy("domain", "table")
+    rows = tables.join(m, "table_id", "left").join(r, "table_id", "left").withColumns(
+        {
+            "open_mappings": F.coalesce("open_mappings", zero),
+            "open_roles": F.coalesce("open_roles", zero),
+            "grain_open": F.col("grain").isNotNull() & ~F.coalesce("grain_confirmed", F.lit(False)),
+        }
+    )
+    return rows.filter("open_mappings > 0 OR open_roles > 0 OR grain_open").select(
+        "domain", F.col("name").alias("table"), "open_mappings", "open_roles", "grain_open"
+    ).orderBy("domain", "table")
 
 
 def placement(answer: str, vocabulary: dict[str, set[str]], floor: float = CONFIDENCE_FLOOR, most_tags: int = 5) -> dict:
@@ -161,13 +208,25 @@ def schema_summary(tables: list[dict]) -> str:
     return "\n".join(lines)
 
 
-def ask_tables(spark: SparkSession, question: str, model: Callable[[str], str], views: dict[str, DataFrame], summary: str, domains, as_of: str | None = None, dry_run: bool = False, hints: dict | None = None) -> dict:
+def ask_tables(
+    spark: SparkSession,
+    question: str,
+    model: Callable[[str], str],
+    views: dict[str, DataFrame],
+    summary: str,
+    domains,
+    as_of: str | None = None,
+    dry_run: bool = False,
+    hints: dict | None = None,
+) -> dict:
     """A question answered by a query that a model writes: {domains, sql, rows, hints}.
 
     The query is checked to only read, and runs where only the given views are.
     """
     names = normalize_domains(domains)
-    prompt = f"Tables:\n{summary}\nDomains: {', '.join(names)}\n" + (f"As of: {as_of}\n" if as_of else "") + f"Question: {question}\nAnswer as JSON with the key sql."
+    prompt = f"Tables:\n{summary}\nDomains: {', '.join(names)}\n" + (
+        f"As of: {as_of}\n" if as_of else ""
+    ) + f"Question: {question}\nAnswer as JSON with the key sql."
     got = repair_json(model(prompt))
     sql = got.get("sql") if isinstance(got, dict) else None
     if not sql:
@@ -177,11 +236,24 @@ def ask_tables(spark: SparkSession, question: str, model: Callable[[str], str],
     return {"domains": names, "sql": sql, "rows": None if dry_run else session.sql(sql), "hints": hints or {}}
 
 
-def ask_graph(spark: SparkSession, question: str, model: Callable[[str], str], views: dict[str, DataFrame], schema: str, listing: dict[str, list[str]], domains, as_of: str | None = None, dry_run: bool = False, names_per_type: int = 20) -> dict:
+def ask_graph(
+    spark: SparkSession,
+    question: str,
+    model: Callable[[str], str],
+    views: dict[str, DataFrame],
+    schema: str,
+    listing: dict[str, list[str]],
+    domains,
+    as_of: str | None = None,
+    dry_run: bool = False,
+    names_per_type: int = 20,
+) -> dict:
     """As ask_tables over the graph's views; the query must refer to :domains, and may to :as_of."""
     names = normalize_domains(domains)
     known = "\n".join(f"{k}: {', '.join(v[:names_per_type])}" for k, v in listing.items())
-    got = repair_json(model(f"Graph:\n{schema}\nEntities:\n{known}\nQuestion: {question}\nAnswer as JSON with the key query, which filters by :domains."))
+    got = repair_json(
+        model(f"Graph:\n{schema}\nEntities:\n{known}\nQuestion: {question}\nAnswer as JSON with the key query, which filters by :domains.")
+    )
     sql = got.get("query") if isinstance(got, dict) else None
     if not sql or ":domains" not in sql:
         raise ValueError("the query must refer to :domains")

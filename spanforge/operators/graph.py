@@ -35,12 +35,16 @@ def with_sources(chosen: DataFrame, chunk_links: DataFrame, chat_links: DataFram
     chunks = chunk_links.groupBy(F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_set("chunk_id")).alias("chunks"))
     chats = chat_links.groupBy(F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_set("chat_id")).alias("chats"))
     none = F.array().cast("array<string>")
-    return chosen.join(chunks, "id", "left").join(chats, "id", "left").withColumns({"chunks": F.coalesce("chunks", none), "chats": F.coalesce("chats", none)})
+    return chosen.join(chunks, "id", "left").join(chats, "id", "left").withColumns(
+        {"chunks": F.coalesce("chunks", none), "chats": F.coalesce("chats", none)}
+    )
 
 
 def connections(chosen: DataFrame, entities: DataFrame, edges: DataFrame, domains) -> DataFrame:
     """(id, rel_type, forward, target_id, target_name, target_class): one hop to entities of the domains."""
-    near = entities.filter(in_domains("domain", domains)).select(F.col("id").alias("b"), F.col("name").alias("target_name"), F.col("entity_class").alias("target_class"))
+    near = entities.filter(in_domains("domain", domains)).select(
+        F.col("id").alias("b"), F.col("name").alias("target_name"), F.col("entity_class").alias("target_class")
+    )
     hops = both_ways(edges).join(chosen.select(F.col("id").alias("a")), "a")
     return hops.join(near, "b").select(F.col("a").alias("id"), "rel_type", "forward", F.col("b").alias("target_id"), "target_name", "target_class")
 
@@ -48,7 +52,9 @@ def connections(chosen: DataFrame, entities: DataFrame, edges: DataFrame, domain
 def neighbourhood(chosen: DataFrame, entities: DataFrame, edges: DataFrame, domains) -> DataFrame:
     """chosen entities with a sorted list of their connections."""
     found = connections(chosen, entities, edges, domains)
-    lists = found.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("rel_type", "target_class", "target_name", "target_id"))).alias("connections"))
+    lists = found.groupBy("id").agg(
+        F.array_sort(F.collect_set(F.struct("rel_type", "target_class", "target_name", "target_id"))).alias("connections")
+    )
     return chosen.join(lists, "id", "left")
 
 
@@ -60,15 +66,21 @@ def edges_between(entities: DataFrame, edges: DataFrame, domains, a: Column, b:
     src = ends.select(*[F.col(c).alias(f"src_{c}" if c != "id" else "src_id") for c in ends.columns])
     dst = ends.select(*[F.col(c).alias(f"dst_{c}" if c != "id" else "dst_id") for c in ends.columns])
     met = edges.join(src, "src_id").join(dst, "dst_id").filter("(src_is_a AND dst_is_b) OR (src_is_b AND dst_is_a)")
-    return met.select("rel_type", F.col("src_end_name").alias("from_name"), F.col("dst_end_name").alias("to_name"), "src_id", "dst_id").orderBy("rel_type", "from_name", "to_name", "src_id", "dst_id")
+    return met.select(
+        "rel_type", F.col("src_end_name").alias("from_name"), F.col("dst_end_name").alias("to_name"), "src_id", "dst_id"
+    ).orderBy("rel_type", "from_name", "to_name", "src_id", "dst_id")
 
 
 def neighbours_of_class(chosen: DataFrame, entities: DataFrame, edges: DataFrame, domains, entity_class: str) -> DataFrame:
     """(id, target_id, target_name, rel_type): neighbours of one class, each relationship type once."""
-    return connections(chosen, entities, edges, domains).filter(F.col("target_class") == entity_class).select("id", "target_id", "target_name", "rel_type").distinct()
+    return connections(chosen, entities, edges, domains).filter(F.col("target_class") == entity_class).select(
+        "id", "target_id", "target_name", "rel_type"
+    ).distinct()
 
 
-def degrees(entities: DataFrame, edges: DataFrame, mentions: DataFrame, domains, mode: str = "relations", entity_class: str | None = None, top: int = 5) -> DataFrame:
+def degrees(
+    entities: DataFrame, edges: DataFrame, mentions: DataFrame, domains, mode: str = "relations", entity_class: str | None = None, top: int = 5
+) -> DataFrame:
     """(id, name, degree): entities with most neighbours, most mentions, or both together.
 
     Relations count edges from either end, mentions distinct chats; nobody's 0 is lost.
@@ -103,14 +115,20 @@ def chunk_windows(chunks: DataFrame, wanted: DataFrame, expand: int = 0) -> Data
     """
     asked = wanted.select("chunk_id").distinct()
     docs = chunks.join(asked, "chunk_id", "left_semi").select("doc_id").distinct()
-    placed = chunks.join(docs, "doc_id", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "chunk_id")))
-    mine = placed.join(asked, "chunk_id", "left_semi").select("doc_id", "chunk_id", F.explode(F.sequence(F.lit(-expand), F.lit(expand))).alias("offset"), "place")
+    placed = chunks.join(docs, "doc_id", "left_semi").withColumn(
+        "place", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "chunk_id"))
+    )
+    mine = placed.join(asked, "chunk_id", "left_semi").select(
+        "doc_id", "chunk_id", F.explode(F.sequence(F.lit(-expand), F.lit(expand))).alias("offset"), "place"
+    )
     mine = mine.filter("offset <> 0").withColumn("place", F.col("place") + F.col("offset"))
     theirs = placed.select("doc_id", "place", F.col("chunk_id").alias("neighbour_id"))
     return mine.join(theirs, ["doc_id", "place"]).select("chunk_id", "neighbour_id", "offset")
 
 
-def entity_context(chosen: DataFrame, entities: DataFrame, edges: DataFrame, chunk_links: DataFrame, chunks: DataFrame, domains, today: str, include: int = 5) -> DataFrame:
+def entity_context(
+    chosen: DataFrame, entities: DataFrame, edges: DataFrame, chunk_links: DataFrame, chunks: DataFrame, domains, today: str, include: int = 5
+) -> DataFrame:
     """(id, n_connections, chunk_ids, more_count): connections, the first chunks with text and how many are left.
 
     Chunks that are valid today come first, then by id.
@@ -118,10 +136,22 @@ def entity_context(chosen: DataFrame, entities: DataFrame, edges: DataFrame, chu
     links = chunk_links.join(chosen.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").distinct()
     current = F.coalesce(valid_at(today), F.lit(True)).cast("int")
     ranked = links.join(chunks.select("chunk_id", "text", current.alias("current")), "chunk_id")
-    ordered = ranked.groupBy(F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("current")).alias("old"), "chunk_id"))).alias("all"))
-    ordered = ordered.select("id", F.transform(F.slice("all", 1, include), lambda x: x["chunk_id"]).alias("chunk_ids"), F.greatest(F.size("all") - include, F.lit(0)).cast("long").alias("more_count"))
+    ordered = ranked.groupBy(F.col("entity_id").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("current")).alias("old"), "chunk_id"))).alias("all")
+    )
+    ordered = ordered.select(
+        "id",
+        F.transform(F.slice("all", 1, include), lambda x: x["chunk_id"]).alias("chunk_ids"),
+        F.greatest(F.size("all") - include, F.lit(0)).cast("long").alias("more_count"),
+    )
     n = connections(chosen, entities, edges, domains).groupBy("id").agg(F.count("*").alias("n_connections"))
-    return chosen.select("id", "name").join(n, "id", "left").join(ordered, "id", "left").select("id", "name", F.coalesce("n_connections", F.lit(0)).cast("long").alias("n_connections"), F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"), F.coalesce("more_count", F.lit(0)).cast("long").alias("more_count"))
+    return chosen.select("id", "name").join(n, "id", "left").join(ordered, "id", "left").select(
+        "id",
+        "name",
+        F.coalesce("n_connections", F.lit(0)).cast("long").alias("n_connections"),
+        F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"),
+        F.coalesce("more_count", F.lit(0)).cast("long").alias("more_count"),
+    )
 
 
 def subgraph(chosen: DataFrame, entities: DataFrame, edges: DataFrame, domains, max_neighbours: int = 60) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -135,10 +165,14 @@ def subgraph(chosen: DataFrame, entities: DataFrame, edges: DataFrame, domains,
     rank = F.dense_rank().over(Window.partitionBy("id").orderBy("target_name", "target_id"))
     ranked = found.withColumn("rank", rank)
     kept = ranked.filter(F.col("rank") <= max_neighbours)
-    around = kept.select(F.col("target_id").alias("id"), F.col("target_name").alias("name"), F.col("target_class").alias("entity_class"), F.lit(False).alias("center"))
+    around = kept.select(
+        F.col("target_id").alias("id"), F.col("target_name").alias("name"), F.col("target_class").alias("entity_class"), F.lit(False).alias("center")
+    )
     nodes = chosen.select("id", "name", "entity_class", F.lit(True).alias("center")).unionByName(around)
     nodes = nodes.groupBy("id", "name", "entity_class").agg(F.max("center").alias("center"))
-    src, dst = F.when(F.col("forward"), F.col("id")).otherwise(F.col("target_id")), F.when(F.col("forward"), F.col("target_id")).otherwise(F.col("id"))
+    src, dst = F.when(F.col("forward"), F.col("id")).otherwise(F.col("target_id")), F.when(
+        F.col("forward"), F.col("target_id")
+    ).otherwise(F.col("id"))
     links = kept.select(src.alias("src"), dst.alias("dst"), "rel_type").distinct()
     truncated = ranked.groupBy("id").agg((F.max("rank") > max_neighbours).alias("truncated"))
     return nodes, links, truncated
@@ -152,7 +186,15 @@ def provenance(context: DataFrame, include: int = 8) -> DataFrame:
     return context.select("id", F.slice("chunk_ids", 1, include).alias("sources"), (F.col("more_count") + cut).cast("long").alias("more_count"))
 
 
-def conflicts(conflict_edges: DataFrame, entities: DataFrame, conflict_nodes: DataFrame, evidence: DataFrame, status: str = "open", ids=None, name: str | None = None) -> DataFrame:
+def conflicts(
+    conflict_edges: DataFrame,
+    entities: DataFrame,
+    conflict_nodes: DataFrame,
+    evidence: DataFrame,
+    status: str = "open",
+    ids=None,
+    name: str | None = None,
+) -> DataFrame:
     """(conflict_id, aspect, status, severity, a_name, b_name, evidence): open conflicts by severity as text, descending.
 
     A conflict is told by the edge whose ends are in order; its node may be missing, and
@@ -173,7 +215,9 @@ def conflicts(conflict_edges: DataFrame, entities: DataFrame, conflict_nodes: Da
         rows = rows.filter(F.col("conflict_id").isin(*ids))
     if name:
         rows = rows.filter(F.lower("a_name").contains(name.lower()) | F.lower("b_name").contains(name.lower()))
-    return rows.select("conflict_id", "aspect", "status", "severity", "a_name", "b_name", "evidence").orderBy(F.desc_nulls_last("severity"), "conflict_id")
+    return rows.select(
+        "conflict_id", "aspect", "status", "severity", "a_name", "b_name", "evidence"
+    ).orderBy(F.desc_nulls_last("severity"), "conflict_id")
 
 
 def timeline(neighbours: DataFrame) -> DataFrame:
@@ -195,7 +239,9 @@ def supersession_candidates(edges: DataFrame, entities: DataFrame, source_name:
     src = entities.select(F.col("id").alias("src_id"), F.col("name").alias("source_name"))
     dst = entities.select(F.col("id").alias("dst_id"), F.col("name").alias("target_name"))
     rows = edges.filter(F.col("rel_type") == rel_type).join(src, "src_id").filter(F.col("source_name") == source_name).join(dst, "dst_id")
-    return rows.filter(F.lower("target_name") != target_name.lower()).select("src_id", "rel_type", "dst_id", "target_name").distinct().orderBy("target_name", "dst_id").limit(limit)
+    return rows.filter(
+        F.lower("target_name") != target_name.lower()
+    ).select("src_id", "rel_type", "dst_id", "target_name").distinct().orderBy("target_name", "dst_id").limit(limit)
 
 
 def rank_candidates(scored: DataFrame, name: str, entity_class: str | None, domains, top: int = 5) -> DataFrame:
@@ -210,7 +256,9 @@ def rank_candidates(scored: DataFrame, name: str, entity_class: str | None, doma
     rows = scored.withColumns({"exact": exact, "same": same, "local": local})
     here = rows.agg(F.max("local").alias("any_local"))
     rows = rows.crossJoin(F.broadcast(here)).filter("local = any_local")
-    return rows.orderBy(F.desc("exact"), F.desc("same"), F.desc("score"), F.length("name"), "id").limit(top).select("id", "name", "entity_class", "domain", "score")
+    return rows.orderBy(
+        F.desc("exact"), F.desc("same"), F.desc("score"), F.length("name"), "id"
+    ).limit(top).select("id", "name", "entity_class", "domain", "score")
 
 
 def _live_hops(entities: DataFrame, edges: DataFrame, *columns: str) -> DataFrame:
@@ -287,7 +335,9 @@ def all_paths(entities: DataFrame, edges: DataFrame, start: str, goal: str, max_
     found, n = None, 0
     for length in range(1, max_hops + 1):
         step = paths.join(hops, paths["id"] == hops["a"]).filter(~F.array_contains("used", F.col("edge")))
-        step = step.select(F.col("b").alias("id"), F.concat("path", F.array("rel_type", "b")).alias("path"), F.concat("used", F.array("edge")).alias("used"))
+        step = step.select(
+            F.col("b").alias("id"), F.concat("path", F.array("rel_type", "b")).alias("path"), F.concat("used", F.array("edge")).alias("used")
+        )
         step = step.join(near[max_hops - length], "id", "left_semi") if length < max_hops else step.filter(F.col("id") == goal)
         paths = scratch.save(step, f"paths-{length}")
         hit = paths.filter(F.col("id") == goal).select("path", F.lit(length).alias("length"))

@@ -221,5 +221,7 @@ def parse_questions(text: str) -> list[dict]:
     for seq, (title, asked, comment) in enumerate(found, 1):
         number = re.search(r"(?i)\bQ(\d+)\b", title or "")
         bare = re.sub(r"(?i)^Q\d+\s*[—\-:]\s*", "", title or "").strip()
-        out.append({"seq": seq, "qid": f"Q{int(number[1]) if number else seq:02d}", "title": bare or title, "question": asked, "eval_comment": comment})
+        out.append(
+            {"seq": seq, "qid": f"Q{int(number[1]) if number else seq:02d}", "title": bare or title, "question": asked, "eval_comment": comment}
+        )
     return out

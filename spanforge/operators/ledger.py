@@ -19,7 +19,11 @@ RESERVED = ("SUPERSEDES", "EXTRACTED_FROM", "PRIOR_STATE")
 
 def fold_strings(values: Column) -> Column:
     """Texts in order joined with ` | `, leaving out what is part of what is there; null for none."""
-    return F.aggregate(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.lit(None).cast("string"), lambda s, v: F.when(s.isNull(), v).when(s.contains(v), s).otherwise(F.concat(s, F.lit(JOINER), v)))
+    return F.aggregate(
+        F.filter(
+            values, lambda v: v.isNotNull() & (v != "")
+        ), F.lit(None).cast("string"), lambda s, v: F.when(s.isNull(), v).when(s.contains(v), s).otherwise(F.concat(s, F.lit(JOINER), v))
+    )
 
 
 def fold_lists(values: Column) -> Column:
@@ -68,7 +72,9 @@ def fold(ledger: DataFrame, *key: str, mixed: bool = False) -> DataFrame:
     Values are texts; or, if `mixed`, JSON texts of strings, numbers and lists.
     """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "doc_id", "value"))), lambda x: x["value"])
-    return ledger.groupBy(*key, "property").agg(ordered.alias("values")).select(*key, "property", (fold_mixed if mixed else fold_strings)(F.col("values")).alias("value")).filter("value IS NOT NULL")
+    return ledger.groupBy(*key, "property").agg(ordered.alias("values")).select(
+        *key, "property", (fold_mixed if mixed else fold_strings)(F.col("values")).alias("value")
+    ).filter("value IS NOT NULL")
 
 
 def record(ledger: DataFrame, new: DataFrame, *key: str) -> DataFrame:
@@ -82,7 +88,9 @@ def record(ledger: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     added = fresh.join(ledger.select(*on), on, "left_anti")
     base = ledger.groupBy(*key, "property").agg((F.max("ord") + 1).alias("base"))
     place = F.row_number().over(Window.partitionBy(*key, "property").orderBy("new_ord", "doc_id")) - 1
-    added = added.join(base, [*key, "property"], "left").withColumn("ord", F.coalesce("base", F.lit(0)) + place).select(*on, "ord", F.col("new_value").alias("value"))
+    added = added.join(base, [*key, "property"], "left").withColumn("ord", F.coalesce("base", F.lit(0)) + place).select(
+        *on, "ord", F.col("new_value").alias("value")
+    )
     return kept.unionByName(added)
 
 
@@ -97,10 +105,17 @@ def upsert_entities(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     Ids that are there stay; descriptions and aliases are folded in order.
     """
     key = ["name", "entity_class", "domain"]
-    both = existing.select("id", *key, "description", "aliases", F.lit(0).alias("leg"), F.lit(0).alias("ord")).unionByName(incoming.select("id", *key, "description", "aliases", F.lit(1).alias("leg"), F.col("ord")))
+    both = existing.select("id", *key, "description", "aliases", F.lit(0).alias("leg"), F.lit(0).alias("ord")).unionByName(
+        incoming.select("id", *key, "description", "aliases", F.lit(1).alias("leg"), F.col("ord"))
+    )
     rows = F.array_sort(F.collect_list(F.struct("leg", "ord", "id", "description", "aliases")))
     out = both.groupBy(*key).agg(rows.alias("r"))
-    return out.select(F.get("r", F.lit(0))["id"].alias("id"), *key, fold_strings(F.transform("r", lambda x: x["description"])).alias("description"), fold_lists(F.transform("r", lambda x: F.coalesce(x["aliases"], F.array().cast("array<string>")))).alias("aliases"))
+    return out.select(
+        F.get("r", F.lit(0))["id"].alias("id"),
+        *key,
+        fold_strings(F.transform("r", lambda x: x["description"])).alias("description"),
+        fold_lists(F.transform("r", lambda x: F.coalesce(x["aliases"], F.array().cast("array<string>")))).alias("aliases"),
+    )
 
 
 def write_edges(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -109,13 +124,21 @@ def write_edges(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     Reserved types are left out; an edge that holds both ways comes with its twin.
     """
     new = incoming.filter(~F.col("rel_type").isin(*RESERVED))
-    twin = new.filter(F.coalesce(F.col("bidirectional"), F.lit(False))).select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), "rel_type", "doc_id", "chunk_id")
+    twin = new.filter(F.coalesce(F.col("bidirectional"), F.lit(False))).select(
+        F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), "rel_type", "doc_id", "chunk_id"
+    )
     new = new.select("src_id", "dst_id", "rel_type", "doc_id", "chunk_id").unionByName(twin)
     rows = new.groupBy("src_id", "dst_id", "rel_type").agg(F.collect_set("doc_id").alias("new_docs"), F.collect_set("chunk_id").alias("new_chunks"))
     out = existing.join(rows, ["src_id", "dst_id", "rel_type"], "full_outer")
     none = F.array().cast("array<string>")
     union = lambda a, b: F.array_sort(F.array_union(F.coalesce(a, none), F.coalesce(b, none)))
-    return out.select("src_id", "dst_id", "rel_type", union(F.col("doc_ids"), F.col("new_docs")).alias("doc_ids"), union(F.col("chunk_ids"), F.col("new_chunks")).alias("chunk_ids"))
+    return out.select(
+        "src_id",
+        "dst_id",
+        "rel_type",
+        union(F.col("doc_ids"), F.col("new_docs")).alias("doc_ids"),
+        union(F.col("chunk_ids"), F.col("new_chunks")).alias("chunk_ids"),
+    )
 
 
 def retract_edges(edges: DataFrame, doc_id: str) -> DataFrame:

@@ -17,7 +17,9 @@ def node_schema(nodes: DataFrame, label: str, props: str) -> DataFrame:
     """(label, property, type): distinct names and types in a map of properties."""
     each = nodes.select(F.col(label).alias("label"), F.explode(F.map_entries(props)).alias("e"))
     v = F.col("e")["value"]
-    kind = F.when(v.rlike(r"^-?\d+$"), "INTEGER").when(v.rlike(r"^-?\d*\.\d+([eE][-+]?\d+)?$"), "FLOAT").when(v.isin("true", "false"), "BOOLEAN").when(v.rlike(r"^\["), "LIST").otherwise("STRING")
+    kind = F.when(v.rlike(r"^-?\d+$"), "INTEGER").when(
+        v.rlike(r"^-?\d*\.\d+([eE][-+]?\d+)?$"), "FLOAT"
+    ).when(v.isin("true", "false"), "BOOLEAN").when(v.rlike(r"^\["), "LIST").otherwise("STRING")
     return each.filter(v.isNotNull()).select("label", F.col("e")["key"].alias("property"), kind.alias("type")).distinct()
 
 
@@ -48,7 +50,9 @@ def filing_vocabulary(documents: DataFrame, domains=None, min_count: int = 1, fa
         return F.transform(held, lambda v: F.struct(F.lit(facet).alias("facet"), v.cast("string").alias("value")))
 
     lists = [values(f) for f in facets if f in kinds]
-    each = rows.select(F.explode(F.concat(*[F.coalesce(x, F.array().cast("array<struct<facet:string,value:string>>")) for x in lists])).alias("x")).select("x.*")
+    each = rows.select(
+        F.explode(F.concat(*[F.coalesce(x, F.array().cast("array<struct<facet:string,value:string>>")) for x in lists])).alias("x")
+    ).select("x.*")
     counted = each.filter("value IS NOT NULL AND value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
     return counted.filter(F.col("n") >= max(1, min_count)).orderBy("facet", F.desc("n"), "value")
 
@@ -81,10 +85,14 @@ def domains_overview(documents: DataFrame, entities: DataFrame, tables: DataFram
     of content are there too.
     """
     rank = F.row_number().over(Window.partitionBy("domain").orderBy("name"))
-    docs = documents.withColumn("rank", rank).groupBy("domain").agg(F.count("*").alias("n_documents"), F.array_sort(F.collect_list(F.when(F.col("rank") <= names, F.col("name")))).alias("documents"))
+    docs = documents.withColumn("rank", rank).groupBy("domain").agg(
+        F.count("*").alias("n_documents"), F.array_sort(F.collect_list(F.when(F.col("rank") <= names, F.col("name")))).alias("documents")
+    )
     by_class = entities.groupBy("domain", "entity_class").agg(F.count("*").alias("n"))
     top = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("n"), "entity_class"))
-    found = by_class.withColumn("rank", top).groupBy("domain").agg(F.sum("n").alias("n_entities"), F.array_sort(F.collect_list(F.when(F.col("rank") <= classes, F.struct("rank", "entity_class")))).alias("c"))
+    found = by_class.withColumn("rank", top).groupBy("domain").agg(
+        F.sum("n").alias("n_entities"), F.array_sort(F.collect_list(F.when(F.col("rank") <= classes, F.struct("rank", "entity_class")))).alias("c")
+    )
     found = found.select("domain", "n_entities", F.transform("c", lambda x: x["entity_class"]).alias("classes"))
     out = docs.join(found, "domain", "full_outer")
     if tables is not None:
@@ -92,7 +100,9 @@ def domains_overview(documents: DataFrame, entities: DataFrame, tables: DataFram
     else:
         out = out.withColumn("n_tables", F.lit(0).cast("long"))
     zero = F.lit(0).cast("long")
-    return out.withColumns({c: F.coalesce(c, zero) for c in ("n_documents", "n_entities", "n_tables")}).withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("documents", "classes")})
+    return out.withColumns({c: F.coalesce(c, zero) for c in ("n_documents", "n_entities", "n_tables")}).withColumns(
+        {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("documents", "classes")}
+    )
 
 
 def is_numeric(type_name: str) -> bool:
@@ -119,15 +129,40 @@ def profile(df: DataFrame) -> DataFrame:
         distinct = df.select(values).select("x.*").filter("value IS NOT NULL").groupBy("column", "value").agg(F.lit(1).alias("one"))
         rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
         # the ranks are only needed up to the sample's size: the window keeps no more of a column
-        first = distinct.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("sample"))
+        first = distinct.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE).groupBy("column").agg(
+            F.array_sort(F.collect_list("value")).alias("sample")
+        )
         found = distinct.groupBy("column").agg(F.count("*").alias("cardinality")).join(first, "column")
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col("n"), F.col(f"v{i}").alias("v"), (F.col(f"lo{i}") if is_numeric(kinds[c]) else F.lit(None).cast("double")).alias("min"), (F.col(f"hi{i}") if is_numeric(kinds[c]) else F.lit(None).cast("double")).alias("max"), F.lit(is_numeric(kinds[c])).alias("numeric")) for i, c in enumerate(df.columns)]))
+    rows = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("column"),
+                    F.col("n"),
+                    F.col(f"v{i}").alias("v"),
+                    (F.col(f"lo{i}") if is_numeric(kinds[c]) else F.lit(None).cast("double")).alias("min"),
+                    (F.col(f"hi{i}") if is_numeric(kinds[c]) else F.lit(None).cast("double")).alias("max"),
+                    F.lit(is_numeric(kinds[c])).alias("numeric"),
+                ) for i, c in enumerate(df.columns)
+            ]
+        )
+    )
     out = one.select(rows.alias("x")).select("x.*")
-    out = out.join(F.broadcast(found), "column", "left") if others else out.withColumns({"cardinality": F.lit(None).cast("long"), "sample": F.lit(None).cast(none)})
+    out = out.join(F.broadcast(found), "column", "left") if others else out.withColumns(
+        {"cardinality": F.lit(None).cast("long"), "sample": F.lit(None).cast(none)}
+    )
     rate = F.when(F.col("n") > 0, (F.col("n") - F.col("v")) / F.col("n")).otherwise(F.lit(0.0))
     size = F.when(~F.col("numeric"), F.coalesce("cardinality", F.lit(0).cast("long")))
     kind = F.when(F.col("numeric"), "numeric").when(size <= MOST_CATEGORIES, "categorical").otherwise("other")
-    return out.select("column", kind.alias("kind"), rate.alias("null_rate"), size.alias("cardinality"), "min", "max", F.when(kind == "categorical", F.coalesce("sample", F.array().cast(none))).alias("sample"))
+    return out.select(
+        "column",
+        kind.alias("kind"),
+        rate.alias("null_rate"),
+        size.alias("cardinality"),
+        "min",
+        "max",
+        F.when(kind == "categorical", F.coalesce("sample", F.array().cast(none))).alias("sample"),
+    )
 
 
 def routing(tables: DataFrame, mappings: DataFrame, roles: DataFrame, domains=None, entity_class: str | None = None) -> DataFrame:
@@ -143,7 +178,9 @@ def routing(tables: DataFrame, mappings: DataFrame, roles: DataFrame, domains=No
 
 def progress(items: DataFrame, group: str, status: str = "status", done: tuple[str, ...] = ("ok", "skipped")) -> DataFrame:
     """(group, total, done, failed): how far each job has come."""
-    return items.groupBy(group).agg(F.count("*").alias("total"), F.count_if(F.col(status).isin(*done)).alias("done"), F.count_if(F.col(status) == "failed").alias("failed"))
+    return items.groupBy(group).agg(
+        F.count("*").alias("total"), F.count_if(F.col(status).isin(*done)).alias("done"), F.count_if(F.col(status) == "failed").alias("failed")
+    )
 
 
 def session_history(sessions: DataFrame, drafts: DataFrame, domains=None, user: str | None = None, limit: int = 20) -> DataFrame:
@@ -154,7 +191,9 @@ def session_history(sessions: DataFrame, drafts: DataFrame, domains=None, user:
     if user:
         rows = rows.filter(F.col("created_by") == user)
     made = drafts.groupBy("session_id").agg(F.count("*").alias("n_drafts"), F.substring(F.min("raw_text"), 1, 80).alias("excerpt"))
-    return rows.join(made, "session_id", "left").withColumn("n_drafts", F.coalesce("n_drafts", F.lit(0).cast("long"))).orderBy(F.desc_nulls_last("created_at"), "session_id").limit(limit)
+    return rows.join(made, "session_id", "left").withColumn(
+        "n_drafts", F.coalesce("n_drafts", F.lit(0).cast("long"))
+    ).orderBy(F.desc_nulls_last("created_at"), "session_id").limit(limit)
 
 
 def staged_inventory(staged: DataFrame, documents: DataFrame) -> DataFrame:
@@ -162,11 +201,20 @@ def staged_inventory(staged: DataFrame, documents: DataFrame) -> DataFrame:
     there = documents.select(F.upper("name").alias("upper_name")).distinct().withColumn("in_graph", F.lit(True))
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long").alias(f"n_{c}")
     rows = staged.select("name", n("entities"), n("properties"), n("relationships"), F.upper("name").alias("upper_name"))
-    return rows.join(there, "upper_name", "left").select("name", "n_entities", "n_properties", "n_relationships", F.coalesce("in_graph", F.lit(False)).alias("in_graph"))
+    return rows.join(there, "upper_name", "left").select(
+        "name", "n_entities", "n_properties", "n_relationships", F.coalesce("in_graph", F.lit(False)).alias("in_graph")
+    )
 
 
 def run_summary(questions: DataFrame) -> DataFrame:
     """(run_id, n, answered, failed, seconds, cost, turns) of benchmark runs."""
-    return questions.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("answered"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum("duration_s").alias("seconds"), F.sum("cost_usd").alias("cost"), F.sum("turns").alias("turns"))
+    return questions.groupBy("run_id").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("status") == "ok").alias("answered"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+        F.sum("duration_s").alias("seconds"),
+        F.sum("cost_usd").alias("cost"),
+        F.sum("turns").alias("turns"),
+    )
 
 

@@ -19,7 +19,12 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFra
     total = relevant.distinct().groupBy("query_id").agg(F.count("*").alias("n_relevant"))
     hits = ranked.filter(F.col("rank") <= k).join(relevant.distinct().withColumn("good", F.lit(1)), ["query_id", "item_id"], "left")
     gain = F.when(F.col("good") == 1, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(F.lit(0.0))
-    sums = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.count("good").alias("n_good"), F.min(F.when(F.col("good") == 1, F.col("rank"))).alias("first"), F.sum(gain).alias("dcg"))
+    sums = hits.groupBy("query_id").agg(
+        F.count("*").alias("n"),
+        F.count("good").alias("n_good"),
+        F.min(F.when(F.col("good") == 1, F.col("rank"))).alias("first"),
+        F.sum(gain).alias("dcg"),
+    )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_relevant", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
     zero = F.lit(0.0)
     return total.join(sums, "query_id", "left").select(
@@ -74,6 +79,12 @@ def answer_metrics(answers: DataFrame) -> DataFrame:
     @F.pandas_udf("struct<exact_match:double,f1:double,rouge_l:double>")
     def scored(given: pd.Series, wanted: pd.Series) -> pd.DataFrame:
         pairs = list(zip(given, wanted, strict=True))
-        return pd.DataFrame({"exact_match": [float(answer_words(a) == answer_words(b)) for a, b in pairs], "f1": [token_f1(a, b) for a, b in pairs], "rouge_l": [rouge_l(a, b) for a, b in pairs]})
+        return pd.DataFrame(
+            {
+                "exact_match": [float(answer_words(a) == answer_words(b)) for a, b in pairs],
+                "f1": [token_f1(a, b) for a, b in pairs],
+                "rouge_l": [rouge_l(a, b) for a, b in pairs],
+            }
+        )
 
     return answers.withColumn("m", scored("given", "wanted")).select(*answers.columns, "m.*")

@@ -40,7 +40,9 @@ def similar_names(entities: DataFrame, threshold: float = MERGE_THRESHOLD) -> Da
     posted = posted.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("entity_class", "mark", "name", "n", "place")
     a = posted.select("entity_class", "mark", F.col("name").alias("a"), F.col("n").alias("na"))
     b = posted.select("entity_class", "mark", F.col("name").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, ["entity_class", "mark"]).filter((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9))
+    met = a.join(b, ["entity_class", "mark"]).filter(
+        (F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9)
+    )
     met = met.select("entity_class", "a", "b").distinct()
     of = lambda side: names.select("entity_class", F.col("name").alias(side), F.col("marks").alias(f"marks_{side}"))
     both = met.join(of("a"), ["entity_class", "a"]).join(of("b"), ["entity_class", "b"])
@@ -57,10 +59,14 @@ def components(pairs: DataFrame, label: str = "components") -> DataFrame:
     step = 0
     while True:
         step += 1
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("theirs")), "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
+        near = both.join(
+            labels.select(F.col("node").alias("b"), F.col("component").alias("theirs")), "b"
+        ).groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
         hooked = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "theirs").alias("component"))
         further = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = scratch.save(hooked.join(further, "component").select("node", "was", F.least("component", "further").alias("component")), f"labels-{step}")
+        moved = scratch.save(
+            hooked.join(further, "component").select("node", "was", F.least("component", "further").alias("component")), f"labels-{step}"
+        )
         if moved.filter("was <> component").isEmpty():
             return moved.select("node", "component")
         labels = moved.select("node", "component")
@@ -71,7 +77,9 @@ def name_clusters(entities: DataFrame, threshold: float = MERGE_THRESHOLD) -> Da
     key = lambda c: F.concat_ws("\x1f", "entity_class", c)
     pairs = similar_names(entities, threshold).select(key("a").alias("a"), key("b").alias("b"))
     part = lambda c, i: F.get(F.split(c, "\x1f"), F.lit(i))
-    return components(pairs, "names").select(part("node", 0).alias("entity_class"), part("component", 1).alias("cluster"), part("node", 1).alias("name"))
+    return components(pairs, "names").select(
+        part("node", 0).alias("entity_class"), part("component", 1).alias("cluster"), part("node", 1).alias("name")
+    )
 
 
 def mergeable(proposals: DataFrame, entities: DataFrame, cross_domain: bool = False) -> DataFrame:
@@ -94,14 +102,20 @@ def merge_entities(merges: DataFrame, entities: DataFrame, edges: DataFrame) ->
     that become loops by it go; the canonical entity keeps its properties and learns the alias.
     """
     to = merges.select("alias_id", "canonical_id")
-    src, dst = to.select(F.col("alias_id").alias("src_id"), F.col("canonical_id").alias("new_src")), to.select(F.col("alias_id").alias("dst_id"), F.col("canonical_id").alias("new_dst"))
+    src, dst = to.select(
+        F.col("alias_id").alias("src_id"), F.col("canonical_id").alias("new_src")
+    ), to.select(F.col("alias_id").alias("dst_id"), F.col("canonical_id").alias("new_dst"))
     moved = edges.join(src, "src_id", "left").join(dst, "dst_id", "left")
     moved = moved.withColumns({"s": F.coalesce("new_src", "src_id"), "d": F.coalesce("new_dst", "dst_id")}).filter("s <> d OR src_id = dst_id")
-    out = moved.groupBy(F.col("s").alias("src_id"), F.col("d").alias("dst_id"), "rel_type").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("doc_ids", F.array().cast("array<string>")))))).alias("doc_ids"))
+    out = moved.groupBy(F.col("s").alias("src_id"), F.col("d").alias("dst_id"), "rel_type").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("doc_ids", F.array().cast("array<string>")))))).alias("doc_ids")
+    )
     learnt = merges.groupBy(F.col("canonical_id").alias("id")).agg(F.collect_set("alias_name").alias("learnt"))
     kept = entities.join(to.select(F.col("alias_id").alias("id")), "id", "left_anti").join(learnt, "id", "left")
     none = F.array().cast("array<string>")
-    return kept.withColumn("aliases", F.array_sort(F.array_union(F.coalesce("aliases", none), F.coalesce("learnt", none)))).select(*entities.columns), out
+    return kept.withColumn(
+        "aliases", F.array_sort(F.array_union(F.coalesce("aliases", none), F.coalesce("learnt", none)))
+    ).select(*entities.columns), out
 
 
 def not_refined(domains: list[str], runs: DataFrame) -> DataFrame:
@@ -162,29 +176,57 @@ def _near_in_blocks(rows: DataFrame, threshold: float, top_k: int, apart: bool)
         yield pa.RecordBatch.from_pylist([dict(zip(out.names, f, strict=True)) for f in met(group)], schema=out)
 
     kind = dict(rows.dtypes)["id"]
-    out = pa.schema([("id_a", pa.string() if kind == "string" else pa.int64()), ("id_b", pa.string() if kind == "string" else pa.int64()), ("name_a", pa.string()), ("name_b", pa.string()), ("similarity", pa.float64())])
+    out = pa.schema(
+        [
+            ("id_a", pa.string() if kind == "string" else pa.int64()),
+            ("id_b", pa.string() if kind == "string" else pa.int64()),
+            ("name_a", pa.string()),
+            ("name_b", pa.string()),
+            ("similarity", pa.float64()),
+        ]
+    )
     return sides.mapInArrow(run, f"id_a {kind}, id_b {kind}, name_a string, name_b string, similarity double")
 
 
-def conflict_candidates(entities: DataFrame, domains: list[str], threshold: float = CONFLICT_THRESHOLD, top_k: int = 10, max_pairs: int = 200) -> DataFrame:
+def conflict_candidates(
+    entities: DataFrame, domains: list[str], threshold: float = CONFLICT_THRESHOLD, top_k: int = 10, max_pairs: int = 200
+) -> DataFrame:
     """(id_a, id_b, similarity, name_ratio): pairs of one class that may contradict each other.
 
     Of each entity its `top_k` nearest by vector in other domains (in its own if there is only
     one) at the threshold or above; a pair once; the most similar first.
     """
-    rows = entities.filter(in_domains("domain", domains) & F.col("embedding").isNotNull()).select("id", "name", F.coalesce("entity_class", F.lit("")).alias("entity_class"), "domain", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = entities.filter(in_domains("domain", domains) & F.col("embedding").isNotNull()).select(
+        "id",
+        "name",
+        F.coalesce("entity_class", F.lit("")).alias("entity_class"),
+        "domain",
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    )
     met = _near_in_blocks(rows, threshold, top_k, len(domains) > 1)
-    near = met.withColumn("rank", F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("similarity"), "id_b"))).filter(F.col("rank") <= top_k)
+    near = met.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("similarity"), "id_b"))
+    ).filter(F.col("rank") <= top_k)
     first = F.col("id_a") < F.col("id_b")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    once = near.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), pick("name_a", "name_b").alias("name_a"), pick("name_b", "name_a").alias("name_b"), "similarity").groupBy("id_a", "id_b", "name_a", "name_b").agg(F.max("similarity").alias("similarity"))
+    once = near.select(
+        F.least("id_a", "id_b").alias("id_a"),
+        F.greatest("id_a", "id_b").alias("id_b"),
+        pick("name_a", "name_b").alias("name_a"),
+        pick("name_b", "name_a").alias("name_b"),
+        "similarity",
+    ).groupBy("id_a", "id_b", "name_a", "name_b").agg(F.max("similarity").alias("similarity"))
     scored = once.withColumn("name_ratio", ratio_column("name_a", "name_b"))
-    return scored.select("id_a", "id_b", "similarity", "name_ratio").orderBy(F.desc("similarity"), F.desc("name_ratio"), "id_a", "id_b").limit(max_pairs)
+    return scored.select("id_a", "id_b", "similarity", "name_ratio").orderBy(
+        F.desc("similarity"), F.desc("name_ratio"), "id_a", "id_b"
+    ).limit(max_pairs)
 
 
 def evidence(links: DataFrame, chunks: DataFrame, max_chunks: int = 3, chars: int = 1200) -> DataFrame:
     """(entity_id, chunk_id, excerpt): each entity's first chunks by id, cut short."""
-    rows = links.join(chunks.select("chunk_id", "text"), "chunk_id").withColumn("rank", F.row_number().over(Window.partitionBy("entity_id").orderBy("chunk_id")))
+    rows = links.join(chunks.select("chunk_id", "text"), "chunk_id").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("entity_id").orderBy("chunk_id"))
+    )
     return rows.filter(F.col("rank") <= max_chunks).select("entity_id", "chunk_id", F.substring("text", 1, chars).alias("excerpt"))
 
 
@@ -193,7 +235,11 @@ def verdict(raw: str | None) -> dict:
     got = repair_json(raw or "")
     got = got if isinstance(got, dict) else {}
     word = lambda k, known, other: str(got.get(k, "")).strip().lower() if str(got.get(k, "")).strip().lower() in known else other
-    return {"verdict": word("verdict", VERDICTS, "unrelated"), "severity": word("severity", SEVERITIES, "low"), **{k: str(got.get(k) or "") for k in ("aspect", "claim_a", "claim_b")}}
+    return {
+        "verdict": word("verdict", VERDICTS, "unrelated"),
+        "severity": word("severity", SEVERITIES, "low"),
+        **{k: str(got.get(k) or "") for k in ("aspect", "claim_a", "claim_b")},
+    }
 
 
 def verdict_columns(verdict_text: Column, severity_text: Column) -> tuple[Column, Column]:
@@ -211,15 +257,30 @@ def materialise_conflicts(judged: DataFrame, existing: DataFrame, at: str, model
     """New conflict rows (id, id_a, id_b, aspect, severity, status, detected_at, detected_by_model) that aren't there yet."""
     rows = judged.filter("verdict = 'conflicting'").withColumn("id", conflict_id(F.col("id_a"), F.col("id_b"), F.col("aspect")))
     rows = rows.groupBy("id").agg(F.min(F.struct("id_a", "id_b", "aspect", "severity")).alias("r")).select("id", "r.*")
-    return rows.join(existing.select("id"), "id", "left_anti").select("id", "id_a", "id_b", "aspect", "severity", F.lit("open").alias("status"), F.lit(at).alias("detected_at"), F.lit(model).alias("detected_by_model"))
+    return rows.join(existing.select("id"), "id", "left_anti").select(
+        "id",
+        "id_a",
+        "id_b",
+        "aspect",
+        "severity",
+        F.lit("open").alias("status"),
+        F.lit(at).alias("detected_at"),
+        F.lit(model).alias("detected_by_model"),
+    )
 
 
 def superseded_pairs(judged: DataFrame, starts: DataFrame) -> DataFrame:
     """(newer, older) of pairs judged superseded: the later start is the newer; ties by id."""
-    a, b = starts.select(F.col("id").alias("id_a"), F.col("valid_from").alias("from_a")), starts.select(F.col("id").alias("id_b"), F.col("valid_from").alias("from_b"))
+    a, b = starts.select(
+        F.col("id").alias("id_a"), F.col("valid_from").alias("from_a")
+    ), starts.select(F.col("id").alias("id_b"), F.col("valid_from").alias("from_b"))
     rows = judged.filter("verdict = 'superseded'").join(a, "id_a").join(b, "id_b")
     later = (F.col("from_a") > F.col("from_b")) | ((F.col("from_a") == F.col("from_b")) & (F.col("id_a") > F.col("id_b")))
-    return rows.filter("from_a IS NOT NULL AND from_b IS NOT NULL").select(F.when(later, F.col("id_a")).otherwise(F.col("id_b")).alias("newer"), F.when(later, F.col("id_b")).otherwise(F.col("id_a")).alias("older"), F.greatest("from_a", "from_b").alias("effective"))
+    return rows.filter("from_a IS NOT NULL AND from_b IS NOT NULL").select(
+        F.when(later, F.col("id_a")).otherwise(F.col("id_b")).alias("newer"),
+        F.when(later, F.col("id_b")).otherwise(F.col("id_a")).alias("older"),
+        F.greatest("from_a", "from_b").alias("effective"),
+    )
 
 
 def resolve_conflict(conflicts: DataFrame, conflict: str, status: str, at: str, reason: str | None = None) -> DataFrame:
@@ -229,7 +290,13 @@ def resolve_conflict(conflicts: DataFrame, conflict: str, status: str, at: str,
     hit = F.col("id") == conflict
     if conflicts.filter(hit).isEmpty():
         raise KeyError(conflict)
-    return conflicts.withColumns({"status": F.when(hit, status).otherwise(F.col("status")), "resolved_at": F.when(hit, at).otherwise(F.col("resolved_at")), "resolution_reason": F.when(hit, F.lit(reason)).otherwise(F.col("resolution_reason"))})
+    return conflicts.withColumns(
+        {
+            "status": F.when(hit, status).otherwise(F.col("status")),
+            "resolved_at": F.when(hit, at).otherwise(F.col("resolved_at")),
+            "resolution_reason": F.when(hit, F.lit(reason)).otherwise(F.col("resolution_reason")),
+        }
+    )
 
 
 def consolidation_gate(entities: DataFrame, min_fragments: int = 2, force: bool = False) -> DataFrame:
@@ -245,7 +312,9 @@ def excerpts(links: DataFrame, chunks: DataFrame, today: str, max_chunks: int =
     """(entity_id, chunk_ids): the chunks to consolidate from, those that hold today first, then by id."""
     old = F.when((F.col("valid_to").isNull() | (F.col("valid_to") > today)), 0).otherwise(1)
     rows = links.join(chunks.select("chunk_id", old.alias("old")), "chunk_id")
-    return rows.groupBy("entity_id").agg(F.transform(F.slice(F.array_sort(F.collect_set(F.struct("old", "chunk_id"))), 1, max_chunks), lambda x: x["chunk_id"]).alias("chunk_ids"))
+    return rows.groupBy("entity_id").agg(
+        F.transform(F.slice(F.array_sort(F.collect_set(F.struct("old", "chunk_id"))), 1, max_chunks), lambda x: x["chunk_id"]).alias("chunk_ids")
+    )
 
 
 def write_consolidated(entities: DataFrame, new: DataFrame) -> DataFrame:
@@ -253,7 +322,14 @@ def write_consolidated(entities: DataFrame, new: DataFrame) -> DataFrame:
     mine = new.select("id", F.col("description").alias("better"), F.col("chunk_ids").alias("from_chunks"))
     rows = entities.join(mine, "id", "left")
     hit = F.col("better").isNotNull()
-    out = rows.withColumns({"description_raw": F.when(hit, F.coalesce("description_raw", "description")).otherwise(F.col("description_raw")), "description_source_chunks": F.when(hit, F.col("from_chunks")).otherwise(F.col("description_source_chunks")), "embedding": F.when(hit, F.lit(None)).otherwise(F.col("embedding")), "description": F.coalesce("better", "description")})
+    out = rows.withColumns(
+        {
+            "description_raw": F.when(hit, F.coalesce("description_raw", "description")).otherwise(F.col("description_raw")),
+            "description_source_chunks": F.when(hit, F.col("from_chunks")).otherwise(F.col("description_source_chunks")),
+            "embedding": F.when(hit, F.lit(None)).otherwise(F.col("embedding")),
+            "description": F.coalesce("better", "description"),
+        }
+    )
     return out.select(*entities.columns)
 
 
@@ -261,7 +337,9 @@ def write_consolidated(entities: DataFrame, new: DataFrame) -> DataFrame:
 PIPELINE = ("time", "supersession", "merge", "conflicts", "consolidate", "embed")
 
 
-def run_pipeline(domains: list[str], steps: dict[str, Callable[[list[str], bool], object]], apply: bool = False, only: list[str] | None = None) -> dict[str, object]:
+def run_pipeline(
+    domains: list[str], steps: dict[str, Callable[[list[str], bool], object]], apply: bool = False, only: list[str] | None = None
+) -> dict[str, object]:
     """Runs the refinement steps in order; each is told whether to apply or only propose.
 
     Conflicts are also looked for across domains if there are two or more.

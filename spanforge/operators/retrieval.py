@@ -43,7 +43,10 @@ def vector_search_chunks(chunks: DataFrame, chats: DataFrame, query: list[float]
     """
     live = chunks.filter(in_domains("domain", domains) & live_chunk())
     live = live.filter(valid_at(as_of)) if as_of else live
-    legs = [vector_search(live, query, k).select(F.lit("chunk").alias("source"), "id", "cos", "score"), vector_search(chats.filter(in_domains("domain", domains)), query, k).select(F.lit("chat").alias("source"), "id", "cos", "score")]
+    legs = [
+        vector_search(live, query, k).select(F.lit("chunk").alias("source"), "id", "cos", "score"),
+        vector_search(chats.filter(in_domains("domain", domains)), query, k).select(F.lit("chat").alias("source"), "id", "cos", "score"),
+    ]
     return legs[0].unionByName(legs[1]).orderBy(F.desc("cos"), "source", "id").limit(k)
 
 
@@ -63,8 +66,12 @@ def bm25(rows: DataFrame, query: str, k: int = 5, id_column: str = "id", text_co
     if not terms:
         return rows.sparkSession.createDataFrame([], f"id {dict(rows.dtypes)[id_column]}, score double")
     words = rows.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("words"))
-    counted = words.select("id", F.size("words").alias("length"), *[(F.size("words") - F.size(F.array_remove("words", t))).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    counted = words.select(
+        "id", F.size("words").alias("length"), *[(F.size("words") - F.size(F.array_remove("words", t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    )
+    stats = counted.agg(
+        F.count("*").alias("n"), F.avg("length").alias("avg_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
+    )
     scored = counted.filter(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
     parts = []
     for i in range(len(terms)):
@@ -87,7 +94,11 @@ def full_text(chunks: DataFrame, chats: DataFrame | None, query: str, domains, a
     live = live.filter(valid_at(as_of)) if as_of else live
     out = bm25(live, query, k).select(F.lit("chunk").alias("source"), F.col("id").cast("string").alias("id"), "score")
     if chats is not None:
-        out = out.unionByName(bm25(chats.filter(in_domains("domain", domains)), query, k).select(F.lit("chat").alias("source"), F.col("id").cast("string").alias("id"), "score"))
+        out = out.unionByName(
+            bm25(chats.filter(in_domains("domain", domains)), query, k).select(
+                F.lit("chat").alias("source"), F.col("id").cast("string").alias("id"), "score"
+            )
+        )
     return out.orderBy(F.desc("score"), F.desc("source"), "id").limit(k)
 
 
@@ -100,13 +111,17 @@ def reciprocal_rank_fusion(vector: DataFrame, text: DataFrame, k: int = RRF_K, t
     t = text.select("key", F.col("rank").cast("int").alias("text_rank"))
     part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(float(k)) + F.col(c)), F.lit(0.0))
     both = v.join(t, "key", "full_outer").withColumn("score", part("vector_rank") + part("text_rank"))
-    out = both.select("key", "score", "vector_rank", "text_rank").orderBy(F.desc("score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("text_rank"), "key")
+    out = both.select("key", "score", "vector_rank", "text_rank").orderBy(
+        F.desc("score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("text_rank"), "key"
+    )
     return out.limit(top) if top else out
 
 
 def ranked(leg: DataFrame, key: Column, *order: Column) -> DataFrame:
     """(key, rank) of a leg that has been cut to its best rows: a few, so one window holds them."""
-    return leg.select(key.alias("key"), *leg.columns).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).select("key", "rank")
+    return leg.select(key.alias("key"), *leg.columns).withColumn(
+        "rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
+    ).select("key", "rank")
 
 
 def hybrid(chunks: DataFrame, chats: DataFrame, vector: list[float], query: str, domains, as_of: str | None = None, k: int = 5) -> DataFrame:
@@ -136,7 +151,9 @@ def resolve_entities(entities: DataFrame, phrase: str, embed: Callable[[str], li
     return reciprocal_rank_fusion(v, t, top=k)
 
 
-def backfill_embeddings(rows: DataFrame, embed: Callable[[str], list[float]], text_column: str = "text", vector_column: str = "embedding") -> DataFrame:
+def backfill_embeddings(
+    rows: DataFrame, embed: Callable[[str], list[float]], text_column: str = "text", vector_column: str = "embedding"
+) -> DataFrame:
     """rows with null vectors filled from their text; one that fails stays null."""
     @F.pandas_udf("array<float>")
     def filled(texts: pd.Series) -> pd.Series:

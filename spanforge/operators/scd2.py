@@ -96,7 +96,15 @@ def as_of_view(df: DataFrame, day: str | dt.date) -> DataFrame:
 MODES = ("replace", "temporal")
 
 
-def load(current: DataFrame | None, batch: DataFrame, mode: str, version: int, day: str | dt.date, key: list[str] | None = None, effective: str | None = None) -> tuple[DataFrame, int]:
+def load(
+    current: DataFrame | None,
+    batch: DataFrame,
+    mode: str,
+    version: int,
+    day: str | dt.date,
+    key: list[str] | None = None,
+    effective: str | None = None,
+) -> tuple[DataFrame, int]:
     """A table after a batch, by its refresh mode, and its next version.
 
     replace takes the batch as it is, whatever its columns; temporal seeds a history or refreshes it.

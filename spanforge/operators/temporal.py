@@ -9,7 +9,12 @@ from ..functions.text import frontmatter_map, header_value, iso_date, leading_nu
 from ..plans.scratch import Scratch
 
 #: Labels that documents use for a date or version.
-LABELS = {"valid_from": ("Effective Date", "Effective", "Valid From"), "valid_to": ("Expiry Date", "Valid To", "Expires"), "version": ("Version",), "supersedes": ("Supersedes", "Replaces")}
+LABELS = {
+    "valid_from": ("Effective Date", "Effective", "Valid From"),
+    "valid_to": ("Expiry Date", "Valid To", "Expires"),
+    "version": ("Version",),
+    "supersedes": ("Supersedes", "Replaces"),
+}
 
 
 def lift_header(documents: DataFrame, ingested: str, labels: dict[str, tuple[str, ...]] = LABELS, date_column: str | None = "date") -> DataFrame:
@@ -22,14 +27,20 @@ def lift_header(documents: DataFrame, ingested: str, labels: dict[str, tuple[str
 
     def found(kind: str) -> Column:
         names = labels.get(kind, ())
-        return F.coalesce(*[header_value(F.col("text"), n) for n in names], *[front[n.lower().replace(" ", "_")] for n in names], F.lit(None).cast("string"))
+        return F.coalesce(
+            *[header_value(F.col("text"), n) for n in names], *[front[n.lower().replace(" ", "_")] for n in names], F.lit(None).cast("string")
+        )
 
     raw = documents.withColumns({"_from": found("valid_from"), "_to": found("valid_to"), "version_label": found("version")})
     given = [iso_date(F.col("_from"))]
     if date_column and date_column in documents.columns:
         given.append(iso_date(F.col(date_column).cast("string")))
-    dated = raw.withColumns({"_start": F.coalesce(*given), "valid_to": iso_date(F.col("_to")), "version_number": leading_number(F.col("version_label"))})
-    return dated.withColumns({"valid_from": F.coalesce("_start", F.lit(ingested)), "valid_from_inferred": F.col("_start").isNull()}).drop("_from", "_to", "_start")
+    dated = raw.withColumns(
+        {"_start": F.coalesce(*given), "valid_to": iso_date(F.col("_to")), "version_number": leading_number(F.col("version_label"))}
+    )
+    return dated.withColumns(
+        {"valid_from": F.coalesce("_start", F.lit(ingested)), "valid_from_inferred": F.col("_start").isNull()}
+    ).drop("_from", "_to", "_start")
 
 
 def inherit(parent: dict, child: dict) -> dict:
@@ -55,7 +66,12 @@ def entity_dates(entities: DataFrame, mapped: dict[str, str], props: str = "prop
     for name, prop in mapped.items():
         raw = F.col(props)[prop]
         parsed = iso_date(raw)
-        out = out.withColumns({name: F.coalesce(F.col(name), parsed) if name in entities.columns else parsed, f"{name}_raw": F.when(raw.isNotNull() & parsed.isNull(), raw)})
+        out = out.withColumns(
+            {
+                name: F.coalesce(F.col(name), parsed) if name in entities.columns else parsed,
+                f"{name}_raw": F.when(raw.isNotNull() & parsed.isNull(), raw),
+            }
+        )
     return out
 
 
@@ -68,8 +84,12 @@ def normalize_time(documents: DataFrame, chunks: DataFrame, lifted: DataFrame) -
     docs = documents.join(new, "id", "left").withColumn("touched", F.col("valid_from").isNull() & F.col("new_from").isNotNull())
     docs = docs.withColumns({"valid_from": F.coalesce("valid_from", "new_from"), "valid_to": F.coalesce("valid_to", "new_to")})
     bounds = docs.select(F.col("id").alias("doc_id"), F.col("valid_from").alias("doc_from"), F.col("valid_to").alias("doc_to"))
-    parts = chunks.join(bounds, "doc_id", "left").withColumns({"valid_from": F.coalesce("doc_from", "valid_from"), "valid_to": F.coalesce("doc_to", "valid_to")}).select(*chunks.columns)
-    changed = docs.agg(F.count_if("touched").alias("documents")).crossJoin(bounds.filter("doc_from IS NOT NULL").join(chunks.select("doc_id"), "doc_id").agg(F.count("*").alias("chunks")))
+    parts = chunks.join(bounds, "doc_id", "left").withColumns(
+        {"valid_from": F.coalesce("doc_from", "valid_from"), "valid_to": F.coalesce("doc_to", "valid_to")}
+    ).select(*chunks.columns)
+    changed = docs.agg(F.count_if("touched").alias("documents")).crossJoin(
+        bounds.filter("doc_from IS NOT NULL").join(chunks.select("doc_id"), "doc_id").agg(F.count("*").alias("chunks"))
+    )
     return docs.select(*documents.columns), parts, changed
 
 
@@ -107,7 +127,9 @@ def _the_other(groups: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame
     groups: (*key, n, least, most), one row a key, so nothing is multiplied.
     """
     own = (F.col("least") == F.col("id")) | (F.col("most") == F.col("id"))
-    other = F.when((F.col("n") == 1) & ~own, F.col("least")).when((F.col("n") == 2) & own, F.when(F.col("least") == F.col("id"), F.col("most")).otherwise(F.col("least")))
+    other = F.when((F.col("n") == 1) & ~own, F.col("least")).when(
+        (F.col("n") == 2) & own, F.when(F.col("least") == F.col("id"), F.col("most")).otherwise(F.col("least"))
+    )
     return asked.join(groups, key, "left").withColumn("older", other).drop("n", "least", "most")
 
 
@@ -129,7 +151,9 @@ def resolve_versions(said: DataFrame, documents: DataFrame) -> DataFrame:
     named = said.filter("kind = 'table'").select("id", "effective", F.lower("target").alias("name"))
     own = documents.select("id", "domain")
     names = documents.groupBy("domain", F.lower(F.regexp_replace("name", r"\.[A-Za-z0-9]{1,5}$", "")).alias("name")).agg(F.max("id").alias("older"))
-    tabled = named.join(own, "id").join(names, ["domain", "name"]).filter("id <> older").select(F.col("id").alias("newer"), "older", "effective", F.lit("table").alias("kind"))
+    tabled = named.join(own, "id").join(names, ["domain", "name"]).filter("id <> older").select(
+        F.col("id").alias("newer"), "older", "effective", F.lit("table").alias("kind")
+    )
     return noticed.unionByName(tabled.join(noticed.select("newer"), "newer", "left_anti"))
 
 
@@ -139,7 +163,9 @@ def family_chain(documents: DataFrame) -> DataFrame:
     starts = rows.groupBy("domain", "stem", "valid_from").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     w = Window.partitionBy("domain", "stem").orderBy("valid_from")
     chain = starts.withColumns({"older": F.lag("id").over(w), "older_n": F.lag("n").over(w)})
-    return chain.filter("older IS NOT NULL AND n = 1 AND older_n = 1").select(F.col("id").alias("newer"), "older", F.col("valid_from").alias("effective"), F.lit("family").alias("kind"))
+    return chain.filter("older IS NOT NULL AND n = 1 AND older_n = 1").select(
+        F.col("id").alias("newer"), "older", F.col("valid_from").alias("effective"), F.lit("family").alias("kind")
+    )
 
 
 def detect_supersession(documents: DataFrame, families: bool = True) -> DataFrame:
@@ -154,22 +180,35 @@ def detect_supersession(documents: DataFrame, families: bool = True) -> DataFram
     if families:
         found = found.unionByName(family_chain(documents))
     order = F.when(F.col("kind") == "notice", 0).when(F.col("kind") == "table", 1).otherwise(2)
-    best = found.groupBy("newer", "older").agg(F.min_by(F.struct("effective", "kind"), F.struct(order, F.col("effective"))).alias("b")).select("newer", "older", "b.*")
+    best = found.groupBy("newer", "older").agg(
+        F.min_by(F.struct("effective", "kind"), F.struct(order, F.col("effective"))).alias("b")
+    ).select("newer", "older", "b.*")
     starts = documents.select(F.col("id").alias("newer"), F.col("valid_from").alias("starts"))
     return best.join(starts, "newer", "left").select("newer", "older", F.coalesce("effective", "starts").alias("effective"), "kind")
 
 
-def apply_supersession(pairs: DataFrame, documents: DataFrame, chunks: DataFrame, entities: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_supersession(
+    pairs: DataFrame, documents: DataFrame, chunks: DataFrame, entities: DataFrame, sources: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents, chunks and entities after supersession.
 
     The older document and its chunks end when the newer one starts to hold, whatever they
     said before; entities that have no other document end then too, unless they had an end.
     sources: (entity_id, doc_id).
     """
-    ends = pairs.groupBy(F.col("older").alias("id")).agg(F.min("effective").alias("effective"), F.min_by("newer", F.struct("effective", "newer")).alias("by"))
-    docs = documents.join(ends, "id", "left").withColumns({"valid_to": F.coalesce("effective", "valid_to"), "superseded_by": F.coalesce("by", "superseded_by") if "superseded_by" in documents.columns else F.col("by")})
+    ends = pairs.groupBy(F.col("older").alias("id")).agg(
+        F.min("effective").alias("effective"), F.min_by("newer", F.struct("effective", "newer")).alias("by")
+    )
+    docs = documents.join(ends, "id", "left").withColumns(
+        {
+            "valid_to": F.coalesce("effective", "valid_to"),
+            "superseded_by": F.coalesce("by", "superseded_by") if "superseded_by" in documents.columns else F.col("by"),
+        }
+    )
     docs = docs.drop("effective", "by")
-    parts = chunks.join(ends.select(F.col("id").alias("doc_id"), "effective"), "doc_id", "left").withColumn("valid_to", F.coalesce("effective", "valid_to")).select(*chunks.columns)
+    parts = chunks.join(
+        ends.select(F.col("id").alias("doc_id"), "effective"), "doc_id", "left"
+    ).withColumn("valid_to", F.coalesce("effective", "valid_to")).select(*chunks.columns)
     only = sources.groupBy("entity_id").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
     retired = only.join(ends.select(F.col("id").alias("doc_id"), "effective"), "doc_id").select(F.col("entity_id").alias("id"), "effective")
     ents = entities.join(retired, "id", "left").withColumn("valid_to", F.coalesce("valid_to", "effective")).select(*entities.columns)
@@ -179,9 +218,17 @@ def apply_supersession(pairs: DataFrame, documents: DataFrame, chunks: DataFrame
 def supersede_nodes(pairs: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, entities): SUPERSEDES from the newer to the older entity, which keeps any end it had."""
     edges = pairs.select(F.col("newer").alias("src_id"), F.col("older").alias("dst_id"), F.lit("SUPERSEDES").alias("rel_type"), "effective")
-    ends = pairs.groupBy(F.col("older").alias("id")).agg(F.min("effective").alias("effective"), F.min_by("newer", F.struct("effective", "newer")).alias("by"))
+    ends = pairs.groupBy(F.col("older").alias("id")).agg(
+        F.min("effective").alias("effective"), F.min_by("newer", F.struct("effective", "newer")).alias("by")
+    )
     out = entities.join(ends, "id", "left")
-    out = out.withColumns({"valid_to": F.coalesce("valid_to", "effective"), "status": F.when(F.col("by").isNotNull(), "superseded").otherwise(F.col("status") if "status" in entities.columns else F.lit(None)), "superseded_by": F.col("by")})
+    out = out.withColumns(
+        {
+            "valid_to": F.coalesce("valid_to", "effective"),
+            "status": F.when(F.col("by").isNotNull(), "superseded").otherwise(F.col("status") if "status" in entities.columns else F.lit(None)),
+            "superseded_by": F.col("by"),
+        }
+    )
     return edges, out.drop("effective", "by")
 
 
@@ -196,4 +243,6 @@ def snapshot_changes(before: DataFrame, after: DataFrame, history: DataFrame, ne
     both = b.join(a, "entity_id")
     both = both.withColumn("props", F.map_filter("old", lambda k, v: ~v.eqNullSafe(F.col("new")[k]))).filter(F.size("props") > 0)
     done = history.filter(F.col("closed_by") == newer_doc).select("entity_id").distinct()
-    return both.join(done, "entity_id", "left_anti").select("entity_id", "props", "valid_from", F.col("new_from").alias("valid_to"), F.lit(newer_doc).alias("closed_by"), F.lit(at).alias("snapshot_at"))
+    return both.join(done, "entity_id", "left_anti").select(
+        "entity_id", "props", "valid_from", F.col("new_from").alias("valid_to"), F.lit(newer_doc).alias("closed_by"), F.lit(at).alias("snapshot_at")
+    )

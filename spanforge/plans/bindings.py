@@ -24,11 +24,25 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = places.select("n_nationkey", "n_name", F.lower(F.concat_ws(".", "r_name", "n_name")).alias("domain"))
     near = F.broadcast(places.select("n_nationkey", "domain"))
     parts = [
-        t("customer").join(near, F.col("c_nationkey") == F.col("n_nationkey")).select(_id("customer", "c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("CUSTOMER").alias("entity_class"), "domain"),
-        t("supplier").join(near, F.col("s_nationkey") == F.col("n_nationkey")).select(_id("supplier", "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("SUPPLIER").alias("entity_class"), "domain"),
-        t("part").select(_id("part", "p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("PART").alias("entity_class"), F.lower(F.concat(F.lit("goods."), "p_type")).alias("domain")),
+        t("customer").join(near, F.col("c_nationkey") == F.col("n_nationkey")).select(
+            _id("customer", "c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("CUSTOMER").alias("entity_class"), "domain"
+        ),
+        t("supplier").join(near, F.col("s_nationkey") == F.col("n_nationkey")).select(
+            _id("supplier", "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("SUPPLIER").alias("entity_class"), "domain"
+        ),
+        t("part").select(
+            _id("part", "p_partkey").alias("id"),
+            F.col("p_name").alias("name"),
+            F.lit("PART").alias("entity_class"),
+            F.lower(F.concat(F.lit("goods."), "p_type")).alias("domain"),
+        ),
         places.select(_id("nation", "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("NATION").alias("entity_class"), "domain"),
-        t("region").select(_id("region", "r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit("REGION").alias("entity_class"), F.lower("r_name").alias("domain")),
+        t("region").select(
+            _id("region", "r_regionkey").alias("id"),
+            F.col("r_name").alias("name"),
+            F.lit("REGION").alias("entity_class"),
+            F.lower("r_name").alias("domain"),
+        ),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -54,11 +68,21 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplies = lines.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("weight"))
     one = F.lit(1.0).alias("weight")
     parts = [
-        bought.select(_id("customer", "o_custkey").alias("src_id"), _id("part", "l_partkey").alias("dst_id"), F.lit("BOUGHT").alias("rel_type"), "weight"),
-        supplies.select(_id("supplier", "l_suppkey").alias("src_id"), _id("part", "l_partkey").alias("dst_id"), F.lit("SUPPLIES").alias("rel_type"), "weight"),
-        t("customer").select(_id("customer", "c_custkey").alias("src_id"), _id("nation", "c_nationkey").alias("dst_id"), F.lit("LOCATED_IN").alias("rel_type"), one),
-        t("supplier").select(_id("supplier", "s_suppkey").alias("src_id"), _id("nation", "s_nationkey").alias("dst_id"), F.lit("LOCATED_IN").alias("rel_type"), one),
-        t("nation").select(_id("nation", "n_nationkey").alias("src_id"), _id("region", "n_regionkey").alias("dst_id"), F.lit("PART_OF").alias("rel_type"), one),
+        bought.select(
+            _id("customer", "o_custkey").alias("src_id"), _id("part", "l_partkey").alias("dst_id"), F.lit("BOUGHT").alias("rel_type"), "weight"
+        ),
+        supplies.select(
+            _id("supplier", "l_suppkey").alias("src_id"), _id("part", "l_partkey").alias("dst_id"), F.lit("SUPPLIES").alias("rel_type"), "weight"
+        ),
+        t("customer").select(
+            _id("customer", "c_custkey").alias("src_id"), _id("nation", "c_nationkey").alias("dst_id"), F.lit("LOCATED_IN").alias("rel_type"), one
+        ),
+        t("supplier").select(
+            _id("supplier", "s_suppkey").alias("src_id"), _id("nation", "s_nationkey").alias("dst_id"), F.lit("LOCATED_IN").alias("rel_type"), one
+        ),
+        t("nation").select(
+            _id("nation", "n_nationkey").alias("src_id"), _id("region", "n_regionkey").alias("dst_id"), F.lit("PART_OF").alias("rel_type"), one
+        ),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -85,7 +109,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(".", "lang", "source").alias("domain"),
         F.concat(F.lit("p"), F.pmod("doc_id", F.lit(7)).cast("string")).alias("project"),
         day(300).alias("valid_from"),
-        F.when(F.pmod("doc_id", F.lit(4)) == 0, F.lit(None)).otherwise(F.date_format(F.date_add(F.to_date(F.lit("2024-06-01")), F.pmod("doc_id", F.lit(200)).cast("int")), "yyyy-MM-dd")).alias("valid_to"),
+        F.when(F.pmod("doc_id", F.lit(4)) == 0, F.lit(None)).otherwise(
+            F.date_format(F.date_add(F.to_date(F.lit("2024-06-01")), F.pmod("doc_id", F.lit(200)).cast("int")), "yyyy-MM-dd")
+        ).alias("valid_to"),
         F.when(F.pmod("doc_id", F.lit(13)) == 0, "deleted").otherwise(F.lit(None)).alias("status"),
     )
 
@@ -98,8 +124,24 @@ DOCUMENTS_SQL = """doc AS (SELECT doc_id, text, lang || '.' || source AS domain,
 
 def chunks(docs: DataFrame) -> DataFrame:
     """(chunk_id, doc_id, seq, text, domain, valid_from, valid_to, deleted): the lines of each document, in order."""
-    parts = docs.select("doc_id", "domain", "valid_from", "valid_to", (F.coalesce(F.col("status"), F.lit("active")) == "deleted").alias("deleted"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
-    return parts.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.lpad(F.col("seq").cast("string"), 5, "0")).alias("chunk_id"), "doc_id", "seq", "text", "domain", "valid_from", "valid_to", "deleted")
+    parts = docs.select(
+        "doc_id",
+        "domain",
+        "valid_from",
+        "valid_to",
+        (F.coalesce(F.col("status"), F.lit("active")) == "deleted").alias("deleted"),
+        F.posexplode(F.split("text", "\n")).alias("seq", "text"),
+    )
+    return parts.select(
+        F.concat_ws("_", F.col("doc_id").cast("string"), F.lpad(F.col("seq").cast("string"), 5, "0")).alias("chunk_id"),
+        "doc_id",
+        "seq",
+        "text",
+        "domain",
+        "valid_from",
+        "valid_to",
+        "deleted",
+    )
 
 
 CHUNKS_SQL = """chunk AS (SELECT doc_id || '_' || lpad(CAST(seq AS VARCHAR), 5, '0') AS chunk_id, doc_id, seq, line AS text, domain, valid_from, valid_to,
@@ -114,7 +156,13 @@ def order_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return o.select(_id("order", "o_orderkey").alias("id"), _id("customer", "o_custkey").alias("entity_id"), F.col("o_totalprice").alias("price"), day.alias("valid_from"), F.lead(day).over(w).alias("valid_to"))
+    return o.select(
+        _id("order", "o_orderkey").alias("id"),
+        _id("customer", "o_custkey").alias("entity_id"),
+        F.col("o_totalprice").alias("price"),
+        day.alias("valid_from"),
+        F.lead(day).over(w).alias("valid_to"),
+    )
 
 
 HISTORY_SQL = """history AS (SELECT 'order:' || o_orderkey AS id, 'customer:' || o_custkey AS entity_id, o_totalprice AS price,
@@ -126,7 +174,10 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chat_id, entity_id): a user's turn mentions the parts whose number its length leads to."""
     c = table(spark, sf_dir, "conversations").filter("role = 'user'")
     n = table(spark, sf_dir, "part").agg((F.max("p_partkey") + 1).alias("n"))
-    return c.crossJoin(F.broadcast(n)).select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chat_id"), F.concat(F.lit("part:"), F.pmod(F.length("text") + F.col("conv_id"), F.col("n")).cast("string")).alias("entity_id"))
+    return c.crossJoin(F.broadcast(n)).select(
+        F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chat_id"),
+        F.concat(F.lit("part:"), F.pmod(F.length("text") + F.col("conv_id"), F.col("n")).cast("string")).alias("entity_id"),
+    )
 
 
 MENTIONS_SQL = """mention AS (SELECT conv_id || '_' || turn AS chat_id, 'part:' || ((length(text) + conv_id) % (SELECT max(p_partkey) + 1 FROM part)) AS entity_id

@@ -9,7 +9,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Verbs that a read-only query hasn't got, for the guard by words.
-VERBS = ("insert", "update", "delete", "merge", "create", "drop", "alter", "truncate", "replace", "copy", "attach", "detach", "load", "install", "set", "pragma", "call")
+VERBS = (
+    "insert",
+    "update",
+    "delete",
+    "merge",
+    "create",
+    "drop",
+    "alter",
+    "truncate",
+    "replace",
+    "copy",
+    "attach",
+    "detach",
+    "load",
+    "install",
+    "set",
+    "pragma",
+    "call",
+)
 
 
 def looks_read_only(sql: str) -> bool:
@@ -56,7 +74,9 @@ def _nodes(spark: SparkSession, root):
             inner = node.iterator()
         elif name.startswith(("scala.Tuple", "scala.Some")):
             inner = node.productIterator()
-        elif name.startswith("org.apache.spark.sql.") and not name.startswith(("org.apache.spark.sql.catalyst.trees.", "org.apache.spark.sql.types.")):
+        elif name.startswith("org.apache.spark.sql.") and not name.startswith(
+            ("org.apache.spark.sql.catalyst.trees.", "org.apache.spark.sql.types.")
+        ):
             yield name.rsplit(".", 1)[-1], node
             if not is_product(node):
                 continue
@@ -124,7 +144,19 @@ def run_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None =
 
 
 #: Function names of the other dialect and what they are called here.
-RENAMED = {"list_contains": "array_contains", "list_distinct": "array_distinct", "list_sort": "array_sort", "list_transform": "transform", "list_filter": "filter", "list_concat": "concat", "unnest": "explode", "array_to_string": "array_join", "strptime": "to_timestamp", "string_agg": "listagg", "len": "length"}
+RENAMED = {
+    "list_contains": "array_contains",
+    "list_distinct": "array_distinct",
+    "list_sort": "array_sort",
+    "list_transform": "transform",
+    "list_filter": "filter",
+    "list_concat": "concat",
+    "unnest": "explode",
+    "array_to_string": "array_join",
+    "strptime": "to_timestamp",
+    "string_agg": "listagg",
+    "len": "length",
+}
 
 
 def _outside_quotes(sql: str, change) -> str:
@@ -151,7 +183,9 @@ def to_spark(sql: str) -> str:
         return part
 
     text = _outside_quotes(sql.strip().rstrip(";"), change)
-    text = re.sub(r"(?i)\bstring_split\s*\(\s*([\w.]+)\s*,\s*'((?:[^']|'')*)'\s*\)", lambda m: f"split({m[1]}, '{re.escape(m[2]) if m[2] else ''}')".replace("\\", "\\\\"), text)
+    text = re.sub(
+        r"(?i)\bstring_split\s*\(\s*([\w.]+)\s*,\s*'((?:[^']|'')*)'\s*\)", lambda m: f"split({m[1]}, '{re.escape(m[2]) if m[2] else ''}')".replace("\\", "\\\\"), text
+    )
     at = _outermost(text, "qualify")
     start = _outermost(text, "from")
     if at is None or start is None or not re.match(r"(?i)select\b", text):

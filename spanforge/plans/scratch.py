@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import tempfile
 import uuid
@@ -50,8 +49,3 @@ class Scratch:
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001  the session has ended; nothing else to do
             pass
-
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of plans that nobody holds any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()

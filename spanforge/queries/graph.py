@@ -17,7 +17,10 @@ AMERICA = "(domain = 'america' OR starts_with(domain, 'america.'))"
 AS_OF = "1998-06-01"
 
 
-@query("g1_class_list", with_(E) + f"SELECT id, name, entity_class, domain FROM entity WHERE entity_class = 'CUSTOMER' AND {AMERICA} ORDER BY name, id LIMIT 200")
+@query(
+    "g1_class_list",
+    with_(E) + f"SELECT id, name, entity_class, domain FROM entity WHERE entity_class = 'CUSTOMER' AND {AMERICA} ORDER BY name, id LIMIT 200",
+)
 def g1(spark, sf):
     return G.entities_of_class(B.entities(spark, sf), "america", "CUSTOMER")
 
@@ -37,7 +40,9 @@ def chunk_links(spark, sf):
     """(chunk_id, entity_id): a chunk is about the part that its length and document lead to."""
     n = table(spark, sf, "part").agg((F.max("p_partkey") + 1).alias("n"))
     chunks = B.chunks(B.documents(spark, sf)).crossJoin(F.broadcast(n))
-    return chunks.select("chunk_id", F.concat(F.lit("part:"), F.pmod(F.length("text") * 7 + F.col("doc_id"), F.col("n")).cast("string")).alias("entity_id"))
+    return chunks.select(
+        "chunk_id", F.concat(F.lit("part:"), F.pmod(F.length("text") * 7 + F.col("doc_id"), F.col("n")).cast("string")).alias("entity_id")
+    )
 
 
 @query("g3_neighbourhood", with_(E, D, BOTH) + """, picked AS (SELECT id FROM entity WHERE entity_class = 'SUPPLIER' AND domain LIKE 'asia.%')
@@ -47,7 +52,12 @@ def g3(spark, sf):
     ents = B.entities(spark, sf)
     picked = ents.filter((F.col("entity_class") == "SUPPLIER") & in_domains("domain", "asia")).select("id")
     found = G.connections(picked, ents, B.edges(spark, sf), "asia,america,africa,europe,middle east,goods")
-    return found.groupBy("id").agg(F.count("*").alias("n_connections"), F.countDistinct("target_id").alias("n_targets"), F.min("target_name").alias("first_target"), F.max("target_name").alias("last_target"))
+    return found.groupBy("id").agg(
+        F.count("*").alias("n_connections"),
+        F.countDistinct("target_id").alias("n_targets"),
+        F.min("target_name").alias("first_target"),
+        F.max("target_name").alias("last_target"),
+    )
 
 
 @query("g4_class_name_neighbourhood", with_(E, D, BOTH) + """, picked AS (SELECT id, name FROM entity WHERE entity_class = 'NATION' AND contains(lower(name), 'nation_1'))
@@ -57,7 +67,9 @@ def g4(spark, sf):
     picked = ents.filter((F.col("entity_class") == "NATION") & selects_entity(names=["NATION_1"])).select("id", "name")
     lists = G.neighbourhood(picked, ents, B.edges(spark, sf), "asia,america,africa,europe,middle east")
     each = lists.select("id", "name", F.explode("connections").alias("c"))
-    return each.groupBy("id", "name", F.col("c.rel_type").alias("rel_type"), F.col("c.target_class").alias("target_class")).agg(F.countDistinct("c.target_id").alias("n"))
+    return each.groupBy(
+        "id", "name", F.col("c.rel_type").alias("rel_type"), F.col("c.target_class").alias("target_class")
+    ).agg(F.countDistinct("c.target_id").alias("n"))
 
 
 PATHS = """hop AS (SELECT DISTINCT a, b, rel_type FROM both_ways),
@@ -78,7 +90,9 @@ SELECT array_to_string(path, ' ') AS path, n AS length FROM walk WHERE b = (SELE
 def g6(spark, sf):
     edges = B.edges(spark, sf).filter("rel_type IN ('LOCATED_IN', 'PART_OF')")
     goal = table(spark, sf, "nation").filter("n_nationkey = 0").first()["n_regionkey"]
-    return G.all_paths(B.entities(spark, sf), edges, "nation:0", f"region:{goal}", max_hops=2).select(F.array_join("path", " ").alias("path"), "length")
+    return G.all_paths(
+        B.entities(spark, sf), edges, "nation:0", f"region:{goal}", max_hops=2
+    ).select(F.array_join("path", " ").alias("path"), "length")
 
 
 @query("g7_edges_between", with_(E, D) + """SELECT rel_type, s.name AS from_name, t.name AS to_name, src_id, dst_id
@@ -107,7 +121,9 @@ def g8(spark, sf):
   WHERE p.entity_class = 'NATION' AND e.entity_class = 'SUPPLIER'""")
 def g9(spark, sf):
     ents = B.entities(spark, sf)
-    return G.neighbours_of_class(ents.filter("entity_class = 'NATION'").select("id"), ents, B.edges(spark, sf), "asia,america,africa,europe,middle east", "SUPPLIER")
+    return G.neighbours_of_class(
+        ents.filter("entity_class = 'NATION'").select("id"), ents, B.edges(spark, sf), "asia,america,africa,europe,middle east", "SUPPLIER"
+    )
 
 
 def _degree(mode):
@@ -126,7 +142,10 @@ for _mode in ("relations", "mentions", "all"):
         return G.degrees(B.entities(spark, sf), B.edges(spark, sf), B.mentions(spark, sf), ALL, mode)
 
 
-@query("g11_document_chunks", with_(X, C) + "SELECT doc_id, 'doc' || doc_id AS name, chunk_id, seq, text FROM chunk WHERE contains('doc' || doc_id, 'c12') ORDER BY doc_id, seq")
+@query(
+    "g11_document_chunks",
+    with_(X, C) + "SELECT doc_id, 'doc' || doc_id AS name, chunk_id, seq, text FROM chunk WHERE contains('doc' || doc_id, 'c12') ORDER BY doc_id, seq",
+)
 def g11(spark, sf):
     docs = B.documents(spark, sf)
     return G.document_chunks(docs.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name")), B.chunks(docs), "C12")
@@ -181,24 +200,41 @@ def g16(spark, sf):
     s = table(spark, sf, "supplier")
     a = s.select("s_nationkey", F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("ba"))
     b = s.select("s_nationkey", F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("bb"))
-    met = a.join(b, "s_nationkey").filter("a < b AND abs(ba - bb) > 3000").select("a", "b", F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")).alias("conflict_id"))
+    met = a.join(b, "s_nationkey").filter("a < b AND abs(ba - bb) > 3000").select(
+        "a", "b", F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")).alias("conflict_id")
+    )
     pad = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
     one = met.select(pad("a").alias("src_id"), pad("b").alias("dst_id"), "conflict_id", F.lit("balance").alias("aspect"))
     edges = one.union(met.select(pad("b"), pad("a"), "conflict_id", F.lit("balance")))
-    nodes = met.filter("a % 3 <> 0").select(F.col("conflict_id").alias("id"), F.when(F.col("a") % 3 == 1, "high").otherwise("medium").alias("severity"), F.when(F.col("a") % 5 == 1, "resolved").alias("status"))
-    nodes = nodes.unionByName(met.filter("a % 3 = 0").select(F.col("conflict_id").alias("id"), F.lit(None).cast("string").alias("severity"), F.when(F.col("a") % 5 == 1, "resolved").alias("status")))
-    proof = met.select("conflict_id", F.lit("a").alias("side"), F.col("a").cast("string").alias("chunk_id")).union(met.select("conflict_id", F.lit("b"), F.col("b").cast("string")))
+    nodes = met.filter("a % 3 <> 0").select(
+        F.col("conflict_id").alias("id"),
+        F.when(F.col("a") % 3 == 1, "high").otherwise("medium").alias("severity"),
+        F.when(F.col("a") % 5 == 1, "resolved").alias("status"),
+    )
+    nodes = nodes.unionByName(
+        met.filter("a % 3 = 0").select(
+            F.col("conflict_id").alias("id"), F.lit(None).cast("string").alias("severity"), F.when(F.col("a") % 5 == 1, "resolved").alias("status")
+        )
+    )
+    proof = met.select(
+        "conflict_id", F.lit("a").alias("side"), F.col("a").cast("string").alias("chunk_id")
+    ).union(met.select("conflict_id", F.lit("b"), F.col("b").cast("string")))
     ents = s.select(pad("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     return G.conflicts(edges, ents, nodes, proof).withColumn("evidence", F.size("evidence")).withColumnRenamed("evidence", "n_evidence")
 
 
-@query("g17_timeline", """SELECT 'order:' || o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS "at" FROM orders WHERE o_custkey = 7 ORDER BY 2, 1""")
+@query(
+    "g17_timeline", """SELECT 'order:' || o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS "at" FROM orders WHERE o_custkey = 7 ORDER BY 2, 1"""
+)
 def g17(spark, sf):
     rows = B.order_history(spark, sf).filter("entity_id = 'customer:7'").select("id", F.lit(None).cast("string").alias("event_at"), "valid_from")
     return G.timeline(rows).select("id", "at")
 
 
-@query("g18_versions_as_of", with_(H) + f"SELECT id, entity_id, price, valid_from, valid_to FROM history WHERE valid_from <= '{AS_OF}' AND valid_to IS NOT NULL AND valid_to > '{AS_OF}'")
+@query(
+    "g18_versions_as_of",
+    with_(H) + f"SELECT id, entity_id, price, valid_from, valid_to FROM history WHERE valid_from <= '{AS_OF}' AND valid_to IS NOT NULL AND valid_to > '{AS_OF}'",
+)
 def g18(spark, sf):
     return G.versions(B.order_history(spark, sf), as_of=AS_OF)
 
@@ -216,27 +252,42 @@ def g20(spark, sf):
     return G.rank_candidates(scored, "Small Widget", "PART", "goods")
 
 
-@query("b2_domain_rollup", with_(X) + "SELECT domain, count(*) AS n FROM doc WHERE domain = 'en' OR starts_with(domain, 'en.') OR domain = 'de.src3' OR starts_with(domain, 'de.src3.') GROUP BY 1")
+@query(
+    "b2_domain_rollup",
+    with_(X) + "SELECT domain, count(*) AS n FROM doc WHERE domain = 'en' OR starts_with(domain, 'en.') OR domain = 'de.src3' OR starts_with(domain, 'de.src3.') GROUP BY 1",
+)
 def b2(spark, sf):
     return B.documents(spark, sf).filter(in_domains("domain", ["en", "de.src3, en"])).groupBy("domain").agg(F.count("*").alias("n"))
 
 
-@query("b3_symmetric_domains", with_(E) + "SELECT id, domain FROM entity WHERE domain = 'asia.nation_2' OR starts_with(domain, 'asia.nation_2.') OR starts_with('asia.nation_2', domain || '.')")
+@query(
+    "b3_symmetric_domains",
+    with_(E) + "SELECT id, domain FROM entity WHERE domain = 'asia.nation_2' OR starts_with(domain, 'asia.nation_2.') OR starts_with('asia.nation_2', domain || '.')",
+)
 def b3(spark, sf):
     return B.entities(spark, sf).filter(domains_touch("domain", "asia.nation_2")).select("id", "domain")
 
 
-@query("b4_domain_family", with_(E, X) + "SELECT DISTINCT domain FROM (SELECT domain FROM doc UNION ALL SELECT domain FROM entity) WHERE starts_with(domain, 'fr.') UNION SELECT 'fr'")
+@query(
+    "b4_domain_family",
+    with_(E, X) + "SELECT DISTINCT domain FROM (SELECT domain FROM doc UNION ALL SELECT domain FROM entity) WHERE starts_with(domain, 'fr.') UNION SELECT 'fr'",
+)
 def b4(spark, sf):
     return spark.createDataFrame([(d,) for d in domain_family("fr", B.documents(spark, sf), B.entities(spark, sf))], "domain string")
 
 
-@query("b5_as_of", with_(H) + f"SELECT id, entity_id, price FROM history WHERE (valid_from IS NULL OR valid_from <= '{AS_OF}') AND (valid_to IS NULL OR valid_to > '{AS_OF}')")
+@query(
+    "b5_as_of",
+    with_(H) + f"SELECT id, entity_id, price FROM history WHERE (valid_from IS NULL OR valid_from <= '{AS_OF}') AND (valid_to IS NULL OR valid_to > '{AS_OF}')",
+)
 def b5(spark, sf):
     return B.order_history(spark, sf).filter(valid_at(AS_OF)).select("id", "entity_id", "price")
 
 
-@query("b6_strict_as_of", with_(H) + f"SELECT count(*) AS n, sum(price) AS total FROM history WHERE (valid_from IS NULL OR valid_from <= '{AS_OF}') AND valid_to > '{AS_OF}'")
+@query(
+    "b6_strict_as_of",
+    with_(H) + f"SELECT count(*) AS n, sum(price) AS total FROM history WHERE (valid_from IS NULL OR valid_from <= '{AS_OF}') AND valid_to > '{AS_OF}'",
+)
 def b6(spark, sf):
     return B.order_history(spark, sf).filter(snapshot_at(AS_OF)).agg(F.count("*").alias("n"), F.sum("price").alias("total"))
 
@@ -246,6 +297,9 @@ def b8(spark, sf):
     return B.chunks(B.documents(spark, sf)).filter(live_chunk()).groupBy("domain").agg(F.count("*").alias("n"))
 
 
-@query("b10_labels", "SELECT DISTINCT p_type, upper(trim(regexp_replace(p_type, '\\W+', '_', 'g'), '_')) AS label, upper(trim(regexp_replace(p_name, '\\W+', '_', 'g'), '_')) AS name_label FROM part")
+@query(
+    "b10_labels",
+    "SELECT DISTINCT p_type, upper(trim(regexp_replace(p_type, '\\W+', '_', 'g'), '_')) AS label, upper(trim(regexp_replace(p_name, '\\W+', '_', 'g'), '_')) AS name_label FROM part",
+)
 def b10(spark, sf):
     return table(spark, sf, "part").select("p_type", label_column("p_type").alias("label"), label_column("p_name").alias("name_label")).distinct()

@@ -22,9 +22,14 @@ def rows(spark, schema, *values):
     return spark.createDataFrame(list(values), schema)
 
 
-@query("a5_source_tables", "SELECT * FROM (VALUES ('my_book__one', 'One'), ('my_book__two_b', 'Two B'), ('t_2024_rates', 'Only'), ('prices', NULL)) t(name, sheet)")
+@query(
+    "a5_source_tables",
+    "SELECT * FROM (VALUES ('my_book__one', 'One'), ('my_book__two_b', 'Two B'), ('t_2024_rates', 'Only'), ('prices', NULL)) t(name, sheet)",
+)
 def a5(spark, sf):
-    found = files.source_tables("/x/My Book.xlsx", ["One", "Two B"]) | files.source_tables("2024-rates.xlsm", ["Only"]) | files.source_tables("a/Prices.csv")
+    found = files.source_tables(
+        "/x/My Book.xlsx", ["One", "Two B"]
+    ) | files.source_tables("2024-rates.xlsm", ["Only"]) | files.source_tables("a/Prices.csv")
     return rows(spark, "name string, sheet string", *found.items())
 
 
@@ -49,18 +54,40 @@ def b15(spark, sf):
             return False
         return True
 
-    cases = [("pattern5", {"source_id": "x", "target": "y", "mode": "all"}, {"source": ("source_id",), "target": ()}), ("pattern6", {"source": "x"}, {"source": (), "target": ()}), ("pattern9", {"degree_mode": "some"}, {})]
+    cases = [
+        ("pattern5", {"source_id": "x", "target": "y", "mode": "all"}, {"source": ("source_id",), "target": ()}),
+        ("pattern6", {"source": "x"}, {"source": (), "target": ()}),
+        ("pattern9", {"degree_mode": "some"}, {}),
+    ]
     return rows(spark, "pattern string, good boolean", *((c[0], good(*c)) for c in cases))
 
 
-@query("f3_classification", "SELECT * FROM (VALUES ('segment', 'CUSTOMER', 0.9, 'instance', 'name')) t(\"column\", entity_class, confidence, grain, bridges)".replace("0.9", "0.9::DOUBLE"))
+@query(
+    "f3_classification",
+    "SELECT * FROM (VALUES ('segment', 'CUSTOMER', 0.9, 'instance', 'name')) t(\"column\", entity_class, confidence, grain, bridges)".replace("0.9", "0.9::DOUBLE"),
+)
 def f3(spark, sf):
-    answer = {"grain": "instance", "mappings": [{"column": "segment", "entity_class": "CUSTOMER", "confidence": 0.9}, {"column": "ghost", "entity_class": "CUSTOMER", "confidence": 1}, {"column": "name", "entity_class": "CUSTOMER", "confidence": 0.3}], "bridges": [{"column": "name", "confidence": 0.4}]}
+    answer = {
+        "grain": "instance",
+        "mappings": [
+            {"column": "segment", "entity_class": "CUSTOMER", "confidence": 0.9},
+            {"column": "ghost", "entity_class": "CUSTOMER", "confidence": 1},
+            {"column": "name", "entity_class": "CUSTOMER", "confidence": 0.3},
+        ],
+        "bridges": [{"column": "name", "confidence": 0.4}],
+    }
     got, _ = fusion.classify_table("", lambda _: json.dumps(answer), ["segment", "name"], ["CUSTOMER"])
-    return rows(spark, "column string, entity_class string, confidence double, grain string, bridges string", *((m["column"], m["entity_class"], m["confidence"], got["grain"], ",".join(got["bridges"])) for m in got["mappings"]))
+    return rows(
+        spark,
+        "column string, entity_class string, confidence double, grain string, bridges string",
+        *((m["column"], m["entity_class"], m["confidence"], got["grain"], ",".join(got["bridges"])) for m in got["mappings"]),
+    )
 
 
-@query("f5_grain_rule", "SELECT * FROM (VALUES ('normative', true, 'replace', false), ('normative', true, 'temporal', true), ('normative', false, 'replace', true), ('lookup', true, 'replace', true)) t(grain, confirmed, mode, good)")
+@query(
+    "f5_grain_rule",
+    "SELECT * FROM (VALUES ('normative', true, 'replace', false), ('normative', true, 'temporal', true), ('normative', false, 'replace', true), ('lookup', true, 'replace', true)) t(grain, confirmed, mode, good)",
+)
 def f5(spark, sf):
     def good(*case):
         try:
@@ -73,11 +100,21 @@ def f5(spark, sf):
     return rows(spark, "grain string, confirmed boolean, mode string, good boolean", *((*c, good(*c)) for c in cases))
 
 
-@query("f7_placement", "SELECT * FROM (VALUES ('domain', 'bank', 1.0::DOUBLE, true), ('area', 'ops', 0.0, false), ('tags', 'x', 0.5, false)) t(field, value, confidence, known)")
+@query(
+    "f7_placement",
+    "SELECT * FROM (VALUES ('domain', 'bank', 1.0::DOUBLE, true), ('area', 'ops', 0.0, false), ('tags', 'x', 0.5, false)) t(field, value, confidence, known)",
+)
 def f7(spark, sf):
-    got = fusion.placement(json.dumps({"domain": {"value": "bank", "confidence": 3}, "area": {"value": "ops", "confidence": 0.39}, "tags": [{"value": "x", "confidence": 0.5}]}), {"domain": {"bank"}})
+    got = fusion.placement(
+        json.dumps(
+            {"domain": {"value": "bank", "confidence": 3}, "area": {"value": "ops", "confidence": 0.39}, "tags": [{"value": "x", "confidence": 0.5}]}
+        ),
+        {"domain": {"bank"}},
+    )
     found = [("domain", got["domain"]), ("area", got["area"]), *(("tags", t) for t in got["tags"])]
-    return rows(spark, "field string, value string, confidence double, known boolean", *((f, x["value"], x["confidence"], x["known"]) for f, x in found))
+    return rows(
+        spark, "field string, value string, confidence double, known boolean", *((f, x["value"], x["confidence"], x["known"]) for f, x in found)
+    )
 
 
 @query("f9_bulk_classification", "SELECT * FROM (VALUES ('a', 'ok', false), ('b', 'ok', true), ('c', 'failed', true)) t(name, status, ran)")
@@ -92,13 +129,29 @@ def f9(spark, sf):
     return rows(spark, "name string, status string, ran boolean", *((t["name"], t["status"], t["name"] in ran) for t in out))
 
 
-@query("t8_inheritance", "SELECT * FROM (VALUES ('anchor', 'child'), ('defaults.from', 'child'), ('defaults.to', 'parent'), ('document.date', 'x,y,z')) t(setting, value)")
+@query(
+    "t8_inheritance",
+    "SELECT * FROM (VALUES ('anchor', 'child'), ('defaults.from', 'child'), ('defaults.to', 'parent'), ('document.date', 'x,y,z')) t(setting, value)",
+)
 def t8(spark, sf):
-    got = temporal.inherit({"anchor": "parent", "defaults": {"from": "parent", "to": "parent"}, "document": {"date": ["x", "y"]}}, {"anchor": "child", "defaults": {"from": "child"}, "document": {"date": ["y", "z"]}})
-    return rows(spark, "setting string, value string", ("anchor", got["anchor"]), ("defaults.from", got["defaults"]["from"]), ("defaults.to", got["defaults"]["to"]), ("document.date", ",".join(got["document"]["date"])))
-
-
-@query("d16_commit", "SELECT * FROM (VALUES (1, 'retract', 'ok'), (2, 'capture', 'skipped'), (3, 'write', 'ok'), (4, 'normalise', 'failed: late'), (5, 'supersede', 'skipped'), (6, 'snapshot', 'ok'), (7, 'reassert', 'skipped')) t(seq, step, status)")
+    got = temporal.inherit(
+        {"anchor": "parent", "defaults": {"from": "parent", "to": "parent"}, "document": {"date": ["x", "y"]}},
+        {"anchor": "child", "defaults": {"from": "child"}, "document": {"date": ["y", "z"]}},
+    )
+    return rows(
+        spark,
+        "setting string, value string",
+        ("anchor", got["anchor"]),
+        ("defaults.from", got["defaults"]["from"]),
+        ("defaults.to", got["defaults"]["to"]),
+        ("document.date", ",".join(got["document"]["date"])),
+    )
+
+
+@query(
+    "d16_commit",
+    "SELECT * FROM (VALUES (1, 'retract', 'ok'), (2, 'capture', 'skipped'), (3, 'write', 'ok'), (4, 'normalise', 'failed: late'), (5, 'supersede', 'skipped'), (6, 'snapshot', 'ok'), (7, 'reassert', 'skipped')) t(seq, step, status)",
+)
 def d16(spark, sf):
     def late(_):
         raise TimeoutError("late")
@@ -108,7 +161,10 @@ def d16(spark, sf):
     return rows(spark, "seq int, step string, status string", *((i + 1, s, told[s]) for i, s in enumerate(documents.STEPS)))
 
 
-@query("c11_pipeline", "SELECT * FROM (VALUES (1, 'time', 'a,b'), (2, 'merge', 'a,b'), (3, 'conflicts', 'a'), (4, 'conflicts', 'b'), (5, 'conflicts', 'a,b'), (6, 'embed', 'a,b')) t(seq, step, domains)")
+@query(
+    "c11_pipeline",
+    "SELECT * FROM (VALUES (1, 'time', 'a,b'), (2, 'merge', 'a,b'), (3, 'conflicts', 'a'), (4, 'conflicts', 'b'), (5, 'conflicts', 'a,b'), (6, 'embed', 'a,b')) t(seq, step, domains)",
+)
 def c11(spark, sf):
     seen = []
 
@@ -127,7 +183,9 @@ PROMPTS = {
 }
 
 
-@query("h1_harmonise", "SELECT * FROM (VALUES ('BRANCH', true, true), ('LOAN', true, true), ('PERSON', false, true)) t(entity_type, added, in_prompt)")
+@query(
+    "h1_harmonise", "SELECT * FROM (VALUES ('BRANCH', true, true), ('LOAN', true, true), ('PERSON', false, true)) t(entity_type, added, in_prompt)"
+)
 def h1(spark, sf):
     own = PROMPTS["entities_prompt"].replace("LOAN", "PERSON").replace("BRANCH\n  A place.\n\n", "")
     child, added = jobs.harmonise({"entity_types": ["PERSON"], "entities_prompt": own}, {"entity_types": ["PERSON", "LOAN", "BRANCH"], **PROMPTS})
@@ -151,7 +209,13 @@ def h3(spark, sf):
             raise OSError("gone")
         return "ok"
 
-    out = jobs.run_jobs([{"id": "j2", "created_at": 2, "files": [{"path": "bad"}, {"path": "b"}]}, {"id": "j1", "created_at": 1, "files": [{"path": "a"}, {"path": "c", "status": "ok"}]}], work)
+    out = jobs.run_jobs(
+        [
+            {"id": "j2", "created_at": 2, "files": [{"path": "bad"}, {"path": "b"}]},
+            {"id": "j1", "created_at": 1, "files": [{"path": "a"}, {"path": "c", "status": "ok"}]},
+        ],
+        work,
+    )
     return rows(spark, "id string, status string, files string", *((j["id"], j["status"], ",".join(f["status"] for f in j["files"])) for j in out))
 
 
@@ -167,7 +231,11 @@ QUESTION_FILES = (
   (3, 1, 'Q01', 'Alpha', 'body one', NULL), (3, 2, 'Q12', 'Beta', 'body two', NULL), (4, 1, 'Q01', NULL, 'One?', NULL), (4, 2, 'Q02', NULL, 'Why?', NULL)) t(file, seq, qid, title, question, eval_comment)""")
 def h4(spark, sf):
     got = [(i, q) for i, text in enumerate(QUESTION_FILES, 1) for q in jobs.parse_questions(text)]
-    return rows(spark, "file int, seq int, qid string, title string, question string, eval_comment string", *((i, q["seq"], q["qid"], q["title"], q["question"], q["eval_comment"]) for i, q in got))
+    return rows(
+        spark,
+        "file int, seq int, qid string, title string, question string, eval_comment string",
+        *((i, q["seq"], q["qid"], q["title"], q["question"], q["eval_comment"]) for i, q in got),
+    )
 
 
 #: Statements over the views v and parts, and whether the guard lets them by.
@@ -247,20 +315,33 @@ def a1(spark, sf):
     for name, text in {"b/notes.md": "hey", "a.csv": "x\n1\n", ".git/x.csv": "x", "b/.y.csv": "x", "b/rates.XLSX": "PK"}.items():
         store_.write_text(f"{root}/{name}", text)
     found = files.discover(spark, root)
-    return found.select(F.regexp_replace("path", f"^.*{root.rsplit('/', 1)[-1]}/", "").alias("path"), F.col("length").cast("int").alias("length"), "structured")
+    return found.select(
+        F.regexp_replace("path", f"^.*{root.rsplit('/', 1)[-1]}/", "").alias("path"), F.col("length").cast("int").alias("length"), "structured"
+    )
 
 
-@query("a3_csv_table", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment, c_custkey % 2 = 0 AS even, CAST(DATE '2024-01-01' + CAST(c_custkey % 300 AS INTEGER) AS DATE) AS day FROM customer")
+@query(
+    "a3_csv_table",
+    "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment, c_custkey % 2 = 0 AS even, CAST(DATE '2024-01-01' + CAST(c_custkey % 300 AS INTEGER) AS DATE) AS day FROM customer",
+)
 def a3(spark, sf):
     """The customers written as CSV files, loaded as a typed table, and read again."""
     root = _root(spark, "a3")
-    c = table(spark, sf, "customer").withColumns({"even": F.when(F.col("c_custkey") % 2 == 0, "Yes").otherwise("no"), "day": F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("c_custkey") % 300).cast("int"))})
+    c = table(spark, sf, "customer").withColumns(
+        {
+            "even": F.when(F.col("c_custkey") % 2 == 0, "Yes").otherwise("no"),
+            "day": F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("c_custkey") % 300).cast("int")),
+        }
+    )
     c.write.option("header", True).csv(f"{root}/customers.csv")
     files.load_table(spark, f"{root}/customers.csv", f"{root}/table")
     return spark.read.parquet(f"{root}/table")
 
 
-@query("a4_sheet", "SELECT * FROM (VALUES (1, 'north', 0.5::DOUBLE, DATE '2024-02-29', true), (2, NULL, 2.0, DATE '1999-12-31', false)) t(id, place, rate, day, open)".replace("(1, 'n", "(1::BIGINT, 'n"))
+@query(
+    "a4_sheet",
+    "SELECT * FROM (VALUES (1, 'north', 0.5::DOUBLE, DATE '2024-02-29', true), (2, NULL, 2.0, DATE '1999-12-31', false)) t(id, place, rate, day, open)".replace("(1, 'n", "(1::BIGINT, 'n"),
+)
 def a4(spark, sf):
     root = _root(spark, "a4")
     SharedFiles(spark).write_bytes(f"{root}/rates.xlsx", small_workbook())
@@ -281,8 +362,12 @@ def small_workbook() -> bytes:
     strings = "".join(f"<si><t>{x}</t></si>" for x in ("id", "place", "rate", "day", "open", "north"))
     listed = (("Rates", "visible"), ("Secret", "hidden"), ("Empty", "visible"), ("Other", "visible"))
     parts = {
-        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{links}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" state="{v}" r:id="r{i}"/>' for i, (n, v) in enumerate(listed, 1)) + "</sheets></workbook>",
-        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, 5)) + "</Relationships>",
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{links}"><sheets>' + "".join(
+            f'<sheet name="{n}" sheetId="{i}" state="{v}" r:id="r{i}"/>' for i, (n, v) in enumerate(listed, 1)
+        ) + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(
+            f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, 5)
+        ) + "</Relationships>",
         "xl/sharedStrings.xml": f'<sst xmlns="{main}">{strings}</sst>',
         "xl/styles.xml": f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
         "xl/worksheets/sheet1.xml": sheet(cells),
@@ -297,14 +382,19 @@ def small_workbook() -> bytes:
     return out.getvalue()
 
 
-@query("a8_staging", "SELECT 'staged' AS \"table\", count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'target', count(*), max(o_totalprice) FROM orders WHERE o_orderstatus = 'O'")
+@query(
+    "a8_staging",
+    "SELECT 'staged' AS \"table\", count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'target', count(*), max(o_totalprice) FROM orders WHERE o_orderstatus = 'O'",
+)
 def a8(spark, sf):
     """A batch staged from a file beside its target, which stays as it was."""
     scratch, o = Scratch(spark, "a8"), table(spark, sf, "orders")
     o.filter("o_orderstatus = 'O'").write.parquet(f"{scratch.root}/target")
     o.filter("o_orderstatus = 'F'").write.option("header", True).csv(f"{scratch.root}/batch.csv")
     staged = files.stage(spark, f"{scratch.root}/batch.csv", scratch)
-    total = lambda df, name: df.agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most")).select(F.lit(name).alias("table"), "n", "most")
+    total = lambda df, name: df.agg(
+        F.count("*").alias("n"), F.max("o_totalprice").alias("most")
+    ).select(F.lit(name).alias("table"), "n", "most")
     return total(staged, "staged").unionByName(total(spark.read.parquet(f"{scratch.root}/target"), "target"))
 
 
@@ -320,7 +410,9 @@ BUNDLE_SQL = "SELECT CAST(doc_id AS VARCHAR) AS id, 'doc' || doc_id AS name, lan
 
 def _read_bundle(spark, root):
     got = store.read_bundle(spark, root)
-    return got["document"].join(got["chunks"].select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n")), "id").select("id", "name", "domain", "logical_id", "version", "n")
+    return got["document"].join(
+        got["chunks"].select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n")), "id"
+    ).select("id", "name", "domain", "logical_id", "version", "n")
 
 
 @query("a16_bundle", BUNDLE_SQL)
@@ -360,14 +452,23 @@ def a17(spark, sf):
     return rows(spark, "seq int, pulled string, n int", *told)
 
 
-@query("a19_structured_snapshot", "SELECT 7 AS id, 'r1' AS domain, 'nation' AS \"table\", 'lookup' AS grain, count(*) AS n FROM nation UNION ALL SELECT 9, 'r2', 'supplier', 'instance', count(*) FROM supplier")
+@query(
+    "a19_structured_snapshot",
+    "SELECT 7 AS id, 'r1' AS domain, 'nation' AS \"table\", 'lookup' AS grain, count(*) AS n FROM nation UNION ALL SELECT 9, 'r2', 'supplier', 'instance', count(*) FROM supplier",
+)
 def a19(spark, sf):
     """Tables and their registry out and in again; a field that the snapshot lacks gets its default, ids stay."""
     root = _root(spark, "a19")
     tables = {("r1", "nation"): table(spark, sf, "nation"), ("r2", "supplier"): table(spark, sf, "supplier")}
-    store.export_tables(spark, root, tables, [{"id": 7, "domain": "r1", "name": "nation"}, {"id": 9, "domain": "r2", "name": "supplier", "grain": "instance"}])
+    store.export_tables(
+        spark, root, tables, [{"id": 7, "domain": "r1", "name": "nation"}, {"id": 9, "domain": "r2", "name": "supplier", "grain": "instance"}]
+    )
     back, registry = store.import_tables(spark, root, {"grain": "lookup"})
-    return rows(spark, "id int, domain string, table string, grain string, n long", *((r["id"], r["domain"], r["name"], r["grain"], back[r["domain"], r["name"]].count()) for r in registry))
+    return rows(
+        spark,
+        "id int, domain string, table string, grain string, n long",
+        *((r["id"], r["domain"], r["name"], r["grain"], back[r["domain"], r["name"]].count()) for r in registry),
+    )
 
 
 @query("a20_snapshot", """SELECT 'nodes' AS part, count(*) AS n FROM part UNION ALL SELECT 'edges', count(DISTINCT (l_suppkey, l_partkey)) FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) AND l_suppkey IN (SELECT p_partkey FROM part)
@@ -384,5 +485,10 @@ def a20(spark, sf):
     store.restore_snapshot(spark, f"{root}/all.zip", f"{root}/again")
     found, links = store.import_graph(spark, f"{root}/again/graph")
     tables, _ = store.import_tables(spark, f"{root}/again/structured", {})
-    counts = (("nodes", found["Entity"].count()), ("edges", links.count()), ("nation", tables["r1", "nation"].count()), ("missing components", len(told["missing"])))
+    counts = (
+        ("nodes", found["Entity"].count()),
+        ("edges", links.count()),
+        ("nation", tables["r1", "nation"].count()),
+        ("missing components", len(told["missing"])),
+    )
     return rows(spark, "part string, n long", *counts)

@@ -60,20 +60,57 @@ SAME = {
 }
 #: Queries whose two dialects differ.
 PAIRS = {
-    "q_qualify": ("SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",) * 2,
+    "q_qualify": (
+        "SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
+    ) * 2,
     "q_exclude": ("SELECT * EXCLUDE (p_name, p_type) FROM part",) * 2,
-    "q_pivot": ("SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) PIVOT (sum(l_quantity) FOR l_linestatus IN ('O' AS o, 'F' AS f))", "SELECT l_returnflag, sum(l_quantity) FILTER (l_linestatus = 'O') AS o, sum(l_quantity) FILTER (l_linestatus = 'F') AS f FROM lineitem GROUP BY 1"),
-    "q_lateral_alias": ("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, net * (1 + l_tax) AS gross FROM lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, net * (1 + l_tax) AS gross FROM lineitem"),
-    "q_unpivot": ("SELECT l_orderkey, l_linenumber, k, v FROM lineitem UNPIVOT (v FOR k IN (l_quantity, l_tax))", "SELECT l_orderkey, l_linenumber, k, v FROM (SELECT l_orderkey, l_linenumber, 'l_quantity' AS k, l_quantity AS v FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem)"),
-    "q_json": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
-    "q_arrays": ("SELECT p_partkey, array_join(array_sort(transform(split(p_name, ' '), x -> upper(x))), '-') AS words, size(filter(split(p_name, ' '), x -> length(x) > 4)) AS n FROM part", "SELECT p_partkey, array_to_string(list_sort(list_transform(string_split(p_name, ' '), lambda x: upper(x))), '-') AS words, CAST(len(list_filter(string_split(p_name, ' '), lambda x: length(x) > 4)) AS INTEGER) AS n FROM part"),
-    "q_explode": ("SELECT p_partkey, word FROM part LATERAL VIEW explode(split(p_name, ' ')) t AS word", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part"),
-    "q_map": ("SELECT c_custkey, map('segment', c_mktsegment, 'name', c_name)['segment'] AS s FROM customer", "SELECT c_custkey, c_mktsegment AS s FROM customer"),
-    "q_listagg": ("SELECT n_regionkey, string_agg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
-    "q_regex": ("SELECT c_custkey, regexp_extract(c_name, '([0-9]+)$', 1) AS digits, regexp_replace(c_name, '[0#]+', '') AS bare FROM customer", "SELECT c_custkey, regexp_extract(c_name, '([0-9]+)$', 1) AS digits, regexp_replace(c_name, '[0#]+', '', 'g') AS bare FROM customer"),
-    "q_string_split": ("SELECT p_partkey, string_split(p_brand, '#')[1] AS n FROM part", "SELECT p_partkey, string_split(p_brand, '#')[2] AS n FROM part"),
-    "q_group_frame": ("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) AS g FROM events)", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY user_id GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM events"),
-    "q_date_trunc": ("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, count(*) AS n FROM orders GROUP BY 1", "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, count(*) AS n FROM orders GROUP BY 1"),
+    "q_pivot": (
+        "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) PIVOT (sum(l_quantity) FOR l_linestatus IN ('O' AS o, 'F' AS f))",
+        "SELECT l_returnflag, sum(l_quantity) FILTER (l_linestatus = 'O') AS o, sum(l_quantity) FILTER (l_linestatus = 'F') AS f FROM lineitem GROUP BY 1",
+    ),
+    "q_lateral_alias": (
+        "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, net * (1 + l_tax) AS gross FROM lineitem",
+        "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, net * (1 + l_tax) AS gross FROM lineitem",
+    ),
+    "q_unpivot": (
+        "SELECT l_orderkey, l_linenumber, k, v FROM lineitem UNPIVOT (v FOR k IN (l_quantity, l_tax))",
+        "SELECT l_orderkey, l_linenumber, k, v FROM (SELECT l_orderkey, l_linenumber, 'l_quantity' AS k, l_quantity AS v FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem)",
+    ),
+    "q_json": (
+        "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events",
+        "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    ),
+    "q_arrays": (
+        "SELECT p_partkey, array_join(array_sort(transform(split(p_name, ' '), x -> upper(x))), '-') AS words, size(filter(split(p_name, ' '), x -> length(x) > 4)) AS n FROM part",
+        "SELECT p_partkey, array_to_string(list_sort(list_transform(string_split(p_name, ' '), lambda x: upper(x))), '-') AS words, CAST(len(list_filter(string_split(p_name, ' '), lambda x: length(x) > 4)) AS INTEGER) AS n FROM part",
+    ),
+    "q_explode": (
+        "SELECT p_partkey, word FROM part LATERAL VIEW explode(split(p_name, ' ')) t AS word",
+        "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part",
+    ),
+    "q_map": (
+        "SELECT c_custkey, map('segment', c_mktsegment, 'name', c_name)['segment'] AS s FROM customer",
+        "SELECT c_custkey, c_mktsegment AS s FROM customer",
+    ),
+    "q_listagg": (
+        "SELECT n_regionkey, string_agg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
+    ),
+    "q_regex": (
+        "SELECT c_custkey, regexp_extract(c_name, '([0-9]+)$', 1) AS digits, regexp_replace(c_name, '[0#]+', '') AS bare FROM customer",
+        "SELECT c_custkey, regexp_extract(c_name, '([0-9]+)$', 1) AS digits, regexp_replace(c_name, '[0#]+', '', 'g') AS bare FROM customer",
+    ),
+    "q_string_split": (
+        "SELECT p_partkey, string_split(p_brand, '#')[1] AS n FROM part", "SELECT p_partkey, string_split(p_brand, '#')[2] AS n FROM part"
+    ),
+    "q_group_frame": (
+        "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) AS g FROM events)",
+        "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY user_id GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM events",
+    ),
+    "q_date_trunc": (
+        "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, count(*) AS n FROM orders GROUP BY 1",
+        "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, count(*) AS n FROM orders GROUP BY 1",
+    ),
 }
 
 
@@ -89,7 +126,10 @@ for _name, (_here, _there) in PAIRS.items():
     _add(_name, _here, _there)
 
 
-@query("q_range_join", "SELECT c_custkey, count(*) AS n FROM customer JOIN (SELECT s_suppkey, s_acctbal - 50 AS lo, s_acctbal + 50 AS hi FROM supplier) s ON c_acctbal BETWEEN lo AND hi GROUP BY 1")
+@query(
+    "q_range_join",
+    "SELECT c_custkey, count(*) AS n FROM customer JOIN (SELECT s_suppkey, s_acctbal - 50 AS lo, s_acctbal + 50 AS hi FROM supplier) s ON c_acctbal BETWEEN lo AND hi GROUP BY 1",
+)
 def q_range_join(spark, sf):
     """A band join: both sides go to buckets of the band's width, and meet in equal ones."""
     s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") - 50).alias("lo"), (F.col("s_acctbal") + 50).alias("hi"))
@@ -99,14 +139,20 @@ def q_range_join(spark, sf):
     return c.join(s, "bucket").filter("c_acctbal BETWEEN lo AND hi").groupBy("c_custkey").agg(F.count("*").alias("n"))
 
 
-@query("q_asof_join", "SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, user_id, ts - INTERVAL 9490 DAY AS at FROM events) e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o ON e.user_id = o.o_custkey AND e.at >= o.o_orderdate")
+@query(
+    "q_asof_join",
+    "SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, user_id, ts - INTERVAL 9490 DAY AS at FROM events) e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o ON e.user_id = o.o_custkey AND e.at >= o.o_orderdate",
+)
 def q_asof_join(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("k"), (F.col("ts") - F.expr("INTERVAL 9490 DAYS")).alias("at"))
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k"), "o_orderdate").agg(F.max("o_orderkey").alias("o_orderkey"))
     return asof_join(e, o, ["k"], "at", "o_orderdate").select("event_id", "o_orderkey")
 
 
-@query("q_union_by_name", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL BY NAME SELECT s_suppkey AS id, s_name AS name FROM supplier")
+@query(
+    "q_union_by_name",
+    "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL BY NAME SELECT s_suppkey AS id, s_name AS name FROM supplier",
+)
 def q_union_by_name(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
@@ -116,11 +162,16 @@ def q_union_by_name(spark, sf):
 @query("a7_identifiers", """SELECT DISTINCT p_name, p_size, CASE WHEN x = '' THEN 'table' WHEN regexp_matches(x, '^[0-9]') THEN 't_' || x ELSE x END AS ident
 FROM (SELECT p_name, p_size, lower(trim(regexp_replace(CASE WHEN p_size % 2 = 0 THEN p_size || ' -- ' ELSE ' Ä(' END || p_name || '! (é)', '[^A-Za-z0-9_]', '_', 'g'), '_')) AS x FROM part)""")
 def a7(spark, sf):
-    raw = F.concat(F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit(" -- "))).otherwise(" Ä("), "p_name", F.lit("! (é)"))
+    raw = F.concat(
+        F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit(" -- "))).otherwise(" Ä("), "p_name", F.lit("! (é)")
+    )
     return table(spark, sf, "part").select("p_name", "p_size", identifier_column(raw).alias("ident")).distinct()
 
 
-@query("a10_introspection", "SELECT 'customer' AS \"table\", unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS \"column\", unnest(['bigint', 'string', 'int', 'double', 'string']) AS type")
+@query(
+    "a10_introspection",
+    "SELECT 'customer' AS \"table\", unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS \"column\", unnest(['bigint', 'string', 'int', 'double', 'string']) AS type",
+)
 def a10(spark, sf):
     return spark.createDataFrame([("customer", c, t) for c, t in table(spark, sf, "customer").dtypes], "table string, column string, type string")
 
@@ -135,12 +186,18 @@ def a9(spark, sf):
     return B.documents(spark, sf).select(view_name_column(F.col("domain"), "documents").alias("view_name")).distinct()
 
 
-@query("f1_fusion_bridges", f"WITH {REGISTRY} SELECT domain, name AS \"table\", col AS \"column\" FROM tbl JOIN role USING (table_id) WHERE domain IN ('r1', 'r2') OR starts_with(domain, 'r1.') OR starts_with(domain, 'r2.')")
+@query(
+    "f1_fusion_bridges",
+    f"WITH {REGISTRY} SELECT domain, name AS \"table\", col AS \"column\" FROM tbl JOIN role USING (table_id) WHERE domain IN ('r1', 'r2') OR starts_with(domain, 'r1.') OR starts_with(domain, 'r2.')",
+)
 def f1(spark, sf):
     return fusion.fusion_hints(*_registry(spark, sf), ["r1", "r2"])[0]
 
 
-@query("f1_fusion_quarantine", f"WITH {REGISTRY} SELECT domain, name AS \"table\" FROM tbl WHERE grain = 'normative' AND table_id IN (SELECT table_id FROM mapping) AND (domain IN ('r0', 'r3') OR starts_with(domain, 'r0.') OR starts_with(domain, 'r3.'))")
+@query(
+    "f1_fusion_quarantine",
+    f"WITH {REGISTRY} SELECT domain, name AS \"table\" FROM tbl WHERE grain = 'normative' AND table_id IN (SELECT table_id FROM mapping) AND (domain IN ('r0', 'r3') OR starts_with(domain, 'r0.') OR starts_with(domain, 'r3.'))",
+)
 def f1_quarantine(spark, sf):
     return fusion.fusion_hints(*_registry(spark, sf), ["r0", "r3"])[1]
 
@@ -152,14 +209,25 @@ def f2(spark, sf):
     return fusion.resolve_key("cold widgets", p.select(F.col("p_name").alias("value")), p.select(F.col("p_type").alias("value")), 10)
 
 
-@query("f4_upsert", f"WITH {REGISTRY}, n AS (SELECT n_nationkey AS table_id, 'name' AS col, 'SUPPLIER' AS entity_class FROM nation) SELECT n.table_id, 'name' AS \"column\", CASE WHEN m.confirmed THEN m.entity_class ELSE n.entity_class END AS entity_class FROM n LEFT JOIN mapping m USING (table_id)")
+@query(
+    "f4_upsert",
+    f"WITH {REGISTRY}, n AS (SELECT n_nationkey AS table_id, 'name' AS col, 'SUPPLIER' AS entity_class FROM nation) SELECT n.table_id, 'name' AS \"column\", CASE WHEN m.confirmed THEN m.entity_class ELSE n.entity_class END AS entity_class FROM n LEFT JOIN mapping m USING (table_id)",
+)
 def f4(spark, sf):
     _, mappings, _ = _registry(spark, sf)
-    new = table(spark, sf, "nation").select(F.col("n_nationkey").alias("table_id"), F.lit("name").alias("column"), F.lit("SUPPLIER").alias("entity_class"), F.lit(False).alias("confirmed"))
+    new = table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("table_id"),
+        F.lit("name").alias("column"),
+        F.lit("SUPPLIER").alias("entity_class"),
+        F.lit(False).alias("confirmed"),
+    )
     return fusion.upsert_rows(mappings, new, ["table_id", "column"]).select("table_id", "column", "entity_class")
 
 
-@query("f6_catalogue_edges", f"WITH {REGISTRY} SELECT domain || '/' || name || '/name' AS src, entity_class AS dst, 'MAPS_TO' AS rel_type, confirmed FROM tbl JOIN mapping USING (table_id) WHERE domain = 'r1' OR starts_with(domain, 'r1.') UNION ALL SELECT domain || '/' || name, domain || '/' || name || '/name', 'HAS_COLUMN', true FROM tbl WHERE domain = 'r1' OR starts_with(domain, 'r1.')")
+@query(
+    "f6_catalogue_edges",
+    f"WITH {REGISTRY} SELECT domain || '/' || name || '/name' AS src, entity_class AS dst, 'MAPS_TO' AS rel_type, confirmed FROM tbl JOIN mapping USING (table_id) WHERE domain = 'r1' OR starts_with(domain, 'r1.') UNION ALL SELECT domain || '/' || name, domain || '/' || name || '/name', 'HAS_COLUMN', true FROM tbl WHERE domain = 'r1' OR starts_with(domain, 'r1.')",
+)
 def f6(spark, sf):
     tables, mappings, _ = _registry(spark, sf)
     columns = tables.select("table_id", F.lit("name").alias("column"))
@@ -183,4 +251,6 @@ def q4(spark, sf):
 @query("q5_ask_graph", with_(B.ENTITIES_SQL) + "SELECT entity_class, count(*) AS n FROM entity WHERE starts_with(domain, 'asia.') GROUP BY 1")
 def q5(spark, sf):
     model = lambda _: '{"query": "SELECT entity_class, count(*) AS n FROM entity WHERE exists(:domains, d -> startswith(domain, concat(d, \'.\'))) GROUP BY 1"}'
-    return fusion.ask_graph(spark, "what is in asia", model, {"entity": B.entities(spark, sf)}, "entity(id, name, entity_class, domain)", {}, "asia")["rows"]
+    return fusion.ask_graph(
+        spark, "what is in asia", model, {"entity": B.entities(spark, sf)}, "entity(id, name, entity_class, domain)", {}, "asia"
+    )["rows"]

@@ -57,7 +57,13 @@ def normalise_types(df: DataFrame) -> DataFrame:
     flags = {}
     if texts:
         word = lambda c: F.lower(F.trim(F.col(f"`{c}`")))
-        flags = df.agg(*[F.coalesce(F.bool_and(F.col(f"`{c}`").isNull() | word(c).isin("yes", "no")) & (F.count(f"`{c}`") > 0), F.lit(False)).alias(f"f{i}") for i, c in enumerate(texts)]).first().asDict()
+        flags = df.agg(
+            *[
+                F.coalesce(
+                    F.bool_and(F.col(f"`{c}`").isNull() | word(c).isin("yes", "no")) & (F.count(f"`{c}`") > 0), F.lit(False)
+                ).alias(f"f{i}") for i, c in enumerate(texts)
+            ]
+        ).first().asDict()
     out = []
     for c, t in df.dtypes:
         col = F.col(f"`{c}`")
@@ -112,9 +118,26 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None, header_
         else:
             same = len(kinds) == 1
             columns[str(name)] = pd.Series([v if v is None or same else str(v) for v in values], dtype="object")
-    types = {c: ("bigint" if str(v.dtype) == "Int64" else "double" if str(v.dtype) == "Float64" else _SHEET_TYPES.get(next((type(x) for x in v if x is not None), str), "string")) for c, v in columns.items()}
+    types = {
+        c: (
+            "bigint" if str(v.dtype) == "Int64" else "double" if str(v.dtype) == "Float64" else _SHEET_TYPES.get(
+                next((type(x) for x in v if x is not None), str), "string"
+            )
+        ) for c, v in columns.items()
+    }
     plain = [[None if pd.isna(v) else v for v in row] for row in zip(*columns.values(), strict=True)]
-    return normalise_types(spark.createDataFrame([[float(v) if t == "double" and v is not None else int(v) if t == "bigint" and v is not None else v for v, t in zip(r, types.values(), strict=True)] for r in plain], ", ".join(f"`{c}` {t}" for c, t in types.items())))
+    return normalise_types(
+        spark.createDataFrame(
+            [
+                [
+                    float(v) if t == "double" and v is not None else int(v) if t == "bigint" and v is not None else v for v, t in zip(
+                        r, types.values(), strict=True
+                    )
+                ] for r in plain
+            ],
+            ", ".join(f"`{c}` {t}" for c, t in types.items()),
+        )
+    )
 
 
 def source_tables(path: str, names: list[str] | None = None, table: str | None = None) -> dict[str, str | None]:

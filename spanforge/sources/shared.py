@@ -116,7 +116,11 @@ class SharedFiles:
     def packed_text(self, path: str, wanted: str) -> str | None:
         """One text of an archive."""
         found: list[str] = []
-        self._entries(path, lambda name, stream: found.append(bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()) if name == wanted else None)
+        self._entries(
+            path, lambda name, stream: found.append(
+                bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+            ) if name == wanted else None
+        )
         return found[0] if found else None
 
     def unpack(self, path: str, root: str, wanted: Callable[[str], bool]) -> list[str]:

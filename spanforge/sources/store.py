@@ -110,7 +110,9 @@ def pull(spark: SparkSession, source: str, target: str) -> list[str]:
 
 def closed_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges whose ends are both among the ids."""
-    return edges.join(ids.select(F.col("id").alias("src_id")), "src_id", "left_semi").join(ids.select(F.col("id").alias("dst_id")), "dst_id", "left_semi")
+    return edges.join(
+        ids.select(F.col("id").alias("src_id")), "src_id", "left_semi"
+    ).join(ids.select(F.col("id").alias("dst_id")), "dst_id", "left_semi")
 
 
 def export_graph(root: str, nodes: dict[str, DataFrame], edges: DataFrame) -> None:
@@ -165,7 +167,11 @@ def analyze_snapshot(spark: SparkSession, path: str, include: tuple[str, ...] |
         raise ValueError("the file is no snapshot")
     manifest = json.loads(text)
     found = manifest["components"]
-    return {"version": manifest["version"], "components": {k: v for k, v in found.items() if include is None or k in include}, "missing": [k for k in include or () if k not in found]}
+    return {
+        "version": manifest["version"],
+        "components": {k: v for k, v in found.items() if include is None or k in include},
+        "missing": [k for k in include or () if k not in found],
+    }
 
 
 def restore_snapshot(spark: SparkSession, path: str, root: str, include: tuple[str, ...] | None = None) -> list[str]:

@@ -48,12 +48,17 @@ def test_domain_predicates_reach_the_scan(spark):
 
 
 def test_validity_is_half_open_and_open_ended(spark):
-    d = spark.createDataFrame([(1, "2024-01-01", "2024-02-01"), (2, None, None), (3, "2024-02-01", None), (4, None, "2024-01-15")], "id int, valid_from string, valid_to string")
+    d = spark.createDataFrame(
+        [(1, "2024-01-01", "2024-02-01"), (2, None, None), (3, "2024-02-01", None), (4, None, "2024-01-15")],
+        "id int, valid_from string, valid_to string",
+    )
     assert rows(d.filter(P.valid_at("2024-02-01")), "id") == [(2,), (3,)]
     assert rows(d.filter(P.snapshot_at("2024-01-10")), "id") == [(1,), (4,)]
 
 
-@pytest.mark.parametrize(("given", "want"), [(None, None), ("", None), ("today", "2024-05-06"), ("2024", "2024"), ("2024-05-06T10:00", "2024-05-06T10:00")])
+@pytest.mark.parametrize(
+    ("given", "want"), [(None, None), ("", None), ("today", "2024-05-06"), ("2024", "2024"), ("2024-05-06T10:00", "2024-05-06T10:00")]
+)
 def test_as_of(given, want):
     assert P.resolve_as_of(given, dt.date(2024, 5, 6)) == want
 
@@ -86,7 +91,19 @@ def test_envelope():
 # text
 
 
-@pytest.mark.parametrize(("given", "want"), [("2024-03-15T10:00", "2024-03-15"), ("2024-03", "2024-03"), ("15 March 2026", "2026-03-15"), ("March 5, 2026", "2026-03-05"), ("2026", "2026"), ("soon", None), ("31 February 2026", None), (None, None)])
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("2024-03-15T10:00", "2024-03-15"),
+        ("2024-03", "2024-03"),
+        ("15 March 2026", "2026-03-15"),
+        ("March 5, 2026", "2026-03-05"),
+        ("2026", "2026"),
+        ("soon", None),
+        ("31 February 2026", None),
+        (None, None),
+    ],
+)
 def test_iso_dates(spark, given, want):
     assert spark.createDataFrame([(given,)], "d string").select(T.iso_date(F.col("d"))).first()[0] == want
 
@@ -96,7 +113,17 @@ def test_title_stems(spark):
     assert {r[0] for r in d.select(T.title_stem(F.col("n"))).collect()} == {"policy"}
 
 
-@pytest.mark.parametrize(("name", "want"), [("my--file name (1)", "my__file_name__1"), ("Ärger x", "rger_x"), ("2024 rates", "t_2024_rates"), (" _ ", "table"), ("", "table"), ("a_b", "a_b")])
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [
+        ("my--file name (1)", "my__file_name__1"),
+        ("Ärger x", "rger_x"),
+        ("2024 rates", "t_2024_rates"),
+        (" _ ", "table"),
+        ("", "table"),
+        ("a_b", "a_b"),
+    ],
+)
 def test_identifiers_map_each_sign(spark, name, want):
     assert T.sanitize_identifier(name) == want
     assert spark.range(1).select(T.identifier_column(F.lit(name)).alias("x")).first()["x"] == want
@@ -143,7 +170,20 @@ def test_json_repair_takes_deep_and_long_texts():
 
 
 def test_mixed_values_are_merged():
-    cases = [(None, 1, 1), ([1, 2], [2, 3], [1, 2, 3]), ([1], 1, [1]), ([1], "x", [1, "x"]), ("x", ["x", "y"], ["x", "y"]), ("z", ["x"], ["z", "x"]), ("ab", "b", "ab"), ("a", "b", "a | b"), ("a", "", "a"), (3, 4, 3), (True, "x", True), (2, [2, 3], [2, 3])]
+    cases = [
+        (None, 1, 1),
+        ([1, 2], [2, 3], [1, 2, 3]),
+        ([1], 1, [1]),
+        ([1], "x", [1, "x"]),
+        ("x", ["x", "y"], ["x", "y"]),
+        ("z", ["x"], ["z", "x"]),
+        ("ab", "b", "ab"),
+        ("a", "b", "a | b"),
+        ("a", "", "a"),
+        (3, 4, 3),
+        (True, "x", True),
+        (2, [2, 3], [2, 3]),
+    ]
     for old, new, want in cases:
         assert ledger.merge_value(old, new) == want
 
@@ -163,7 +203,10 @@ def test_scd2_history(spark):
     r = scd2.refresh(current, batch, ["id"], "2024-06-01")
     assert tuple(r.counts().first()) == (2, 2, 1)
     a, b = dt.date(2024, 1, 1), dt.date(2024, 6, 1)
-    assert sorted(map(tuple, r.table.collect()), key=str) == sorted([(1, "A", 10, a, None, True), (2, "B", 20, a, b, False), (2, "B", 25, b, None, True), (3, "C", 30, a, b, False), (4, "D", 40, b, None, True)], key=str)
+    assert sorted(map(tuple, r.table.collect()), key=str) == sorted(
+        [(1, "A", 10, a, None, True), (2, "B", 20, a, b, False), (2, "B", 25, b, None, True), (3, "C", 30, a, b, False), (4, "D", 40, b, None, True)],
+        key=str,
+    )
     again = scd2.refresh(r.table, batch, ["id"], "2024-07-01")
     assert tuple(again.counts().first()) == (0, 0, 3)
     assert rows(scd2.as_of_view(r.table, "2024-03-01"), "id") == [(1,), (2,), (3,)]
@@ -184,7 +227,9 @@ def test_scd2_null_keys_and_errors(spark):
 
 def test_scd2_effective_date(spark):
     df = spark.createDataFrame([(1, "2023-05-05"), (2, None)], "id int, eff string")
-    assert [r["_valid_from"] for r in scd2.seed(df, ["id"], "2024-01-01", "eff").orderBy("id").collect()] == [dt.date(2023, 5, 5), dt.date(2024, 1, 1)]
+    assert [
+        r["_valid_from"] for r in scd2.seed(df, ["id"], "2024-01-01", "eff").orderBy("id").collect()
+    ] == [dt.date(2023, 5, 5), dt.date(2024, 1, 1)]
 
 
 # ranking
@@ -216,7 +261,9 @@ def test_metrics(spark):
 @pytest.fixture(scope="module")
 def small(spark):
     e = spark.createDataFrame([(x, x.upper(), "T", "d") for x in "abcdef"], "id string, name string, entity_class string, domain string")
-    r = spark.createDataFrame([("a", "b", "R"), ("b", "c", "R"), ("c", "d", "R"), ("a", "d", "S"), ("e", "e", "R")], "src_id string, dst_id string, rel_type string")
+    r = spark.createDataFrame(
+        [("a", "b", "R"), ("b", "c", "R"), ("c", "d", "R"), ("a", "d", "S"), ("e", "e", "R")], "src_id string, dst_id string, rel_type string"
+    )
     return e, r
 
 
@@ -262,7 +309,10 @@ def test_registered_chunks_cover_their_documents(spark):
 
 
 def test_ledger_folds_in_order_and_forgets_a_source(spark):
-    lg = spark.createDataFrame([("e", "p", "d1", 0, "A"), ("e", "p", "d2", 1, "B"), ("e", "p", "d3", 2, "A")], "k string, property string, doc_id string, ord int, value string")
+    lg = spark.createDataFrame(
+        [("e", "p", "d1", 0, "A"), ("e", "p", "d2", 1, "B"), ("e", "p", "d3", 2, "A")],
+        "k string, property string, doc_id string, ord int, value string",
+    )
     assert ledger.fold(lg, "k").first()["value"] == "A | B"
     assert ledger.fold(ledger.drop_source(lg, "d2"), "k").first()["value"] == "A"
     new = spark.createDataFrame([("e", "p", "d1", 0, "Z"), ("e", "p", "d9", 1, "Q")], lg.schema)
@@ -270,7 +320,9 @@ def test_ledger_folds_in_order_and_forgets_a_source(spark):
 
 
 def test_delta_tiers(spark):
-    inc = spark.createDataFrame([("a", "x", ["1"]), ("b", "x", ["1"]), ("c", "x", ["1"]), ("d", "x", [])], "logical_id string, domain string, blocks array<string>")
+    inc = spark.createDataFrame(
+        [("a", "x", ["1"]), ("b", "x", ["1"]), ("c", "x", ["1"]), ("d", "x", [])], "logical_id string, domain string, blocks array<string>"
+    )
     known = spark.createDataFrame([("a", "y", ["1"]), ("c", "x", ["1"]), ("d", "x", [])], inc.schema)
     assert rows(documents.classify_deltas(inc, known)) == [("a", "domain_changed"), ("b", "initial"), ("c", "metadata_only"), ("d", "content")]
 
@@ -297,13 +349,35 @@ NOTICES = {
 
 def test_notices_and_rows_are_both_read(spark):
     got = temporal.notices(spark.createDataFrame(list(NOTICES.items()), "id int, text string")).collect()
-    want = [(1, "notice", "1.2", "2024-06-03"), (2, "table", "old policy", "2024-07-01"), (4, "notice", "2.0", "2026-03-01"), (4, "table", "policy_x", None)]
+    want = [
+        (1, "notice", "1.2", "2024-06-03"),
+        (2, "table", "old policy", "2024-07-01"),
+        (4, "notice", "2.0", "2026-03-01"),
+        (4, "table", "policy_x", None),
+    ]
     assert sorted((r["id"], r["kind"], r["target"], r["effective"]) for r in got) == want
 
 
 def test_versions_name_one_document_or_none(spark):
-    docs = [(1, "d", "a_v1.md", "1.0"), (2, "d", "a_v2.md", "2.0"), (3, "d", "b_v1.md", "1.0"), (4, "d", "c.md", "4.0"), (5, "e", "z.md", "9.0"), (6, "d", "a_v3.md", "1.0"), (7, "d", "y.md", None)]
-    said = [(2, "notice", "1.0"), (3, "notice", "1.0"), (4, "notice", "2.0"), (5, "notice", "4.0"), (4, "table", "A_V1"), (7, "table", "c"), (1, "notice", "7.7"), (1, "table", "b_v1")]
+    docs = [
+        (1, "d", "a_v1.md", "1.0"),
+        (2, "d", "a_v2.md", "2.0"),
+        (3, "d", "b_v1.md", "1.0"),
+        (4, "d", "c.md", "4.0"),
+        (5, "e", "z.md", "9.0"),
+        (6, "d", "a_v3.md", "1.0"),
+        (7, "d", "y.md", None),
+    ]
+    said = [
+        (2, "notice", "1.0"),
+        (3, "notice", "1.0"),
+        (4, "notice", "2.0"),
+        (5, "notice", "4.0"),
+        (4, "table", "A_V1"),
+        (7, "table", "c"),
+        (1, "notice", "7.7"),
+        (1, "table", "b_v1"),
+    ]
     d = spark.createDataFrame(docs, "id int, domain string, name string, version_number string")
     s = spark.createDataFrame([(*x, None) for x in said], "id int, kind string, target string, effective string")
     got = sorted((r["newer"], r["older"], r["kind"]) for r in temporal.resolve_versions(s, d).collect())
@@ -312,7 +386,10 @@ def test_versions_name_one_document_or_none(spark):
 
 
 def test_temporal_settings_are_inherited():
-    got = temporal.inherit({"defaults": {"a": 1, "b": 2}, "document": {"l": ["x"]}, "entities": {"E": 1}, "anchor": "p"}, {"defaults": {"b": 3}, "document": {"l": ["y", "x"]}, "anchor": "c"})
+    got = temporal.inherit(
+        {"defaults": {"a": 1, "b": 2}, "document": {"l": ["x"]}, "entities": {"E": 1}, "anchor": "p"},
+        {"defaults": {"b": 3}, "document": {"l": ["y", "x"]}, "anchor": "c"},
+    )
     assert got == {"defaults": {"a": 1, "b": 3}, "document": {"l": ["x", "y"]}, "entities": {"E": 1}, "anchor": "c"}
 
 
@@ -345,7 +422,14 @@ def test_no_pair_of_similar_names_is_lost(spark, threshold):
 
 def test_conflict_blocks_change_nothing(spark, monkeypatch):
     e = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    ents = e.select("vec_id", F.col("vec_id").alias("id"), F.lit("same").alias("name"), F.col("label").cast("string").alias("entity_class"), F.concat(F.lit("d"), (F.col("vec_id") % 3).cast("string")).alias("domain"), "embedding")
+    ents = e.select(
+        "vec_id",
+        F.col("vec_id").alias("id"),
+        F.lit("same").alias("name"),
+        F.col("label").cast("string").alias("entity_class"),
+        F.concat(F.lit("d"), (F.col("vec_id") % 3).cast("string")).alias("domain"),
+        "embedding",
+    )
     one = refine.conflict_candidates(ents, ["d0", "d1", "d2"], 0.6, max_pairs=500).collect()
     monkeypatch.setattr(refine, "BLOCK", 7)
     many = refine.conflict_candidates(ents, ["d0", "d1", "d2"], 0.6, max_pairs=500).collect()
@@ -366,7 +450,9 @@ def test_verdicts_default():
 
 
 def test_merges_are_checked(spark):
-    e = spark.createDataFrame([("a", "P", "d1"), ("b", "P", "d1"), ("c", "Q", "d1"), ("z", "P", "d2")], "name string, entity_class string, domain string")
+    e = spark.createDataFrame(
+        [("a", "P", "d1"), ("b", "P", "d1"), ("c", "Q", "d1"), ("z", "P", "d2")], "name string, entity_class string, domain string"
+    )
     p = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "c"), ("a", "z")], "alias string, canonical string")
     assert [r["skip"] for r in refine.mergeable(p, e).orderBy("canonical").collect()] == ["self", None, "cross_class", "cross_domain"]
 
@@ -385,7 +471,9 @@ def test_refinement_runs_in_order():
 def test_key_resolution(spark):
     v = lambda *x: spark.createDataFrame([(i,) for i in x], "value string")
     got = fusion.resolve_key("Loan", v("loan", "Loans", "Zebra"), v("LOAN", "Lion"), 5).collect()
-    assert [(r["value"], r["source"], round(r["score"], 3)) for r in got] == [("loan", "both", 1.0), ("Loans", "graph", 0.889), ("Lion", "column", 0.75)]
+    assert [(r["value"], r["source"], round(r["score"], 3)) for r in got] == [
+        ("loan", "both", 1.0), ("Loans", "graph", 0.889), ("Lion", "column", 0.75)
+    ]
     assert len(fusion.resolve_key("Loan", v("loan", "Loans"), v(), 1).collect()) == 1
     with pytest.raises(ValueError):
         fusion.resolve_key("x", v("x"), v("x"), 0)
@@ -409,7 +497,9 @@ def test_classification_drops_what_is_made_up():
 
 
 def test_placement_is_clamped():
-    got = fusion.placement('{"domain": {"value": "a", "confidence": 7}, "area": {"value": "b", "confidence": 0.2}, "tags": ["1","2","3","4","5","6"]}', {"domain": {"a"}})
+    got = fusion.placement(
+        '{"domain": {"value": "a", "confidence": 7}, "area": {"value": "b", "confidence": 0.2}, "tags": ["1","2","3","4","5","6"]}', {"domain": {"a"}}
+    )
     assert got["domain"] == {"value": "a", "confidence": 1.0, "known": True} and got["area"]["confidence"] == 0.0 and len(got["tags"]) == 5
 
 
@@ -505,7 +595,9 @@ def test_jobs_fail_with_a_file_and_can_be_retried():
 
 
 QUESTIONS = {
-    "# Set\r\n\r\n## Q7 — Rates\r\n**Question:** What is\r\nthe rate?\r\n\r\n**Evaluation comment:** cites 3%\r\n\r\n## Notes\r\nnone\r\n## Fees\r\n**Question** Any fee?": [(1, "Q07", "Rates", "What is\nthe rate?", "cites 3%"), (2, "Q02", "Fees", "Any fee?", None)],
+    "# Set\r\n\r\n## Q7 — Rates\r\n**Question:** What is\r\nthe rate?\r\n\r\n**Evaluation comment:** cites 3%\r\n\r\n## Notes\r\nnone\r\n## Fees\r\n**Question** Any fee?": [
+        (1, "Q07", "Rates", "What is\nthe rate?", "cites 3%"), (2, "Q02", "Fees", "Any fee?", None)
+    ],
     "intro\n**Question:** One?\n**Evaluation comment:** yes\n**question:** Two?": [(1, "Q01", None, "One?", "yes"), (2, "Q02", None, "Two?", None)],
     "# Alpha\nbody one\n\n# Empty\n\n# Q12: Beta\nbody two": [(1, "Q01", "Alpha", "body one", None), (2, "Q12", "Beta", "body two", None)],
     "1. One?\n- Why?\nnot this\n  * 2. Two?  \n": [(1, "Q01", None, "One?", None), (2, "Q02", None, "Why?", None), (3, "Q03", None, "Two?", None)],
@@ -522,10 +614,17 @@ def test_question_files(text):
 
 def test_schema_prompts():
     entities = jobs.parse_entities(steps.PROMPTS["entities_prompt"])
-    assert entities == [{"class": "LOAN", "description": "Money lent to somebody.", "types": ["fixed loan", "open loan"]}, {"class": "BRANCH", "description": "A place.", "types": []}]
+    assert entities == [
+        {"class": "LOAN", "description": "Money lent to somebody.", "types": ["fixed loan", "open loan"]},
+        {"class": "BRANCH", "description": "A place.", "types": []},
+    ]
     properties = jobs.parse_properties(steps.PROMPTS["properties_prompt"])
-    assert properties == {"LOAN": [{"name": "rate", "hint": "e.g., 3%"}, {"name": "term", "hint": ""}], "BRANCH": [{"name": "opening hours", "hint": ""}]}
-    assert jobs.parse_relationships(steps.PROMPTS["relationships_prompt"]) == [{"a": "LOAN", "b": "BRANCH", "types": ["given_by", "paid_at", "kept_at"]}]
+    assert properties == {
+        "LOAN": [{"name": "rate", "hint": "e.g., 3%"}, {"name": "term", "hint": ""}], "BRANCH": [{"name": "opening hours", "hint": ""}]
+    }
+    assert jobs.parse_relationships(steps.PROMPTS["relationships_prompt"]) == [
+        {"a": "LOAN", "b": "BRANCH", "types": ["given_by", "paid_at", "kept_at"]}
+    ]
     assert jobs.parse_entities("LOAN: money") == [] == jobs.parse_relationships("A ↔ B:\n  x")
     assert jobs.parse_properties("") == {}
 
@@ -533,7 +632,11 @@ def test_schema_prompts():
 def test_schemas_are_harmonised_once():
     parent = {"entity_types": ["PERSON", "LOAN", "BRANCH"], **steps.PROMPTS}
     rule = "━" * 9
-    child = {"entity_types": ["PERSON"], "entities_prompt": f"{rule}\nENTITY TYPES YOU MUST EXTRACT:\n{rule}\n\nPERSON\n  Somebody.\n\n{rule}\nEXTRACTION RULES:\n{rule}\n1. No.\n", "relationships_prompt": "no rules here"}
+    child = {
+        "entity_types": ["PERSON"],
+        "entities_prompt": f"{rule}\nENTITY TYPES YOU MUST EXTRACT:\n{rule}\n\nPERSON\n  Somebody.\n\n{rule}\nEXTRACTION RULES:\n{rule}\n1. No.\n",
+        "relationships_prompt": "no rules here",
+    }
     new, added = jobs.harmonise(child, parent)
     assert added == ["BRANCH", "LOAN"] and new["entity_types"] == ["BRANCH", "LOAN", "PERSON"] and "properties_prompt" not in new
     assert [e["class"] for e in jobs.parse_entities(new["entities_prompt"])] == ["PERSON", "BRANCH", "LOAN"]
@@ -566,7 +669,9 @@ def test_late_rows_are_left_out_of_stream_windows(spark, tmp_path):
     src = f"{tmp_path}/in"
     spark.sql("SELECT timestamp '2024-01-01 00:00:00' AS ts, 'a' AS event_type, 1.0D AS value").write.parquet(src)
     stream = incremental.windowed(incremental.read_events(spark, src, "ts timestamp, event_type string, value double"), "1 hour", late="10 minutes")
-    q = stream.writeStream.format("memory").queryName("late").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q = stream.writeStream.format("memory").queryName("late").outputMode("complete").option(
+        "checkpointLocation", f"{tmp_path}/cp"
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("late").first()["n"] == 1
 
