@@ -142,7 +142,9 @@ class LanguageFilter:
         real = np.maximum(0.0, (hits - n[:, None] * f) / (1 - f))
         best, total = real.argmax(1), real.sum(1)
         share = np.divide(real.max(1), total, out=np.zeros(len(real)), where=total > 0)
-        return [self.languages[k] if ok else "und" for k, ok in zip(best, letters, strict=True)], [float(s) if ok else 0.0 for s, ok in zip(share, letters, strict=True)], n.tolist()
+        return [
+            self.languages[k] if ok else "und" for k, ok in zip(best, letters, strict=True)
+        ], [float(s) if ok else 0.0 for s, ok in zip(share, letters, strict=True)], n.tolist()
 
 
 def _filled(languages: dict[str, int], bits: int):
@@ -166,7 +168,14 @@ def _filled(languages: dict[str, int], bits: int):
                     slots = np.unique(np.concatenate(_slots(np.concatenate(found), bits)))
                     k = languages[language]
                     mask = np.array([1 << (k % MASK)], np.uint64).view(np.int64)[0]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), k // MASK), pa.int32()), pa.array(slots.astype(np.int64)), pa.array(np.full(len(slots), mask), pa.int64())], ["filter", "slot", "mask"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(slots), k // MASK), pa.int32()),
+                            pa.array(slots.astype(np.int64)),
+                            pa.array(np.full(len(slots), mask), pa.int64()),
+                        ],
+                        ["filter", "slot", "mask"],
+                    )
 
     return run
 
@@ -202,7 +211,10 @@ def predict_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     def predict(batches):
         for batch in batches:
             lang, score = shared.value.decide(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                ["doc_id", "held_out", "lang_pred", "score"],
+            )
 
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text"))

@@ -49,7 +49,11 @@ PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 #: Notices and licence texts, the labels of blocks that contain them, and words that such a block has in any case.
 TEMPLATES = (
     ("mit", "released under the MIT License", "mit"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission granted"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "permission granted",
+    ),
     (
         "mit",
         """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
@@ -108,7 +112,11 @@ TEMPLATES = (
         "redistribution retain reproduce neither endorse",
     ),
     ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered"),
-    *((f"cc-by{part}-4.0", f"Licensed under CC BY{part.upper()} 4.0", f"cc by 4{part.replace('-', ' ')}") for part in ("", "-nc", "-sa", "-nd", "-nc-sa", "-nc-nd")),
+    *(
+        (
+            f"cc-by{part}-4.0", f"Licensed under CC BY{part.upper()} 4.0", f"cc by 4{part.replace('-', ' ')}"
+        ) for part in ("", "-nc", "-sa", "-nd", "-nc-sa", "-nc-nd")
+    ),
     ("cc0-1.0", "dedicated to the public domain under CC0 1.0 Universal", "cc0"),
 )
 
@@ -196,7 +204,14 @@ class Scanner:
         if len(starts) > 1:
             matches += self.across(found, starts, {self.step[i] for i in possible}, matches)
         return [
-            {"label": self.index.templates[i].label, "block": k, "start": a, "n_words": n, "containment": share, "overlaid": not free(places, [m[5] for m in matches if self.outdoes(m, i, share)])}
+            {
+                "label": self.index.templates[i].label,
+                "block": k,
+                "start": a,
+                "n_words": n,
+                "containment": share,
+                "overlaid": not free(places, [m[5] for m in matches if self.outdoes(m, i, share)]),
+            }
             for i, share, k, a, n, places in sorted(matches, key=lambda m: (m[3], m[0], m[4]))
         ]
 
@@ -261,7 +276,18 @@ def phrase_places(found: list[bytes], present: set[bytes], phrases) -> list[tupl
 
 
 _PLACES = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))
-_SPANS = pa.list_(pa.struct([("label", pa.string()), ("block", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64()), ("overlaid", pa.bool_())]))
+_SPANS = pa.list_(
+    pa.struct(
+        [
+            ("label", pa.string()),
+            ("block", pa.int64()),
+            ("start", pa.int64()),
+            ("n_words", pa.int64()),
+            ("containment", pa.float64()),
+            ("overlaid", pa.bool_()),
+        ]
+    )
+)
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
@@ -296,9 +322,15 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
                 n_words.append(len(found))
                 places.append([{"label": label, "start": at} for label, at in phrase_places(found, present, phrases)])
                 spans.append(scanner.spans(text, found, present))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(places, _PLACES), pa.array(spans, _SPANS)], ["doc_id", "n_words", "places", "spans"])
-
-    return rows.mapInArrow(scan, "doc_id long, n_words long, places array<struct<label:string,start:long>>, spans array<struct<label:string,block:long,start:long,n_words:long,containment:double,overlaid:boolean>>")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(places, _PLACES), pa.array(spans, _SPANS)],
+                ["doc_id", "n_words", "places", "spans"],
+            )
+
+    return rows.mapInArrow(
+        scan,
+        "doc_id long, n_words long, places array<struct<label:string,start:long>>, spans array<struct<label:string,block:long,start:long,n_words:long,containment:double,overlaid:boolean>>",
+    )
 
 
 def license_digest(found: DataFrame) -> DataFrame:
@@ -328,7 +360,9 @@ def oracle_sql(templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOL
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     listed = lambda ws: "[" + ", ".join("'" + w.decode() + "'" for w in ws) + "]"
     sets = [(label, sorted(set(words(text))), words(" ".join(always))) for label, text, *always in templates]
-    values = ", ".join(f"({i}, '{label}', {listed(s)}, {max(1, math.ceil(threshold * len(s) - 1e-9))}, CAST({listed(always)} AS VARCHAR[]))" for i, (label, s, always) in enumerate(sets))
+    values = ", ".join(
+        f"({i}, '{label}', {listed(s)}, {max(1, math.ceil(threshold * len(s) - 1e-9))}, CAST({listed(always)} AS VARCHAR[]))" for i, (label, s, always) in enumerate(sets)
+    )
     bases = ", ".join(f"('{label}', {listed(words(p))})" for p, label in phrases)
     return f"""
 WITH d AS (SELECT doc_id, {lower.format("coalesce(text, '')")} AS t FROM documents),

@@ -94,9 +94,14 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 n.append(len(s))
                 set_id.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(set_id, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_id", "sig"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(set_id, pa.binary()), pa.array(sig, pa.binary())],
+                ["doc_id", "n_shingles", "set_id", "sig"],
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig binary")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
+    ).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig binary")
 
 
 def bucket_keys(sig: Column) -> Column:
@@ -136,7 +141,9 @@ def _sets(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
     """
     picked = IdFilter(asked, "id")
     shared = picked.words
-    named = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    named = docs.select(
+        F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")
+    ).filter("id IS NOT NULL AND text IS NOT NULL")
 
     def run(batches):
         for batch in batches:
@@ -206,7 +213,9 @@ SIDE = 500
 def _mixed_groups(rows: DataFrame, group: str) -> DataFrame:
     """(group, rep, component, home) of the groups that have more than one component; home: the one that most rows are in."""
     counts = rows.groupBy(group, "component").agg(F.count("*").alias("n"))
-    homes = counts.groupBy(group).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("home"), F.count("*").alias("parts")).filter("parts > 1").select(group, "home")
+    homes = counts.groupBy(group).agg(
+        F.max_by("component", F.struct("n", -F.col("component"))).alias("home"), F.count("*").alias("parts")
+    ).filter("parts > 1").select(group, "home")
     return rows.join(homes, group).select(group, "rep", "component", "home")
 
 
@@ -229,7 +238,9 @@ def _rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     rows = rows.mapInArrow(unpacked, "home long, rep long, component long, n long, shingle long")
     common = rows.groupBy("home", "shingle").agg(F.count("*").alias("shared_by"))
     place = F.row_number().over(Window.partitionBy("home", "rep").orderBy("shared_by", "shingle"))
-    prefix = rows.join(common, ["home", "shingle"]).withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    prefix = rows.join(common, ["home", "shingle"]).withColumn("place", place).filter(
+        F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    )
     return prefix.filter("shared_by > 1").select(F.xxhash64("home", "shingle").alias("group"), "rep", "component")
 
 
@@ -259,13 +270,19 @@ def _cross_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets
         parts = parts.unionByName(_mixed_groups(rare, "group").distinct())
     members = scratch.save(parts.withColumn("stray", F.col("component") != F.col("home")).drop("home").withColumnRenamed("group", "home"), "parts")
     scratch.drop("sized", "rare")
-    sizes = members.groupBy("home").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("blocks"), F.ceil(F.count_if("stray") / SIDE).cast("int").alias("stray_blocks"))
+    sizes = members.groupBy("home").agg(
+        F.ceil(F.count("*") / SIDE).cast("int").alias("blocks"), F.ceil(F.count_if("stray") / SIDE).cast("int").alias("stray_blocks")
+    )
     placed = members.join(sizes, "home")
     block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     kept = ("home", "rep", "component", "block", "stray_block")
-    whole = placed.withColumn("block", block("m", "blocks")).withColumn("stray_block", every("stray_blocks")).select(*kept, F.lit(False).alias("seeks"))
-    seeking = placed.filter("stray").withColumn("stray_block", block("s", "stray_blocks")).withColumn("block", every("blocks")).select(*kept, F.lit(True).alias("seeks"))
+    whole = placed.withColumn("block", block("m", "blocks")).withColumn(
+        "stray_block", every("stray_blocks")
+    ).select(*kept, F.lit(False).alias("seeks"))
+    seeking = placed.filter("stray").withColumn(
+        "stray_block", block("s", "stray_blocks")
+    ).withColumn("block", every("blocks")).select(*kept, F.lit(True).alias("seeks"))
     sides = whole.unionByName(seeking).join(classes.select("rep", "sig"), "rep").join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")
     sides = sides.select("home", "block", "stray_block", "seeks", "rep", "component", "sig", "shingles")
     sides = sides.repartition("home", "block", "stray_block").sortWithinPartitions("home", "block", "stray_block", "seeks")
@@ -369,7 +386,9 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         first = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")) if rest else named.distinct()
         rows = scratch.save(first.orderBy("doc_id", "text").withColumn(key, F.monotonically_increasing_id()), "rows")
         rows = rows.select(key, "doc_id", "text", *(["_rest.*"] if rest else []))
-    gone = scratch.save(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), size, percent).filter("NOT kept").select(F.col("doc_id").alias(key)), "gone")
+    gone = scratch.save(
+        near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), size, percent).filter("NOT kept").select(F.col("doc_id").alias(key)), "gone"
+    )
     # whatever the filter lets by is certainly kept, and isn't moved
     maybe = IdFilter(gone, key).maybe(F.col(key))
     left = rows.filter(~maybe).unionByName(rows.filter(maybe).join(gone, key, "left_anti"))

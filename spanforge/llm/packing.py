@@ -132,7 +132,10 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                     crc.append(zlib.crc32(part))
                     total.append(n)
                     hashes.append(hash_)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, start, length, crc, total, hashes)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "text_hash"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, pa.int64()) for x in (ids, start, length, crc, total, hashes)],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "text_hash"],
+            )
 
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
@@ -299,11 +302,29 @@ def assign(pieces: DataFrame, plan: Plan) -> DataFrame:
             whole = taken[rows] == p["length"][rows]
             crc = pa.array(p["ids_crc32"][rows], pa.int64(), mask=~whole)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), *(pa.array(x, pa.int64()) for x in (start, length)), crc, *(pa.array(x, pa.int64()) for x in (p["doc_tokens"][rows], sequence[rows] + more, np.where(more, 0, offset[rows]), p["text_hash"][rows], p["start"][rows], p["length"][rows], p["ids_crc32"][rows]))],
+                [
+                    batch.column(0).take(pa.array(rows)),
+                    *(pa.array(x, pa.int64()) for x in (start, length)),
+                    crc,
+                    *(
+                        pa.array(x, pa.int64()) for x in (
+                            p["doc_tokens"][rows],
+                            sequence[rows] + more,
+                            np.where(more, 0, offset[rows]),
+                            p["text_hash"][rows],
+                            p["start"][rows],
+                            p["length"][rows],
+                            p["ids_crc32"][rows],
+                        )
+                    ),
+                ],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "text_hash", "of_start", "of_length", "of_crc32"],
             )
 
-    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "text_hash", "rank").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, text_hash long, of_start long, of_length long, of_crc32 long")
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "text_hash", "rank").mapInArrow(
+        run,
+        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, text_hash long, of_start long, of_length long, of_crc32 long",
+    )
 
 
 def _with_texts(pieces: DataFrame, docs: DataFrame) -> DataFrame:
@@ -323,7 +344,14 @@ def _fill_cut(cut: DataFrame, docs: DataFrame, path: str) -> DataFrame:
         encode = encoder(path)
         for batch in batches:
             keep, crc = [], []
-            for row in zip(*(batch.column(batch.schema.names.index(k)).to_pylist() for k in ("text", "start", "length", "of_start", "of_length", "of_crc32", "doc_tokens")), strict=True):
+            for row in zip(
+                *(
+                    batch.column(batch.schema.names.index(k)).to_pylist() for k in (
+                        "text", "start", "length", "of_start", "of_length", "of_crc32", "doc_tokens"
+                    )
+                ),
+                strict=True,
+            ):
                 text, start, length, of_start, of_length, of_crc, total = row
                 raw = encode(text) + _END
                 right = len(raw) == 4 * total and zlib.crc32(raw[4 * of_start : 4 * (of_start + of_length)]) == of_crc
@@ -333,7 +361,9 @@ def _fill_cut(cut: DataFrame, docs: DataFrame, path: str) -> DataFrame:
             rest = batch.select(["doc_tokens", "sequence_id", "offset", "text_hash"]).to_pydict()
             yield pa.RecordBatch.from_pydict({**out, "ids_crc32": crc, **rest}, schema=_PIECE).filter(pa.array(keep, pa.bool_()))
 
-    found = both.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, text_hash long")
+    found = both.mapInArrow(
+        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, text_hash long"
+    )
     return found.dropDuplicates(["sequence_id", "offset"])  # repeated ids with texts that begin alike
 
 
@@ -370,7 +400,14 @@ def sequence_ids(docs: DataFrame, placed: DataFrame, path: str) -> DataFrame:
     def run(batches):
         encode = encoder(path)
         for batch in batches:
-            ids = [np.frombuffer(encode(t) + _END, "<u4")[s : s + n].astype(np.int32) for t, s, n in zip(*(batch.column(batch.schema.names.index(k)).to_pylist() for k in ("text", "start", "length")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(k)) for k in ("sequence_id", "offset", "doc_id")), pa.array(ids, pa.list_(pa.int32()))], ["sequence_id", "offset", "doc_id", "ids"])
+            ids = [
+                np.frombuffer(encode(t) + _END, "<u4")[s : s + n].astype(np.int32) for t, s, n in zip(
+                    *(batch.column(batch.schema.names.index(k)).to_pylist() for k in ("text", "start", "length")), strict=True
+                )
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(batch.schema.names.index(k)) for k in ("sequence_id", "offset", "doc_id")), pa.array(ids, pa.list_(pa.int32()))],
+                ["sequence_id", "offset", "doc_id", "ids"],
+            )
 
     return both.mapInArrow(run, "sequence_id long, offset long, doc_id long, ids array<int>")

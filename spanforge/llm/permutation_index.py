@@ -54,7 +54,9 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 def sample(rows: DataFrame, n: int) -> np.ndarray:
     """At most n distinct vectors, the first ones by a hash of their values."""
     hashed = rows.select(F.xxhash64("vector").alias("h"), "vector")
-    picked = hashed.join(hashed.select("h").distinct().orderBy("h").limit(n), "h").groupBy("h").agg(F.min("vector").alias("vector")).orderBy("h").collect()
+    picked = hashed.join(
+        hashed.select("h").distinct().orderBy("h").limit(n), "h"
+    ).groupBy("h").agg(F.min("vector").alias("vector")).orderBy("h").collect()
     return np.array([r["vector"] for r in picked], np.float64) if picked else np.zeros((0, 0))
 
 
@@ -109,7 +111,10 @@ def _arrow(query_ids, found) -> pa.RecordBatch:
     n = [len(a) for a, _ in found]
     ids = np.concatenate([a for a, _ in found]) if found else []
     scores = np.concatenate([d for _, d in found]) if found else []
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(query_ids, np.int64), n), pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.repeat(np.array(query_ids, np.int64), n), pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())],
+        ["query_id", "vec_id", "score"],
+    )
 
 
 def _lists(rows: DataFrame, shared, n: str) -> DataFrame:
@@ -143,7 +148,9 @@ def build_index(rows: DataFrame, shared, scratch: Scratch) -> tuple[DataFrame, D
 def _search(index: DataFrame, asked: DataFrame, shared, k: int) -> DataFrame:
     """(query_id, vec_id, score): of every slot, the k nearest within each query's limit."""
     sides = index.withColumn("seeks", F.lit(False)).unionByName(asked.withColumn("seeks", F.lit(True)))
-    sides = sides.select("pivot", "slot", "seeks", "id", "prefix", "limit", "vector").repartition("pivot", "slot").sortWithinPartitions("pivot", "slot", "seeks")
+    sides = sides.select(
+        "pivot", "slot", "seeks", "id", "prefix", "limit", "vector"
+    ).repartition("pivot", "slot").sortWithinPartitions("pivot", "slot", "seeks")
 
     def held(model, pivot, rows):
         """A slot's ids, prefixes and vectors, and its rows' nearer posted pivots; those that aren't are a pivot that no query has."""
@@ -216,7 +223,9 @@ def _nearest_of(found: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_column: str, vector_column: str, k: int = 10, pivots: int = PIVOTS, share: float = RERANKED) -> DataFrame:
+def nearest(
+    vectors: DataFrame, queries: DataFrame, id_column: str, vector_column: str, k: int = 10, pivots: int = PIVOTS, share: float = RERANKED
+) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, nearest first.
 
     queries: rows of the same columns.  score is the Euclidean distance in double precision.

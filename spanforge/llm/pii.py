@@ -50,9 +50,15 @@ ADDRESS = {
 }
 #: Given names by script and gender, and syllables of surnames by script.
 GIVEN = {
-    ("latin", "m"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Oscar", "Paul", "Simon", "Victor"),
-    ("latin", "f"): ("Alice", "Berta", "Clara", "Diana", "Elena", "Flora", "Greta", "Helen", "Irene", "Julia", "Laura", "Maria", "Nora", "Paula", "Sofia", "Vera"),
-    ("latin", "n"): ("Alex", "Andrea", "Charlie", "Chris", "Dominique", "Eli", "Jamie", "Jordan", "Kim", "Lou", "Maxime", "Noa", "Robin", "Sam", "Sascha", "Toni"),
+    ("latin", "m"): (
+        "Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Oscar", "Paul", "Simon", "Victor"
+    ),
+    ("latin", "f"): (
+        "Alice", "Berta", "Clara", "Diana", "Elena", "Flora", "Greta", "Helen", "Irene", "Julia", "Laura", "Maria", "Nora", "Paula", "Sofia", "Vera"
+    ),
+    ("latin", "n"): (
+        "Alex", "Andrea", "Charlie", "Chris", "Dominique", "Eli", "Jamie", "Jordan", "Kim", "Lou", "Maxime", "Noa", "Robin", "Sam", "Sascha", "Toni"
+    ),
     ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Денис", "Егор", "Иван", "Максим", "Павел"),
     ("cyrillic", "f"): ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"),
     ("cyrillic", "n"): ("Саша", "Женя", "Валя", "Слава"),
@@ -109,7 +115,11 @@ def let(value: Column, body) -> Column:
 def mod97(signs: Column) -> Column:
     """The remainder by 97 of a number written in digits and letters, where A is 10 and Z is 35."""
     value = lambda c: F.conv(c, 36, 10).cast("int")
-    return F.aggregate(F.split(signs, ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise(F.pmod(s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97))))
+    return F.aggregate(
+        F.split(signs, ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise(
+            F.pmod(s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97))
+        )
+    )
 
 
 def kind(e: Column) -> Column:
@@ -165,12 +175,16 @@ class Surrogates:
 
         half = F.floor(F.length(digits) / 2).cast("int")
         first = F.struct(F.substring(digits, F.lit(1), half).alias("a"), F.substring(digits, half + 1, F.length(digits)).alias("b"))
-        return F.when(F.length(digits) < 2, digits).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, step, lambda s: F.concat(s["a"], s["b"])))
+        return F.when(F.length(digits) < 2, digits).otherwise(
+            F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, step, lambda s: F.concat(s["a"], s["b"]))
+        )
 
     def relaid(self, e: Column, made: Column, signs: str) -> Column:
         """e with its signs of a class taken from `made` in turn, and everything else as it was."""
         place = lambda i: F.length(F.regexp_replace(F.substring(e, F.lit(1), i + 1), f"[^{signs}]", ""))
-        refill = lambda m: F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike(f"[{signs}]"), F.substring(m, place(i), F.lit(1))).otherwise(c)), "")
+        refill = lambda m: F.array_join(
+            F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike(f"[{signs}]"), F.substring(m, place(i), F.lit(1))).otherwise(c)), ""
+        )
         return let(made, refill)
 
     def refilled(self, e: Column, tweak: str) -> Column:
@@ -180,7 +194,16 @@ class Surrogates:
     def card(self, e: Column) -> Column:
         def made(digits: Column) -> Column:
             body = F.concat(F.substring(digits, 1, 1), let(F.substring(digits, F.lit(2), F.length(digits) - 2), lambda x: self.permuted(x, "card")))
-            return let(body, lambda b: F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(b, d.cast("string"))), lambda x: F.call_function("luhn_check", x)), F.lit(0)))
+            return let(
+                body, lambda b: F.get(
+                    F.filter(
+                        F.transform(
+                            F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(b, d.cast("string"))
+                        ), lambda x: F.call_function("luhn_check", x)
+                    ),
+                    F.lit(0),
+                )
+            )
 
         return self.relaid(e, let(F.regexp_replace(e, "[^0-9]", ""), made), "0-9")
 
@@ -205,7 +228,11 @@ class Surrogates:
         def made(o: Column) -> Column:
             first = F.struct((o[0] * 256 + o[1]).alias("a"), (o[2] * 256 + o[3]).alias("b"))
             octets = lambda h: (F.shiftright(h, 8), h.bitwiseAND(255))
-            return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, step, lambda s: F.concat_ws(".", *[x.cast("string") for h in (s["a"], s["b"]) for x in octets(h)]))
+            return F.aggregate(
+                F.sequence(F.lit(1), F.lit(ROUNDS)), first, step, lambda s: F.concat_ws(
+                    ".", *[x.cast("string") for h in (s["a"], s["b"]) for x in octets(h)]
+                )
+            )
 
         return let(F.transform(F.split(e, r"\."), lambda x: x.cast("int")), made)
 
@@ -230,7 +257,9 @@ class Surrogates:
         def made(x: Column) -> Column:
             def sign(c: Column, i: Column) -> Column:
                 n = self.number(x["s"], 3 * i + 1, 3)
-                return F.when(c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string")).when(c.rlike("[A-Z]"), F.char(65 + F.pmod(n, F.lit(26)))).when(c.rlike("[a-z]"), F.char(97 + F.pmod(n, F.lit(26)))).otherwise(c)
+                return F.when(
+                    c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string")
+                ).when(c.rlike("[A-Z]"), F.char(65 + F.pmod(n, F.lit(26)))).when(c.rlike("[a-z]"), F.char(97 + F.pmod(n, F.lit(26)))).otherwise(c)
 
             return F.concat(x["p"], F.array_join(F.transform(F.split(x["rest"], ""), sign), ""))
 
@@ -239,8 +268,14 @@ class Surrogates:
 
     def email(self, atom: Column) -> Column:
         def made(d: Column) -> Column:
-            letters = F.transform(F.sequence(F.lit(0), self.size("email", F.lit("email"), atom, 17) - 1), lambda i: F.char(97 + F.pmod(self.number(d, 1 + 3 * i, 3), F.lit(26))))
-            return F.concat(F.array_join(letters, ""), F.lit("@host"), F.pmod(self.number(d, 55, 6), F.lit(1000)).cast("string"), F.lit(".example.org"))
+            letters = F.transform(
+                F.sequence(
+                    F.lit(0), self.size("email", F.lit("email"), atom, 17) - 1
+                ), lambda i: F.char(97 + F.pmod(self.number(d, 1 + 3 * i, 3), F.lit(26)))
+            )
+            return F.concat(
+                F.array_join(letters, ""), F.lit("@host"), F.pmod(self.number(d, 55, 6), F.lit(1000)).cast("string"), F.lit(".example.org")
+            )
 
         return let(self.digest(F.lit("email"), atom, self.attempt(F.lit("email"), atom).cast("string")), made)
 
@@ -255,14 +290,20 @@ class Surrogates:
 
     def family(self, script: Column, atom: Column) -> Column:
         of = F.concat_ws("-", F.lit("family"), script)
-        return let(self.digest(of, atom, self.attempt(of, atom).cast("string")), lambda d: self.syllables(d, script, self.size("family", of, atom, 20)))
+        return let(
+            self.digest(of, atom, self.attempt(of, atom).cast("string")), lambda d: self.syllables(d, script, self.size("family", of, atom, 20))
+        )
 
     def given(self, script: Column, gender: Column, atom: Column) -> Column:
         of = F.concat_ws("-", F.lit("given"), script, gender)
         names = F.create_map(*[x for k, v in GIVEN.items() for x in (F.lit("-".join(k)), F.array(*map(F.lit, v)))])[F.concat_ws("-", script, gender)]
 
         def made(d: Column) -> Column:
-            return F.concat_ws("-", F.get(names, F.pmod(self.number(d, 1, 1), F.size(names)).cast("int")), self.syllables(d, script, self.size("given", of, atom, 20)))
+            return F.concat_ws(
+                "-",
+                F.get(names, F.pmod(self.number(d, 1, 1), F.size(names)).cast("int")),
+                self.syllables(d, script, self.size("given", of, atom, 20)),
+            )
 
         return let(self.digest(of, atom, self.attempt(of, atom).cast("string")), made)
 
@@ -367,8 +408,12 @@ def settle(docs: DataFrame, key: str, lengths: dict[str, int] | None = None) ->
         made = Surrogates(key, lengths, attempts)
         named = found.withColumn("surrogate", made.atom(F.col("of"), F.col("atom")))
         kinds = F.split("of", "-")[0].alias("kind")
-        clash = named.groupBy(kinds, F.lower("surrogate").alias("low")).agg(F.min(F.struct("of", "atom")).alias("first"), F.max(F.struct("of", "atom")).alias("last")).filter("first < last")
-        again = named.withColumns({"kind": F.split("of", "-")[0], "low": F.lower("surrogate")}).join(clash, ["kind", "low"]).filter(F.struct("of", "atom") != F.col("first")).select("of", "atom").collect()
+        clash = named.groupBy(kinds, F.lower("surrogate").alias("low")).agg(
+            F.min(F.struct("of", "atom")).alias("first"), F.max(F.struct("of", "atom")).alias("last")
+        ).filter("first < last")
+        again = named.withColumns(
+            {"kind": F.split("of", "-")[0], "low": F.lower("surrogate")}
+        ).join(clash, ["kind", "low"]).filter(F.struct("of", "atom") != F.col("first")).select("of", "atom").collect()
         if not again:
             scratch.drop("atoms")
             return made
@@ -392,4 +437,6 @@ def replace_entities(docs: DataFrame, key: str, *others: str) -> DataFrame:
 def digest(replaced: DataFrame) -> DataFrame:
     """(doc_id, text, n_found, and how many of each type)."""
     n = lambda k: F.size(F.filter("found", lambda x: x == k)).cast("long").alias(f"n_{k}")
-    return replaced.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.size("found").cast("long").alias("n_found"), *[n(k) for k in PATTERNS])
+    return replaced.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.size("found").cast("long").alias("n_found"), *[n(k) for k in PATTERNS]
+    )

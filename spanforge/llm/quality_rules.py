@@ -71,7 +71,9 @@ def measure(docs: DataFrame) -> DataFrame:
         lines.alias("lines"),
     )
     n = F.size("w")
-    grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("g"), i.alias("i")))
+    grams = F.transform(
+        F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("g"), i.alias("i"))
+    )
     rows = rows.select(
         "doc_id",
         "n_symbols",
@@ -106,7 +108,17 @@ def passes(policy: str) -> Column:
 def verdicts(entries: DataFrame, policy: str = "2024.1") -> DataFrame:
     """(doc_id, n_words, the measured counts, base_failed, kept, failed) under a policy."""
     kept = passes("base") & passes(policy)
-    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), kept.alias("kept"), "failed")
+    return entries.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        (~passes("base")).alias("base_failed"),
+        kept.alias("kept"),
+        "failed",
+    )
 
 
 def ablation(entries: DataFrame, policy: str = "2024.1") -> DataFrame:
@@ -122,7 +134,18 @@ def ablation(entries: DataFrame, policy: str = "2024.1") -> DataFrame:
     sums += [F.count_if(live.bitwiseAND(F.lit(1 << i)) != 0).alias(f"f{i}") for i in used]
     sums += [F.count_if(live == 1 << i).alias(f"o{i}") for i in used]
     total = entries.agg(*sums)
-    rows = F.explode(F.array(*[F.struct(F.lit(RULES[i].name).alias("rule"), F.col(f"f{i}").alias("failed"), F.col(f"o{i}").alias("only"), (F.col("kept") + F.col(f"o{i}")).alias("kept_without")) for i in used]))
+    rows = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(RULES[i].name).alias("rule"),
+                    F.col(f"f{i}").alias("failed"),
+                    F.col(f"o{i}").alias("only"),
+                    (F.col("kept") + F.col(f"o{i}")).alias("kept_without"),
+                ) for i in used
+            ]
+        )
+    )
     return total.select(rows.alias("r")).select("r.*")
 
 

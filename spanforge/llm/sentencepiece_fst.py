@@ -379,7 +379,9 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         fst = compiled(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fst.decode(i.as_py() or []) for i in batch.column(1)], pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([fst.decode(i.as_py() or []) for i in batch.column(1)], pa.string())], ["doc_id", "text"]
+            )
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
@@ -399,7 +401,12 @@ def encoding_digest(docs: DataFrame, path: str) -> DataFrame:
                 n_byte.append(int(fst.is_byte[ids].sum()))
                 crc.append(zlib.crc32(raw))
                 same.append(fst.decode(ids.tolist()) == text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, n_byte, crc)), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, n_byte, crc)), pa.array(same, pa.bool_())],
+                ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"],
+            )
 
     text_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean"
+    )

@@ -93,7 +93,16 @@ def _counts(rows: DataFrame, path: str, pattern: str, rule: str, spans: Callable
     """Counts of rows (doc_id, text, ...); spans(raw, batch, i): the ends of the sections of row i."""
     if rule not in RULES:
         raise ValueError(f"rule {rule!r} is none of {', '.join(RULES)}")
-    schema = pa.schema([("doc_id", pa.int64()), ("section", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.float64()), ("n_crossing", pa.int64())])
+    schema = pa.schema(
+        [
+            ("doc_id", pa.int64()),
+            ("section", pa.int64()),
+            ("start", pa.int64()),
+            ("end", pa.int64()),
+            ("n_tokens", pa.float64()),
+            ("n_crossing", pa.int64()),
+        ]
+    )
 
     def run(batches):
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, ByteEncoder(path, pattern))
@@ -111,7 +120,9 @@ def _counts(rows: DataFrame, path: str, pattern: str, rule: str, spans: Callable
                 ids += [doc_id] * len(ends)
                 out.append((np.arange(len(ends)), np.concatenate(([0], at[:-1])), at, counts, crossing))
             columns = [np.concatenate([o[i] for o in out]) if out else [] for i in range(5)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema
+            )
 
     text_batches(rows.sparkSession)
     found = rows.mapInArrow(run, "doc_id long, section long, start long, end long, n_tokens double, n_crossing long")
@@ -128,7 +139,9 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "majori
     return _counts(rows, path, pattern, rule, lambda raw, batch, k: spans(raw))
 
 
-def field_tokens(docs: DataFrame, id_column: str, fields: list[str], path: str, pattern: str, rule: str = "majority", separator: str = "\n") -> DataFrame:
+def field_tokens(
+    docs: DataFrame, id_column: str, fields: list[str], path: str, pattern: str, rule: str = "majority", separator: str = "\n"
+) -> DataFrame:
     """(doc_id, field, start, end, n_tokens, n_crossing) for every field of every row of docs.
 
     The fields make one document, in order; a field but the last has the separator behind it, and a

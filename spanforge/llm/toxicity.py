@@ -105,13 +105,17 @@ def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], dim: int)
     both = (a + b) / (na + nb)
 
     def part(k: np.ndarray, n: int) -> np.ndarray:
-        return k * np.log(np.maximum(k, 1e-12) / np.maximum(n * both, 1e-12)) + (n - k) * np.log(np.maximum(n - k, 1e-12) / np.maximum(n * (1 - both), 1e-12))
+        return k * np.log(np.maximum(k, 1e-12) / np.maximum(n * both, 1e-12)) + (n - k) * np.log(
+            np.maximum(n - k, 1e-12) / np.maximum(n * (1 - both), 1e-12)
+        )
 
     ratio = 2 * (part(a, na) + part(b, nb))
     return np.flatnonzero((ratio >= LEAST_RATIO) & (a >= LEAST_TEXTS) & (a / na > 2 * b / nb))
 
 
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, risk: str = "nnpu") -> tuple[np.ndarray, float]:
+def train_nnpu(
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, risk: str = "nnpu"
+) -> tuple[np.ndarray, float]:
     """A linear classifier of least non-negative PU risk, by full-batch Adam on the logistic loss.
 
     For comparison: risk "pu" leaves out the correction below zero, "pn" takes all unlabelled
@@ -201,7 +205,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE
     """
     text_batches(docs.sparkSession)
     spark = docs.sparkSession
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    known = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")
+    ).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     told = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
     if not told["p"]:
@@ -213,7 +219,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE
     n = docs.count()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hit = base.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", F.lit(True).alias("toxic"), "text")
-    rest = base.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (unit_hash(F.col("doc_id"), "unlabelled") < min(1.0, 1.5 * unlabelled / max(n, 1)))).select("doc_id", F.lit(False).alias("toxic"), "text")
+    rest = base.filter(
+        F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (unit_hash(F.col("doc_id"), "unlabelled") < min(1.0, 1.5 * unlabelled / max(n, 1)))
+    ).select("doc_id", F.lit(False).alias("toxic"), "text")
     got = hit.unionByName(rest).mapInArrow(_featured, "doc_id long, toxic boolean, x binary").collect()
     rows = sorted(((r["doc_id"], r["toxic"], bytes(r["x"])) for r in got), key=lambda r: (zlib.crc32(str(r[0]).encode(), 5), r))
     return fit([(t, np.frombuffer(x, np.int32)) for _, t, x in rows], prior)
@@ -247,7 +255,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         scorer = _Scorer(shared.value)
         for batch in batches:
             score = [scorer(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array([int(s >= THRESHOLD) for s in score], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array([int(s >= THRESHOLD) for s in score], pa.int32())],
+                ["doc_id", "held_out", "score", "predicted"],
+            )
 
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")

@@ -74,10 +74,50 @@ def hand_made_model(path, kind, falls_back, rule, prefix=1, drops=1):
     charsmap = sentencepiece_fst.message(sentencepiece_fst.message(spec)[3][-1]).get(2, [b""])[-1]
     pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
     pieces += [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] if falls_back else []
-    syllables = ["a", "b", "c", "é", "▁", "x", "ab", "abc", "bc", "▁a", "▁ab", "ca", "cab", "aa", "aaa", "▁the", "th", "he", "t", "h", "e", "▁t", "▁▁", "漢", "1", ".", "b.", "1.", "ﬁ", "f", "i", "fi"]
-    pieces += [(p, -float(rng.choice([1.5, 2.25, 3.0, 4.5, 6.0, 7.5])) if kind == 1 else -float(i), 1) for i, p in enumerate(sorted(syllables, key=lambda x: (-len(x), x)))]
+    syllables = [
+        "a",
+        "b",
+        "c",
+        "é",
+        "▁",
+        "x",
+        "ab",
+        "abc",
+        "bc",
+        "▁a",
+        "▁ab",
+        "ca",
+        "cab",
+        "aa",
+        "aaa",
+        "▁the",
+        "th",
+        "he",
+        "t",
+        "h",
+        "e",
+        "▁t",
+        "▁▁",
+        "漢",
+        "1",
+        ".",
+        "b.",
+        "1.",
+        "ﬁ",
+        "f",
+        "i",
+        "fi",
+    ]
+    pieces += [
+        (
+            p, -float(rng.choice([1.5, 2.25, 3.0, 4.5, 6.0, 7.5])) if kind == 1 else -float(i), 1
+        ) for i, p in enumerate(sorted(syllables, key=lambda x: (-len(x), x)))
+    ]
     raw = [(1, serialised([(1, p.encode()), (2, score), (3, t)])) for p, score, t in pieces]
-    raw += [(2, serialised([(3, kind), (35, int(falls_back)), (40, 0)])), (3, serialised([(1, rule.encode()), (2, charsmap), (3, prefix), (4, drops), (5, 1)]))]
+    raw += [
+        (2, serialised([(3, kind), (35, int(falls_back)), (40, 0)])),
+        (3, serialised([(1, rule.encode()), (2, charsmap), (3, prefix), (4, drops), (5, 1)])),
+    ]
     path.write_bytes(serialised(raw))
     return str(path)
 
@@ -88,7 +128,9 @@ def hand_made_model(path, kind, falls_back, rule, prefix=1, drops=1):
 def test_transducer_says_what_the_library_says_of_other_models(tmp_path, kind, falls_back, shape):
     path = hand_made_model(tmp_path / "m.model", kind, falls_back, *shape)
     fst, model = sentencepiece_fst.PieceTransducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
-    texts = odd_texts(1500, "aabbcch e the  \u00a0ﬁ①ÀéE\u0301漢ﾊﾟ▁.1\t\n", 11) + ["", " ", "  ", "▁", " a  b ", "ab" * 300, "ﬁ" * 20, "x y", "\u200b", "the the"]
+    texts = odd_texts(1500, "aabbcch e the  \u00a0ﬁ①ÀéE\u0301漢ﾊﾟ▁.1\t\n", 11) + [
+        "", " ", "  ", "▁", " a  b ", "ab" * 300, "ﬁ" * 20, "x y", "\u200b", "the the"
+    ]
     for t in texts:
         ids = np.frombuffer(fst.encode(t), "<u4").tolist()
         assert ids == model.encode(t), (t, ids, model.encode(t), fst.normalise(t))
@@ -285,7 +327,9 @@ def test_rows_that_share_an_id_get_their_own_ids(spark):
     want = sorted(len(encode(t) + packing._END) // 4 for _, t in rows)
     whole = placed.groupBy("doc_id", "text_hash", "doc_tokens").agg(F.sum("length").alias("n")).collect()
     assert sum(r["n"] for r in whole) == sum(want)
-    found = packing.sequence_ids(d, placed, WORD_BPE).join(placed.select("sequence_id", "offset", "ids_crc32", "length"), ["sequence_id", "offset"]).collect()
+    found = packing.sequence_ids(d, placed, WORD_BPE).join(
+        placed.select("sequence_id", "offset", "ids_crc32", "length"), ["sequence_id", "offset"]
+    ).collect()
     assert len(found) == placed.count()
     assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in found)
 
@@ -304,7 +348,9 @@ def test_other_tokenizers_are_asked_as_a_whole(tmp_path):
 
 def test_sequences_hold_the_ids(docs):
     placed = packing.pack_documents(docs.limit(20), WORD_BPE)
-    for r in packing.sequence_ids(docs, placed, WORD_BPE).join(placed.select("sequence_id", "offset", "ids_crc32"), ["sequence_id", "offset"]).collect():
+    for r in packing.sequence_ids(docs, placed, WORD_BPE).join(
+        placed.select("sequence_id", "offset", "ids_crc32"), ["sequence_id", "offset"]
+    ).collect():
         assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
 
 
@@ -376,7 +422,9 @@ def test_id_filter_says_yes_to_what_was_put_in(spark):
 
 def test_dedup_edges(spark, edges):
     more = [(20, "a B"), (21, "A b"), (22, "a"), (23, "A"), (24, "a b c")]
-    d = edges.select("doc_id", "text", "key", "sig").unionByName(spark.createDataFrame(more, "doc_id long, text string").withColumns({"key": F.lit(1), "sig": F.lit(1)}))
+    d = edges.select("doc_id", "text", "key", "sig").unionByName(
+        spark.createDataFrame(more, "doc_id long, text string").withColumns({"key": F.lit(1), "sig": F.lit(1)})
+    )
     got = {}
     for r in minhash_dedup.near_duplicates(d, 2).collect():
         got.setdefault(r["doc_id"], set()).add((r["n_shingles"], r["component_id"], r["kept"]))
@@ -391,7 +439,19 @@ def test_dedup_edges(spark, edges):
 def test_rows_that_share_an_id_stay_if_their_texts_differ(spark):
     family = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abc"}
     near = {k: t + f" {k}60" for k, t in family.items()}
-    rows = [(1, family["a"]), (1, family["b"]), (2, near["a"]), (3, near["b"]), (4, family["c"]), (4, family["c"]), (4, near["c"]), (5, ""), (5, ""), (6, ""), (None, family["a"])]
+    rows = [
+        (1, family["a"]),
+        (1, family["b"]),
+        (2, near["a"]),
+        (3, near["b"]),
+        (4, family["c"]),
+        (4, family["c"]),
+        (4, near["c"]),
+        (5, ""),
+        (5, ""),
+        (6, ""),
+        (None, family["a"]),
+    ]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
     for docs, rest in ((d, ("en",)), (d.drop("lang"), ())):
         got = minhash_dedup.keep_one(docs, 5)
@@ -446,7 +506,21 @@ def test_recall_against_brute_force(spark):
 
 def test_vector_edges(spark):
     nan = float("nan")
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [float("inf"), 0.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0]), (9, [1.0, 0.0]), (100, [0.0, 1.0])]
+    rows = [
+        (0, [1.0, 0.0]),
+        (1, [1.0, 0.0]),
+        (2, [1.0, 0.1]),
+        (3, None),
+        (4, [0.0, 0.0]),
+        (5, [nan, 1.0]),
+        (6, [float("inf"), 0.0]),
+        (7, [None, 1.0]),
+        (8, [1.0]),
+        (None, [1.0, 0.0]),
+        (9, [1.0, 0.0]),
+        (9, [1.0, 0.0]),
+        (100, [0.0, 1.0]),
+    ]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
     got = permutation_index.nearest(d, d.filter("vec_id % 100 = 0"), "vec_id", "embedding").collect()
     assert [(r["rank"], r["vec_id"]) for r in got if r["query_id"] == 0] == [(1, 1), (2, 9), (3, 2), (4, 100)]
