@@ -149,8 +149,16 @@ def ablation(entries: DataFrame, policy: str = "2024.1") -> DataFrame:
     return total.select(rows.alias("r")).select("r.*")
 
 
-def oracle_sql(policy: str = "2024.1") -> str:
-    """DuckDB SQL for the verdicts, by windows and groups over exploded words."""
+def kept_by_policy(entries: DataFrame) -> DataFrame:
+    """(policy, documents, kept): what every version of the policy keeps, from one pass over the ledger."""
+    counts = [F.count_if(F.col("failed").bitwiseAND(F.lit(m)) == 0).alias(f"p{i}") for i, m in enumerate(POLICIES.values())]
+    total = entries.agg(F.count("*").alias("documents"), *counts)
+    rows = [F.struct(F.lit(name).alias("policy"), F.col("documents"), F.col(f"p{i}").alias("kept")) for i, name in enumerate(POLICIES)]
+    return total.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def _entries_sql() -> str:
+    """The ledger as a common table f, by windows and groups over exploded words."""
     bits = " | ".join(f"(CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END)" for i, r in enumerate(RULES))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -164,6 +172,28 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_
   CAST(length(regexp_replace(t, '[^{SYMBOLS[1:]}', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines,
   CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
-f AS (SELECT *, CAST({bits} AS BIGINT) AS failed FROM m)
+f AS (SELECT *, CAST({bits} AS BIGINT) AS failed FROM m)"""
+
+
+def oracle_sql(policy: str = "2024.1") -> str:
+    """DuckDB SQL for the verdicts."""
+    return _entries_sql() + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {BASE}) <> 0 AS base_failed,
   (failed & {BASE | POLICIES[policy]}) = 0 AS kept, failed FROM f"""
+
+
+def ablation_sql(policy: str = "2024.1") -> str:
+    """DuckDB SQL for the ablation: the policy's kept documents are counted again without each rule."""
+    m = POLICIES[policy]
+    rows = [
+        f"SELECT '{r.name}' AS rule, count(*) FILTER (failed & {1 << i} <> 0) AS failed, count(*) FILTER (failed & {m} = {1 << i}) AS \"only\", "
+        f"count(*) FILTER (failed & {m & ~(1 << i)} = 0) AS kept_without FROM f"
+        for i, r in enumerate(RULES)
+        if m >> i & 1
+    ]
+    return _entries_sql() + " " + " UNION ALL ".join(rows)
+
+
+def kept_by_policy_sql() -> str:
+    rows = [f"SELECT '{name}' AS policy, count(*) AS documents, count(*) FILTER (failed & {m} = 0) AS kept FROM f" for name, m in POLICIES.items()]
+    return _entries_sql() + " " + " UNION ALL ".join(rows)

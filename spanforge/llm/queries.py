@@ -28,6 +28,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
+def quality_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.kept_by_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return permutation_index.nearest(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding")
@@ -74,10 +82,14 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_language_id": op9_language_id,
     "op10_pii": op10_pii,
+    "quality_ablation": quality_ablation,
+    "quality_policies": quality_policies,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_scan.oracle_sql(),
     "op3_quality_rules": quality_rules.oracle_sql(),
     "op8_minhash_dedup": minhash_dedup.oracle_sql(2),
+    "quality_ablation": quality_rules.ablation_sql(),
+    "quality_policies": quality_rules.kept_by_policy_sql(),
 }
