@@ -62,13 +62,12 @@ def header_value(text: Column, label: str) -> Column:
     name = re.escape(label)
     row = F.regexp_extract(text, rf"(?im)^\|\s*\**{name}\**\s*\|\s*([^|\n]*?)\s*\|", 1)
     line = F.regexp_extract(text, rf"(?im)^\**{name}\**\s*:\s*\**\s*(.+?)\s*$", 1)
-    return F.coalesce(F.when(row != "", row), F.when(line != "", line))
+    return F.coalesce(F.nullif(row, F.lit("")), F.nullif(line, F.lit("")))
 
 
 def leading_number(c: Column) -> Column:
     """The number that a version begins with, such as 2.1 of `v2.1 (draft)`."""
-    found = F.regexp_extract(c, r"(\d+(?:\.\d+)*)", 1)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(c, r"(\d+(?:\.\d+){0,9})", 1), F.lit(""))
 
 
 def title_stem(c: Column) -> Column:

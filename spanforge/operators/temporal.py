@@ -106,19 +106,25 @@ def notices(documents: DataFrame) -> DataFrame:
     `notice`: a section called Supersession Notice names an older version.  `table`: a header row
     or line `Supersedes` names another document; `none` names nothing.  A document may have both.
     """
-    section = F.regexp_extract("text", NOTICE_SECTION, 1)
-    version = F.regexp_extract("section", NOTICE_VERSION, 2)
-    day = F.regexp_extract(F.regexp_replace("section", NOTICE_VERSION, "$1"), NOTICE_DATE, 1)
-    named = header_value(F.col("text"), "Supersedes")
-    link = F.regexp_extract(named, r"\[\[([^\]|#]+)", 1)
-    target = F.trim(F.when(link != "", link).otherwise(named))
-    hinted = documents.filter(F.lower("text").contains("supersed")).withColumn("section", section)
-    row = lambda kind, what, date: F.struct(F.lit(kind).alias("kind"), what.alias("target"), date.alias("effective"))
-    said = F.array(
-        row("notice", F.when(version != "", version), iso_date(day)),
-        row("table", F.when((target != "") & (F.lower(target) != "none"), target), iso_date(header_value(F.col("text"), "Effective Date"))),
+    empty = F.lit("")
+    hinted = documents.filter(F.lower("text").contains("supersed")).select(
+        "id",
+        F.regexp_extract("text", NOTICE_SECTION, 1).alias("section"),
+        header_value(F.col("text"), "Supersedes").alias("named"),
+        header_value(F.col("text"), "Effective Date").alias("effective"),
     )
-    return hinted.select("id", F.explode(said).alias("n")).select("id", "n.*").filter("target IS NOT NULL")
+    hinted = hinted.select(
+        "id",
+        F.nullif(F.regexp_extract("section", NOTICE_VERSION, 2), empty).alias("version"),
+        F.regexp_extract(F.regexp_replace("section", NOTICE_VERSION, "$1"), NOTICE_DATE, 1).alias("day"),
+        F.trim(F.coalesce(F.nullif(F.regexp_extract("named", r"\[\[([^\]|#]+)", 1), empty), "named")).alias("named"),
+        "effective",
+    )
+    notice = F.struct(F.lit("notice").alias("kind"), F.col("version").alias("target"), F.col("day").alias("effective"))
+    name = F.when((F.col("named") != "") & (F.lower("named") != "none"), F.col("named"))
+    table = F.struct(F.lit("table").alias("kind"), name.alias("target"), F.col("effective"))
+    said = hinted.select("id", F.explode(F.array(notice, table)).alias("n")).select("id", "n.*").filter("target IS NOT NULL")
+    return said.withColumn("effective", iso_date(F.col("effective")))
 
 
 def _the_other(groups: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
