@@ -5,8 +5,8 @@ Jaccard similarity reaches the threshold.  A signature has CHUNKS x CHUNK_SYMBOL
 symbols of b = 16 bits.  By pigeonhole, of two signatures that differ in at most
 CHUNKS * (ERRORS + 1) - 1 symbols some chunk differs in ERRORS at most; every choice of
 ERRORS symbols to leave out of a chunk makes a key, so all such pairs share a key.  A pair
-at similarity 0.8 shares one but for about one in 400,000, one at 0.85 but for one in
-50 million.  What shares a key is only a candidate: every link is confirmed on full sets.
+at similarity 0.8 shares one but for about one in 130 million, one at 0.85 but for one in
+10^11.  What shares a key is only a candidate: every link is confirmed on full sets.
 
 Groups are never paired off.  Equal sets collapse to their smallest doc_id first.  In a
 key's bucket everybody is held against one leader; of the links so confirmed come
@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from .common import IdFilter, Scratch, text_batches
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-CHUNKS, CHUNK_SYMBOLS, ERRORS = 12, 6, 1
+CHUNKS, CHUNK_SYMBOLS, ERRORS = 14, 5, 1
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
-#: Candidates whose signatures differ in more symbols aren't held against each other: five
-#: standard deviations beyond what similarity 0.8 gives.
-SPREAD = 5.0
+#: Candidates whose signatures differ in more symbols aren't held against each other: seven
+#: standard deviations beyond what similarity 0.8 gives, which happens once in 10^9.
+SPREAD = 7.0
 BLOCK = 2048
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -210,6 +210,17 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 SIDE = 500
 
 
+#: Parts that the rows of one group are dealt out to where a group's sums are joined to them.
+SALTS = 16
+
+
+def _with_sums(rows: DataFrame, sums: DataFrame, group: str) -> DataFrame:
+    """rows with what is known of their groups, one row each; a group's rows go to SALTS tasks."""
+    salt = F.pmod(F.xxhash64(F.lit("salt"), "rep"), F.lit(SALTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return rows.withColumn("salt", salt).join(sums.withColumn("salt", every), [group, "salt"]).drop("salt")
+
+
 def _mixed_groups(rows: DataFrame, group: str) -> DataFrame:
     """(group, rep, component, home) of the groups that have more than one component; home: the one that most rows are in."""
     counts = rows.groupBy(group, "component").agg(F.count("*").alias("n"))
@@ -261,7 +272,7 @@ def _cross_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets
     rows = scratch.save(buckets.join(named, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "named")
     members = scratch.save(_mixed_groups(rows, "key").select("home", "rep", "component").distinct(), "members")
     strays = members.groupBy("home").agg(F.count_if(F.col("component") != F.col("home")).alias("strays"))
-    sized = scratch.save(members.join(strays, "home"), "sized")
+    sized = scratch.save(_with_sums(members, strays, "home"), "sized")
     scratch.drop("named", "members")
     parts = sized.filter(F.col("strays") <= SIDE).select(F.col("home").alias("group"), "rep", "component", "home")
     large = sized.filter(F.col("strays") > SIDE)
@@ -273,7 +284,7 @@ def _cross_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets
     sizes = members.groupBy("home").agg(
         F.ceil(F.count("*") / SIDE).cast("int").alias("blocks"), F.ceil(F.count_if("stray") / SIDE).cast("int").alias("stray_blocks")
     )
-    placed = members.join(sizes, "home")
+    placed = _with_sums(members, sizes, "home")
     block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     kept = ("home", "rep", "component", "block", "stray_block")
