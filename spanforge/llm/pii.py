@@ -427,11 +427,15 @@ def _replaced(text: Column, found: Column, made: Surrogates) -> Column:
 
 
 def replace_entities(docs: DataFrame, key: str, *others: str) -> DataFrame:
-    """(doc_id, text, *others, found): texts with surrogates; found has the entities' types, in order."""
+    """(doc_id, text, *others, found): texts with surrogates; found has the entities' types, in order.
+
+    others: further columns of docs that stay, of any name but these three.
+    """
     made = settle(docs, key)
-    rows = docs.select("doc_id", "text", *others, candidates(F.col("text")).alias("entities"))
-    rows = rows.withColumn("found", F.filter(F.transform("entities", kind), lambda k: k.isNotNull()))
-    return rows.withColumn("text", F.when(F.col("text").isNotNull(), _replaced(F.col("text"), F.col("entities"), made))).drop("entities")
+    rows = docs.select(F.struct("doc_id", "text", *others).alias("row"), candidates(F.col("text")).alias("candidates"))
+    text = F.when(F.col("row.text").isNotNull(), _replaced(F.col("row.text"), F.col("candidates"), made))
+    found = F.filter(F.transform("candidates", kind), lambda k: k.isNotNull())
+    return rows.select(F.col("row.doc_id"), text.alias("text"), *[F.col("row")[c].alias(c) for c in others], found.alias("found"))
 
 
 def digest(replaced: DataFrame) -> DataFrame:

@@ -515,9 +515,13 @@ def test_surrogates_run_no_python(docs):
 
 
 def test_surrogate_edges(edges):
-    got = pii.digest(pii.replace_entities(edges.select("doc_id", "text"), "k")).collect()
+    got = pii.digest(pii.replace_entities(edges, "k")).collect()
     assert sorted((r["text"] or "" for r in got)) == sorted(t or "" for _, t in EDGES)
     assert pii.replace_entities(nothing(edges), "k").collect() == []
+    named = edges.withColumns({c: F.lit("x") for c in ("entities", "e", "a", "of", "atom", "surrogate", "kind", "low", "first")})
+    others = ("lang", "entities", "kind", "atom")
+    kept = pii.replace_entities(named, "k", *others)
+    assert kept.columns == ["doc_id", "text", *others, "found"] and kept.filter("entities <> 'x' OR atom <> 'x'").isEmpty()
 
 
 def test_texts_of_no_known_language_go(spark):
