@@ -254,7 +254,9 @@ def g20(spark, sf):
 
 @query(
     "b2_domain_rollup",
-    with_(X) + "SELECT domain, count(*) AS n FROM doc WHERE domain = 'en' OR starts_with(domain, 'en.') OR domain = 'de.src3' OR starts_with(domain, 'de.src3.') GROUP BY 1",
+    with_(X) +
+        "SELECT domain, count(*) AS n FROM doc WHERE domain = 'en' OR starts_with(domain, 'en.') OR domain = 'de.src3' OR "
+        "starts_with(domain, 'de.src3.') GROUP BY 1",
 )
 def b2(spark, sf):
     return B.documents(spark, sf).filter(in_domains("domain", ["en", "de.src3, en"])).groupBy("domain").agg(F.count("*").alias("n"))
@@ -299,7 +301,8 @@ def b8(spark, sf):
 
 @query(
     "b10_labels",
-    "SELECT DISTINCT p_type, upper(trim(regexp_replace(p_type, '\\W+', '_', 'g'), '_')) AS label, upper(trim(regexp_replace(p_name, '\\W+', '_', 'g'), '_')) AS name_label FROM part",
+    "SELECT DISTINCT p_type, upper(trim(regexp_replace(p_type, '\\W+', '_', 'g'), '_')) AS label, "
+        "upper(trim(regexp_replace(p_name, '\\W+', '_', 'g'), '_')) AS name_label FROM part",
 )
 def b10(spark, sf):
     return table(spark, sf, "part").select("p_type", label_column("p_type").alias("label"), label_column("p_name").alias("name_label")).distinct()

@@ -129,7 +129,8 @@ def t7(spark, sf):
 
 @query(
     "t9_entity_dates",
-    "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS event_at, CASE WHEN o_orderkey % 5 = 0 THEN 'soon' END AS event_at_raw FROM orders",
+    "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS event_at, "
+        "CASE WHEN o_orderkey % 5 = 0 THEN 'soon' END AS event_at_raw FROM orders",
 )
 def t9(spark, sf):
     o = table(spark, sf, "orders").select(
@@ -204,7 +205,9 @@ def t16(spark, sf):
 
 @query(
     "t17_supersede_nodes",
-    "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN '2020-01-01' WHEN s_suppkey % 2 = 0 AND s_suppkey + 1 <= (SELECT max(s_suppkey) FROM supplier) THEN '2024-02-02' END AS valid_to, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey + 1 <= (SELECT max(s_suppkey) FROM supplier) THEN 'superseded' END AS status FROM supplier",
+    "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN '2020-01-01' WHEN s_suppkey % 2 = 0 AND s_suppkey + 1 <= (SELECT "
+        "max(s_suppkey) FROM supplier) THEN '2024-02-02' END AS valid_to, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey + 1 <= (SELECT "
+        "max(s_suppkey) FROM supplier) THEN 'superseded' END AS status FROM supplier",
 )
 def t17(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
@@ -360,7 +363,8 @@ def d11(spark, sf):
 
 @query(
     "d12_identity",
-    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'known' || doc_id ELSE 'fresh' || doc_id END AS id, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 5 + 2 AS BIGINT) ELSE 1 END AS version FROM documents",
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'known' || doc_id ELSE 'fresh' || doc_id END AS id, CASE WHEN doc_id % 2 = 0 "
+        "THEN CAST(doc_id % 5 + 2 AS BIGINT) ELSE 1 END AS version FROM documents",
 )
 def d12(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.lit("x").alias("domain"))
@@ -377,7 +381,8 @@ def d12(spark, sf):
 
 @query(
     "d13_delta",
-    "SELECT doc_id AS logical_id, CASE WHEN doc_id % 7 = 0 THEN 'domain_changed' WHEN doc_id % 3 = 0 THEN 'initial' WHEN doc_id % 2 = 0 THEN 'metadata_only' ELSE 'content' END AS tier FROM documents",
+    "SELECT doc_id AS logical_id, CASE WHEN doc_id % 7 = 0 THEN 'domain_changed' WHEN doc_id % 3 = 0 THEN 'initial' WHEN "
+        "doc_id % 2 = 0 THEN 'metadata_only' ELSE 'content' END AS tier FROM documents",
 )
 def d13(spark, sf):
     c = B.chunks(B.documents(spark, sf)).withColumn("block_hash", F.sha1("text"))
@@ -394,7 +399,9 @@ def d13(spark, sf):
 
 @query(
     "d14_metadata_apply",
-    with_(X) + "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'moved' ELSE project END AS project, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE domain END AS area FROM doc",
+    with_(X) +
+        "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'moved' ELSE project END AS project, CASE WHEN doc_id % 2 = 0 THEN "
+        "NULL ELSE domain END AS area FROM doc",
 )
 def d14(spark, sf):
     d = B.documents(spark, sf).select(F.col("doc_id").alias("id"), "project", F.col("domain").alias("area"))
@@ -416,7 +423,10 @@ def d15(spark, sf):
 
 @query(
     "d17_update_kinds",
-    "SELECT CASE WHEN length(trim(text)) > 500 THEN 'bulk' WHEN regexp_matches(trim(text), '(?i)^(todo|to-do|remind me|remember to)') THEN 'todo' WHEN NOT contains(trim(text), chr(10)) AND len(list_filter(regexp_split_to_array(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')) <= 1 THEN 'atomic_fact' ELSE 'passage' END AS kind, count(*) AS n FROM conversations GROUP BY 1",
+    "SELECT CASE WHEN length(trim(text)) > 500 THEN 'bulk' WHEN regexp_matches(trim(text), '(?i)^(todo|to-do|remind "
+        "me|remember to)') THEN 'todo' WHEN NOT contains(trim(text), chr(10)) AND "
+        "len(list_filter(regexp_split_to_array(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: "
+        "s <> '')) <= 1 THEN 'atomic_fact' ELSE 'passage' END AS kind, count(*) AS n FROM conversations GROUP BY 1",
 )
 def d17(spark, sf):
     return table(spark, sf, "conversations").groupBy(documents.classify_update(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
@@ -479,7 +489,9 @@ def c4(spark, sf):
 
 @query(
     "c5_evidence",
-    with_(X, C) + ", r AS (SELECT doc_id % 50 AS entity_id, chunk_id, substr(text, 1, 40) AS excerpt, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY chunk_id) AS k FROM chunk) SELECT entity_id, chunk_id, excerpt FROM r WHERE k <= 3",
+    with_(X, C) +
+        ", r AS (SELECT doc_id % 50 AS entity_id, chunk_id, substr(text, 1, 40) AS excerpt, row_number() OVER (PARTITION BY doc_id "
+        "% 50 ORDER BY chunk_id) AS k FROM chunk) SELECT entity_id, chunk_id, excerpt FROM r WHERE k <= 3",
 )
 def c5(spark, sf):
     c = B.chunks(B.documents(spark, sf))
@@ -488,7 +500,8 @@ def c5(spark, sf):
 
 @query(
     "c6_verdicts",
-    "SELECT event_id, CASE WHEN event_type = 'error' THEN 'conflicting' WHEN event_type = 'view' THEN 'superseded' ELSE 'unrelated' END AS verdict, CASE WHEN event_id % 3 = 0 THEN 'high' ELSE 'low' END AS severity FROM events",
+    "SELECT event_id, CASE WHEN event_type = 'error' THEN 'conflicting' WHEN event_type = 'view' THEN 'superseded' ELSE "
+        "'unrelated' END AS verdict, CASE WHEN event_id % 3 = 0 THEN 'high' ELSE 'low' END AS severity FROM events",
 )
 def c6(spark, sf):
     e = table(spark, sf, "events")
@@ -499,7 +512,8 @@ def c6(spark, sf):
 
 @query(
     "c7_conflict_ids",
-    "SELECT o_orderkey, sha1(least('a' || o_custkey, 'b' || o_orderkey) || '|' || greatest('a' || o_custkey, 'b' || o_orderkey) || '|' || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-')) AS id FROM orders",
+    "SELECT o_orderkey, sha1(least('a' || o_custkey, 'b' || o_orderkey) || '|' || greatest('a' || o_custkey, 'b' || "
+        "o_orderkey) || '|' || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-')) AS id FROM orders",
 )
 def c7(spark, sf):
     o = table(spark, sf, "orders")

@@ -136,7 +136,9 @@ def m1(spark, sf):
 
 @query(
     "m1_relationship_schema",
-    with_(E, D) + "SELECT DISTINCT rel_type, 'weight' AS property, s.entity_class AS from_class, t.entity_class AS to_class FROM edge JOIN entity s ON s.id = src_id JOIN entity t ON t.id = dst_id WHERE rel_type IN ('BOUGHT', 'SUPPLIES')",
+    with_(E, D) +
+        "SELECT DISTINCT rel_type, 'weight' AS property, s.entity_class AS from_class, t.entity_class AS to_class FROM edge JOIN "
+        "entity s ON s.id = src_id JOIN entity t ON t.id = dst_id WHERE rel_type IN ('BOUGHT', 'SUPPLIES')",
 )
 def m1r(spark, sf):
     ents = B.entities(spark, sf)
@@ -176,7 +178,9 @@ def m4(spark, sf):
 
 @query(
     "m5_entity_listing",
-    with_(E) + "SELECT entity_class, split_part(domain, '.', 1) AS type, count(DISTINCT name) AS n_names, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM entity WHERE contains(lower(name), '7') GROUP BY 1, 2",
+    with_(E) +
+        "SELECT entity_class, split_part(domain, '.', 1) AS type, count(DISTINCT name) AS n_names, string_agg(DISTINCT name, ',' "
+        "ORDER BY name) AS names FROM entity WHERE contains(lower(name), '7') GROUP BY 1, 2",
 )
 def m5(spark, sf):
     ents = B.entities(spark, sf).withColumn("type", F.substring_index("domain", ".", 1))
@@ -261,7 +265,8 @@ def m8(spark, sf):
 
 @query(
     "m9_progress",
-    "SELECT user_id, count(*) AS total, count(*) FILTER (event_type IN ('purchase', 'view')) AS done, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1",
+    "SELECT user_id, count(*) AS total, count(*) FILTER (event_type IN ('purchase', 'view')) AS done, count(*) FILTER "
+        "(event_type = 'error') AS failed FROM events GROUP BY 1",
 )
 def m9(spark, sf):
     e = table(spark, sf, "events").withColumn(
@@ -275,7 +280,9 @@ def m9(spark, sf):
 
 @query(
     "m10_run_summary",
-    "SELECT user_id AS run_id, count(*) AS n, count(*) FILTER (event_type <> 'error') AS answered, count(*) FILTER (event_type = 'error') AS failed, round(sum(value), 4) AS seconds, round(sum(value / 100), 6) AS cost, CAST(sum(event_id % 7) AS BIGINT) AS turns FROM events GROUP BY 1",
+    "SELECT user_id AS run_id, count(*) AS n, count(*) FILTER (event_type <> 'error') AS answered, count(*) FILTER (event_type "
+        "= 'error') AS failed, round(sum(value), 4) AS seconds, round(sum(value / 100), 6) AS cost, CAST(sum(event_id % 7) AS "
+        "BIGINT) AS turns FROM events GROUP BY 1",
 )
 def m10(spark, sf):
     e = table(spark, sf, "events").select(

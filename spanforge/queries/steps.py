@@ -86,7 +86,8 @@ def f3(spark, sf):
 
 @query(
     "f5_grain_rule",
-    "SELECT * FROM (VALUES ('normative', true, 'replace', false), ('normative', true, 'temporal', true), ('normative', false, 'replace', true), ('lookup', true, 'replace', true)) t(grain, confirmed, mode, good)",
+    "SELECT * FROM (VALUES ('normative', true, 'replace', false), ('normative', true, 'temporal', true), ('normative', false, "
+        "'replace', true), ('lookup', true, 'replace', true)) t(grain, confirmed, mode, good)",
 )
 def f5(spark, sf):
     def good(*case):
@@ -150,7 +151,8 @@ def t8(spark, sf):
 
 @query(
     "d16_commit",
-    "SELECT * FROM (VALUES (1, 'retract', 'ok'), (2, 'capture', 'skipped'), (3, 'write', 'ok'), (4, 'normalise', 'failed: late'), (5, 'supersede', 'skipped'), (6, 'snapshot', 'ok'), (7, 'reassert', 'skipped')) t(seq, step, status)",
+    "SELECT * FROM (VALUES (1, 'retract', 'ok'), (2, 'capture', 'skipped'), (3, 'write', 'ok'), (4, 'normalise', 'failed: "
+        "late'), (5, 'supersede', 'skipped'), (6, 'snapshot', 'ok'), (7, 'reassert', 'skipped')) t(seq, step, status)",
 )
 def d16(spark, sf):
     def late(_):
@@ -163,7 +165,8 @@ def d16(spark, sf):
 
 @query(
     "c11_pipeline",
-    "SELECT * FROM (VALUES (1, 'time', 'a,b'), (2, 'merge', 'a,b'), (3, 'conflicts', 'a'), (4, 'conflicts', 'b'), (5, 'conflicts', 'a,b'), (6, 'embed', 'a,b')) t(seq, step, domains)",
+    "SELECT * FROM (VALUES (1, 'time', 'a,b'), (2, 'merge', 'a,b'), (3, 'conflicts', 'a'), (4, 'conflicts', 'b'), (5, "
+        "'conflicts', 'a,b'), (6, 'embed', 'a,b')) t(seq, step, domains)",
 )
 def c11(spark, sf):
     seen = []
@@ -322,7 +325,8 @@ def a1(spark, sf):
 
 @query(
     "a3_csv_table",
-    "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment, c_custkey % 2 = 0 AS even, CAST(DATE '2024-01-01' + CAST(c_custkey % 300 AS INTEGER) AS DATE) AS day FROM customer",
+    "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment, c_custkey % 2 = 0 AS even, "
+        "CAST(DATE '2024-01-01' + CAST(c_custkey % 300 AS INTEGER) AS DATE) AS day FROM customer",
 )
 def a3(spark, sf):
     """The customers written as CSV files, loaded as a typed table, and read again."""
@@ -340,7 +344,8 @@ def a3(spark, sf):
 
 @query(
     "a4_sheet",
-    "SELECT * FROM (VALUES (1, 'north', 0.5::DOUBLE, DATE '2024-02-29', true), (2, NULL, 2.0, DATE '1999-12-31', false)) t(id, place, rate, day, open)".replace("(1, 'n", "(1::BIGINT, 'n"),
+    "SELECT * FROM (VALUES (1, 'north', 0.5::DOUBLE, DATE '2024-02-29', true), (2, NULL, 2.0, DATE '1999-12-31', false)) t(id, "
+        "place, rate, day, open)".replace("(1, 'n", "(1::BIGINT, 'n"),
 )
 def a4(spark, sf):
     root = _root(spark, "a4")
@@ -355,7 +360,8 @@ def small_workbook() -> bytes:
     cells = [
         '<row r="1"><c r="A1" t="inlineStr"><is><t>Title</t></is></c></row>',
         '<row r="2"><c r="A2" t="s"><v>0</v></c><c r="B2" t="s"><v>1</v></c><c r="C2" t="s"><v>2</v></c><c r="D2" t="s"><v>3</v></c><c r="E2" t="s"><v>4</v></c></row>',
-        '<row r="3"><c r="A3"><v>1</v></c><c r="B3" t="s"><v>5</v></c><c r="C3"><f>1/2</f><v>0.5</v></c><c r="D3" s="1"><v>45351</v></c><c r="E3" t="b"><v>1</v></c></row>',
+        '<row r="3"><c r="A3"><v>1</v></c><c r="B3" t="s"><v>5</v></c><c r="C3"><f>1/2</f><v>0.5</v></c><c r="D3" '
+            's="1"><v>45351</v></c><c r="E3" t="b"><v>1</v></c></row>',
         '<row r="5"><c r="A5"><v>2</v></c><c r="C5"><v>2</v></c><c r="D5" s="1"><v>36525</v></c><c r="E5" t="b"><v>0</v></c></row>',
     ]
     sheet = lambda rows: f'<worksheet xmlns="{main}"><sheetData>{"".join(rows)}</sheetData></worksheet>'
@@ -384,7 +390,8 @@ def small_workbook() -> bytes:
 
 @query(
     "a8_staging",
-    "SELECT 'staged' AS \"table\", count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'target', count(*), max(o_totalprice) FROM orders WHERE o_orderstatus = 'O'",
+    "SELECT 'staged' AS \"table\", count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_orderstatus = 'F' UNION ALL "
+        "SELECT 'target', count(*), max(o_totalprice) FROM orders WHERE o_orderstatus = 'O'",
 )
 def a8(spark, sf):
     """A batch staged from a file beside its target, which stays as it was."""
@@ -454,7 +461,8 @@ def a17(spark, sf):
 
 @query(
     "a19_structured_snapshot",
-    "SELECT 7 AS id, 'r1' AS domain, 'nation' AS \"table\", 'lookup' AS grain, count(*) AS n FROM nation UNION ALL SELECT 9, 'r2', 'supplier', 'instance', count(*) FROM supplier",
+    "SELECT 7 AS id, 'r1' AS domain, 'nation' AS \"table\", 'lookup' AS grain, count(*) AS n FROM nation UNION ALL SELECT 9, "
+        "'r2', 'supplier', 'instance', count(*) FROM supplier",
 )
 def a19(spark, sf):
     """Tables and their registry out and in again; a field that the snapshot lacks gets its default, ids stay."""

@@ -148,7 +148,8 @@ def b16(spark, sf):
 
 @query(
     "q2_schema",
-    "SELECT 'orders' AS name, 'bigint' AS type, 2 AS n UNION ALL SELECT 'orders', 'string', 2 UNION ALL SELECT 'orders', 'double', 1 UNION ALL SELECT 'orders', 'timestamp_ntz', 1",
+    "SELECT 'orders' AS name, 'bigint' AS type, 2 AS n UNION ALL SELECT 'orders', 'string', 2 UNION ALL SELECT 'orders', "
+        "'double', 1 UNION ALL SELECT 'orders', 'timestamp_ntz', 1",
 )
 def q2(spark, sf):
     d = spark.createDataFrame([("orders", t) for _, t in table(spark, sf, "orders").dtypes], "name string, type string")
@@ -204,7 +205,8 @@ def d2(spark, sf):
 
 @query(
     "d3_extraction",
-    "SELECT step, status, count(*) AS n FROM (SELECT unnest(['entities', 'properties', 'relationships']) AS step, CASE WHEN length(text) % 7 = 0 THEN 'failed' ELSE 'ok' END AS status FROM benchmark) GROUP BY 1, 2",
+    "SELECT step, status, count(*) AS n FROM (SELECT unnest(['entities', 'properties', 'relationships']) AS step, CASE WHEN "
+        "length(text) % 7 = 0 THEN 'failed' ELSE 'ok' END AS status FROM benchmark) GROUP BY 1, 2",
 )
 def d3(spark, sf):
     def model(step, text):
@@ -348,7 +350,8 @@ def c8(spark, sf):
 
 @query(
     "c10_consolidation_write",
-    "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'better' ELSE p_name END AS description, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS description_raw, p_partkey % 2 = 0 AS due FROM part",
+    "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'better' ELSE p_name END AS description, CASE WHEN p_partkey % 2 "
+        "= 0 THEN p_name END AS description_raw, p_partkey % 2 = 0 AS due FROM part",
 )
 def c10(spark, sf):
     p = table(spark, sf, "part").select(

@@ -25,36 +25,67 @@ def _views(spark, sf):
 SAME = {
     "q_inner_join": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "q_left_join": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000 GROUP BY c_custkey",
-    "q_full_join": "SELECT coalesce(c_nationkey, s_nationkey) AS nation, c, s FROM (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_nationkey < 15 GROUP BY 1) a FULL JOIN (SELECT s_nationkey, count(*) AS s FROM supplier WHERE s_nationkey > 9 GROUP BY 1) b ON c_nationkey = s_nationkey",
+    "q_full_join":
+        "SELECT coalesce(c_nationkey, s_nationkey) AS nation, c, s FROM (SELECT c_nationkey, count(*) AS c FROM customer WHERE "
+        "c_nationkey < 15 GROUP BY 1) a FULL JOIN (SELECT s_nationkey, count(*) AS s FROM supplier WHERE s_nationkey > 9 GROUP BY "
+        "1) b ON c_nationkey = s_nationkey",
     "q_cross_join": "SELECT r_name, x FROM region CROSS JOIN (SELECT 1 AS x UNION ALL SELECT 2) t",
     "q_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     "q_anti": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.05 AND l_quantity > 45)",
-    "q_null_safe": "SELECT count(*) AS n FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END AS k FROM customer) a JOIN (SELECT CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_nationkey END AS k FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k",
-    "q_lateral": "SELECT n_nationkey, top.c_custkey FROM nation, LATERAL (SELECT c_custkey FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) top",
-    "q_pricing_summary": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 6) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus",
-    "q_revenue": "SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem WHERE l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01' AND l_discount BETWEEN 0.02 AND 0.06 AND l_quantity < 24",
-    "q_region_volume": "SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS volume FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+    "q_null_safe":
+        "SELECT count(*) AS n FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END AS k FROM customer) a JOIN "
+        "(SELECT CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_nationkey END AS k FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k",
+    "q_lateral":
+        "SELECT n_nationkey, top.c_custkey FROM nation, LATERAL (SELECT c_custkey FROM customer WHERE c_nationkey = n_nationkey "
+        "ORDER BY c_acctbal DESC, c_custkey LIMIT 2) top",
+    "q_pricing_summary":
+        "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, "
+        "round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 6) AS avg_qty, count(*) AS n FROM "
+        "lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus",
+    "q_revenue":
+        "SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem WHERE l_shipdate >= DATE '1997-01-01' AND "
+        "l_shipdate < DATE '1998-01-01' AND l_discount BETWEEN 0.02 AND 0.06 AND l_quantity < 24",
+    "q_region_volume":
+        "SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS volume FROM lineitem JOIN orders ON l_orderkey = "
+        "o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = "
+        "r_regionkey GROUP BY r_name",
     "q_filter_clause": "SELECT event_type, count(*) FILTER (WHERE value > 100) AS high, count(*) AS n FROM events GROUP BY ALL",
     "q_grouping_sets": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
     "q_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "q_rollup": "SELECT n_regionkey, c_mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, c_mktsegment)",
     "q_median": "SELECT event_type, round(median(value), 6) AS med, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY value), 6) AS p90 FROM events GROUP BY event_type",
     "q_having_distinct": "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_partkey) > 5",
-    "q_window_rank": "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS d FROM orders",
-    "q_window_rows": "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS running, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events",
-    "q_window_range": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL '90' DAY PRECEDING AND CURRENT ROW) AS n FROM orders",
-    "q_window_ntile": "SELECT c_custkey, CAST(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS BIGINT) AS q, round(percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey), 9) AS p FROM customer",
+    "q_window_rank":
+        "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS BIGINT) AS r, "
+        "CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS d FROM orders",
+    "q_window_rows":
+        "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT "
+        "ROW), 6) AS running, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events",
+    "q_window_range":
+        "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL '90' DAY PRECEDING "
+        "AND CURRENT ROW) AS n FROM orders",
+    "q_window_ntile":
+        "SELECT c_custkey, CAST(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS BIGINT) AS q, "
+        "round(percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey), 9) AS p FROM customer",
     "q_top_k": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 5",
     "q_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "q_except_all": "SELECT l_suppkey AS k FROM lineitem WHERE l_quantity < 25 EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_quantity < 10",
     "q_intersect": "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'",
-    "q_case_scalar": "SELECT p_partkey, upper(p_name) AS u, CAST(length(p_name) AS BIGINT) AS n, replace(p_name, 'widget', 'W') AS r, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS s, coalesce(nullif(p_brand, 'Brand#1'), 'none') AS b FROM part",
+    "q_case_scalar":
+        "SELECT p_partkey, upper(p_name) AS u, CAST(length(p_name) AS BIGINT) AS n, replace(p_name, 'widget', 'W') AS r, CASE WHEN "
+        "p_size > 25 THEN 'big' ELSE 'small' END AS s, coalesce(nullif(p_brand, 'Brand#1'), 'none') AS b FROM part",
     "q_like_ilike": "SELECT p_partkey FROM part WHERE p_name LIKE '%cold%' OR p_brand ILIKE 'brand#2%'",
-    "q_math": "SELECT c_custkey, round(abs(c_acctbal), 1) AS a, CAST(floor(c_acctbal / 100) AS BIGINT) AS f, round(sqrt(abs(c_acctbal)), 6) AS s, c_custkey % 7 AS m FROM customer",
-    "q_date_parts": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(quarter(o_orderdate) AS INT) AS q FROM orders",
+    "q_math":
+        "SELECT c_custkey, round(abs(c_acctbal), 1) AS a, CAST(floor(c_acctbal / 100) AS BIGINT) AS f, round(sqrt(abs(c_acctbal)), "
+        "6) AS s, c_custkey % 7 AS m FROM customer",
+    "q_date_parts":
+        "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS "
+        "INT) AS d, CAST(quarter(o_orderdate) AS INT) AS q FROM orders",
     "q_interval": "SELECT o_orderkey, CAST(o_orderdate + INTERVAL '30' DAY AS DATE) AS due FROM orders",
     "q_scalar_subquery": "SELECT c_custkey FROM customer c WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer x WHERE x.c_nationkey = c.c_nationkey)",
-    "q_cte": "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY 1), m AS (SELECT max(t) AS t FROM big) SELECT o_custkey FROM big JOIN m ON big.t >= m.t * 0.8",
+    "q_cte":
+        "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY 1), m AS (SELECT max(t) AS t FROM big) SELECT "
+        "o_custkey FROM big JOIN m ON big.t >= m.t * 0.8",
     "q_recursive": "WITH RECURSIVE r(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 12) SELECT n, f FROM r",
     "q_values": "SELECT k, v FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) t(k, v) WHERE v IS NOT NULL",
 }
@@ -74,15 +105,18 @@ PAIRS = {
     ),
     "q_unpivot": (
         "SELECT l_orderkey, l_linenumber, k, v FROM lineitem UNPIVOT (v FOR k IN (l_quantity, l_tax))",
-        "SELECT l_orderkey, l_linenumber, k, v FROM (SELECT l_orderkey, l_linenumber, 'l_quantity' AS k, l_quantity AS v FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem)",
+        "SELECT l_orderkey, l_linenumber, k, v FROM (SELECT l_orderkey, l_linenumber, 'l_quantity' AS k, l_quantity AS v FROM "
+            "lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem)",
     ),
     "q_json": (
         "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events",
         "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     ),
     "q_arrays": (
-        "SELECT p_partkey, array_join(array_sort(transform(split(p_name, ' '), x -> upper(x))), '-') AS words, size(filter(split(p_name, ' '), x -> length(x) > 4)) AS n FROM part",
-        "SELECT p_partkey, array_to_string(list_sort(list_transform(string_split(p_name, ' '), lambda x: upper(x))), '-') AS words, CAST(len(list_filter(string_split(p_name, ' '), lambda x: length(x) > 4)) AS INTEGER) AS n FROM part",
+        "SELECT p_partkey, array_join(array_sort(transform(split(p_name, ' '), x -> upper(x))), '-') AS words, "
+            "size(filter(split(p_name, ' '), x -> length(x) > 4)) AS n FROM part",
+        "SELECT p_partkey, array_to_string(list_sort(list_transform(string_split(p_name, ' '), lambda x: upper(x))), '-') AS "
+            "words, CAST(len(list_filter(string_split(p_name, ' '), lambda x: length(x) > 4)) AS INTEGER) AS n FROM part",
     ),
     "q_explode": (
         "SELECT p_partkey, word FROM part LATERAL VIEW explode(split(p_name, ' ')) t AS word",
@@ -104,7 +138,8 @@ PAIRS = {
         "SELECT p_partkey, string_split(p_brand, '#')[1] AS n FROM part", "SELECT p_partkey, string_split(p_brand, '#')[2] AS n FROM part"
     ),
     "q_group_frame": (
-        "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) AS g FROM events)",
+        "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM "
+            "(SELECT *, dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) AS g FROM events)",
         "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY user_id GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM events",
     ),
     "q_date_trunc": (
@@ -128,7 +163,8 @@ for _name, (_here, _there) in PAIRS.items():
 
 @query(
     "q_range_join",
-    "SELECT c_custkey, count(*) AS n FROM customer JOIN (SELECT s_suppkey, s_acctbal - 50 AS lo, s_acctbal + 50 AS hi FROM supplier) s ON c_acctbal BETWEEN lo AND hi GROUP BY 1",
+    "SELECT c_custkey, count(*) AS n FROM customer JOIN (SELECT s_suppkey, s_acctbal - 50 AS lo, s_acctbal + 50 AS hi FROM "
+        "supplier) s ON c_acctbal BETWEEN lo AND hi GROUP BY 1",
 )
 def q_range_join(spark, sf):
     """A band join: both sides go to buckets of the band's width, and meet in equal ones."""
@@ -141,7 +177,9 @@ def q_range_join(spark, sf):
 
 @query(
     "q_asof_join",
-    "SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, user_id, ts - INTERVAL 9490 DAY AS at FROM events) e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o ON e.user_id = o.o_custkey AND e.at >= o.o_orderdate",
+    "SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, user_id, ts - INTERVAL 9490 DAY AS at FROM events) e ASOF LEFT "
+        "JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o ON e.user_id = "
+        "o.o_custkey AND e.at >= o.o_orderdate",
 )
 def q_asof_join(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("k"), (F.col("ts") - F.expr("INTERVAL 9490 DAYS")).alias("at"))
@@ -170,7 +208,8 @@ def a7(spark, sf):
 
 @query(
     "a10_introspection",
-    "SELECT 'customer' AS \"table\", unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS \"column\", unnest(['bigint', 'string', 'int', 'double', 'string']) AS type",
+    "SELECT 'customer' AS \"table\", unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS "
+        "\"column\", unnest(['bigint', 'string', 'int', 'double', 'string']) AS type",
 )
 def a10(spark, sf):
     return spark.createDataFrame([("customer", c, t) for c, t in table(spark, sf, "customer").dtypes], "table string, column string, type string")
