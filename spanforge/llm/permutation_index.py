@@ -36,8 +36,8 @@ from .common import Scratch
 PIVOTS, PREFIX, POSTED, LOOKED = 512, 128, 3, 96
 #: Share of all vectors that a query's limit lets by, and vectors that it is read off.
 RERANKED, SAMPLE = 0.04, 4096
-#: Rows of a slot, about.
-SLOT = 4096
+#: Rows of a slot, and rows that a task makes at a time for lists, about.
+SLOT, LISTED = 4096, 16_384
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -122,17 +122,15 @@ def _lists(rows: DataFrame, shared, n: str) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            prefix = prefixes(_vectors(batch.column(1)), model.pivots, model.length)
-            many = getattr(model, n)
-            at = np.repeat(np.arange(len(batch)), many)
-            packed = pa.array([p.tobytes() for p in prefix], pa.binary())
+        many = getattr(model, n)
+        step = max(1, LISTED // many)
+        for part in (batch.slice(first, step) for batch in batches for first in range(0, len(batch), step)):
+            prefix = prefixes(_vectors(part.column(1)), model.pivots, model.length)
+            at = pa.array(np.repeat(np.arange(len(part)), many))
             limits = [model.limit(model.places(p)) if n == "looked" else None for p in prefix]
-            columns = [batch.column(0), packed, pa.array(limits, pa.int32()), batch.column(1)]
+            columns = [part.column(0), pa.array([p.tobytes() for p in prefix], pa.binary()), pa.array(limits, pa.int32()), part.column(1)]
             pivot = pa.array(prefix[:, :many].ravel().astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pivot, *(c.take(pa.array(at)) for c in columns)], ["pivot", "id", "prefix", "limit", "vector"])
+            yield pa.RecordBatch.from_arrays([pivot, *(c.take(at) for c in columns)], ["pivot", "id", "prefix", "limit", "vector"])
 
     return rows.select("id", "vector").mapInArrow(run, "pivot int, id long, prefix binary, limit int, vector array<double>")
 
