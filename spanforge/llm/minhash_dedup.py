@@ -221,13 +221,16 @@ def _with_sums(rows: DataFrame, sums: DataFrame, group: str) -> DataFrame:
     return rows.withColumn("salt", salt).join(sums.withColumn("salt", every), [group, "salt"]).drop("salt")
 
 
-def _mixed_groups(rows: DataFrame, group: str) -> DataFrame:
-    """(group, rep, component, home) of the groups that have more than one component; home: the one that most rows are in."""
+def _mixed_groups(rows: DataFrame, group: str, scratch: Scratch) -> DataFrame:
+    """(group, rep, component, home) of the groups that have more than one component; home: the one that most rows are in.
+
+    What is known of the groups is written before rows meet it, so that adaptive execution can
+    split a group that many rows are in.
+    """
     counts = rows.groupBy(group, "component").agg(F.count("*").alias("n"))
-    homes = counts.groupBy(group).agg(
-        F.max_by("component", F.struct("n", -F.col("component"))).alias("home"), F.count("*").alias("parts")
-    ).filter("parts > 1").select(group, "home")
-    return rows.join(homes, group).select(group, "rep", "component", "home")
+    most = F.max_by("component", F.struct("n", -F.col("component")))
+    homes = counts.groupBy(group).agg(most.alias("home"), F.count("*").alias("parts")).filter("parts > 1").select(group, "home")
+    return rows.join(scratch.save(homes, f"homes-{group}"), group).select(group, "rep", "component", "home")
 
 
 def _rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -270,17 +273,17 @@ def _cross_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets
     """
     named = labels.select(F.col("id").alias("rep"), "component")
     rows = scratch.save(buckets.join(named, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "named")
-    members = scratch.save(_mixed_groups(rows, "key").select("home", "rep", "component").distinct(), "members")
+    members = scratch.save(_mixed_groups(rows, "key", scratch).select("home", "rep", "component").distinct(), "members")
     strays = members.groupBy("home").agg(F.count_if(F.col("component") != F.col("home")).alias("strays"))
     sized = scratch.save(_with_sums(members, strays, "home"), "sized")
-    scratch.drop("named", "members")
+    scratch.drop("named", "members", "homes-key")
     parts = sized.filter(F.col("strays") <= SIDE).select(F.col("home").alias("group"), "rep", "component", "home")
     large = sized.filter(F.col("strays") > SIDE)
     if not large.isEmpty():
         rare = scratch.save(_rare_shingles(large.select("home", "rep", "component"), sets, percent), "rare")
-        parts = parts.unionByName(_mixed_groups(rare, "group").distinct())
+        parts = parts.unionByName(_mixed_groups(rare, "group", scratch).distinct())
     members = scratch.save(parts.withColumn("stray", F.col("component") != F.col("home")).drop("home").withColumnRenamed("group", "home"), "parts")
-    scratch.drop("sized", "rare")
+    scratch.drop("sized", "rare", "homes-group")
     sizes = members.groupBy("home").agg(
         F.ceil(F.count("*") / SIDE).cast("int").alias("blocks"), F.ceil(F.count_if("stray") / SIDE).cast("int").alias("stray_blocks")
     )
