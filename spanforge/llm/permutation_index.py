@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: Pivots, and places of a permutation that are kept; nearest pivots under which a vector is posted, and a query looks.
-PIVOTS, PREFIX, POSTED, LOOKED = 512, 128, 3, 96
+PIVOTS, PREFIX, POSTED, LOOKED = 512, 128, 4, 127
 #: Share of all vectors that a query's limit lets by, and vectors that it is read off.
-RERANKED, SAMPLE = 0.04, 4096
+RERANKED, SAMPLE = 0.25, 4096
 #: Rows of a slot, and rows that a task makes at a time for lists, about.
 SLOT, LISTED = 4096, 16_384
 FOUND = "query_id long, vec_id long, score double"
